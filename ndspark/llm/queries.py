@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ndspark.llm import archives, html_text, language_id, licenses, mixing
+from ndspark.llm import archives, decontaminate, embedding_dedup, html_text, language_id, licenses, mixing, near_dup, passage_dedup, quality
 from ndspark.llm.common import Scratch, seal
 
 
+def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language_id.fit(docs.where(~language_id.held_out("doc_id") & F.col("doc_id").isNotNull()))
@@ -27,6 +31,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.concat_ws(",", "sentence_ids").alias("sentence_ids"), F.concat_ws(",", "rules").alias("rules"), F.concat_ws(",", "licences").alias("licences"))
@@ -39,12 +51,26 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         return seal(read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return passage_dedup.report(docs, *passage_dedup.repeated(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dup": op1_near_dup,
     "op2_language_id": op2_language_id,
     "op3_html_text": op3_html_text,
     "op4_mixing": op4_mixing,
+    "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_decontaminate": op6_decontaminate,
     "op7_licenses": op7_licenses,
     "op8_warc": op8_warc,
+    "op9_quality": op9_quality,
+    "op10_passage_dedup": op10_passage_dedup,
 }
 
 
