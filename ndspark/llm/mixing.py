@@ -61,7 +61,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), total_shar
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), total_share: float = 1.5, most_copies: int = 2) -> DataFrame:
-    """(id, size, source_size, target, taken) of every row; taken = copies * size."""
+    """(id, source, size, source_size, target, copies, taken) of every row; taken = copies * size."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long")
     rows = seal(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")))
     plan = seal(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total_share, most_copies))
@@ -92,8 +92,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     inside = inside.withColumn("more", (ahead + F.col("size") / 2.0 <= F.col("missing")).cast("long"))
     outside = joined.where(~F.coalesce(at, F.lit(False))).withColumn("more", F.coalesce(F.col("bin") < F.col("end_bin"), F.lit(False)).cast("long"))
     out = inside.unionByName(outside)
-    taken = (F.col("whole") + F.when(F.col("p") > 0, F.col("more")).otherwise(0)) * F.col("size")
-    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.alias("taken"))
+    copies = F.col("whole") + F.when(F.col("p") > 0, F.col("more")).otherwise(0)
+    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 #: What ``mix`` returns for a table ``docs`` (doc_id, text, source), in DuckDB's SQL: the sample is found by a
