@@ -8,6 +8,7 @@ coercion differs, so every operation casts explicitly.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import cached_property
 
 from pyspark.sql import Column
@@ -156,6 +157,8 @@ def literal(value: object, t: DType) -> Column:
         return F.lit(bool(value))
     if t.is_int and isinstance(value, float):
         value = int(value)
+    if isinstance(value, int) and not -(1 << 63) <= value < 1 << 63:
+        value = Decimal(value)
     return F.lit(value).cast(t.spark)
 
 
@@ -166,8 +169,9 @@ def wrap(c: Column, t: DType) -> Column:
     span = 1 << t.bits
     if t.bits == 64:
         wide = c.cast("decimal(38,0)")
-        low = F.pmod(wide, F.lit(span).cast("decimal(38,0)"))
-        return (F.when(low >= F.lit(1 << 63).cast("decimal(38,0)"), low - F.lit(span).cast("decimal(38,0)")).otherwise(low) if t.kind == "i" else low).cast(t.spark)
+        whole, half = (F.lit(Decimal(x)).cast("decimal(38,0)") for x in (span, span // 2))
+        low = F.pmod(wide, whole)
+        return (F.when(low >= half, low - whole).otherwise(low) if t.kind == "i" else low).cast(t.spark)
     low = F.pmod(c, F.lit(span).cast("bigint"))
     return (F.when(low >= span // 2, low - span).otherwise(low) if t.kind == "i" else low).cast(t.spark)
 
@@ -188,7 +192,8 @@ def cast(c: Column, a: DType, b: DType) -> Column:
         return c.cast("int").cast(b.spark)
     if a.is_float and b.is_int:
         fits = F.abs(c) < float(1 << 63)
-        return wrap(F.when(fits, F.when(c < 0, F.ceil(F.when(fits, c))).otherwise(F.floor(F.when(fits, c)))).otherwise(F.lit(-(1 << 63))), b)
+        whole = F.when(fits, F.when(c < 0, F.ceil(F.when(fits, c))).otherwise(F.floor(F.when(fits, c)))).otherwise(F.lit(-(1 << 63)))
+        return whole if b == Int64 else wrap(whole, b)
     if a.is_int and b.is_int:
         fits = (b.minimum <= a.minimum) and (a.maximum <= b.maximum)
         return c.cast(b.spark) if fits else wrap(c, b)

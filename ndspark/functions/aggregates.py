@@ -15,7 +15,10 @@ from ndspark.errors import OperationError
 from ndspark.functions import complexes as cx
 from ndspark.functions import ieee
 
-NAN = F.lit(float("nan"))
+
+
+def nan_value() -> Column:
+    return F.lit(float("nan"))
 
 
 def _floats_only(name: str, t: DType) -> None:
@@ -44,8 +47,8 @@ def mean(v: Column, t: DType, nan: bool = False) -> tuple[Column, DType]:
     _floats_only("mean", t)
     if t.is_complex:
         keep = F.when(~_complex_nan(v), v) if nan else v
-        return cx.make(F.coalesce(F.avg(keep["re"]), NAN), F.coalesce(F.avg(keep["im"]), NAN), t), t
-    return F.coalesce(F.avg((ieee.without_nan(v) if nan else v).cast("double")), NAN).cast(t.spark), t
+        return cx.make(F.coalesce(F.avg(keep["re"]), nan_value()), F.coalesce(F.avg(keep["im"]), nan_value()), t), t
+    return F.coalesce(F.avg((ieee.without_nan(v) if nan else v).cast("double")), nan_value()).cast(t.spark), t
 
 
 def var(v: Column, t: DType, nan: bool = False) -> tuple[Column, DType]:
@@ -53,9 +56,9 @@ def var(v: Column, t: DType, nan: bool = False) -> tuple[Column, DType]:
     _floats_only("var", t)
     if t.is_complex:
         keep = F.when(~_complex_nan(v), v) if nan else v
-        return F.coalesce(F.var_samp(keep["re"]) + F.var_samp(keep["im"]), NAN).cast(t.real.spark), t.real
+        return F.coalesce(F.var_samp(keep["re"]) + F.var_samp(keep["im"]), nan_value()).cast(t.real.spark), t.real
     x = (ieee.without_nan(v) if nan else v).cast("double")
-    spread = F.when(F.count(x) == 1, NAN).otherwise(F.var_samp(F.when(x == x, x)))
+    spread = F.when(F.count(x) == 1, nan_value()).otherwise(F.var_samp(F.when(x == x, x)))
     return F.coalesce(spread, F.lit(0.0)).cast(t.spark), t
 
 
@@ -68,10 +71,10 @@ def rms(v: Column, t: DType, nan: bool = False) -> tuple[Column, DType]:
     _floats_only("rms", t)
     if t.is_complex:
         square = v["re"] * v["re"] + v["im"] * v["im"]
-        return F.sqrt(F.coalesce(F.avg(ieee.without_nan(square) if nan else square), NAN)).cast(t.real.spark), t.real
+        return F.sqrt(F.coalesce(F.avg(ieee.without_nan(square) if nan else square), nan_value())).cast(t.real.spark), t.real
     x = v.cast("double")
     x = ieee.without_nan(x) if nan else x
-    return F.sqrt(F.coalesce(F.avg(x * x), NAN)).cast(t.spark), t
+    return F.sqrt(F.coalesce(F.avg(x * x), nan_value())).cast(t.spark), t
 
 
 def _extreme(f, v: Column, t: DType, nan: bool) -> Column:
@@ -79,8 +82,8 @@ def _extreme(f, v: Column, t: DType, nan: bool) -> Column:
         raise OperationError(f"{t} has no order")
     if not t.is_float:
         return f(v)
-    best = F.coalesce(f(ieee.without_nan(v)), NAN.cast(t.spark))
-    return F.when(F.bool_or(F.isnan(v)), NAN.cast(t.spark)).otherwise(best) if nan else best
+    best = F.coalesce(f(ieee.without_nan(v)), nan_value().cast(t.spark))
+    return F.when(F.bool_or(F.isnan(v)), nan_value().cast(t.spark)).otherwise(best) if nan else best
 
 
 def min_(v: Column, t: DType, nan: bool = False) -> tuple[Column, DType]:
@@ -120,7 +123,7 @@ def median(v: Column, t: DType) -> tuple[Column, DType]:
     if t.is_int:
         p = F.percentile(v.cast("double"), F.lit(0.5))
         return F.call_function("div", (p * 2).cast("bigint"), F.lit(2).cast("bigint")).cast(t.spark), t
-    return F.coalesce(F.percentile(ieee.without_nan(v), F.lit(0.5)), NAN).cast(t.spark), t
+    return F.coalesce(F.percentile(ieee.without_nan(v), F.lit(0.5)), nan_value()).cast(t.spark), t
 
 
 def percentile(v: Column, q: float, t: DType) -> tuple[Column, DType]:

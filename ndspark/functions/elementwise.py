@@ -26,7 +26,7 @@ def _int(r: Column, t: DType, wrap: bool) -> Column:
     if wrap:
         return dt.wrap(r, t)
     if t.kind == "u":
-        fits = (r >= 0) & (r <= F.lit(t.maximum).cast("decimal(20,0)"))
+        fits = (r >= 0) & (r <= dt.literal(t.maximum, dt.UInt64))
         return F.when(fits, r).otherwise(F.raise_error(F.lit(f"{t} overflow"))).cast(t.spark)
     return r.cast(t.spark)
 

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
 from ndspark import dtypes as dt
 from ndspark.dtypes import DType
@@ -15,22 +16,22 @@ from ndspark.functions import complexes as cx
 from ndspark.functions import ieee
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _erf(x: pd.Series) -> pd.Series:
     return x.map(math.erf)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _erfc(x: pd.Series) -> pd.Series:
     return x.map(math.erfc)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _mantissa(x: pd.Series) -> pd.Series:
     return x.map(lambda v: math.frexp(v)[0])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _exponent(x: pd.Series) -> pd.Series:
     return x.map(lambda v: math.frexp(v)[1])
 

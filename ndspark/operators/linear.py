@@ -97,6 +97,28 @@ class Linear:
         out = rows.mapInPandas(multiply, "i0 bigint, r array<double>").select("i0", F.posexplode("r").alias("i1", "v"))
         return self._frame(out.select("i0", F.col("i1").cast("bigint").alias("i1"), F.col("v").cast(t.spark).alias("v")), [self.shape[0], m], t)
 
+    def gram(self: NDArray) -> NDArray:
+        """transpose(self) · self of a tall real matrix: each batch of rows adds a small square, which are summed.
+
+        The shuffle holds one square a batch whatever the number of rows; the number of columns squared
+        must fit a task.
+        """
+        if self.ndim != 2 or not self.dtype.is_float:
+            raise OperationError("gram is defined for real matrices")
+        m = self.shape[1]
+        rows = self.df.groupBy("i0").agg(F.array_sort(F.collect_list(F.struct("i1", F.col("v").cast("double").alias("v")))).alias("r")).select(F.col("r.v").alias("r"))
+
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((m, m))
+            for batch in batches:
+                if len(batch):
+                    x = np.stack(batch["r"].to_numpy())
+                    total += x.T @ x
+            yield pd.DataFrame({"i0": np.repeat(np.arange(m), m), "i1": np.tile(np.arange(m), m), "v": total.ravel()})
+
+        out = rows.mapInPandas(partial, "i0 bigint, i1 bigint, v double").groupBy("i0", "i1").agg(F.sum("v").cast(self.dtype.spark).alias("v"))
+        return self._frame(out, [m, m])
+
     def inner(self: NDArray, other: NDArray, axis: int = -1) -> NDArray:
         return self.mulsum(other, axis=axis)
 
@@ -134,9 +156,8 @@ class Linear:
         if factor <= 0:
             raise OperationError("no degrees of freedom left")
         if not (fweights or aweights):
-            w = m._like(F.lit(1.0), dt.DFloat)
             centred = m.sub(m.mean(axis=1, keepdims=True))
-            return centred.gemm(centred.transpose()).div(factor) if w else centred
+            return centred.transpose().gram().div(factor)
         row = array(self.spark, weights).expand_dims(0)
         mean = m.mul(row).sum(axis=1, keepdims=True).div(total)
         centred = m.sub(mean)
