@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from ndspark.llm.common import WordHashes, mix, seal, shingles, sized, words_of
 
 K, THRESHOLD, RADIUS, BLOCK_ITEMS = 5, 0.8, 7, 500
-CHUNK_WORDS = 40_000
+#: Words whose bit counts are held at a time, and documents read as one sequence.
+CHUNK_WORDS, GROUP = 16_384, 200
 
 
 def window_size(n: int) -> int:
@@ -46,20 +47,20 @@ def window_size(n: int) -> int:
     return c
 
 
-def sim_hashes(h: np.ndarray, size: int, stride: int) -> np.ndarray:
+def bit_sums(h: np.ndarray) -> np.ndarray:
+    """Running counts of each hash bit (n + 1 rows of 64) of less than 2**16 words."""
+    sums = np.zeros((len(h) + 1, 64), np.uint16)
+    sums[1:] = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
+    # four counters to a 64-bit lane: no counter of a chunk overflows into the next
+    lanes = sums.view(np.uint64)
+    np.cumsum(lanes, axis=0, out=lanes)
+    return sums
+
+
+def sim_hashes(sums: np.ndarray, size: int, stride: int) -> np.ndarray:
     """Fingerprints of the windows of ``size`` words that start at multiples of ``stride``."""
-    out = []
-    starts = np.arange(0, len(h) - size + 1, stride)
-    per = max(1, CHUNK_WORDS // stride)
-    for i in range(0, len(starts), per):
-        s = starts[i : i + per]
-        part = h[s[0] : s[-1] + size]
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1)
-        sums = np.zeros((len(part) + 1, 64), np.int32)
-        np.cumsum(bits, axis=0, out=sums[1:], dtype=np.int32)
-        ones = sums[s - s[0] + size] - sums[s - s[0]]
-        out.append(np.packbits(2 * ones > size, axis=1).view(np.uint64)[:, 0])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    ones = sums[size::stride] - sums[: len(sums) - size : stride]
+    return np.packbits(ones > size // 2, axis=1).view(np.uint64)[:, 0]
 
 
 class HammingIndex:
@@ -68,7 +69,7 @@ class HammingIndex:
     def __init__(self, prints: np.ndarray):
         self.prints = prints
         near = np.concatenate([[0], 1 << np.arange(16)]).astype(np.uint16)
-        self.start, self.entries = [], []
+        self.start, self.entries, self.held = [], [], []
         blocks = prints.view(np.uint16).reshape(-1, 4)
         for b in range(4):
             values = (blocks[:, b][:, None] ^ near[None, :]).ravel()
@@ -76,18 +77,20 @@ class HammingIndex:
             order = np.argsort(values, kind="stable")
             self.start.append(np.searchsorted(values[order], np.arange(65537)))
             self.entries.append(owner[order])
+            self.held.append(np.diff(self.start[-1]) > 0)
 
     def probe(self, prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (position in ``prints``, entry) with at most ``radius`` bits apart; all of them for a radius up to 7."""
         left, right = [], []
         blocks = prints.view(np.uint16).reshape(-1, 4)
         for b in range(4):
-            lo, hi = self.start[b][blocks[:, b]], self.start[b][blocks[:, b].astype(np.int64) + 1]
-            at = np.flatnonzero(hi > lo)
-            n = (hi - lo)[at]
+            values = blocks[:, b]
+            at = np.flatnonzero(self.held[b][values])
+            hit = values[at]
+            lo = self.start[b][hit]
+            n = self.start[b][hit.astype(np.int64) + 1] - lo
             who = np.repeat(at, n)
-            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            entry = self.entries[b][lo[who] + offset]
+            entry = self.entries[b][np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
             close = np.bitwise_count(prints[who] ^ self.prints[entry]) <= radius
             left.append(who[close])
             right.append(entry[close])
@@ -108,30 +111,44 @@ class BenchmarkIndex:
                 self.items.append((item_id, len(h), Counter(shingles(h, K).tolist())))
         self.classes = []
         for size, members in sorted(classes.items()):
-            prints = [sim_hashes(h, size, 1) for _, h in members]
+            prints = [sim_hashes(bit_sums(h), size, 1) for _, h in members]
             owner = np.concatenate([np.full(len(p), i) for (i, _), p in zip(members, prints)])
             offset = np.concatenate([np.arange(len(p)) for p in prints])
             stride = max(1, (min(len(h) for _, h in members) - size + 1) // 2)
             self.classes.append((size, stride, HammingIndex(np.concatenate(prints)), owner, offset))
 
-    def matches(self, h: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, float, int]]:
-        """(item id, best similarity, first word of that span) of the items found in a document's word hashes."""
-        candidates: set[tuple[int, int]] = set()
-        for size, stride, index, owner, offset in self.classes:
-            if len(h) >= size:
-                at, entry = index.probe(sim_hashes(h, size, stride))
-                candidates.update(zip(owner[entry].tolist(), (at * stride - offset[entry]).tolist()))
-        best: dict[int, tuple[float, int]] = {}
-        for item, start in sorted(candidates):
+    def matches(self, docs: list[np.ndarray], threshold: float = THRESHOLD) -> list[tuple[int, int, float, int]]:
+        """(document, item id, best similarity, first word of that span) of the items found in documents' word hashes.
+
+        Documents are read as one sequence in chunks; windows that cross from one to the next are left out.
+        """
+        ends = np.cumsum([len(d) for d in docs])
+        words = np.concatenate(docs) if docs else np.zeros(0, np.uint64)
+        longest = max((size for size, *_ in self.classes), default=0)
+        candidates: set[tuple[int, int, int]] = set()
+        for at in range(0, len(words), CHUNK_WORDS):
+            sums = bit_sums(words[at : at + CHUNK_WORDS + longest])
+            for size, stride, index, owner, offset in self.classes:
+                if len(sums) <= size:
+                    continue
+                window, entry = index.probe(sim_hashes(sums, size, stride))
+                first = at + window * stride
+                doc = np.searchsorted(ends, first, side="right")
+                inside = first + size <= ends[doc]
+                doc, entry, first = doc[inside], entry[inside], first[inside]
+                candidates.update(zip(doc.tolist(), owner[entry].tolist(), (first - (ends[doc] - [len(docs[i]) for i in doc]) - offset[entry]).tolist()))
+        best: dict[tuple[int, int], tuple[float, int]] = {}
+        for doc, item, start in sorted(candidates):
+            h = docs[doc]
             _, n, want = self.items[item]
             # a span that runs over the document's edge is moved back into it
             start = max(0, min(start, len(h) - n))
             have = Counter(shingles(h[start : start + n], K).tolist())
             both = sum((want & have).values())
             total = sum(want.values()) + sum(have.values()) - both
-            if both >= threshold * total and (item not in best or both / total > best[item][0]):
-                best[item] = (both / total, start)
-        return [(self.items[i][0], s, at) for i, (s, at) in best.items()]
+            if both >= threshold * total and ((doc, item) not in best or both / total > best[doc, item][0]):
+                best[doc, item] = (both / total, start)
+        return [(doc, self.items[i][0], s, at) for (doc, i), (s, at) in best.items()]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -148,12 +165,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             cache = WordHashes()
             for batch in batches:
-                out = []
-                for doc, text in zip(batch.column(0), batch.column(1)):
-                    if got := index.value.matches(mix(cache.of(words_of(text.as_py()))), threshold):
-                        out += [(doc.as_py(), *x) for x in got]
-                columns = list(zip(*out)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["id", "item_id", "similarity", "start_word"])
+                texts = batch.column(1)
+                for i in range(0, len(texts), GROUP):
+                    got = index.value.matches([mix(cache.of(words_of(t.as_py()))) for t in texts[i : i + GROUP]], threshold)
+                    ids = batch.column(0).take(pa.array([i + x[0] for x in got], pa.int64()))
+                    columns = [pa.array([x[k] for x in got], t) for k, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([ids, *columns], ["id", "item_id", "similarity", "start_word"])
 
         part = seal(rows.mapInArrow(run, "id long, item_id long, similarity double, start_word long"))
         found = part if found is None else found.unionByName(part)
