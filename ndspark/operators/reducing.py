@@ -170,6 +170,7 @@ class Reducing:
         rows = rows.where(~F.isnan("v")) if nan else rows
 
         def fsum(x: pd.Series) -> float:
+            x = x.astype("float64")  # a NaN that passed through Arrow is a null
             try:
                 return math.fsum(x)
             except (OverflowError, ValueError):
@@ -180,8 +181,8 @@ class Reducing:
                 yield batch.groupby([*names, "all"], sort=False)["v"].agg(fsum).reset_index()
 
         schema = ", ".join(f"{n} bigint" for n in [*names, "all"]) + ", v double"
-        final = F.pandas_udf(fsum, "double", F.PandasUDFType.GROUPED_AGG)
-        whole = rows.mapInPandas(partial, schema).groupBy(*names, "all").agg(final("v").alias("v"))
+        final = F.pandas_udf(fsum, "double")
+        whole = rows.mapInPandas(partial, schema).groupBy(*names, "all").agg(F.coalesce(final("v"), F.lit(float("nan"))).alias("v"))
         if nan and not names:
             whole = self.spark.range(1).select(F.lit(0).cast("bigint").alias("all")).join(whole, "all", "left").select("all", F.coalesce("v", F.lit(0.0)).alias("v"))
         return self._placed(whole, kept, keepdims, shape, self.dtype)
