@@ -10,9 +10,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -165,30 +166,109 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         summary = found
 
 
-def link_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
-    """Components of the verified links among rows that share a key.
+#: Members of a block when a group is compared pair by pair; a unit of work holds two blocks.
+BLOCK = 256
 
-    keys: (key, id), a row for each bucket of an item. verify: takes distinct pairs (a, b) and
-    returns those that are links. Returns (id, component) for items with a link.
 
-    First every item is compared with the first of each of its buckets. After components are
-    formed, only items of one bucket that are still in different components are compared with
-    each other; pairs inside a component can't change the result, so no link between components
-    is lost and no group is expanded into all its pairs.
+def link_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], compare: Callable[[list, np.ndarray, np.ndarray], list[tuple[int, int]]], scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """Components of the verified links among items that share a key.
+
+    keys: (key, id), a row for each bucket of an item. verify: takes distinct pairs (a, b) and
+    returns those that are links. payload: takes (id) and returns (id, data binary). compare: takes
+    the data of some items, their components so far and a matrix of the pairs to look at, and
+    returns pairs of positions that are links, enough of them to connect all that are connected.
+    Returns (id, component) for items with a link.
+
+    First every item is compared with the first of each of its buckets, which joins most groups
+    into one component. Buckets that still hold several are compared in full, but within bounded
+    units of work (two blocks of members, chosen by a hash): a unit yields only links that connect
+    what was not connected, so no list of pairs is ever written and no group lands in one task.
     """
     lead = keys.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
     pairs = keys.join(lead, "key").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    first = scratch.save(pairs)
-    links = scratch.save(verify(first))
+    links = scratch.save(verify(scratch.save(pairs)))
     label = scratch.save(connected_components(links, scratch))
     named = keys.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_ = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = scratch.save(named.join(open_, "key"))
-    x, y = left.alias("x"), left.alias("y")
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")))
-    more = more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    more = scratch.save(more.join(first, ["a", "b"], "left_anti"))
-    if more.isEmpty():
+    open_ = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi")
+    left = scratch.save(named.join(open_.select("key", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "key"))
+    if left.isEmpty():
         return label
-    found = scratch.save(verify(more))
-    return scratch.save(connected_components(links.unionByName(found), scratch))
+    data = scratch.save(payload(left.select("id").distinct()))
+    own = left.withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    units = own.select(unit.alias("unit"), "own", "id", "component").join(data, "id")
+    width = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    units = units.select("unit", "own", "id", "component", "data").repartition(width, "unit").sortWithinPartitions("unit", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in groups_of(batches, "unit"):
+            if part.num_rows < 2:
+                continue
+            ids, sides, components = (part.column(c).to_numpy() for c in ("id", "own", "component"))
+            within = (sides == sides[0]).all()
+            ask = components[:, None] != components[None, :]
+            if not within:
+                ask &= sides[:, None] != sides[None, :]
+            found = compare([x.as_buffer() for x in part.column("data")], components, np.triu(ask)) if ask.any() else []
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[list(a)]), pa.array(ids[list(b)])], ["a", "b"])
+
+    more = scratch.save(units.mapInArrow(run, "a long, b long").distinct())
+    return label if more.isEmpty() else scratch.save(connected_components(links.unionByName(more), scratch))
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Runs of equal ``key`` of sorted batches, also where they cross batches."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        keys = table.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:]):
+            yield table.slice(a, b - a)
+        held = table.slice(cuts[-1])
+    if held is not None:
+        yield held
+
+
+def overlaps(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Matrix of the sums of the smaller counts of equal elements of each two multisets, and their sizes."""
+    sizes = np.array([len(x) for x in items])
+    numbered = np.concatenate(items)
+    who = np.repeat(np.arange(len(items)), sizes)
+    # the j-th occurrence of an element in an item is an element of its own: multisets become sets
+    order = np.lexsort((numbered, who))
+    s, w = numbered[order], who[order]
+    first = np.concatenate([[True], (s[1:] != s[:-1]) | (w[1:] != w[:-1])]) if len(s) else np.zeros(0, bool)
+    at = np.arange(len(s))
+    nth = at - np.maximum.accumulate(np.where(first, at, 0)) if len(s) else at
+    _, column = np.unique(mix(s.astype(np.uint64) + nth.astype(np.uint64) * _STEP), return_inverse=True)
+    out = np.zeros((len(items), len(items)), np.float32)
+    width = int(column.max()) + 1 if len(column) else 0
+    for a in range(0, width, 8192):
+        part = (column >= a) & (column < a + 8192)
+        m = np.zeros((len(items), min(8192, width - a)), np.float32)
+        m[w[part], column[part] - a] = 1
+        out += m @ m.T
+    return out, sizes
+
+
+class Joined:
+    """Union-find over positions that start in given components."""
+
+    def __init__(self, components: np.ndarray):
+        _, first, inverse = np.unique(components, return_index=True, return_inverse=True)
+        self.parent = first[inverse].tolist()
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ndspark.llm.common import Scratch, connected_components, seal, sized
+from ndspark.llm.common import Scratch, connected_components, groups_of, seal, sized
 
 THRESHOLD, BITS, TABLES, BLOCK = 0.98, 14, 24, 512
 
@@ -123,18 +123,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
                 got = _compare(*(part.column(c).to_numpy() for c in ("id", "n")), signs, m, part.column("own").to_numpy(), part.column("t")[0].as_py(), part.column("same")[0].as_py(), threshold)
                 return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], ["id", "root", "links"]) if len(got[0]) else None
 
-            held: pa.Table | None = None
-            for batch in batches:
-                table = pa.Table.from_batches([batch])
-                table = table if held is None else pa.concat_tables([held, table])
-                keys = table.column("unit").to_numpy()
-                cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()]
-                for a, b in zip(cuts, cuts[1:]):
-                    if (out := unit(table.slice(a, b - a))) is not None:
-                        yield out
-                held = table.slice(cuts[-1])
-            if held is not None and (out := unit(held)) is not None:
-                yield out
+            for part in groups_of(batches, "unit"):
+                if (out := unit(part)) is not None:
+                    yield out
 
         found = scratch.save(work.mapInArrow(run, "id long, root long, links long"))
         counts = found.groupBy("id").agg(F.sum("links").alias("links"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ndspark.llm.common import Scratch, WordHashes, link_groups, mix, seal, seeds, shingles, sized, words_of
+from ndspark.llm.common import Joined, Scratch, WordHashes, link_groups, mix, overlaps, seal, seeds, shingles, sized, words_of
 
 K, SKETCHES, PICKED, THRESHOLD = 5, 12, 3, 0.8
 _C = np.uint64(0xD6E8FEB86659FD93)
@@ -157,19 +157,19 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
 
 
 def _tokens(rows: DataFrame) -> DataFrame:
-    """(id, words) from (id, text): 32-bit word hashes, packed."""
+    """(id, data) from (id, text): 32-bit word hashes, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
             packed = [cache.of(words_of(t.as_py())).astype(np.uint32).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "data"])
 
-    return rows.mapInArrow(run, "id long, words binary")
+    return rows.mapInArrow(run, "id long, data binary")
 
 
 def _aligned(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Those of (a, b, words_a, words_b) that are links."""
+    """Those of (a, b, x, y) that are links; x and y are packed word hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,14 +190,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         keys = scratch.save(classes.select("id", F.explode("keys").alias("key")))
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
 
-        def verify(pairs: DataFrame) -> DataFrame:
-            wanted = scratch.save(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-            # an id that repeats has one text here: the one its class was made of can't be told apart by id alone
-            words = scratch.save(_tokens(texts.join(sized(wanted), "id", "left_semi")).dropDuplicates(["id"]))
-            both = pairs.join(words.select(F.col("id").alias("a"), F.col("words").alias("words_a")), "a").join(words.select(F.col("id").alias("b"), F.col("words").alias("words_b")), "b")
-            return _aligned(both.select("a", "b", "words_a", "words_b"), threshold)
+        def words(wanted: DataFrame) -> DataFrame:
+            # a text is read once however many pairs it is in; rows that repeat an id give one of their texts
+            return _tokens(texts.join(sized(scratch.save(wanted)), "id", "left_semi")).dropDuplicates(["id"])
 
-        linked = link_groups(keys, verify, scratch)
+        def verify(pairs: DataFrame) -> DataFrame:
+            held = scratch.save(words(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()))
+            both = pairs.join(held.select(F.col("id").alias("a"), F.col("data").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("data").alias("y")), "b")
+            return _aligned(both.select("a", "b", "x", "y"), threshold)
+
+        def compare(data: list, components: np.ndarray, ask: np.ndarray) -> list[tuple[int, int]]:
+            items = [np.frombuffer(x, np.uint32) for x in data]
+            both, sizes = overlaps(items)
+            # an alignment keeps at most the words that both have: this bounds the edit similarity from above
+            bound = both / np.maximum(1, np.maximum(sizes[:, None], sizes[None, :]))
+            maybe = np.argwhere(ask & (bound >= threshold - 1e-6))
+            joined, out = Joined(components), []
+            for a, b in maybe[np.argsort(-bound[maybe[:, 0], maybe[:, 1]], kind="stable")].tolist():
+                if joined.find(a) != joined.find(b) and edit_similarity(items[a], items[b], threshold) > 0:
+                    joined.join(a, b)
+                    out.append((a, b))
+            return out
+
+        linked = link_groups(keys, verify, words, compare, scratch)
         merged = classes.join(linked, "id", "left").where("n > 1 or component is not null")
         merged = scratch.save(merged.select("h1", "h2", F.coalesce("component", "id").alias("component")))
         out = rows.alias("r").join(sized(merged, 1_000_000).alias("m"), F.expr("r.h1 = m.h1 and r.h2 = m.h2"), "left")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ndspark.llm.common import WORD, Scratch, WordHashes, connected_components, jaccard, link_groups, mix, seal, seeds, shingles, sized
+from ndspark.llm.common import WORD, Joined, Scratch, WordHashes, connected_components, jaccard, link_groups, mix, overlaps, seal, seeds, shingles, sized
 
 K, BANDS, ROWS, THRESHOLD = 5, 6, 3, 0.8
 MIN_WORDS, RUN_WORDS, LEAST = 50, 40, 6
@@ -193,15 +193,23 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
         keys = scratch.save(classes.select(F.col("hash").alias("id"), F.explode("keys").alias("key")))
         where = classes.select(F.col("hash").alias("id"), F.col("first").alias("doc"))
 
-        def verify(pairs: DataFrame) -> DataFrame:
-            wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        def words(wanted: DataFrame) -> DataFrame:
             by_doc = scratch.save(wanted.join(where, "id").groupBy("doc").agg(F.collect_list("id").alias("wanted")))
             held = texts.join(sized(by_doc), F.col("id") == F.col("doc")).select("id", "text", "wanted")
-            held = scratch.save(_paragraph_words(held, min_words).dropDuplicates(["hash"]))
-            both = pairs.join(held.select(F.col("hash").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("hash").alias("b"), F.col("shingles").alias("y")), "b")
+            return _paragraph_words(held, min_words).dropDuplicates(["hash"]).select(F.col("hash").alias("id"), F.col("shingles").alias("data"))
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            held = scratch.save(words(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()))
+            both = pairs.join(held.select(F.col("id").alias("a"), F.col("data").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("data").alias("y")), "b")
             return _verified(both.select("a", "b", "x", "y"), threshold)
 
-        linked = link_groups(keys, verify, scratch)
+        def compare(data: list, components: np.ndarray, ask: np.ndarray) -> list[tuple[int, int]]:
+            both, sizes = overlaps([np.frombuffer(x, np.uint64) for x in data])
+            joined = Joined(components)
+            linked = np.argwhere(ask & (both >= threshold * (sizes[:, None] + sizes[None, :] - both)))
+            return [(a, b) for a, b in linked.tolist() if joined.join(a, b)]
+
+        linked = link_groups(keys, verify, words, compare, scratch)
         merged = classes.join(linked.withColumnRenamed("id", "hash"), "hash", "left").where("first < last or component is not null")
         merged = scratch.save(merged.select("hash", "first", F.coalesce("component", "hash").alias("component")))
         lead = merged.groupBy("component").agg(F.min("first").alias("lead"))
