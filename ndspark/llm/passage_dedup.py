@@ -75,7 +75,13 @@ def min_hash(h: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """A key (int64) for each band."""
     g = shingles(h, K)
     multipliers, salts = seeds(bands * rows, 3), seeds(bands * rows, 4)
-    least = np.array([mix((g ^ s) * m).min() for m, s in zip(multipliers, salts)], np.uint64).reshape(bands, rows)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max)
+    for i in range(0, len(g), 4096):
+        x = (g[None, i : i + 4096] ^ salts[:, None]) * multipliers[:, None]
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        np.minimum(least, x.min(1), out=least)
+    least = least.reshape(bands, rows)
     acc = seeds(bands, 5)
     for j in range(rows):
         acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + least[:, j])
