@@ -100,10 +100,11 @@ def _elementwise() -> None:
         "copysign": (lambda p, q: p.copysign(q), "CASE WHEN y < 0 THEN -abs(x) ELSE abs(x) END"),
         "maximum": (NDArray.maximum, "greatest(x, y)"), "minimum": (NDArray.minimum, "least(x, y)"),
         "atan2": (lambda p, q: p.math("atan2", q), "atan2(x, y)"), "hypot": (lambda p, q: p.math("hypot", q), "sqrt(x * x + y * y)"),
-        "ldexp": (lambda p, q: p.math("ldexp", q.trunc()), "x * pow(2, trunc(y))"),
     }
     for name, (f, sql) in binary_.items():
         over(f"elementwise_{name}", EVENTS, lambda df, f=f: f(x(df), y(df)), R(sql))
+    # exact, so not rounded: halves of the last place would fall either way
+    register("elementwise_ldexp", lambda s, d: (lambda df: x(df).math("ldexp", y(df).trunc()).df)(base(s, d, EVENTS)), f"WITH base AS ({EVENTS}) SELECT i AS i0, x * pow(2, trunc(y)) AS v FROM base")
     for name, sql in {"eq": "x = y", "ne": "x <> y", "gt": "x > y", "ge": "x >= y", "lt": "x < y", "le": "x <= y"}.items():
         over(f"compare_{name}", EVENTS, lambda df, n=name: getattr(x(df), n)(y(df)), sql)
     over("compare_nearly_eq", EVENTS, lambda df: x(df).nearly_eq(x(df) * 1.0000000000000002), "abs(x - x * 1.0000000000000002::DOUBLE) <= (abs(x) + abs(x * 1.0000000000000002::DOUBLE)) * 2 * 2.220446049250313e-16")
