@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from ndspark import dtypes as dt
 from ndspark.dtypes import DType
-from ndspark.errors import CastError, DimensionError, OperationError, ShapeError, ValueRangeError
+from ndspark.errors import CastError, DimensionError, OperationError, ShapeError
 from ndspark.functions import complexes as cx
 from ndspark.functions import elementwise as ew
-from ndspark.functions import nmath
+from ndspark.functions import ieee, nmath
 from ndspark.operators.combine import Combining
 from ndspark.operators.indexing import Indexing
 from ndspark.operators.linear import Linear
@@ -172,6 +172,17 @@ class NDArray(Indexing, Shaping, Reducing, Scanning, Combining, Linear):
         """Arrays never change, so a copy is the array."""
         return self
 
+    def is_contiguous(self) -> bool:
+        """Layout is logical: every array is row-major."""
+        return True
+
+    is_row_major = is_contiguous
+
+    def is_column_major(self) -> bool:
+        return False
+
+    is_fortran_contiguous = is_column_major
+
     def cache(self) -> NDArray:
         return self._frame(self.df.cache(), self.shape)
 
@@ -324,8 +335,6 @@ class NDArray(Indexing, Shaping, Reducing, Scanning, Combining, Linear):
         return self._unary(ew.modf)
 
     def copysign(self, other) -> NDArray:
-        from ndspark.functions import ieee
-
         return self._binary(other, lambda a, b, t: (ieee.copysign(a.cast("double"), b.cast("double")).cast(t.spark), t))
 
     def clip(self, low=None, high=None) -> NDArray:
@@ -505,8 +514,3 @@ class NDArray(Indexing, Shaping, Reducing, Scanning, Combining, Linear):
                 raise OperationError(f"no function {name}")
             return self._unary(lambda a, t: nmath.unary(name, a, t))
         return self._binary(other, lambda a, b, t: nmath.binary(name, a, b, t))
-
-
-def _check_positive(n: int, what: str) -> None:
-    if n < 1:
-        raise ValueRangeError(f"{what} must be positive")
