@@ -23,6 +23,10 @@ if TYPE_CHECKING:
 SMALL_SELECTOR = 1_000_000
 
 
+#: Words that stand for a key of an axis: the whole of it, a new one, the rest of them, or its sum.
+WORDS = {"all": True, "*": True, "new": None, "-": None, "rest": ..., "~": ..., "+": "sum", "reduce": "sum"}
+
+
 def normal_index(i: int | float, n: int) -> int:
     """A non-negative position; floats truncate, negatives count from the end."""
     i = int(i)
@@ -53,7 +57,7 @@ class Indexing:
             if key.dtype == dt.Bit:
                 return self.mask(key)
             return self.take_flat(key)
-        keys = list(key) if isinstance(key, tuple) else [key]
+        keys = [WORDS.get(k, k) if isinstance(k, str) else k for k in (key if isinstance(key, tuple) else (key,))]
         if len(keys) == 1 and isinstance(keys[0], (int, float)) and not isinstance(keys[0], bool) and self.ndim != 1:
             k = normal_index(keys[0], self.size)
             return self._frame(self.base.where(self.flat() == k).select(self.value.alias("v")), [])
@@ -65,16 +69,23 @@ class Indexing:
             keys[at : at + 1] = [slice(None)] * fill
         if sum(k is not None for k in keys) != self.ndim:
             raise IndexError(f"{len(keys)} indices for {self.ndim} dimensions")
-        return self._select(keys, drop=True)
+        if "sum" in [k for k in keys if isinstance(k, str)]:
+            out = self._select([True if isinstance(k, str) and k == "sum" else k for k in keys])
+            kept = [k for k in keys if isinstance(k, str) or not isinstance(k, (int, float)) or k is True]
+            return out.sum(axis=[i for i, k in enumerate(kept) if isinstance(k, str) and k == "sum"])
+        return self._select(keys)
 
     def slice(self: NDArray, *keys) -> NDArray:
         """Like indexing, but single positions keep their axis."""
         if len(keys) != self.ndim:
             raise IndexError(f"{len(keys)} indices for {self.ndim} dimensions")
-        return self._select([slice(k, None if k == -1 else k + 1) if isinstance(k, int) else k for k in keys], drop=True)
+        return self._select([slice(k, None if k == -1 else k + 1) if isinstance(k, int) else k for k in keys])
+
+    def _select(self: NDArray, keys: list) -> NDArray:
+        """One key an axis: int, slice, True (whole), 'reverse', a list, a one-dimensional array; None is a new axis.
 
-    def _select(self: NDArray, keys: list, drop: bool) -> NDArray:
-        """One key an axis: int, slice, True (whole), 'reverse', a list, a one-dimensional array; None is a new axis."""
+        Words are replaced before (see WORDS); 'sum' is left to indexing.
+        """
         from ndspark.array import NDArray
 
         base, indices, shape, conditions, joins, axis = self.base, [], [], [], [], 0
@@ -194,7 +205,7 @@ class Indexing:
             new = NDArray._lift(value, self)
             chosen = self._paired(keys[0], lambda a, b, t: (F.struct(a.alias("x"), b.alias("b")), t), upcast=False)
             return chosen._paired(new, lambda a, b, t: (F.when(a["b"], dt.cast(b, new.dtype, self.dtype)).otherwise(a["x"]), self.dtype), upcast=False)
-        places = NDArray(self.base, self.indices, self.flat(), self.shape, dt.Int64, self.tag)._select(keys, drop=True)
+        places = NDArray(self.base, self.indices, self.flat(), self.shape, dt.Int64, self.tag)._select(keys)
         new = places.cast_to(self.dtype).store(value) if isinstance(value, NDArray) else places._like(dt.literal(value, self.dtype), self.dtype)
         names = [f"i{k}" for k in range(places.ndim)]
         changes = places.df.withColumnRenamed("v", "f").join(new.df, names) if names else places.df.withColumnRenamed("v", "f").crossJoin(new.df)
@@ -210,7 +221,7 @@ class Indexing:
         axis = self._axis(0 if axis is None else axis)
         n = self.shape[axis]
         gone = {normal_index(i, n) for i in ([index] if isinstance(index, int) else index)}
-        return self._select([True] * axis + [[i for i in range(n) if i not in gone]] + [True] * (self.ndim - axis - 1), drop=True) if len(gone) * 4 > n or n < 10_000 else self._delete_few(sorted(gone), axis)
+        return self._select([True] * axis + [[i for i in range(n) if i not in gone]] + [True] * (self.ndim - axis - 1)) if len(gone) * 4 > n or n < 10_000 else self._delete_few(sorted(gone), axis)
 
     def _delete_few(self: NDArray, gone: list[int], axis: int) -> NDArray:
         at = self.indices[axis]
@@ -226,4 +237,4 @@ class Indexing:
         """Arrays of one dimension less, along an axis."""
         axis = self._axis(axis)
         for i in range(self.shape[axis]):
-            yield self._select([True] * axis + [i] + [True] * (self.ndim - axis - 1), drop=True)
+            yield self._select([True] * axis + [i] + [True] * (self.ndim - axis - 1))

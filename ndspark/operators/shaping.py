@@ -165,7 +165,7 @@ class Shaping:
         out = []
         for a, b in zip(cuts, cuts[1:]):
             keys[axis] = slice(a, b) if b > a else slice(0, 0)
-            out.append(self._select(list(keys), drop=True))
+            out.append(self._select(list(keys)))
         return out
 
     def vsplit(self: NDArray, where) -> list[NDArray]:

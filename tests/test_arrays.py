@@ -28,6 +28,7 @@ def b(spark):
 
 
 CASES = {
+    "b['all', 'sum']": [6, 23], "b['sum', 1]": 9, "b['new', '*', 0]": [[1, 5]], "b['rest', 0]": [1, 5], "b[1, '+']": 23,
     "b[1, 2]": 11, "b[3]": 5, "b[-1]": 11, "b[:, 1]": [2, 7], "b[..., 0]": [1, 5], "b[None, 0, :]": [[1, 2, 3]], "a[1:-1]": [2, 3, 5, 7], "a[::2]": [1, 3, 7], "a[-1:0:-2]": [11, 5, 2],
     "b[[0, 1], [0, 2]]": [[1, 3], [5, 11]], "b['reverse', 0]": [5, 1], "b.at([0, 1], [0, 2])": [1, 11], "b[b.gt(3)]": [5, 7, 11], "b[b.gt(100)]": [], "b.slice(0, 1)": [[2]], "a[a.gt(2).where()]": [3, 5, 7, 11],
     "a[array(spark, [[0, -1], [2, 2]])]": [[1, 11], [3, 3]], "b[:, [True, False, True]]": [[1, 3], [5, 11]], "b.gt(3).where()": [3, 4, 5], "b.gt(3).where2()[1]": [0, 1, 2],
