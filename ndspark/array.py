@@ -44,6 +44,8 @@ class NDArray(Indexing, Shaping, Reducing, Scanning, Combining, Linear):
             raise DimensionError(f"at most {dt.MAX_DIMENSIONS} dimensions")
         self.base, self.indices, self.value, self.shape, self.dtype = base, tuple(indices), value, tuple(int(n) for n in shape), dtype
         self.tag = next(_TAGS) if tag is None else tag
+        #: (frame, index, array column) where a row of the base's source holds a row of this matrix.
+        self.row_form: tuple[DataFrame, Column, Column] | None = None
 
     # ---- construction -----------------------------------------------------------------
 
@@ -73,7 +75,9 @@ class NDArray(Indexing, Shaping, Reducing, Scanning, Combining, Linear):
         dtype = dt.of(dtype) if dtype else dt.of_spark(kind)
         size = df.count() if size is None else size
         base = df.select(F.col(index).cast("bigint").alias("i0"), F.posexplode(value).alias("i1", "v"))
-        return cls(base, [F.col("i0"), F.col("i1").cast("bigint")], F.col("v").cast(dtype.spark), [size, width], dtype)
+        out = cls(base, [F.col("i0"), F.col("i1").cast("bigint")], F.col("v").cast(dtype.spark), [size, width], dtype)
+        out.row_form = (df, F.col(index).cast("bigint"), F.col(value))
+        return out
 
     def _like(self, value: Column, dtype: DType) -> NDArray:
         """Same rows, another value."""
@@ -193,7 +197,10 @@ class NDArray(Indexing, Shaping, Reducing, Scanning, Combining, Linear):
 
     def cast_to(self, dtype: DType | str) -> NDArray:
         dtype = dt.of(dtype)
-        return self._like(dt.cast(self.value, self.dtype, dtype), dtype)
+        out = self._like(dt.cast(self.value, self.dtype, dtype), dtype)
+        if dtype == self.dtype or dtype == dt.DFloat and self.dtype == dt.SFloat:
+            out.row_form = self.row_form
+        return out
 
     def fill(self, x: object) -> NDArray:
         return self._like(dt.literal(x, self.dtype), self.dtype)

@@ -8,6 +8,7 @@ from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ndspark import dtypes as dt
@@ -80,6 +81,14 @@ class Linear:
         out = a.join(b, on).groupBy(*keys).agg(total.alias("v"))
         return self._frame(out, [*(max(x, y) for x, y in zip(a_batch, b_batch)), self.shape[-2], other.shape[-1]], t)
 
+    def _row_arrays(self: NDArray) -> DataFrame:
+        """(i0, r): rows as arrays; as they lie in the source where that holds rows, else gathered by row."""
+        if self.row_form:
+            source, index, values = self.row_form
+            return source.select(index.alias("i0"), F.transform(values, lambda x: x.cast("double")).alias("r"))
+        pairs = F.array_sort(F.collect_list(F.struct("i1", F.col("v").cast("double").alias("v"))))
+        return self.df.groupBy("i0").agg(pairs.alias("r")).select("i0", F.col("r.v").alias("r"))
+
     def _gemm_blocks(self: NDArray, other: NDArray, t) -> NDArray:
         """Rows of self, gathered by row (their length is the common axis), times the whole of a small right matrix."""
         k, m = other.shape
@@ -87,7 +96,7 @@ class Linear:
         for r in other.cast_to(t).df.toLocalIterator():
             matrix[r["i0"], r["i1"]] = r["v"]
         shared = self.spark.sparkContext.broadcast(matrix)
-        rows = self.cast_to(t).df.groupBy("i0").agg(F.array_sort(F.collect_list(F.struct("i1", F.col("v").cast("double").alias("v")))).alias("r")).select("i0", F.col("r.v").alias("r"))
+        rows = self.cast_to(t)._row_arrays()
 
         def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -106,7 +115,7 @@ class Linear:
         if self.ndim != 2 or not self.dtype.is_float:
             raise OperationError("gram is defined for real matrices")
         m = self.shape[1]
-        rows = self.df.groupBy("i0").agg(F.array_sort(F.collect_list(F.struct("i1", F.col("v").cast("double").alias("v")))).alias("r")).select(F.col("r.v").alias("r"))
+        rows = self._row_arrays().select("r")
 
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros((m, m))
