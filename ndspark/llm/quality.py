@@ -198,31 +198,29 @@ def _logit(p):
     return F.log(p / (1 - p))
 
 
-def _shrunk(rates: DataFrame, by: list[str], parent: str, own: str) -> DataFrame:
+def _shrunk(rates: DataFrame, parent: str, own: str) -> DataFrame:
     """Adds the rate ``own`` of each group, shrunk toward ``parent`` with the strength that fits the spread of the groups."""
     raw = F.col("s") / F.col("n")
-    moments = rates.agg(
-        F.sum("n").alias("total"),
-        (F.sum(F.col("n") * F.pow(raw - F.col(parent), 2)) / F.sum("n")).alias("between"),
-        (F.sum(F.col("n") * F.col(parent) * (1 - F.col(parent))) / F.sum("n")).alias("spread"),
-        (F.count(F.lit(1)) / F.sum("n")).alias("noise"),
-    )
+    between, spread, noise = rates.agg(
+        F.sum(F.col("n") * F.pow(raw - F.col(parent), 2)) / F.sum("n"),
+        F.sum(F.col("n") * F.col(parent) * (1 - F.col(parent))) / F.sum("n"),
+        F.count(F.lit(1)) / F.sum("n"),
+    ).first()
     # the spread between groups that is more than the noise of their sizes
-    true = F.greatest(F.col("between") - F.col("spread") * F.col("noise"), F.col("spread") * 1e-4)
-    moments = moments.select(F.greatest(F.col("spread") / true - 1, F.lit(1.0)).alias("strength"))
-    return rates.crossJoin(F.broadcast(moments)).withColumn(own, (F.col("s") + F.col("strength") * F.col(parent)) / (F.col("n") + F.col("strength"))).drop("strength")
+    true = max(between - spread * noise, spread * 1e-4, 1e-12) if spread else 1.0
+    strength = float(max((spread or 0.0) / true - 1, 1.0))
+    return rates.withColumn(own, (F.col("s") + F.lit(strength) * F.col(parent)) / (F.col("n") + F.lit(strength)))
 
 
 def with_priors(scored: DataFrame, logit_col: str, prior: float, out: str) -> DataFrame:
     """Adds ``out``: the probability after exchanging the sample's prior for the document's path's."""
     p = 1 / (1 + F.exp(-F.col(logit_col)))
-    paths = scored.groupBy("site", "path").agg(F.sum(p).alias("s"), F.count(F.lit(1)).alias("n"))
-    paths = seal(paths)
-    total = paths.agg((F.sum("s") / F.sum("n")).alias("overall"))
-    sites = paths.groupBy("site").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).crossJoin(F.broadcast(total))
-    sites = seal(_shrunk(sites, ["site"], "overall", "site_rate").select("site", "site_rate"))
+    paths = seal(scored.groupBy("site", "path").agg(F.sum(p).alias("s"), F.count(F.lit(1)).alias("n")))
+    overall = paths.agg(F.sum("s") / F.sum("n")).first()[0]
+    sites = paths.groupBy("site").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).withColumn("overall", F.lit(prior if overall is None else overall))
+    sites = seal(_shrunk(sites, "overall", "site_rate").select("site", "site_rate"))
     rates = paths.alias("a").join(sized(sites).alias("b"), F.expr("a.site <=> b.site")).select("a.site", "a.path", "a.s", "a.n", "b.site_rate")
-    rates = seal(_shrunk(rates, ["site", "path"], "site_rate", "rate").select("site", "path", "rate"))
+    rates = seal(_shrunk(rates, "site_rate", "rate").select("site", "path", "rate"))
     rate = F.least(F.greatest(F.col("rate"), F.lit(1e-4)), F.lit(1 - 1e-4))
     joined = scored.alias("d").join(sized(rates).alias("r"), F.expr("d.site <=> r.site and d.path <=> r.path")).select("d.*", "rate")
     return joined.withColumn(out, 1 / (1 + F.exp(-(F.col(logit_col) - math.log(prior / (1 - prior)) + _logit(rate))))).drop("rate")
