@@ -44,6 +44,7 @@ BOILER_HINT = re.compile(
     re.I,
 )
 TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+LOOSE = re.compile(r"</?([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 STRIPPED = re.compile(r"[^\W\d_]+")
 
@@ -107,7 +108,7 @@ class _Blocks:
 def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
     """The blocks of a page in order; hidden elements and comments left out."""
     out, at, n = _Blocks(), 0, len(page)
-    lowered = None
+    lowered, strict = None, True
     while at < n:
         i = page.find("<", at)
         if i < 0:
@@ -123,8 +124,10 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
             j = page.find(">", i)
             at = n if j < 0 else j + 1
             continue
-        if not (m := TAG.match(page, i)):
+        m = TAG.match(page, i) if strict else LOOSE.match(page, i)
+        if not m:
             if re.match(r"</?[a-zA-Z]", page[i : i + 3]):
+                strict = False  # an open quote: from here on a tag ends at the next >, else each would search the rest
                 j = page.find(">", i)
                 at = n if j < 0 else j + 1
             else:
