@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ndspark.llm.common import sized
+from ndspark.llm.common import seal, sized
 
 LEAST_BYTES = 100
 PACKAGE_BYTES = 4 << 20
@@ -242,8 +242,8 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
     again = rows.where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id"))
-    again = again.where("first_id < last_id").select("payload_digest", "first_id").checkpoint()
-    rows = rows.join(sized(again), "payload_digest", "left")
+    again = again.where("first_id < last_id").select("payload_digest", "first_id")
+    rows = rows.join(sized(seal(again)), "payload_digest", "left")
     revisit = F.coalesce(F.col("page_id") > F.col("first_id"), F.lit(False))
     return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
 
