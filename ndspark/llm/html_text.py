@@ -34,6 +34,8 @@ BLOCK_TAGS = frozenset("address article aside blockquote body center dd details
 HIDDEN_TAGS = frozenset("script style noscript template textarea select svg math object iframe canvas audio video button datalist".split())
 # Elements that hold no main text.
 BOILER_TAGS = frozenset("nav footer aside form menu dialog head".split())
+# Of these, the words that say so of an article itself.
+ARTICLE_HINT = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|sponsored|promo|comments?|reply|related|teaser)(?=$|[\s_-])", re.I)
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset(("script", "style", "textarea", "title", "iframe", "noscript"))
 # Words in class, id or role that mark boilerplate.
@@ -52,12 +54,12 @@ LONG, SHORT, LINKED, DENSE, SPARSE = 200, 70, 0.33, 0.30, 0.12
 TEXT, BOILER, OPEN = "text", "boiler", "open"
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str, hint: re.Pattern = BOILER_HINT) -> bool:
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if name in ("class", "id", "role") and BOILER_HINT.search(value):
+        if name in ("class", "id", "role") and hint.search(value):
             return True
     return False
 
@@ -71,6 +73,7 @@ class _Blocks:
         self.linked = 0
         self.in_link = False
         self.open: list[tuple[str, bool, bool]] = []  # name, boilerplate, main
+        self.marked = False  # the paragraph itself is
 
     def text(self, piece: str) -> None:
         piece = unescape(piece)
@@ -80,8 +83,8 @@ class _Blocks:
 
     def end(self) -> None:
         if text := " ".join("".join(self.parts).split()):
-            self.blocks.append((text, self.linked, any(x[1] for x in self.open), any(x[2] for x in self.open)))
-        self.parts, self.linked = [], 0
+            self.blocks.append((text, self.linked, self.marked or any(x[1] for x in self.open), any(x[2] for x in self.open)))
+        self.parts, self.linked, self.marked = [], 0, False
 
     def tag(self, name: str, closing: bool, attributes: str) -> None:
         if name == "a":
@@ -92,6 +95,8 @@ class _Blocks:
             return
         self.end()
         self.in_link = False
+        if name == "p":
+            self.marked = not closing and _marked(attributes)
         if name in VOID_TAGS or name == "p":
             return
         if closing:
@@ -100,8 +105,9 @@ class _Blocks:
                     del self.open[i:]
                     break
         else:
-            main = name in ("article", "main") and not any(x[1] for x in self.open)
-            boiler = name in BOILER_TAGS or name == "header" and not any(x[2] for x in self.open) or name not in ("html", "body", "article", "main") and _marked(attributes)
+            own = name in ("article", "main") and _marked(attributes, ARTICLE_HINT)
+            main = name in ("article", "main") and not own and not any(x[1] for x in self.open)
+            boiler = own or name in BOILER_TAGS or name == "header" and not any(x[2] for x in self.open) or name not in ("html", "body", "article", "main") and _marked(attributes)
             self.open.append((name, boiler, main))
 
 
