@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 WORD = re.compile(r"\w+")
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 150_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -141,29 +141,32 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) for every vertex of ``edges`` (a, b); component is the smallest id reachable.
 
-    Alternates large-star and small-star steps until the edges no longer change; every step is a
-    partial aggregation and two joins, so a vertex with very many neighbours is never gathered.
-    Loops (a = b) keep a vertex without other edges. No edges: no rows.
+    Alternates large-star and small-star steps until the edges are stars around the smallest ids:
+    no centre is a leaf and no leaf has two centres. Every step is a partial aggregation and a join,
+    so a vertex with very many neighbours is never gathered. Loops (a = b) are ignored; without
+    edges there are no rows.
     """
-    current = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    summary = None
-    while True:
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    current = scratch.save(edges.distinct())
+    while not current.isEmpty():
+        # large-star: the larger neighbours of each vertex move to its smallest one
+        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u or v = u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.save(large)
+        large = scratch.save(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        # small-star: the smaller neighbours of each vertex, and itself, move to the smallest
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
-        following = scratch.save(small)
+        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
+        following = scratch.save(small.distinct())
         scratch.drop(large)
         scratch.drop(current)
         current = following
-        digest = F.xxhash64("u", "v").cast("decimal(38,0)")
-        found = current.agg(F.count(F.lit(1)), F.sum(digest)).first()
-        if found == summary:
-            return current.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
-        summary = found
+        twice = current.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi")
+        inner = current.select("v").join(current.select(F.col("u").alias("v")), "v", "left_semi")
+        if twice.isEmpty() and inner.isEmpty():
+            break
+    centres = current.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))
+    return current.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(centres)
 
 
 #: Members of a block when a group is compared pair by pair; a unit of work holds two blocks.
@@ -215,7 +218,11 @@ def link_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], paylo
                 yield pa.RecordBatch.from_arrays([pa.array(ids[list(a)]), pa.array(ids[list(b)])], ["a", "b"])
 
     more = scratch.save(units.mapInArrow(run, "a long, b long").distinct())
-    return label if more.isEmpty() else scratch.save(connected_components(links.unionByName(more), scratch))
+    if more.isEmpty():
+        return label
+    # what is connected already goes in as stars
+    stars = label.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return scratch.save(connected_components(stars.unionByName(more), scratch))
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
