@@ -34,8 +34,10 @@ from ndspark.llm.common import WORD, Joined, Scratch, WordHashes, connected_comp
 
 K, BANDS, ROWS, THRESHOLD = 5, 6, 3, 0.8
 MIN_WORDS, RUN_WORDS, LEAST = 50, 40, 6
-#: Sentences end at a line break, after a stop, or before a capital that no capital precedes.
-CUT = re.compile(r"\s*\n\s*|(?<=[.!?])\s+|(?<![A-ZÀ-ÖØ-Þ!])[^\S\n]+(?=[A-ZÀ-ÖØ-Þ])")
+_CAPITAL = "A-ZÀ-ÖØ-Þ"
+#: Sentences end at a line break, after a stop, or before a capital that no capital precedes. The pattern begins
+#: with the white space itself, which the matcher skips to.
+CUT = re.compile(rf"\s(?:(?<=\n)|(?<=[.!?]\s)|(?<![{_CAPITAL}!]\s)(?=[{_CAPITAL}]))\s*")
 
 
 def segments(text: str) -> list[tuple[int, int, bool]]:
