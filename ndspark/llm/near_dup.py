@@ -12,7 +12,7 @@ band just wide enough for the threshold, widened step by step; a link has an edi
 
 Edge cases: null and empty texts, and rows with a null id, have no k-mer and link with nothing;
 texts shorter than k words are one k-mer; equal texts, also repeated rows, are one class, whose
-id is the smallest id in it; an empty table gives an empty result; other columns are ignored;
+id is the smallest id in it; rows that repeat an id with another text are compared by their texts; an empty table gives an empty result; other columns are ignored;
 texts of any length are read whole.
 """
 
@@ -139,7 +139,7 @@ def edit_similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, sketches: int = SKETCHES, picked: int = PICKED) -> DataFrame:
-    """(id, h1, h2, keys): h1 and h2 hash the word sequence, null without words."""
+    """(id, h1, h2, keys): h1 and h2 hash the word sequence, null without words; h1 alone tells texts apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -147,25 +147,31 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
             h1, h2, keys = [], [], []
             for text in batch.column(1):
                 h = cache.of(words_of(text.as_py()))
-                both = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64) if len(h) else (None, None)
-                h1.append(both[0])
-                h2.append(both[1])
+                a, b = _content(h)
+                h1.append(a)
+                h2.append(b)
                 keys.append(order_min_hash(h, k, sketches, picked))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "h1", "h2", "keys"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, h1 long, h2 long, keys array<long>")
 
 
+def _content(h: np.ndarray) -> tuple[int, int] | tuple[None, None]:
+    """128 bits of a word sequence; none without words."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64).tolist()) if len(h) else (None, None)
+
+
 def _tokens(rows: DataFrame) -> DataFrame:
-    """(id, data) from (id, text): 32-bit word hashes, packed."""
+    """(h1, data) from (id, text): 32-bit word hashes, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            packed = [cache.of(words_of(t.as_py())).astype(np.uint32).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "data"])
+            hashes = [cache.of(words_of(t.as_py())) for t in batch.column(1)]
+            packed = [h.astype(np.uint32).tobytes() for h in hashes]
+            yield pa.RecordBatch.from_arrays([pa.array([_content(h)[0] for h in hashes], pa.int64()), pa.array(packed, pa.binary())], ["h1", "data"])
 
-    return rows.mapInArrow(run, "id long, data binary")
+    return rows.mapInArrow(run, "h1 long, data binary")
 
 
 def _aligned(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -186,13 +192,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with Scratch(spark) as scratch:
         rows = scratch.save(sketch(docs, id_col, text_col, k, sketches, picked))
         full = rows.where("h1 is not null and id is not null")
-        classes = scratch.save(full.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n")))
-        keys = scratch.save(classes.select("id", F.explode("keys").alias("key")))
+        # a class is known by the hash of its words, so that rows that repeat an id with another text stay apart
+        classes = scratch.save(full.groupBy("h1").agg(F.min("id").alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n")))
+        keys = scratch.save(classes.select(F.col("h1").alias("id"), F.explode("keys").alias("key")))
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
 
         def words(wanted: DataFrame) -> DataFrame:
-            # a text is read once however many pairs it is in; rows that repeat an id give one of their texts
-            return _tokens(texts.join(sized(scratch.save(wanted)), "id", "left_semi")).dropDuplicates(["id"])
+            # a text is read once however many pairs it is in
+            wanted = scratch.save(wanted.join(classes.select(F.col("h1").alias("id"), "first"), "id"))
+            held = _tokens(texts.join(sized(wanted.select(F.col("first").alias("id")).distinct()), "id", "left_semi"))
+            return held.join(sized(wanted.select(F.col("id").alias("h1"))), "h1", "left_semi").dropDuplicates(["h1"]).select(F.col("h1").alias("id"), "data")
 
         def verify(pairs: DataFrame) -> DataFrame:
             held = scratch.save(words(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()))
@@ -213,9 +222,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return out
 
         linked = link_groups(keys, verify, words, compare, scratch)
-        merged = classes.join(linked, "id", "left").where("n > 1 or component is not null")
-        merged = scratch.save(merged.select("h1", "h2", F.coalesce("component", "id").alias("component")))
-        out = rows.alias("r").join(sized(merged, 1_000_000).alias("m"), F.expr("r.h1 = m.h1 and r.h2 = m.h2"), "left")
+        merged = classes.join(linked.withColumnRenamed("id", "h1"), "h1", "left").where("n > 1 or component is not null")
+        merged = scratch.save(merged.select("h1", "first", F.coalesce("component", "h1").alias("group")))
+        lead = merged.groupBy("group").agg(F.min("first").alias("component"))
+        merged = scratch.save(merged.join(lead, "group").select("h1", "component"))
+        out = rows.alias("r").join(sized(merged, 1_000_000).alias("m"), F.expr("r.h1 = m.h1"), "left")
         component = F.coalesce("component", "id")
         out = out.select("id", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
         return seal(out).withColumnRenamed("id", id_col)
