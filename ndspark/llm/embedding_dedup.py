@@ -9,8 +9,9 @@ the id, and each pair of blocks is a unit of work of bounded size: it yields one
 linked vector (how many vectors it is linked with there, and the smallest it is connected to), so
 no pair list is ever written. A pair that meets in several tables counts in the first of them.
 
-At cosine 0.98 two vectors agree in a sign with probability 0.936; with 14 bits and 24 tables a
-pair at the threshold is missed with probability 5e-6, closer pairs far more rarely.
+At cosine 0.98 two vectors agree in a sign with probability 0.936. The number of bits follows the
+size of the largest label and the number of tables the bits, so that a pair at the threshold is
+missed with probability 1e-5 at most, closer pairs far more rarely.
 
 Edge cases: rows with a null label or id, and vectors that are null, empty, zero or hold null or
 non-finite components, link with nothing; vectors of different lengths are never compared; repeated
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ndspark.llm.common import Scratch, connected_components, groups_of, seal, sized
 
-THRESHOLD, BITS, TABLES, BLOCK = 0.98, 14, 24, 512
+THRESHOLD, LEAST_BITS, MISSED, BLOCK = 0.98, 12, 1e-5, 512
 
 
 def planes(dim: int, n: int, seed: int = 17) -> np.ndarray:
@@ -43,25 +44,36 @@ def signatures(m: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return on @ (np.int64(1) << np.arange(bits, dtype=np.int64))
 
 
+def parameters(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
+    """(bits, tables) for n vectors of one label.
+
+    Bits grow with log2(n), so that unrelated vectors share a bucket about as often at any size; tables
+    follow, so that a pair at the threshold is missed with probability MISSED at most.
+    """
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(2, n))) + 3)
+    met = (1 - math.acos(threshold) / math.pi) ** bits
+    return bits, math.ceil(math.log(MISSED) / math.log(1 - met))
+
+
 def missed(cosine: float, bits: int, tables: int) -> float:
     """Probability that a pair of this cosine meets in no table."""
     return (1 - (1 - math.acos(cosine) / math.pi) ** bits) ** tables
 
 
 def _signed(rows: DataFrame, bits: int, tables: int) -> DataFrame:
-    """(id, n, signs, vec) with packed doubles from (id, n, vec)."""
+    """(id, n, pool, signs, vec) with packed doubles from (id, n, pool, vec)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = [np.array(x, np.float64) for x in batch.column(2).to_pylist()]
+            vectors = [np.array(x, np.float64) for x in batch.column(3).to_pylist()]
             signs: list = [None] * len(vectors)
             for dim in {len(v) for v in vectors}:
                 at = [i for i, v in enumerate(vectors) if len(v) == dim]
                 for i, row in zip(at, signatures(np.stack([vectors[i] for i in at]), bits, tables)):
                     signs[i] = row
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signs, pa.list_(pa.int64())), pa.array([v.tobytes() for v in vectors], pa.binary())], ["id", "n", "signs", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(signs, pa.list_(pa.int64())), pa.array([v.tobytes() for v in vectors], pa.binary())], ["id", "n", "pool", "signs", "vec"])
 
-    return rows.select("id", "n", "vec").mapInArrow(run, "id long, n long, signs array<long>, vec binary")
+    return rows.select("id", "n", "pool", "vec").mapInArrow(run, "id long, n long, pool long, signs array<long>, vec binary")
 
 
 def _compare(ids: np.ndarray, n: np.ndarray, signs: np.ndarray, vectors: np.ndarray, block: np.ndarray, table: int, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,7 +98,7 @@ def _compare(ids: np.ndarray, n: np.ndarray, signs: np.ndarray, vectors: np.ndar
     return ids[has], root[has], links[has]
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, bits: int = BITS, tables: int = TABLES, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, bits: int | None = None, tables: int | None = None, block: int = BLOCK) -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
     spark = vectors.sparkSession
     vec = F.transform(F.col(vec_col), lambda x: x.cast("double"))
@@ -94,13 +106,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     finite = F.forall("vec", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     valid = F.coalesce(finite & F.exists("vec", lambda x: x != 0), F.lit(False)) & F.col("label").isNotNull() & F.col("id").isNotNull()
     rows = rows.withColumn("valid", valid)
-    rows = rows.withColumn("h1", F.when(F.col("valid"), F.xxhash64("label", "vec"))).withColumn("h2", F.when(F.col("valid"), F.xxhash64(F.reverse("vec"), "label")))
+    rows = rows.withColumn("h1", F.when(F.col("valid"), F.xxhash64("label", "vec")))
     with Scratch(spark) as scratch:
-        classes = rows.where("valid").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("vec").alias("vec"))
-        classes = scratch.save(classes)
-        # an id that repeats with another vector stands for several classes: the row number by hash keeps them apart
-        dims = classes.select("id", F.xxhash64("label", F.size("vec")).alias("pool"))
-        signed = scratch.save(_signed(classes, bits, tables).join(dims.dropDuplicates(["id"]), "id"))
+        # a class is known by the hash of its vector, so that rows that repeat an id with another vector stay apart
+        classes = rows.where("valid").groupBy(F.col("h1").alias("id")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("vec").alias("vec"))
+        classes = scratch.save(classes.withColumn("pool", F.xxhash64("label", F.size("vec"))))
+        if bits is None or tables is None:
+            largest = classes.groupBy("pool").count().agg(F.max("count")).first()[0]
+            bits, tables = parameters(largest or 0, threshold)
+        signed = scratch.save(_signed(classes, bits, tables))
         slots = signed.select("id", "n", "signs", "vec", F.posexplode("signs").alias("t", "sign"), "pool").withColumn("bucket", F.xxhash64("pool", "t", "sign"))
         sizes = signed.select("pool", F.posexplode("signs").alias("t", "sign")).groupBy(F.xxhash64("pool", "t", "sign").alias("bucket")).agg(F.count(F.lit(1)).alias("members")).where("members > 1")
         sizes = scratch.save(sizes.select("bucket", F.ceil(F.col("members") / block).cast("int").alias("blocks")))
@@ -130,9 +144,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         found = scratch.save(work.mapInArrow(run, "id long, root long, links long"))
         counts = found.groupBy("id").agg(F.sum("links").alias("links"))
         components = connected_components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
-        merged = classes.select("h1", "h2", "id", "n").join(counts, "id", "left").join(components, "id", "left").where("n > 1 or links is not null")
-        merged = scratch.save(merged.select("h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component")))
-        out = rows.select("id", "h1", "h2").alias("r").join(sized(merged, 1_000_000).alias("m"), F.expr("r.h1 = m.h1 and r.h2 = m.h2"), "left")
+        merged = classes.select("id", "first", "n").join(counts, "id", "left").join(components, "id", "left").where("n > 1 or links is not null")
+        merged = scratch.save(merged.select("id", "first", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("group")))
+        lead = merged.groupBy("group").agg(F.min("first").alias("component"))
+        merged = scratch.save(merged.join(lead, "group").select(F.col("id").alias("h1"), "n_links", "component"))
+        out = rows.select("id", "h1").alias("r").join(sized(merged, 1_000_000).alias("m"), F.expr("r.h1 = m.h1"), "left")
         component = F.coalesce("component", "id")
         out = out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
         return seal(out).withColumnRenamed("id", id_col)
