@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 150_000
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -40,16 +40,31 @@ def _grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+class Logs:
+    """Log frequencies by language of some strings, as rows of one matrix."""
+
+    def __init__(self, counts: dict[str, np.ndarray], most: int, languages: int):
+        total = sum(counts.values(), np.zeros(languages)) + 1.0
+        kept = sorted(counts, key=lambda w: (-counts[w].sum(), w))[:most]
+        self.row = {w: i for i, w in enumerate(kept)}
+        self.matrix = np.array([np.log((counts[w] + 0.5) / (total + 0.5 * len(counts))) for w in kept]).reshape(len(kept), languages)
+
+    def mean(self, strings: list[str]) -> np.ndarray | None:
+        """Of those that are known; None if none is."""
+        rows = [i for s in strings if (i := self.row.get(s)) is not None]
+        return self.matrix[rows].mean(0) if rows else None
+
+
 class BackoffModel:
-    """Log frequencies by language of words and of n-grams of each length."""
+    """Log frequencies of words and of n-grams of each length."""
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: list[dict[str, np.ndarray]]):
+    def __init__(self, languages: list[str], words: Logs, grams: list[Logs]):
         self.languages, self.words, self.grams = languages, words, grams
 
     @classmethod
     def of_counts(cls, languages: list[str], words: dict[str, np.ndarray], max_words: int, max_grams: int, longest: int) -> BackoffModel:
         """words: occurrences in each language, of the sample."""
-        grams: list[dict[str, np.ndarray]] = []
+        grams: list[Logs] = []
         for n in range(1, longest + 1):
             counts: dict[str, np.ndarray] = {}
             for w, c in words.items():
@@ -58,22 +73,16 @@ class BackoffModel:
                         counts[g] = c.copy()
                     else:
                         x += c
-            grams.append(cls._logs(counts, max_grams, len(languages)))
-        return cls(languages, cls._logs({w: c for w, c in words.items() if c.sum() > 1}, max_words, len(languages)), grams)
-
-    @staticmethod
-    def _logs(counts: dict[str, np.ndarray], most: int, n: int) -> dict[str, np.ndarray]:
-        total = sum(counts.values(), np.zeros(n)) + 1.0
-        kept = sorted(counts, key=lambda w: (-counts[w].sum(), w))[:most]
-        return {w: np.log((counts[w] + 0.5) / (total + 0.5 * len(counts))) for w in kept}
+            grams.append(Logs(counts, max_grams, len(languages)))
+        return cls(languages, Logs({w: c for w, c in words.items() if c.sum() > 1}, max_words, len(languages)), grams)
 
     def score(self, word: str) -> np.ndarray:
         """Log likelihoods by language, of an unseen word the mean of its n-grams' of one length."""
-        if (x := self.words.get(word)) is not None:
-            return x
+        if (i := self.words.row.get(word)) is not None:
+            return self.words.matrix[i]
         for n in range(len(self.grams), 0, -1):
-            if found := [x for g in _grams(word, n) if (x := self.grams[n - 1].get(g)) is not None]:
-                return sum(found) / len(found)
+            if (found := self.grams[n - 1].mean(_grams(word, n))) is not None:
+                return found
         return np.zeros(len(self.languages))
 
 
@@ -120,7 +129,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     languages = sorted(sizes)
     if not languages:
-        return BackoffModel([], {}, [])
+        return BackoffModel([], Logs({}, 0, 0), [])
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, docs_per_language / sizes[k])))])[F.col("lang")]
     sample = rows.where((F.pmod("h", F.lit(1 << 30)) / float(1 << 30)) < share)
     at = {k: i for i, k in enumerate(languages)}
