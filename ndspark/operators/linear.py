@@ -146,16 +146,14 @@ class Linear:
         return self._frame(out, [x * y for x, y in zip(a.shape, b.shape)], t)
 
     def cov(self: NDArray, other: NDArray | None = None, ddof: int = 1, fweights: list[int] | None = None, aweights: list[float] | None = None) -> NDArray:
-        """Covariance of the rows (variables) over the columns (observations)."""
+        """Covariance of the rows (variables) over the columns (observations); of one vector a scalar."""
         from ndspark.operators.combine import Combining
         from ndspark.sources.create import array
 
         m = self if self.ndim == 2 else self.expand_dims(0)
         if other is not None:
             m = Combining.concatenate([m, other if other.ndim == 2 else other.expand_dims(0)], 0)
-        if m.dtype.is_complex:
-            raise OperationError("cov is built for real arrays")
-        m = m.cast_to(dt.upcast(m.dtype, dt.DFloat) if m.dtype.is_int else m.dtype)
+        m = m.cast_to(dt.DFloat) if m.dtype.is_int else m
         n = m.shape[1]
         weights = [float(x) for x in (fweights or [1] * n)]
         weights = [w * a for w, a in zip(weights, aweights or [1.0] * n)]
@@ -164,10 +162,12 @@ class Linear:
         factor = total - ddof * (squares / total if aweights else 1)
         if factor <= 0:
             raise OperationError("no degrees of freedom left")
-        if not (fweights or aweights):
+        if fweights or aweights:
+            row = array(self.spark, weights).expand_dims(0)
+            centred = m.sub(m.mul(row).sum(axis=1, keepdims=True).div(total))
+            out = centred.mul(row).gemm(centred.transpose().conj())
+        else:
             centred = m.sub(m.mean(axis=1, keepdims=True))
-            return centred.transpose().gram().div(factor)
-        row = array(self.spark, weights).expand_dims(0)
-        mean = m.mul(row).sum(axis=1, keepdims=True).div(total)
-        centred = m.sub(mean)
-        return centred.mul(row).gemm(centred.transpose()).div(factor)
+            out = centred.gemm(centred.transpose().conj()) if m.dtype.is_complex else centred.transpose().gram()
+        out = out.div(float(factor))
+        return out._squeeze(0)._squeeze(0) if self.ndim == 1 and other is None else out

@@ -121,3 +121,22 @@ def load(spark: SparkSession, path: str) -> NDArray:
     t = dt.of(meta["dtype"])
     df = spark.read.parquet(f"{path}/elements")
     return NDArray(df, [F.col(n) for n in index_names(len(meta["shape"]))], F.col("v"), meta["shape"], t)
+
+
+def to_network(a: NDArray) -> bytes:
+    """Packed in network byte order (big-endian)."""
+    return to_binary(a, swap=True)
+
+
+to_swapped = to_network
+to_host = to_vacs = to_binary
+
+
+def hton(data: bytes, dtype: DType | str) -> bytes:
+    """Little-endian elements in network byte order."""
+    return swap_byte(data, dtype)
+
+
+def is_host_order(_: NDArray) -> bool:
+    """Elements have no byte order until they are packed."""
+    return True

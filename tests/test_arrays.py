@@ -47,7 +47,8 @@ CASES = {
     "NDArray.column_stack([a[0:2], a[0:2]])": [[1, 1], [2, 2]], "b.append(b, 0)": [[1, 2, 3], [5, 7, 11]] * 2, "b.append(b)": [1, 2, 3, 5, 7, 11] * 2, "a.insert(1, 99)": [1, 99, 2, 3, 5, 7, 11], "b.insert([0, 2], 5, axis=1)": [[5, 1, 2, 5, 3], [5, 5, 7, 5, 11]],
     "a.insert(2, [8, 9])": [1, 2, 8, 9, 3, 5, 7, 11], "b.tile(2)": [[1, 2, 3, 1, 2, 3], [5, 7, 11, 5, 7, 11]], "b.repeat(2, 1)": [[1, 1, 2, 2, 3, 3], [5, 5, 7, 7, 11, 11]], "b.repeat([1, 2], 0)": [[1, 2, 3], [5, 7, 11], [5, 7, 11]],
     "array(spark, [1, 10]).kron(array(spark, [5, 6]))": [5, 6, 50, 60], "b.dot(b.transpose())": [[14, 52], [52, 195]], "b.dot(array(spark, [1, 0, 2]))": [7, 27], "array(spark, [1, 2]).dot(b)": [11, 16, 25], "a.dot(a)": 209, "array(spark, [1, 2]).outer(array(spark, [3, 4]))": [[3, 4], [6, 8]],
-    "array(spark, [[3, 1, 2], [2, 5, 8]]).cov()": [[1.0, -1.5], [-1.5, 9.0]], "array(spark, [17, 20, 23]).divmod(array(spark, [5, 6, 7]))[1]": [2, 2, 2], "array(spark, [-7]) / 2": [-3], "array(spark, [-7]) % 2": [-1], "a ** 2": [1, 4, 9, 25, 49, 121], "a ** -1": [0] * 6,
+    "array(spark, [[3, 1, 2], [2, 5, 8]]).cov()": [[1.0, -1.5], [-1.5, 9.0]], "array(spark, [1, 2, 3]).cov()": 1.0, "array(spark, [[1, 2, 3]]).cov(array(spark, [[1j, 2j, 3j]]))": [[1, -1j], [1j, 1]],
+    "array(spark, [[3, 2, 7], [4, 2, 3]]).cov(array(spark, [6, 5, 4])).shape": (3, 3), "array(spark, [17, 20, 23]).divmod(array(spark, [5, 6, 7]))[1]": [2, 2, 2], "array(spark, [-7]) / 2": [-3], "array(spark, [-7]) % 2": [-1], "a ** 2": [1, 4, 9, 25, 49, 121], "a ** -1": [0] * 6,
     "array(spark, [1, -1, 5]).reciprocal()": [1, -1, 0], "-a[0:2]": [-1, -2], "2 - a[0:2]": [1, 0], "array(spark, [5]) & 3": [1], "~array(spark, [5])": [-6], "array(spark, [1]) << 3": [8], "a.clip(2, 5)": [2, 2, 3, 5, 5, 5], "seq(spark, 4, 1).poly(1, 2, 3)": [6, 17, 34, 57],
     "seq(spark, 4).poly()": [0, 1, 2, 3], "a.eq(3)": [False, False, True, False, False, False], "a[0:3] + array(spark, [[1], [2]])": [[2, 3, 4], [3, 4, 5]], "parse(spark, '1 2;3 4')": [[1, 2], [3, 4]], "parse(spark, '1 2\\n\\n3 4')": [[[1, 2]], [[3, 4]]],
     "array(spark, [[1, 2], [3]])": [[1, 2], [3, 0]], "step_range(spark, 1, 4)": [1, 2, 3, 4], "step_range(spark, 1, 4, 2, True)": [1, 3], "step_range(spark, 0.0, 1.0, 0.25)": [0.0, 0.25, 0.5, 0.75, 1.0], "linspace(spark, 0, 1, 3)": [0.0, 0.5, 1.0], "eye(spark, 2, 3, offset=1)": [[0, 1, 0], [0, 0, 1]],
@@ -157,6 +158,14 @@ def test_binary_round_trip(spark, b, tmp_path):
     assert binary.load(spark, str(tmp_path / "x")).same_as(b)
 
 
+def test_weighted_covariance(spark):
+    x, f, w = array(spark, [[3, 1, 2], [2, 5, 8]]), [1, 4, 2], [2, 0.5, 0.25]
+    assert np.allclose(x.cov(ddof=0).to_list(), [[2 / 3, -1], [-1, 6]])
+    assert np.allclose(x.cov(fweights=f).to_list(), [[0.6190476, -0.2857143], [-0.2857143, 4.2857143]])
+    assert np.allclose(x.cov(aweights=w).to_list(), [[1.4230769, -2.6538461], [-2.6538461, 8.6538461]])
+    assert np.allclose(x.cov(fweights=f, aweights=w).to_list(), [[1.1900826, -1.7851240], [-1.7851240, 5.3553719]])
+
+
 def test_random_numbers(spark):
     x, y = Generator(7).rand(spark, 4000), Generator(7).rand(spark, [40, 100])
     assert x.to_list() == y.flatten().to_list() and abs(x.mean().item() - 0.5) < 0.02 and 0 <= x.min().item() and x.max().item() < 1
