@@ -61,27 +61,27 @@ class Combining:
         """Values before the given positions of the original array, in the order given at equal ones."""
         if axis is None and self.ndim != 1:
             return self.flatten().insert(index, values, 0)
-        axis = self._axis(0 if axis is None else axis)
-        n = self.shape[axis]
-        single = isinstance(index, int)
-        many = not single
-        places = [normal_index(i, n + 1) if i >= 0 else normal_index(i, n + 1) for i in ([index] if single else index)]
         from ndspark.array import NDArray
+        from ndspark.sources.create import array
 
-        if single and isinstance(values, NDArray) and values.ndim == self.ndim:
+        axis = self._axis(0 if axis is None else axis)
+        n, single = self.shape[axis], isinstance(index, int)
+        places = [normal_index(i, n + 1) for i in ([index] if single else index)]
+        if not isinstance(values, NDArray):
+            values = array(self.spark, values if isinstance(values, (list, tuple)) else [values])
+            values = values if values.size > 1 else values.reshape(*[1] * self.ndim)
+        if values.ndim < self.ndim:
+            # a single place takes values that lack its axis; several take them along it
+            kept = [k >= self.ndim - values.ndim for k in range(self.ndim)]
+            if single:
+                kept[self.ndim - values.ndim - 1], kept[axis] = True, False
+            sizes = iter(values.shape)
+            values = values.reshape(*[next(sizes) if k else 1 for k in kept])
+        if len(places) == 1:
             places = places * values.shape[axis]
-        elif single and isinstance(values, (list, tuple)):
-            places = places * len(values)
         count = len(places)
         order = sorted(range(count), key=lambda j: (places[j], j))
         final = {j: places[j] + r for r, j in enumerate(order)}
-        if not isinstance(values, NDArray):
-            data = list(values) if isinstance(values, (list, tuple)) else [values]
-            shape = [1] * self.ndim
-            shape[axis] = len(data)
-            from ndspark.sources.create import array
-
-            values = array(self.spark, data).reshape(*shape)
         target = [count if k == axis else m for k, m in enumerate(self.shape)]
         full = self._grid(target)._paired(values.cast_to(self.dtype), lambda a, b, t: (b, self.dtype), upcast=False)
         moved = self.spark.createDataFrame([(j, p) for j, p in final.items()], "j bigint, p bigint")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ndspark import dtypes as dt
-from ndspark.errors import OperationError, ShapeError
+from ndspark.errors import OperationError, ShapeError, ValueRangeError
 from ndspark.functions import elementwise as ew
 
 if TYPE_CHECKING:
@@ -131,8 +131,14 @@ class Linear:
     def inner(self: NDArray, other: NDArray, axis: int = -1) -> NDArray:
         return self.mulsum(other, axis=axis)
 
-    def outer(self: NDArray, other: NDArray) -> NDArray:
-        """Of the last axes; leading axes are kept."""
+    def outer(self: NDArray, other: NDArray, axis: int | None = None) -> NDArray:
+        """Of the last axes, or of the given one; other axes are kept."""
+        if axis is not None:
+            low, high = sorted((self.ndim, other.ndim))
+            k = axis - high if axis >= 0 else axis
+            if not -low <= k < 0:
+                raise ValueRangeError(f"axis {axis} is out of range")
+            return self.expand_dims(k + self.ndim + 1).mul(other.expand_dims(k + other.ndim))
         return self.expand_dims(-1).mul(other.expand_dims(-2 if other.ndim > 1 else 0))
 
     def kron(self: NDArray, other: NDArray) -> NDArray:

@@ -45,8 +45,9 @@ CASES = {
     "array(spark, [[3, 1], [2, 0]]).sort()": [[0, 1], [2, 3]], "array(spark, [[3, 1], [2, 0]]).sort(1)": [[1, 3], [0, 2]], "array(spark, [3, 1, 2, 1]).sort_index()": [1, 3, 2, 0], "a.top(2)": [11, 7],
     "NDArray.concatenate([a, a[0:1]])": [1, 2, 3, 5, 7, 11, 1], "NDArray.vstack([a, a])[1, 5]": 11, "NDArray.hstack([b, b])": [[1, 2, 3, 1, 2, 3], [5, 7, 11, 5, 7, 11]], "NDArray.dstack([a[0:2], a[0:2]])": [[[1, 1], [2, 2]]],
     "NDArray.column_stack([a[0:2], a[0:2]])": [[1, 1], [2, 2]], "b.append(b, 0)": [[1, 2, 3], [5, 7, 11]] * 2, "b.append(b)": [1, 2, 3, 5, 7, 11] * 2, "a.insert(1, 99)": [1, 99, 2, 3, 5, 7, 11], "b.insert([0, 2], 5, axis=1)": [[5, 1, 2, 5, 3], [5, 5, 7, 5, 11]],
+    "b.insert(1, [7, 8, 9], axis=0)": [[1, 2, 3], [7, 8, 9], [5, 7, 11]], "b.insert(1, [7, 8], axis=1)": [[1, 7, 2, 3], [5, 8, 7, 11]], "b.insert([0, 3], [8, 9], axis=1)": [[8, 1, 2, 3, 9], [8, 5, 7, 11, 9]], "b.insert(1, 9)": [1, 9, 2, 3, 5, 7, 11],
     "a.insert(2, [8, 9])": [1, 2, 8, 9, 3, 5, 7, 11], "b.tile(2)": [[1, 2, 3, 1, 2, 3], [5, 7, 11, 5, 7, 11]], "b.repeat(2, 1)": [[1, 1, 2, 2, 3, 3], [5, 5, 7, 7, 11, 11]], "b.repeat([1, 2], 0)": [[1, 2, 3], [5, 7, 11], [5, 7, 11]],
-    "array(spark, [1, 10]).kron(array(spark, [5, 6]))": [5, 6, 50, 60], "b.dot(b.transpose())": [[14, 52], [52, 195]], "b.dot(array(spark, [1, 0, 2]))": [7, 27], "array(spark, [1, 2]).dot(b)": [11, 16, 25], "a.dot(a)": 209, "array(spark, [1, 2]).outer(array(spark, [3, 4]))": [[3, 4], [6, 8]],
+    "array(spark, [1, 10]).kron(array(spark, [5, 6]))": [5, 6, 50, 60], "b.dot(b.transpose())": [[14, 52], [52, 195]], "b.dot(array(spark, [1, 0, 2]))": [7, 27], "array(spark, [1, 2]).dot(b)": [11, 16, 25], "a.dot(a)": 209, "array(spark, [1, 2]).outer(array(spark, [3, 4]))": [[3, 4], [6, 8]], "array(spark, [3, 4]).outer(array(spark, [1, 2]), axis=0)": [[3, 6], [4, 8]],
     "array(spark, [[3, 1, 2], [2, 5, 8]]).cov()": [[1.0, -1.5], [-1.5, 9.0]], "array(spark, [1, 2, 3]).cov()": 1.0, "array(spark, [[1, 2, 3]]).cov(array(spark, [[1j, 2j, 3j]]))": [[1, -1j], [1j, 1]],
     "array(spark, [[3, 2, 7], [4, 2, 3]]).cov(array(spark, [6, 5, 4])).shape": (3, 3), "array(spark, [17, 20, 23]).divmod(array(spark, [5, 6, 7]))[1]": [2, 2, 2], "array(spark, [-7]) / 2": [-3], "array(spark, [-7]) % 2": [-1], "a ** 2": [1, 4, 9, 25, 49, 121], "a ** -1": [0] * 6,
     "array(spark, [1, -1, 5]).reciprocal()": [1, -1, 0], "-a[0:2]": [-1, -2], "2 - a[0:2]": [1, 0], "array(spark, [5]) & 3": [1], "~array(spark, [5])": [-6], "array(spark, [1]) << 3": [8], "a.clip(2, 5)": [2, 2, 3, 5, 5, 5], "seq(spark, 4, 1).poly(1, 2, 3)": [6, 17, 34, 57],
@@ -81,7 +82,7 @@ def test_value(spark, a, b, text):
 
 ERRORS = {
     "b[6]": IndexError, "b[0, 3]": IndexError, "b[:, 0] + a": ShapeError, "a[0:4] + a[0:3]": ShapeError, "b[..., ..., 0]": IndexError, "a[::0]": IndexError, "b.reshape(4, 2)": ShapeError, "b.sum(2)": DimensionError, "b.transpose(0, 0)": DimensionError,
-    "b.item()": CastError, "a.mean()": OperationError, "array(spark, [1j]).max()": OperationError, "array(spark, [1j]).gt(1j)": OperationError, "a.percentile(101)": ValueRangeError, "a.diff(6)": ShapeError, "array(spark, [-1]).bincount()": ValueRangeError,
+    "b.item()": CastError, "a.mean()": OperationError, "array(spark, [1j]).max()": OperationError, "array(spark, [1j]).gt(1j)": OperationError, "a.percentile(101)": ValueRangeError, "a.diff(6)": ShapeError, "a.outer(a, axis=1)": ValueRangeError, "array(spark, [-1]).bincount()": ValueRangeError,
     "a.clip()": ValueRangeError, "a.clip(5, 2)": OperationError, "NDArray.concatenate([a, b])": ShapeError, "a.tile(0)": ValueRangeError, "a.repeat(-1)": ValueRangeError, "b.gemm(b)": ShapeError, "b[a.gt(3)]": ShapeError, "b.mask(a.gt(3))": ShapeError, "parse(spark, '1 + 2 puts')": ValueRangeError,
     "zeros(spark, [1] * 13)": DimensionError, "array(spark, [1, 2]).gt(1).math('sin')": OperationError, "zeros(spark, 0).sum()": ShapeError, "Generator(1).rand(spark, 3, dtype='Int32')": ValueRangeError, "binary.from_binary(spark, b'123', 4)": ShapeError, "array(spark, [1.0]).cov()": (OperationError, ShapeError, ZeroDivisionError),
 }
