@@ -9,7 +9,7 @@ import pytest
 from ndspark.array import NDArray
 from ndspark.errors import CastError, DimensionError, OperationError, ShapeError, ValueRangeError
 from ndspark.operators import nn
-from ndspark.sources import binary, create
+from ndspark.sources import binary
 from ndspark.sources.create import array, eye, full, linspace, ones, parse, seq, step_range, zeros
 from ndspark.sources.random import Generator
 from ndspark.sources.records import RecordType
@@ -245,7 +245,3 @@ def test_batch_norm(spark):
 
     assert gx.to_list()[2][1] == pytest.approx((loss(x + bump) - loss(x - bump)) / (2 * step), rel=1e-4)
     assert np.allclose(nn.fixed_batch_norm(to(x), to(gamma), to(beta), zeros(spark, [1, 3]), ones(spark, [1, 3])).to_list(), x / np.sqrt(1 + 2e-5) * gamma + beta)
-
-
-def test_uses_create():
-    assert create.array_shape([[1], [2, 3]]) == [2, 2]
