@@ -142,8 +142,9 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) for every vertex of ``edges`` (a, b); component is the smallest id reachable.
 
     Alternates large-star and small-star steps until the edges are stars around the smallest ids:
-    no centre is a leaf and no leaf has two centres. Every step is a partial aggregation and a join,
-    so a vertex with very many neighbours is never gathered. Loops (a = b) are ignored; without
+    no centre is a leaf and no leaf has two centres. Every step is a partial aggregation and a join
+    with its written result (broadcast while it is small, else with partitions that Spark can
+    split), so a vertex with very many neighbours is never gathered. Loops (a = b) are ignored; without
     edges there are no rows.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -151,11 +152,11 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while not current.isEmpty():
         # large-star: the larger neighbours of each vertex move to its smallest one
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = scratch.save(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = scratch.save(both.where("v > u").join(sized(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small-star: the smaller neighbours of each vertex, and itself, move to the smallest
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        low = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")))
+        joined = large.join(sized(low), "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
         following = scratch.save(small.distinct())
         scratch.drop(large)
@@ -170,7 +171,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 #: Members of a block when a group is compared pair by pair; a unit of work holds two blocks.
-BLOCK = 256
+BLOCK = 128
 
 
 def link_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], compare: Callable[[list, np.ndarray, np.ndarray], list[tuple[int, int]]], scratch: Scratch, block: int = BLOCK) -> DataFrame:
