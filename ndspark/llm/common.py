@@ -7,6 +7,7 @@ set here only in local mode and only where the session has none.
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -39,6 +40,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Rows and bytes of an Arrow batch while operators run their own jobs: batches are held outside the heap and in Python.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Smaller Arrow batches for the jobs of this block; the session's settings are put back after it."""
+    before = {k: spark.conf.get(k, None) for k in SMALL_BATCHES}
+    for k, v in SMALL_BATCHES.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 class Scratch:
     """Written intermediate tables, removed when the block ends.
 
@@ -48,11 +69,14 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        self.batches = small_batches(spark)
 
     def __enter__(self) -> Scratch:
+        self.batches.__enter__()
         return self
 
-    def __exit__(self, *_: object) -> None:
+    def __exit__(self, *failure: object) -> None:
+        self.batches.__exit__(*failure)
         self.drop(self.root)
 
     def save(self, df: DataFrame) -> DataFrame:

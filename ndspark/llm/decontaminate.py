@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ndspark.llm.common import WordHashes, mix, seal, shingles, sized, words_of
+from ndspark.llm.common import WordHashes, mix, seal, shingles, sized, small_batches, words_of
 
 K, THRESHOLD, RADIUS, BLOCK_ITEMS = 5, 0.8, 7, 500
 #: Words whose bit counts are held at a time, and documents read as one sequence.
@@ -172,7 +172,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     columns = [pa.array([x[k] for x in got], t) for k, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()))]
                     yield pa.RecordBatch.from_arrays([ids, *columns], ["id", "item_id", "similarity", "start_word"])
 
-        part = seal(rows.mapInArrow(run, "id long, item_id long, similarity double, start_word long"))
+        with small_batches(spark):
+            part = seal(rows.mapInArrow(run, "id long, item_id long, similarity double, start_word long"))
         found = part if found is None else found.unionByName(part)
     best = found.groupBy("id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start_word")).alias("back"))).alias("m"))
     return best.select(F.col("id").alias(id_col), "item_id", F.col("m.similarity").alias("similarity"), (-F.col("m.back")).alias("start_word"))

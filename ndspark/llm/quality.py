@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ndspark.llm.common import seal, sized
+from ndspark.llm.common import seal, sized, small_batches
 
 SAMPLE_ROWS = 20_000
 #: Words of the sample kept for learning a lexicon, and how far beyond chance (log) one must be to enter it.
@@ -228,8 +228,9 @@ def with_priors(scored: DataFrame, logit_col: str, prior: float, out: str) -> Da
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", path_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(id, p_quality, p_toxic, accepted) of every row; rejected are documents of low quality and toxic ones."""
-    heads = fit(docs, labels, ("quality", "toxic"), id_col, text_col, sample_rows)
-    scored = seal(evidence(docs, heads, id_col, text_col, site_col, path_col))
+    with small_batches(docs.sparkSession):
+        heads = fit(docs, labels, ("quality", "toxic"), id_col, text_col, sample_rows)
+        scored = seal(evidence(docs, heads, id_col, text_col, site_col, path_col))
     scored = with_priors(scored, "logit_quality", heads["quality"].prior, "p_quality")
     scored = with_priors(scored, "logit_toxic", heads["toxic"].prior, "p_toxic")
     known = [len(heads[c].weights) > 0 for c in ("quality", "toxic")]
