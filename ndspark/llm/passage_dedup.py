@@ -1,17 +1,22 @@
 """Substring deduplication: paragraph MinHash banding.
 
-Paragraphs. A line of at least ``min_words`` words is a paragraph. Its MinHash (over runs of five
-words) is banded for high recall (6 bands of 3: at similarity 0.8 a pair is missed with
+Paragraphs. A line of at least ``min_words`` words is a paragraph, and so is a run of shorter lines
+without a blank one between them (hard-wrapped text) that has as many together. Its MinHash (over
+runs of five words) is banded for high recall (6 bands of 3: at similarity 0.8 a pair is missed with
 probability 0.013, at 0.9 with 0.0004); paragraphs that collide are joined, verified by exact
 Jaccard similarity of at least ``threshold``, and linked into components.
 
 Passages inside paragraphs. A passage that was pasted into other text is no paragraph of its own.
-Lines are therefore also cut into sentences, which are banded by one band, their whole hash, and
-so verify by equality. A run of repeated sentences (shorter ones between them included) of at
-least ``run_words`` words is a repeated passage; it may span lines.
+Texts are therefore also compared as sequences of words, whatever their lines and sentences. Of each
+11 consecutive runs of ten words the one with the least hash is a seed, so any 20 equal words share
+one. A document is aligned with the first document of each of its seeds, and of the ``run_words``
+words from each seed on. What goes is a run of at least ``run_words`` words that the other document
+holds word by word, or one made of exact runs of at least 20 words in the same order with edits
+between them: each edit, with 20 words on both sides, and all of the run, at an edit similarity of at
+least ``threshold``. Nothing else goes; a whole sentence of under six words at an end of a run stays.
 
-Of each component, and of each repeated sentence, the copies in the document with the smallest id
-stay and those in other documents are removed. Repeats within one document are left alone.
+Of each component, and of each passage, the copies in the document with the smallest id stay and
+those in other documents are removed. Repeats within one document are left alone.
 
 Edge cases: null and empty texts, and rows with a null id, share nothing and are left as they are;
 rows that repeat an id are one document; an empty table gives an empty result; other columns are
@@ -21,6 +26,7 @@ passed through; texts of any length are read whole.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,48 +37,140 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ndspark.llm.common import WORD, Joined, Scratch, WordHashes, connected_components, jaccard, link_groups, mix, overlaps, seal, seeds, shingles, sized
+from ndspark.llm.near_dup import edit_distance
 
 K, BANDS, ROWS, THRESHOLD = 5, 6, 3, 0.8
 MIN_WORDS, RUN_WORDS, LEAST = 50, 40, 6
-_CAPITAL = "A-ZÀ-ÖØ-Þ"
-#: Sentences end at a line break, after a stop, or before a capital that no capital precedes. The pattern begins
-#: with the white space itself, which the matcher skips to.
-CUT = re.compile(rf"\s(?:(?<=\n)|(?<=[.!?]\s)|(?<![{_CAPITAL}!]\s)(?=[{_CAPITAL}]))\s*")
-
-
-def segments(text: str) -> list[tuple[int, int, bool]]:
-    """(start, end, first of a line) of the sentences of a text."""
-    out, at, fresh = [], 0, True
-    for m in CUT.finditer(text):
-        if m.start() > at:
-            out.append((at, m.start(), fresh))
-            fresh = False
-        fresh = fresh or "\n" in m[0]
-        at = m.end()
-    if at < len(text):
-        out.append((at, len(text), fresh))
+#: Words of a seed, seeds of which the least is picked, and the words of an exact run in which one is sure to be picked.
+SEED, PICK = 10, 11
+EXACT = SEED + PICK - 1
+#: Where a sentence ends: white space after a stop, or with a line break if no lower-case letter follows.
+STOP = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
+_TAIL, _HEAD = re.compile(r"[^\w\s]*(?!\S)"), re.compile(r"(?<!\S)[^\w\s]*\Z")
+
+
+def words(text: str) -> list[str]:
+    """Lower-cased words, as many as WORD finds in the text itself."""
+    low = text.lower()
+    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
+
+
+def paragraphs_of(text: str, min_words: int = MIN_WORDS) -> tuple[list[str], list[tuple[int, int, int, int]]]:
+    """All words, and the paragraphs: (start, end) in the text and among the words."""
+    out, found, at = [], [], 0
+    held: list[int] | None = None
+    for line in [*text.split("\n"), ""]:
+        w = words(line)
+        unit = [at, at + len(line), len(out), len(out) + len(w)]
+        if held and (not w or len(w) >= min_words):
+            if held[3] - held[2] >= min_words:
+                found.append(tuple(held))
+            held = None
+        if len(w) >= min_words:
+            found.append(tuple(unit))
+        elif w:
+            held = [held[0], unit[1], held[2], unit[3]] if held else unit
+        out.extend(w)
+        at += len(line) + 1
+    return out, found
+
+
+def _hash(h: np.ndarray) -> int:
+    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes()))))
+
+
+_ODD = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, np.uint64)] * 2
+
+
+def _sums(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of the hashes times powers of an odd number, and the inverse powers."""
+    if len(_POWERS[0]) < len(h):
+        for i, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
+            x = np.full(2 * len(h), base, np.uint64)
+            x[0] = 1
+            _POWERS[i] = np.multiply.accumulate(x)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _POWERS[0][: len(h)])]), _POWERS[1]
+
+
+def picked(h: np.ndarray, run_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (int64) of a text's seeds, and of the ``run_words`` words from each on (0 where the text ends before); no more than two of the same."""
+    if len(h) < max(run_words, EXACT):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sums, inverse = _sums(h)
+    n = len(h) - SEED + 1
+    g = mix((sums[SEED:] - sums[:n]) * inverse[:n])
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(g, PICK).argmin(1) + np.arange(n - PICK + 1))
+    long = np.zeros(len(at), np.uint64)
+    fit = at[at + run_words <= len(h)]
+    long[: len(fit)] = mix((sums[fit + run_words] - sums[fit]) * inverse[fit] + np.uint64(run_words))
+    seed = g[at]
+    _, first, times = np.unique(mix(seed ^ mix(long + np.uint64(1))), return_index=True, return_counts=True)
+    keep = np.sort(np.repeat(first, np.minimum(times, 2)))
+    return seed[keep].view(np.int64), long[keep].view(np.int64)
+
+
+def _runs(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
+    """Exact runs of at least EXACT words: (start, end) in x, (start, end) in y, in the order of x."""
+    gx, gy = shingles(x, EXACT), shingles(y, EXACT)
+    known, first = np.unique(gy, return_index=True)
+    slot = np.minimum(np.searchsorted(known, gx), len(known) - 1)
+    p = np.flatnonzero(known[slot] == gx)
+    q = first[slot[p]]
+    if len(known) < len(gy):
+        # where words occur several times in y: go on from the last place, or else to the next one after it
+        order = np.argsort(gy, kind="stable")
+        low, high = np.searchsorted(gy[order], gx[p], "left"), np.searchsorted(gy[order], gx[p], "right")
+        last = -1
+        for i in range(len(p)):
+            if high[i] - low[i] > 1:
+                places = order[low[i] : high[i]]
+                after = int(np.searchsorted(places, last + 1))
+                q[i] = places[after] if after < len(places) else places[0]
+            last = int(q[i])
+    if not len(p):
+        return []
+    cuts = [0, *(np.flatnonzero((np.diff(p) != 1) | (np.diff(q) != 1)) + 1).tolist(), len(p)]
+    return [[int(p[a]), int(p[b - 1]) + EXACT, int(q[a]), int(q[b - 1]) + EXACT] for a, b in zip(cuts, cuts[1:])]
+
+
+def shared_runs(x: np.ndarray, y: np.ndarray, run_words: int = RUN_WORDS, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """(start, end) of the words of x that are a passage which y holds too."""
+    if min(len(x), len(y)) < max(run_words, EXACT):
+        return []
+    exact = np.flatnonzero(np.isin(shingles(x, run_words), shingles(y, run_words)))
+    out = [(int(a), int(a) + run_words) for a in exact]
+    chain: list[int] = []
+    edits = 0
+    for run in [*_runs(x, y), None]:
+        if chain and run:
+            over = max(0, chain[1] - run[0], chain[3] - run[2])
+            a, b, c, d = run[0] + over, run[1], run[2] + over, run[3]
+            if a < b:
+                gap = max(a - chain[1], c - chain[3])
+                # an edit may take as much of itself and 20 words on both sides as the threshold leaves
+                most = int((1 - threshold) * (gap + 2 * EXACT) + 1e-9)
+                more = edit_distance(x[chain[1] : a], y[chain[3] : c], most)
+                if more <= most and edits + more <= (1 - threshold) * max(b - chain[0], d - chain[2]) + 1e-9:
+                    chain, edits = [chain[0], b, chain[2], d], edits + more
+                    continue
+        if chain and chain[1] - chain[0] >= run_words:
+            out.append((chain[0], chain[1]))
+        if run:
+            chain, edits = run, 0
+    return _merged(out)
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
-def _hash(words: list[str]) -> int:
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")))))
-
-
-def pieces(text: str) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, list[str]]]]:
-    """Sentences (start, end, words, hash or 0 if they are short) and lines (first sentence, last + 1, words)."""
-    found, lines, words, began = [], [], [], 0
-    for start, end, fresh in segments(text):
-        w = WORD.findall(text[start:end].lower())
-        if fresh and found:
-            lines.append((began, len(found), words))
-            words, began = [], len(found)
-        found.append((start, end, len(w), _hash(w) if len(w) >= LEAST else 0))
-        words.extend(w)
-    if found:
-        lines.append((began, len(found), words))
-    return found, lines
-
-
 def min_hash(h: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """A key (int64) for each band."""
     g = shingles(h, K)
@@ -90,21 +188,24 @@ def min_hash(h: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     return acc.view(np.int64)
 
 
-def _units(docs: DataFrame, bands: int, rows: int, min_words: int) -> DataFrame:
-    """(id, sentences, paragraphs): hashes of the longer sentences; hash and band keys of each paragraph."""
+def _units(docs: DataFrame, bands: int, rows: int, min_words: int, run_words: int) -> DataFrame:
+    """(id, seeds, runs, paragraphs): hashes of the seeds and of what follows them; hash and band keys of each paragraph."""
     kind = pa.list_(pa.struct([("hash", pa.int64()), ("keys", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            sentences, paragraphs = [], []
+            first, runs, paragraphs = [], [], []
             for text in batch.column(1):
-                found, lines = pieces(text.as_py())
-                sentences.append([h for *_, h in found if h])
-                paragraphs.append([{"hash": _hash(w), "keys": min_hash(cache.of(w), bands, rows)} for _, _, w in lines if len(w) >= min_words])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sentences, pa.list_(pa.int64())), pa.array(paragraphs, kind)], ["id", "sentences", "paragraphs"])
+                w, found = paragraphs_of(text.as_py(), min_words)
+                h = cache.of(w)
+                a, b = picked(h, run_words)
+                first.append(a)
+                runs.append(b)
+                paragraphs.append([{"hash": _hash(h[a:b]), "keys": min_hash(h[a:b], bands, rows)} for _, _, a, b in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first, pa.list_(pa.int64())), pa.array(runs, pa.list_(pa.int64())), pa.array(paragraphs, kind)], ["id", "seeds", "runs", "paragraphs"])
 
-    return docs.mapInArrow(run, "id long, sentences array<long>, paragraphs array<struct<hash: long, keys: array<long>>>")
+    return docs.mapInArrow(run, "id long, seeds array<long>, runs array<long>, paragraphs array<struct<hash: long, keys: array<long>>>")
 
 
 def _paragraph_words(docs: DataFrame, min_words: int) -> DataFrame:
@@ -116,14 +217,43 @@ def _paragraph_words(docs: DataFrame, min_words: int) -> DataFrame:
             out: dict[int, bytes] = {}
             for text, wanted in zip(batch.column(1), batch.column(2)):
                 some = set(wanted.as_py())
-                for _, _, w in pieces(text.as_py())[1]:
-                    if len(w) >= min_words and (h := _hash(w)) in some:
-                        out[h] = np.unique(shingles(cache.of(w), K)).tobytes()
+                w, found = paragraphs_of(text.as_py(), min_words)
+                h = cache.of(w)
+                for _, _, a, b in found:
+                    if (key := _hash(h[a:b])) in some:
+                        out[key] = np.unique(shingles(h[a:b], K)).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], ["hash", "shingles"])
 
     return docs.mapInArrow(run, "hash long, shingles binary")
 
 
+def _tokens(docs: DataFrame) -> DataFrame:
+    """(id, data) from (id, text): 32-bit word hashes, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for batch in batches:
+            packed = [cache.of(words(t.as_py())).astype(np.uint32).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "data"])
+
+    return docs.mapInArrow(run, "id long, data binary")
+
+
+def _aligned(pairs: DataFrame, run_words: int, threshold: float) -> DataFrame:
+    """(id, first, a, b) from (id, first, x, y): the words a to b of x are held by y."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, int, int]] = []
+            for doc, first, *both in zip(*(batch.column(i) for i in range(4))):
+                x, y = (np.frombuffer(t.as_buffer(), np.uint32).astype(np.uint64) for t in both)
+                out.extend((doc.as_py(), first.as_py(), a, b) for a, b in shared_runs(x, y, run_words, threshold))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kinds[i]) for i in range(4)], ["id", "first", "a", "b"])
+
+    return pairs.mapInArrow(run, "id long, first long, a int, b int")
+
+
 def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,41 +263,46 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def repeated_spans(text: str, sentences: set[int], paragraphs: set[int], min_words: int = MIN_WORDS, run_words: int = RUN_WORDS) -> list[tuple[int, int, int, list[int]]]:
-    """(start, end, words, hashes) of the spans to remove, given the hashes that earlier documents hold."""
-    found, lines = pieces(text)
-    drop = [False] * len(found)
-    why: list[int] = [0] * len(found)
-    for a, b, w in lines:
-        if paragraphs and len(w) >= min_words and (h := _hash(w)) in paragraphs:
-            for i in range(a, b):
-                drop[i], why[i] = True, h
-    i = 0
-    while sentences and i < len(found):
-        if found[i][3] in sentences and found[i][3]:
-            last, n, j = i, found[i][2], i + 1
-            between = 0
-            while j < len(found) and (found[j][3] in sentences or not found[j][3]):
-                between += found[j][2]
-                if found[j][3]:
-                    last, n, between = j, n + between, 0
-                j += 1
-            if n >= run_words:
-                for k in range(i, last + 1):
-                    drop[k], why[k] = True, why[k] or found[k][3]
-            i = j
+def _ends(text: str, at: list[tuple[int, int]], a: int, b: int) -> tuple[int, int]:
+    """The words a to b without a whole sentence of under LEAST words at either end."""
+
+    def stop(i: int) -> bool:
+        """Whether a sentence begins at word i."""
+        if i in (0, len(at)):
+            return True
+        m = STOP.search(text[at[i - 1][1] : at[i][0]])
+        return bool(m) and (m.start() > 0 and m.string[m.start() - 1] in ".!?" or not text[at[i][0]].islower())
+
+    if stop(a):
+        a = next((i for i in range(a + 1, min(a + LEAST, b)) if stop(i)), a)
+    if stop(b):
+        b = next((i for i in range(b - 1, max(b - LEAST, a), -1) if stop(i)), b)
+    return a, b
+
+
+def repeated_spans(text: str, runs: list[tuple[int, int]], paragraphs: set[int], min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
+    """(start, end, words) of the spans to remove, given the runs of words and the hashes of paragraphs that earlier documents hold."""
+    at = [m.span() for m in WORD.finditer(text)]
+    spans = []
+    for a, b in _merged(runs):
+        a, b = _ends(text, at, a, b)
+        start, end = at[a][0], at[b - 1][1]
+        # signs that touch the first and the last word go with them
+        before = _HEAD.search(text, at[a - 1][1] if a else 0, start)
+        after = _TAIL.match(text, end, at[b][0] if b < len(at) else len(text))
+        spans.append((before.start() if before else start, after.end() if after else end))
+    if paragraphs:
+        w, found = paragraphs_of(text, min_words)
+        h = WordHashes().of(w)
+        spans.extend((start, end) for start, end, a, b in found if _hash(h[a:b]) in paragraphs)
+    out: list[tuple[int, int]] = []
+    for start, end in _merged(spans):
+        if out and not text[out[-1][1] : start].strip():
+            out[-1] = (out[-1][0], end)
         else:
-            i += 1
-    spans, k = [], 0
-    while k < len(found):
-        if drop[k]:
-            j = k
-            while j + 1 < len(found) and drop[j + 1]:
-                j += 1
-            spans.append((found[k][0], found[j][1], sum(x[2] for x in found[k : j + 1]), [x for x in why[k : j + 1] if x]))
-            k = j
-        k += 1
-    return spans
+            out.append((start, end))
+    starts = [x for x, _ in at]
+    return [(start, end, bisect_left(starts, end) - bisect_left(starts, start)) for start, end in out]
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -188,13 +323,23 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     with Scratch(spark) as scratch:
-        units = scratch.save(_units(texts, bands, rows, min_words))
-        # sentences: the first document of each that occurs in several
-        sentences = units.select("id", F.explode("sentences").alias("hash"))
-        shared = sentences.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("hash", "first")
+        units = scratch.save(_units(texts, bands, rows, min_words, run_words))
+        # passages: the first document of each seed that occurs in several, and of each run of words from one on
+        seeded = units.select("id", F.explode(F.arrays_zip("seeds", "runs")).alias("s")).select("id", F.col("s.seeds").alias("seed"), F.col("s.runs").alias("run"))
+        shared = seeded.groupBy("seed").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("seed", "first")
         shared = scratch.save(shared)
-        later = sentences.join(sized(shared, 1_000_000), "hash").where("id > first")
-        marks = later.select("id", F.lit(0).alias("kind"), "hash", "first")
+        held = scratch.save(seeded.join(sized(shared, 1_000_000), "seed").select("id", "run", "first"))
+        # a passage with an edit, and one without, have two seeds at least
+        pairs = held.where("id > first").groupBy("id", "first").count().where("count > 1").select("id", "first")
+        verbatim = held.where("run <> 0").groupBy("run").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("run", "lead")
+        verbatim = scratch.save(verbatim)
+        pairs = pairs.union(held.join(sized(verbatim, 1_000_000), "run").where("id > lead").select("id", "lead"))
+        pairs = scratch.save(pairs.distinct())
+        wanted = scratch.save(pairs.select("id").union(pairs.select("first")).distinct())
+        tokens = scratch.save(_tokens(texts.join(sized(wanted), "id", "left_semi")))
+        both = pairs.join(tokens.withColumnRenamed("data", "x"), "id").join(tokens.select(F.col("id").alias("first"), F.col("data").alias("y")), "first")
+        runs = _aligned(both.select("id", "first", "x", "y"), run_words, threshold)
+        marks = runs.select("id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("hash"), "first", "a", "b")
         # paragraphs: equal ones are one class; classes that collide in a band are compared
         paragraphs = scratch.save(units.select("id", F.explode("paragraphs").alias("p")).select("id", "p.hash", "p.keys"))
         classes = scratch.save(paragraphs.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.first("keys").alias("keys")))
@@ -223,9 +368,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
         lead = merged.groupBy("component").agg(F.min("first").alias("lead"))
         known = scratch.save(merged.join(lead, "component").select("hash", "lead"))
         more = paragraphs.select("id", "hash").join(sized(known, 1_000_000), "hash").where("id > lead")
-        marks = marks.unionByName(more.select("id", F.lit(1).alias("kind"), "hash", F.col("lead").alias("first")))
+        marks = marks.unionByName(more.select("id", F.lit(1).alias("kind"), "hash", F.col("lead").alias("first"), F.lit(0).alias("a"), F.lit(0).alias("b")))
         # of one document: what it repeats and from where
-        marks = marks.groupBy("id").agg(F.collect_set(F.struct("kind", "hash", "first")).alias("marks"))
+        marks = marks.groupBy("id").agg(F.collect_set(F.struct("kind", "hash", "first", "a", "b")).alias("marks"))
         marks = scratch.save(marks)
         touched = texts.join(sized(marks), "id").select("id", "text", "marks")
 
@@ -234,13 +379,12 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
                 ids, spans, lenders = [], [], []
                 for doc, text, found in zip(*(batch.column(i) for i in range(3))):
                     found = found.as_py()
-                    by_kind = [{x["hash"] for x in found if x["kind"] == k} for k in (0, 1)]
-                    got = repeated_spans(text.as_py(), *by_kind, min_words, run_words)
+                    runs = [(x["a"], x["b"]) for x in found if not x["kind"]]
+                    got = repeated_spans(text.as_py(), runs, {x["hash"] for x in found if x["kind"]}, min_words)
                     if got:
-                        used = {h for *_, why in got for h in why}
                         ids.append(doc.as_py())
-                        spans.append([{"start": a, "end": b, "words": n} for a, b, n, _ in got])
-                        lenders.append(sorted({x["first"] for x in found if x["hash"] in used}))
+                        spans.append([{"start": a, "end": b, "words": n} for a, b, n in got])
+                        lenders.append(sorted({x["first"] for x in found}))
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, kind), pa.array(lenders, pa.list_(pa.int64()))], ["id", "spans", "lenders"])
 

@@ -439,6 +439,15 @@ def test_short_repeats_stay(spark):
     assert removals.count() == 0
 
 
+def test_nothing_unverified_goes(spark):
+    """What lies between repeated stock lines stays, and stock from different documents makes no passage."""
+    header, footer, *stock = (" ".join(random.Random(700 + i).choices(WORDS, k=25)).capitalize() + "." for i in range(4))
+    body = "\n".join(" ".join(random.Random(800 + i).choices(WORDS, k=4)).capitalize() + "." for i in range(12))
+    texts = [f"{header}\n{prose(1, 60)}\n{footer}", f"{header}\n{body}\n{footer}", f"{stock[0]} {prose(2, 60)}", f"{stock[1]} {prose(3, 60)}", f"{prose(4, 60)} {stock[0]} {stock[1]} {prose(5, 60)}"]
+    removals, _ = passage_dedup.repeated(table(spark, texts))
+    assert removals.count() == 0
+
+
 def test_passages_of_nothing(spark):
     docs = table(spark, []).limit(0)
     removals, components = passage_dedup.repeated(docs)
