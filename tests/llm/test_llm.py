@@ -448,6 +448,20 @@ def test_nothing_unverified_goes(spark):
     assert removals.count() == 0
 
 
+GERMAN = "Der Bundestag hat am Donnerstag über den Haushalt der Regierung beraten, und die Opposition warf dem Minister vor, die Lage der Gemeinden im Osten des Landes zu verkennen. Nach Angaben des Ministeriums fehlen den Städten und Kreisen in diesem Jahr rund sechs Milliarden Euro, vor allem für Schulen, Straßen und Krankenhäuser. Der Minister kündigte Gespräche mit den Ländern an, nannte aber keinen Termin und keine Summe für die Hilfe des Bundes."
+SHORT = " ".join(" ".join(random.Random(500 + i).choices(WORDS, k=4)).capitalize() + "." for i in range(15))
+
+
+@pytest.mark.parametrize("passage", [GERMAN, SHORT, GERMAN.title(), " ".join(random.Random(600).choices(WORDS, k=60))])
+def test_passages_whatever_their_sentences(spark, passage):
+    """Capital nouns, short sentences, title case and one long sentence, pasted into paragraphs that differ."""
+    texts = [f"{prose(10 + i, 70)} {passage} {prose(20 + i, 70)}" for i in range(3)]
+    docs = table(spark, texts)
+    out = by_id(passage_dedup.remove(docs, passage_dedup.repeated(docs)[0]))
+    assert [passage in out[i]["text"] for i in range(3)] == [True, False, False]
+    assert out[0]["text"] == texts[0] and all(len(words_of(out[i]["text"])) in range(135, 147) for i in (1, 2))
+
+
 def test_passages_of_nothing(spark):
     docs = table(spark, []).limit(0)
     removals, components = passage_dedup.repeated(docs)
