@@ -461,6 +461,39 @@ def test_passages_whatever_their_sentences(spark, passage):
     assert [passage in out[i]["text"] for i in range(3)] == [True, False, False]
     assert out[0]["text"] == texts[0] and all(len(words_of(out[i]["text"])) in range(135, 147) for i in (1, 2))
 
+def test_an_edited_sentence_is_bridged(spark):
+    words = random.Random(610).choices(WORDS, k=60)
+    changed = [*words[:30], "elsewise", *words[31:]]
+    texts = [f"{prose(30 + i, 70)} {' '.join(w)} {prose(40 + i, 70)}" for i, w in enumerate((words, changed))]
+    docs = table(spark, texts)
+    out = by_id(passage_dedup.remove(docs, passage_dedup.repeated(docs)[0]))
+    assert "elsewise" not in out[1]["text"] and len(words_of(out[1]["text"])) in range(138, 141) and out[0]["text"] == texts[0]
+
+
+def test_edits_are_bridged_only_where_the_rest_agrees():
+    h = WordHashes().of([f"w{i}" for i in range(400)])
+    x, y, other = h[:100], h[100:200], h[200:]
+    assert passage_dedup.shared_runs(np.concatenate([x[:30], other[:9], x[30:60]]), x) == [(0, 69)]
+    assert passage_dedup.shared_runs(np.concatenate([x[:30], other[:20], x[30:60]]), x) == []
+    assert passage_dedup.shared_runs(np.concatenate([x[30:60], x[:30]]), x) == []
+    assert passage_dedup.shared_runs(np.concatenate([x[:30], y[:30]]), np.concatenate([x[:30], other[:9], y[:30]])) == [(0, 60)]
+    assert passage_dedup.shared_runs(np.concatenate([y[:5], x[:41], y[5:]]), x) == [(5, 46)]
+    assert passage_dedup.shared_runs(np.repeat(x[:1], 5000), np.repeat(x[:1], 3000)) == [(0, 5000)]
+
+
+def test_wrapped_paragraphs_with_edits(spark):
+    import textwrap
+
+    para = prose(620, 90)
+    copy = edited(para, 15)
+    texts = [f"{prose(50, 20)}\n\n{textwrap.fill(para, 70)}\n\n{prose(51, 20)}", f"{prose(52, 20)}\n\n{textwrap.fill(copy, 45)}\n\n{prose(53, 20)}"]
+    x, y = (set(shingles(WordHashes().of(words_of(t))).tolist()) for t in (para, edited(para, 45)))
+    texts.append(f"{prose(54, 20)}\n\n{textwrap.fill(edited(para, 45), 30)}\n\n{prose(55, 20)}")
+    assert len(x & y) / len(x | y) >= 0.8
+    docs = table(spark, texts)
+    out = by_id(passage_dedup.remove(docs, passage_dedup.repeated(docs)[0]))
+    assert out[0]["text"] == texts[0] and out[2]["text"] == f"{prose(54, 20)}\n{prose(55, 20)}"
+
 
 def test_passages_of_nothing(spark):
     docs = table(spark, []).limit(0)
