@@ -150,6 +150,37 @@ def shingles(h: np.ndarray, k: int = 5) -> np.ndarray:
     return mix(acc)
 
 
+_ODD = int(_STEP)
+_POWERS = [np.ones(1, np.uint64)] * 2
+
+
+def windows(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of ``k`` words, from running sums: the cost does not depend on ``k``; none if there are fewer words."""
+    n = len(h) - k + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    if len(_POWERS[0]) < len(h):
+        for i, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
+            x = np.full(2 * len(h), base, np.uint64)
+            x[0] = 1
+            _POWERS[i] = np.multiply.accumulate(x)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _POWERS[0][: len(h)])])
+    return mix((sums[k:] - sums[:n]) * _POWERS[1][:n] + np.uint64(k))
+
+
+def numbered(x: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """How often each element occurred before in its owner's sequence."""
+    if not len(x):
+        return np.zeros(0, np.int64)
+    order = np.lexsort((x, owner))
+    s, w = x[order], owner[order]
+    first = np.concatenate([[True], (s[1:] != s[:-1]) | (w[1:] != w[:-1])])
+    at = np.arange(len(s))
+    out = np.empty(len(s), np.int64)
+    out[order] = at - np.maximum.accumulate(np.where(first, at, 0))
+    return out
+
+
 def seeds(n: int, salt: int) -> np.ndarray:
     """``n`` fixed odd multipliers."""
     return mix(np.arange(1, n + 1, dtype=np.uint64) * _STEP + np.uint64(salt)) | np.uint64(1)
@@ -196,58 +227,156 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 #: Members of a block when a group is compared pair by pair; a unit of work holds two blocks.
 BLOCK = 128
+#: The same where only signatures are compared, and bits of a signature.
+SIGN_BLOCK, SIGN_BITS = 512, 2048
+#: Members of a bucket that others are compared with in turn, before all are compared.
+ROUNDS = 2
+
+
+def signatures(elements: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
+    """Bits (owners x SIGN_BITS, packed) on which the elements of each owner's set fall.
+
+    A bit that only x has stands for at least one element that y lacks, so bits bound differences from below.
+    """
+    bits = np.zeros((owners, SIGN_BITS), bool)
+    bits[owner, (elements >> np.uint64(64 - SIGN_BITS.bit_length() + 1)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1)
+
+
+def _units(left: DataFrame, columns: DataFrame, run: Callable[[pa.Table], pa.RecordBatch | None], schema: str, block: int) -> DataFrame:
+    """``run`` over units of two blocks of about ``block`` members of each group of ``left`` (key, id, component); columns: (id, ...) joined to it."""
+    sizes = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    own = left.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    units = own.select(unit.alias("unit"), "key", "own", "id", "component").join(columns, "id")
+    width = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    units = units.repartition(width, "unit").sortWithinPartitions("unit", "id")
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in groups_of(batches, "unit"):
+            if part.num_rows > 1 and (out := run(part)) is not None:
+                yield out
+
+    return units.mapInArrow(parts, schema)
+
+
+def _asked(part: pa.Table) -> np.ndarray:
+    """Pairs of a unit's members to look at: of different components, each pair of blocks in one unit only."""
+    sides, components = (part.column(c).to_numpy() for c in ("own", "component"))
+    ask = components[:, None] != components[None, :]
+    if not (sides == sides[0]).all():
+        ask &= sides[:, None] != sides[None, :]
+    return ask
+
+
+def _met_before(buckets: pa.ChunkedArray, key: int) -> np.ndarray:
+    """Pairs of members that share a bucket with a smaller key: they are compared there."""
+    lists = [[k for k in x if k < key] for x in buckets.to_pylist()]
+    column = {k: i for i, k in enumerate(sorted(set().union(*lists)))}
+    held = np.zeros((len(lists), len(column)), np.float32)
+    for i, x in enumerate(lists):
+        held[i, [column[k] for k in x]] = 1
+    return held @ held.T > 0
+
 
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Packed signatures as rows of 64-bit words."""
+    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint64).reshape(len(column), -1)
 
-def link_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], compare: Callable[[list, np.ndarray, np.ndarray], list[tuple[int, int]]], scratch: Scratch, block: int = BLOCK) -> DataFrame:
+
+def link_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], compare: Callable[[list, np.ndarray, np.ndarray], list[tuple[int, int]]], scratch: Scratch, block: int = BLOCK, signs: DataFrame | None = None, most: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Components of the verified links among items that share a key.
 
     keys: (key, id), a row for each bucket of an item. verify: takes distinct pairs (a, b) and
     returns those that are links. payload: takes (id) and returns (id, data binary). compare: takes
     the data of some items, their components so far and a matrix of the pairs to look at, and
     returns pairs of positions that are links, enough of them to connect all that are connected.
-    Returns (id, component) for items with a link.
+    signs: (id, n, sign), the size and the signature of each item's set; most(nx, ny) is how many
+    elements x may have that y lacks, if both are linked. Returns (id, component) for items with a link.
 
     First every item is compared with the first of each of its buckets, which joins most groups
-    into one component. Buckets that still hold several are compared in full, but within bounded
-    units of work (two blocks of members, chosen by a hash): a unit yields only links that connect
-    what was not connected, so no list of pairs is ever written and no group lands in one task.
+    into one component. In buckets that still hold several, signatures (a few hundred bytes) show
+    exactly which members can have a partner in another component; these are compared with another member
+    of the bucket, for a few rounds, and what then stays open is compared in full. Everything runs within
+    bounded units of work (two blocks of members, chosen by a hash): a unit yields only members, or links
+    that connect what was not connected, so no list of pairs is ever written and no group lands in one task.
     """
-    lead = keys.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
-    pairs = keys.join(lead, "key").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = scratch.save(verify(scratch.save(pairs)))
-    label = scratch.save(connected_components(links, scratch))
-    named = keys.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_ = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi")
-    left = scratch.save(named.join(open_.select("key", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "key"))
+    lead = scratch.save(keys.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead"))
+    shared = scratch.save(keys.join(sized(lead), "key").distinct())
+    if signs is not None:
+        signs = scratch.save(signs.join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = _matrix(batch.column("x")), _matrix(batch.column("y"))
+            n, m = batch.column("an").to_numpy(), batch.column("bn").to_numpy()
+            good = (np.bitwise_count(x & ~y).sum(1) <= most(n, m)) & (np.bitwise_count(y & ~x).sum(1) <= most(m, n))
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        if signs is not None:
+            pairs = pairs.join(signs.toDF("a", "an", "x"), "a").join(signs.toDF("b", "bn", "y"), "b")
+            pairs = pairs.where(F.least("an", "bn") >= 0.5 * F.greatest("an", "bn")).select("a", "b", "an", "bn", "x", "y").mapInArrow(possible, "a long, b long")
+        return scratch.save(verify(scratch.save(pairs)))
+
+    def partners(part: pa.Table) -> pa.RecordBatch | None:
+        ask, x, n = _asked(part), _matrix(part.column("sign")), part.column("n").to_numpy()
+        has = np.zeros(len(n), bool)
+        for i in range(len(n)):
+            j = np.flatnonzero(ask[i, i + 1 :] & (np.minimum(n[i], n[i + 1 :]) >= 0.5 * np.maximum(n[i], n[i + 1 :]))) + i + 1
+            if len(j):
+                j = j[np.bitwise_count(x[i] & ~x[j]).sum(1) <= most(n[i], n[j])]
+                j = j[np.bitwise_count(x[j] & ~x[i]).sum(1) <= most(n[j], n[i])]
+                has[j] = True
+                has[i] |= len(j) > 0
+        return pa.RecordBatch.from_arrays([pa.array(part.column(c).to_numpy()[has], pa.int64()) for c in ("key", "id", "component")], ["key", "id", "component"]) if has.any() else None
+
+    def still_open(members: DataFrame, label: DataFrame) -> DataFrame:
+        """(key, id, component) of the members that may have a partner in another component."""
+        named = members.select("key", "id").join(sized(label), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        open_ = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        left = scratch.save(named.join(sized(scratch.save(open_)), "key"))
+        if signs is None or left.isEmpty():
+            return left
+        return scratch.save(_units(left, signs, partners, "key long, id long, component long", SIGN_BLOCK).distinct())
+
+    def joined(label: DataFrame, links: DataFrame) -> DataFrame:
+        # what is connected already goes in as stars
+        stars = label.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+        return scratch.save(connected_components(stars.unionByName(links), scratch))
+
+    pairs = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    label = scratch.save(connected_components(linked(pairs), scratch))
+    left = still_open(shared, label)
+    for turn in range(1, ROUNDS):
+        if left.isEmpty():
+            return label
+        # another member leads: the least one after its bits are turned
+        mask = F.lit(int(seeds(ROUNDS, 6)[turn].view(np.int64)))
+        lead = left.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(mask)).bitwiseXOR(mask).alias("lead"))
+        pairs = left.join(lead, "key").where("id <> lead").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
+        links = linked(pairs)
+        if links.isEmpty():
+            break
+        label = joined(label, links)
+        left = still_open(left, label)
     if left.isEmpty():
         return label
     data = scratch.save(payload(left.select("id").distinct()))
-    own = left.withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    unit = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    units = own.select(unit.alias("unit"), "own", "id", "component").join(data, "id")
-    width = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
-    units = units.select("unit", "own", "id", "component", "data").repartition(width, "unit").sortWithinPartitions("unit", "id")
+    data = data.join(scratch.save(left.groupBy("id").agg(F.collect_list("key").alias("buckets"))), "id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in groups_of(batches, "unit"):
-            if part.num_rows < 2:
-                continue
-            ids, sides, components = (part.column(c).to_numpy() for c in ("id", "own", "component"))
-            within = (sides == sides[0]).all()
-            ask = components[:, None] != components[None, :]
-            if not within:
-                ask &= sides[:, None] != sides[None, :]
-            found = compare([x.as_buffer() for x in part.column("data")], components, np.triu(ask)) if ask.any() else []
-            if found:
-                a, b = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[list(a)]), pa.array(ids[list(b)])], ["a", "b"])
-
-    more = scratch.save(units.mapInArrow(run, "a long, b long").distinct())
-    if more.isEmpty():
-        return label
-    # what is connected already goes in as stars
-    stars = label.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-    return scratch.save(connected_components(stars.unionByName(more), scratch))
+    def run(part: pa.Table) -> pa.RecordBatch | None:
+        ask = _asked(part) & ~_met_before(part.column("buckets"), part.column("key")[0].as_py())
+        at = np.flatnonzero(ask.any(0))
+        if not len(at):
+            return None
+        data = part.column("data")
+        found = compare([data[int(i)].as_buffer() for i in at], part.column("component").to_numpy()[at], np.triu(ask[np.ix_(at, at)]))
+        ids = part.column("id").to_numpy()[at]
+        return pa.RecordBatch.from_arrays([pa.array(ids[[p[i] for p in found]]) for i in (0, 1)], ["a", "b"]) if found else None
+
+    more = scratch.save(_units(left, data, run, "a long, b long", block).distinct())
+    return label if more.isEmpty() else joined(label, more)
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -268,21 +397,16 @@ def groups_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]
 def overlaps(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Matrix of the sums of the smaller counts of equal elements of each two multisets, and their sizes."""
     sizes = np.array([len(x) for x in items])
-    numbered = np.concatenate(items)
+    joined = np.concatenate(items)
     who = np.repeat(np.arange(len(items)), sizes)
     # the j-th occurrence of an element in an item is an element of its own: multisets become sets
-    order = np.lexsort((numbered, who))
-    s, w = numbered[order], who[order]
-    first = np.concatenate([[True], (s[1:] != s[:-1]) | (w[1:] != w[:-1])]) if len(s) else np.zeros(0, bool)
-    at = np.arange(len(s))
-    nth = at - np.maximum.accumulate(np.where(first, at, 0)) if len(s) else at
-    _, column = np.unique(mix(s.astype(np.uint64) + nth.astype(np.uint64) * _STEP), return_inverse=True)
+    _, column = np.unique(mix(joined.astype(np.uint64) + numbered(joined, who).astype(np.uint64) * _STEP), return_inverse=True)
     out = np.zeros((len(items), len(items)), np.float32)
     width = int(column.max()) + 1 if len(column) else 0
     for a in range(0, width, 8192):
         part = (column >= a) & (column < a + 8192)
         m = np.zeros((len(items), min(8192, width - a)), np.float32)
-        m[w[part], column[part] - a] = 1
+        m[who[part], column[part] - a] = 1
         out += m @ m.T
     return out, sizes
 

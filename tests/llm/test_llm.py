@@ -70,9 +70,90 @@ def test_edit_distance_is_the_plain_one():
 
 def test_order_matters_to_the_sketch():
     h = WordHashes().of(prose(5, 200).split())
-    same = (near_dup.order_min_hash(h) == near_dup.order_min_hash(h.copy())).all()
-    turned = (near_dup.order_min_hash(h) == near_dup.order_min_hash(np.concatenate([h[100:], h[:100]]))).mean()
-    assert same and turned < 0.7
+    first, same, turned = near_dup.order_min_hashes(np.concatenate([h, h, h[100:], h[:100]]), np.array([200, 400, 600]), 60)
+    assert (first == same).all() and (first == turned).mean() < 0.8
+
+
+def plain_sketch(words, sketches, k=5, picked=2):
+    """Order MinHash of one text without arrays over several texts."""
+    from ndspark.llm import common
+
+    h = WordHashes().of(words)
+    g = common.windows(h, k) if len(h) >= k else common.windows(np.concatenate([h, np.repeat(h[-1:], k - len(h))]), k)
+    seen, labelled = {}, []
+    for x in g:
+        n = seen[int(x)] = seen.get(int(x), -1) + 1
+        labelled.append(common.mix(x + np.uint64(n) * near_dup._C) if n else x)
+    out = []
+    for m, s in zip(common.seeds(sketches, 1), common.seeds(sketches, 2)):
+        order = []
+        for i, x in enumerate(labelled):
+            y = (x ^ s) * m
+            y ^= y >> np.uint64(29)
+            order.append((int(y * near_dup._C) >> 28, i))
+        at, acc = sorted(i for _, i in sorted(order)[:picked]), np.zeros(1, np.uint64)
+        for i in [*at, *[None] * (picked - len(at))]:
+            acc = common.mix(acc * near_dup._C + np.array([0 if i is None else labelled[i]], np.uint64) + np.uint64(1))
+        out.append(int(common.mix(acc ^ s).view(np.int64)[0]))
+    return out
+
+
+def test_sketches_of_many_texts_are_those_of_each():
+    texts = [words_of(t) for t in ("a b a b a b a b a b a b", "one two", "", prose(3, 40), "x", prose(3, 40) + " more", "a b c d e")]
+    h = WordHashes().of([w for t in texts for w in t])
+    found = near_dup.order_min_hashes(h, np.cumsum([len(t) for t in texts]), 7)
+    with np.errstate(over="ignore"):
+        assert all(found[i].tolist() == (plain_sketch(t, 7) if t else [0] * 7) for i, t in enumerate(texts))
+
+
+@pytest.mark.parametrize("similarity, least", [(0.8, 0.85), (0.85, 0.95), (0.9, 0.98), (0.95, 0.99), (1.0, 1.0)])
+def test_recall_of_the_sketches(similarity, least):
+    """Edits spread at random: substitutions, insertions and deletions."""
+    hits, pairs = 0, 120
+    for i in range(pairs):
+        r = random.Random(i)
+        a = [r.randrange(2**62) for _ in range(150)]
+        b = list(a)
+        for at in r.sample(range(150), round((1 - similarity) * 150)):
+            b[at] = r.choice([[], [r.randrange(2**62)], [a[at], r.randrange(2**62)]]) if r.random() < 0.5 else [r.randrange(2**62)]
+        b = [y for x in b for y in (x if isinstance(x, list) else [x])]
+        x, y = near_dup.order_min_hashes(np.array(a + b, np.uint64), np.array([len(a), len(a) + len(b)]), near_dup.sketches_for())
+        hits += (x == y).any()
+    assert hits / pairs >= least
+
+
+def test_signatures_bound_the_edits():
+    from ndspark.llm.common import signatures
+
+    r = random.Random(8)
+    for _ in range(100):
+        a = [r.randrange(2**63) for _ in range(200)]
+        b = [x if r.random() < 0.8 else r.randrange(2**63) for x in a]
+        sign = signatures(np.array(a + b, np.uint64), np.repeat([0, 1], 200), 2)
+        assert np.bitwise_count(sign[0] & ~sign[1]).sum() <= len(set(a) - set(b))
+
+
+def test_brute_force_over_the_whole_range_of_similarities(spark):
+    """Groups of edited copies between 0.75 and 1: links of all pairs, and nearly all are found."""
+    texts = []
+    for g in range(25):
+        base = prose(2000 + g, 120).split()
+        texts.append(" ".join(base))
+        for i, share in enumerate((0.02, 0.06, 0.1, 0.14, 0.18, 0.24)):
+            r, w = random.Random(10 * g + i), list(base)
+            for at in r.sample(range(120), round(share * 120)):
+                w[at] = r.choice(WORDS)
+            texts.append(" ".join(w))
+    found = by_id(near_dup.near_duplicates(table(spark, texts)))
+    words, label = [words_of(t) for t in texts], list(range(len(texts)))
+    pairs = [(i, j) for g in range(25) for i in range(7 * g, 7 * g + 7) for j in range(7 * g, i)]
+    links = [(i, j) for i, j in pairs if 1 - levenshtein(words[i], words[j]) / max(len(words[i]), len(words[j])) >= 0.8]
+    for _ in range(7):
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    together = sum(found[i]["component_id"] == found[j]["component_id"] for i, j in links)
+    assert together >= 0.97 * len(links) and len(links) > 200
+    assert all(label[found[i]["component_id"]] == label[i] for i in range(len(texts)))
 
 
 def test_near_duplicates_match_brute_force(spark):
