@@ -16,10 +16,12 @@ between them: each edit, with 20 words on both sides, and all of the run, at an
 least ``threshold``. Nothing else goes; a whole sentence of under six words at an end of a run stays.
 
 Of each component, and of each passage, the copies in the document with the smallest id stay and
-those in other documents are removed. Repeats within one document are left alone.
+those in other documents are removed; of equal texts of at least ``run_words`` words all but that of the
+smallest id go whole, before anything is compared. Repeats within one document are left alone.
 
 Edge cases: null and empty texts, and rows with a null id, share nothing and are left as they are;
-rows that repeat an id are one document; an empty table gives an empty result; other columns are
+rows that repeat an id are one document, but each text among them is compared and cut by itself (what is
+found belongs to the id and 128 bits of the text); an empty table gives an empty result; other columns are
 passed through; texts of any length are read whole.
 """
 
@@ -28,6 +30,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ndspark.llm.common import WORD, Joined, Scratch, WordHashes, connected_components, jaccard, link_groups, mix, overlaps, seal, seeds, shingles, sized
+from ndspark.llm.common import WORD, Joined, Scratch, WordHashes, connected_components, jaccard, link_groups, mix, overlaps, seal, seeds, shingles, sized, windows
 from ndspark.llm.near_dup import edit_distance
 
 K, BANDS, ROWS, THRESHOLD = 5, 6, 3, 0.8
@@ -49,7 +52,7 @@ STOP = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 _TAIL, _HEAD = re.compile(r"[^\w\s]*(?!\S)"), re.compile(r"(?<!\S)[^\w\s]*\Z")
 
 
-def words(text: str) -> list[str]:
+def words_in(text: str) -> list[str]:
     """Lower-cased words, as many as WORD finds in the text itself."""
     low = text.lower()
     return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
@@ -60,7 +63,7 @@ def paragraphs_of(text: str, min_words: int = MIN_WORDS) -> tuple[list[str], lis
     out, found, at = [], [], 0
     held: list[int] | None = None
     for line in [*text.split("\n"), ""]:
-        w = words(line)
+        w = words_in(line)
         unit = [at, at + len(line), len(out), len(out) + len(w)]
         if held and (not w or len(w) >= min_words):
             if held[3] - held[2] >= min_words:
@@ -79,40 +82,38 @@ def _hash(h: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes()))))
 
 
-_ODD = 0x9E3779B97F4A7C15
-_POWERS = [np.ones(1, np.uint64)] * 2
+def picked(h: np.ndarray, ends: np.ndarray, run_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts whose word hashes are one sequence: the text, hashes (int64) of its seeds, and of the ``run_words`` words from each on (0 where the text ends before).
 
-
-def _sums(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of the hashes times powers of an odd number, and the inverse powers."""
-    if len(_POWERS[0]) < len(h):
-        for i, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
-            x = np.full(2 * len(h), base, np.uint64)
-            x[0] = 1
-            _POWERS[i] = np.multiply.accumulate(x)
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _POWERS[0][: len(h)])]), _POWERS[1]
-
-
-def picked(h: np.ndarray, run_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (int64) of a text's seeds, and of the ``run_words`` words from each on (0 where the text ends before); no more than two of the same."""
-    if len(h) < max(run_words, EXACT):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    sums, inverse = _sums(h)
-    n = len(h) - SEED + 1
-    g = mix((sums[SEED:] - sums[:n]) * inverse[:n])
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(g, PICK).argmin(1) + np.arange(n - PICK + 1))
+    No more than two of the same in a text; none of texts of fewer words than a run or an exact run.
+    """
+    lengths = np.diff(ends, prepend=0)
+    owner = np.repeat(np.arange(len(ends)), lengths)
+    g = windows(h, SEED)
+    if len(g) < PICK:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    n = len(g) - PICK + 1
+    whole = np.flatnonzero((np.arange(n) + EXACT <= ends[owner[:n]]) & (lengths[owner[:n]] >= run_words))
+    # the least of PICK windows, the first of equal ones
+    least, at = g[:n].copy(), np.zeros(n, np.int8)
+    for i in range(1, PICK):
+        less = g[i : n + i] < least
+        np.copyto(least, g[i : n + i], where=less)
+        at[less] = i
+    at = np.unique(at[whole] + whole)
+    owner = owner[at]
     long = np.zeros(len(at), np.uint64)
-    fit = at[at + run_words <= len(h)]
-    long[: len(fit)] = mix((sums[fit + run_words] - sums[fit]) * inverse[fit] + np.uint64(run_words))
+    fit = at + run_words <= ends[owner]
+    long[fit] = windows(h, run_words)[at[fit]]
     seed = g[at]
-    _, first, times = np.unique(mix(seed ^ mix(long + np.uint64(1))), return_index=True, return_counts=True)
+    _, first, times = np.unique(mix(seed ^ mix(long + np.uint64(1)) ^ mix(owner.astype(np.uint64) + np.uint64(2))), return_index=True, return_counts=True)
     keep = np.sort(np.repeat(first, np.minimum(times, 2)))
-    return seed[keep].view(np.int64), long[keep].view(np.int64)
+    return owner[keep], seed[keep].view(np.int64), long[keep].view(np.int64)
 
 
 def _runs(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
     """Exact runs of at least EXACT words: (start, end) in x, (start, end) in y, in the order of x."""
-    gx, gy = shingles(x, EXACT), shingles(y, EXACT)
+    gx, gy = windows(x, EXACT), windows(y, EXACT)
     known, first = np.unique(gy, return_index=True)
     slot = np.minimum(np.searchsorted(known, gx), len(known) - 1)
     p = np.flatnonzero(known[slot] == gx)
@@ -138,7 +139,7 @@ def shared_runs(x: np.ndarray, y: np.ndarray, run_words: int = RUN_WORDS, thresh
     """(start, end) of the words of x that are a passage which y holds too."""
     if min(len(x), len(y)) < max(run_words, EXACT):
         return []
-    exact = np.flatnonzero(np.isin(shingles(x, run_words), shingles(y, run_words)))
+    exact = np.flatnonzero(np.isin(windows(x, run_words), windows(y, run_words)))
     out = [(int(a), int(a) + run_words) for a in exact]
     chain: list[int] = []
     edits = 0
@@ -171,41 +172,50 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def min_hash(h: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """A key (int64) for each band."""
-    g = shingles(h, K)
+def min_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """Keys (paragraphs x bands, int64) of the paragraphs of at least K words that lie from ``starts`` to ``ends`` in a sequence of word hashes."""
+    if not len(starts):
+        return np.zeros((0, bands), np.int64)
+    counts = ends - starts - K + 1
+    offsets = np.cumsum(counts) - counts
+    g = windows(h, K)[np.repeat(starts - offsets, counts) + np.arange(counts.sum())]
     multipliers, salts = seeds(bands * rows, 3), seeds(bands * rows, 4)
-    least = np.full(bands * rows, np.iinfo(np.uint64).max)
-    for i in range(0, len(g), 4096):
-        x = (g[None, i : i + 4096] ^ salts[:, None]) * multipliers[:, None]
+    acc = np.repeat(seeds(bands, 5)[None, :], len(starts), axis=0)
+    for i in range(bands * rows):
+        x = (g ^ salts[i]) * multipliers[i]
         x ^= x >> np.uint64(29)
         x *= np.uint64(0xD6E8FEB86659FD93)
-        np.minimum(least, x.min(1), out=least)
-    least = least.reshape(bands, rows)
-    acc = seeds(bands, 5)
-    for j in range(rows):
-        acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + least[:, j])
+        band = i // rows
+        acc[:, band] = mix(acc[:, band] * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x, offsets))
     return acc.view(np.int64)
 
 
+#: Texts that are read as one sequence.
+GROUP = 200
+
+
 def _units(docs: DataFrame, bands: int, rows: int, min_words: int, run_words: int) -> DataFrame:
-    """(id, seeds, runs, paragraphs): hashes of the seeds and of what follows them; hash and band keys of each paragraph."""
+    """(id, h, g, n, seeds, runs, paragraphs) from (id, h, g, text): number of words, hashes of the seeds and of what follows them; hash and band keys of each paragraph."""
     kind = pa.list_(pa.struct([("hash", pa.int64()), ("keys", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in batches:
-            first, runs, paragraphs = [], [], []
-            for text in batch.column(1):
-                w, found = paragraphs_of(text.as_py(), min_words)
-                h = cache.of(w)
-                a, b = picked(h, run_words)
-                first.append(a)
-                runs.append(b)
-                paragraphs.append([{"hash": _hash(h[a:b]), "keys": min_hash(h[a:b], bands, rows)} for _, _, a, b in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first, pa.list_(pa.int64())), pa.array(runs, pa.list_(pa.int64())), pa.array(paragraphs, kind)], ["id", "seeds", "runs", "paragraphs"])
-
-    return docs.mapInArrow(run, "id long, seeds array<long>, runs array<long>, paragraphs array<struct<hash: long, keys: array<long>>>")
+        for whole in batches:
+            for i in range(0, whole.num_rows, GROUP):
+                batch = whole.slice(i, GROUP)
+                read = [paragraphs_of(t.as_py(), min_words) for t in batch.column(3)]
+                counts = np.array([len(w) for w, _ in read])
+                ends, h = np.cumsum(counts), cache.of(list(chain.from_iterable(w for w, _ in read)))
+                owner, seed, long = picked(h, ends, run_words)
+                cuts = pa.array(np.searchsorted(owner, np.arange(len(read) + 1)), pa.int32())
+                at = np.array([(j, base + a, base + b) for j, ((_, found), base) in enumerate(zip(read, ends - counts)) for _, _, a, b in found], np.int64).reshape(-1, 3)
+                paragraphs: list[list[dict]] = [[] for _ in read]
+                for (j, a, b), keys in zip(at.tolist(), min_hashes(h, at[:, 1], at[:, 2], bands, rows)):
+                    paragraphs[j].append({"hash": _hash(h[a:b]), "keys": keys})
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x, pa.int64())) for x in (seed, long)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int32()), *lists, pa.array(paragraphs, kind)], ["id", "h", "g", "n", "seeds", "runs", "paragraphs"])
+
+    return docs.select("id", "h", "g", "text").mapInArrow(run, "id long, h long, g long, n int, seeds array<long>, runs array<long>, paragraphs array<struct<hash: long, keys: array<long>>>")
 
 
 def _paragraph_words(docs: DataFrame, min_words: int) -> DataFrame:
@@ -228,30 +238,32 @@ def _paragraph_words(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
-    """(id, data) from (id, text): 32-bit word hashes, packed."""
+    """(id, h, g, data) from (id, h, g, text): 32-bit word hashes, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            packed = [cache.of(words(t.as_py())).astype(np.uint32).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "data"])
+            packed = [cache.of(words_in(t.as_py())).astype(np.uint32).tobytes() for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], ["id", "h", "g", "data"])
 
-    return docs.mapInArrow(run, "id long, data binary")
+    return docs.select("id", "h", "g", "text").mapInArrow(run, "id long, h long, g long, data binary")
 
 
 def _aligned(pairs: DataFrame, run_words: int, threshold: float) -> DataFrame:
-    """(id, first, a, b) from (id, first, x, y): the words a to b of x are held by y."""
+    """(id, h, g, first, a, b) from (id, h, g, first, x, y): the words a to b of x are held by y."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for doc, first, *both in zip(*(batch.column(i) for i in range(4))):
+            at, spans = [], []
+            for i, both in enumerate(zip(batch.column(4), batch.column(5))):
                 x, y = (np.frombuffer(t.as_buffer(), np.uint32).astype(np.uint64) for t in both)
-                out.extend((doc.as_py(), first.as_py(), a, b) for a, b in shared_runs(x, y, run_words, threshold))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kinds[i]) for i in range(4)], ["id", "first", "a", "b"])
+                found = shared_runs(x, y, run_words, threshold)
+                at.extend([i] * len(found))
+                spans.extend(found)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(rows) for i in range(4)], *[pa.array([x[i] for x in spans], pa.int32()) for i in (0, 1)]], ["id", "h", "g", "first", "a", "b"])
 
-    return pairs.mapInArrow(run, "id long, first long, a int, b int")
+    return pairs.select("id", "h", "g", "first", "x", "y").mapInArrow(run, "id long, h long, g long, first long, a int, b int")
 
 
 def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -280,7 +292,7 @@ def _ends(text: str, at: list[tuple[int, int]], a: int, b: int) -> tuple[int, in
     return a, b
 
 
-def repeated_spans(text: str, runs: list[tuple[int, int]], paragraphs: set[int], min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
+def repeated_spans(text: str, runs: list[tuple[int, int]], paragraphs: set[int], min_words: int = MIN_WORDS, cache: WordHashes | None = None) -> list[tuple[int, int, int]]:
     """(start, end, words) of the spans to remove, given the runs of words and the hashes of paragraphs that earlier documents hold."""
     at = [m.span() for m in WORD.finditer(text)]
     spans = []
@@ -293,7 +305,7 @@ def repeated_spans(text: str, runs: list[tuple[int, int]], paragraphs: set[int],
         spans.append((before.start() if before else start, after.end() if after else end))
     if paragraphs:
         w, found = paragraphs_of(text, min_words)
-        h = WordHashes().of(w)
+        h = (WordHashes() if cache is None else cache).of(w)
         spans.extend((start, end) for start, end, a, b in found if _hash(h[a:b]) in paragraphs)
     out: list[tuple[int, int]] = []
     for start, end in _merged(spans):
@@ -314,40 +326,59 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return text
 
 
+TEXT = ["id", "h", "g"]
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, g, text) of the rows with an id and a text; h and g are 128 bits of the text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    return rows.select("id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), "text")
+
+
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """What to remove, and how documents are connected by it.
 
-    First (id, spans: array of (start, end, words)) of the documents that lose text; then
-    (id, component) of all documents that lose or lend a passage.
+    First (id, h, g, spans: array of (start, end, words)) of the texts that lose something, known by the
+    id and 128 bits of the text; then (id, component) of all documents that lose or lend a passage.
     """
+    if min_words < K:
+        raise ValueError(f"a paragraph has at least {K} words")
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    texts = _named(docs, id_col, text_col)
     with Scratch(spark) as scratch:
-        units = scratch.save(_units(texts, bands, rows, min_words, run_words))
+        every = scratch.save(_units(texts, bands, rows, min_words, run_words))
+        # equal texts: that of the smallest id is compared, the others go whole
+        equal = every.groupBy("h", "g").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("h", "g", "lead")
+        equal = scratch.save(equal)
+        every = every.join(sized(equal), ["h", "g"], "left")
+        copies = every.where(F.col("id") > F.col("lead")).where(F.col("n") >= run_words).select(*TEXT, F.col("lead").alias("first")).distinct()
+        units = every.where(F.coalesce(F.col("id") == F.col("lead"), F.lit(True)))
         # passages: the first document of each seed that occurs in several, and of each run of words from one on
-        seeded = units.select("id", F.explode(F.arrays_zip("seeds", "runs")).alias("s")).select("id", F.col("s.seeds").alias("seed"), F.col("s.runs").alias("run"))
+        seeded = units.select(*TEXT, F.explode(F.arrays_zip("seeds", "runs")).alias("s")).select(*TEXT, F.col("s.seeds").alias("seed"), F.col("s.runs").alias("run"))
         shared = seeded.groupBy("seed").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("seed", "first")
         shared = scratch.save(shared)
-        held = scratch.save(seeded.join(sized(shared, 1_000_000), "seed").select("id", "run", "first"))
+        held = scratch.save(seeded.join(sized(shared, 1_000_000), "seed").select(*TEXT, "run", "first"))
         # a passage with an edit, and one without, have two seeds at least
-        pairs = held.where("id > first").groupBy("id", "first").count().where("count > 1").select("id", "first")
+        pairs = held.where("id > first").groupBy(*TEXT, "first").count().where("count > 1").select(*TEXT, "first")
         verbatim = held.where("run <> 0").groupBy("run").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("run", "lead")
         verbatim = scratch.save(verbatim)
-        pairs = pairs.union(held.join(sized(verbatim, 1_000_000), "run").where("id > lead").select("id", "lead"))
+        pairs = pairs.union(held.join(sized(verbatim, 1_000_000), "run").where("id > lead").select(*TEXT, "lead"))
         pairs = scratch.save(pairs.distinct())
         wanted = scratch.save(pairs.select("id").union(pairs.select("first")).distinct())
-        tokens = scratch.save(_tokens(texts.join(sized(wanted), "id", "left_semi")))
-        both = pairs.join(tokens.withColumnRenamed("data", "x"), "id").join(tokens.select(F.col("id").alias("first"), F.col("data").alias("y")), "first")
-        runs = _aligned(both.select("id", "first", "x", "y"), run_words, threshold)
-        marks = runs.select("id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("hash"), "first", "a", "b")
+        tokens = scratch.save(_tokens(texts.join(sized(wanted), "id", "left_semi")).dropDuplicates(TEXT))
+        both = pairs.join(tokens.withColumnRenamed("data", "x"), TEXT).join(tokens.select(F.col("id").alias("first"), F.col("data").alias("y")), "first")
+        runs = _aligned(both, run_words, threshold)
+        marks = runs.select(*TEXT, F.lit(0).alias("kind"), F.lit(0).cast("long").alias("hash"), "first", "a", "b")
+        none = [F.lit(0).alias("a"), F.lit(0).alias("b")]
+        marks = marks.unionByName(copies.select(*TEXT, F.lit(2).alias("kind"), F.lit(0).cast("long").alias("hash"), "first", *none))
         # paragraphs: equal ones are one class; classes that collide in a band are compared
-        paragraphs = scratch.save(units.select("id", F.explode("paragraphs").alias("p")).select("id", "p.hash", "p.keys"))
+        paragraphs = scratch.save(units.select(*TEXT, F.explode("paragraphs").alias("p")).select(*TEXT, "p.hash", "p.keys"))
         classes = scratch.save(paragraphs.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.first("keys").alias("keys")))
         keys = scratch.save(classes.select(F.col("hash").alias("id"), F.explode("keys").alias("key")))
         where = classes.select(F.col("hash").alias("id"), F.col("first").alias("doc"))
 
         def words(wanted: DataFrame) -> DataFrame:
-            by_doc = scratch.save(wanted.join(where, "id").groupBy("doc").agg(F.collect_list("id").alias("wanted")))
+            by_doc = scratch.save(sized(wanted).join(where, "id").groupBy("doc").agg(F.collect_list("id").alias("wanted")))
             held = texts.join(sized(by_doc), F.col("id") == F.col("doc")).select("id", "text", "wanted")
             return _paragraph_words(held, min_words).dropDuplicates(["hash"]).select(F.col("hash").alias("id"), F.col("shingles").alias("data"))
 
@@ -367,56 +398,63 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
         merged = scratch.save(merged.select("hash", "first", F.coalesce("component", "hash").alias("component")))
         lead = merged.groupBy("component").agg(F.min("first").alias("lead"))
         known = scratch.save(merged.join(lead, "component").select("hash", "lead"))
-        more = paragraphs.select("id", "hash").join(sized(known, 1_000_000), "hash").where("id > lead")
-        marks = marks.unionByName(more.select("id", F.lit(1).alias("kind"), "hash", F.col("lead").alias("first"), F.lit(0).alias("a"), F.lit(0).alias("b")))
-        # of one document: what it repeats and from where
-        marks = marks.groupBy("id").agg(F.collect_set(F.struct("kind", "hash", "first", "a", "b")).alias("marks"))
+        more = paragraphs.select(*TEXT, "hash").join(sized(known, 1_000_000), "hash").where("id > lead")
+        marks = marks.unionByName(more.select(*TEXT, F.lit(1).alias("kind"), "hash", F.col("lead").alias("first"), *none))
+        # of one text: what it repeats and from where
+        marks = marks.groupBy(*TEXT).agg(F.collect_set(F.struct("kind", "hash", "first", "a", "b")).alias("marks"))
         marks = scratch.save(marks)
-        touched = texts.join(sized(marks), "id").select("id", "text", "marks")
+        touched = texts.join(sized(marks), TEXT).select(*TEXT, "text", "marks")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cache = WordHashes()
             for batch in batches:
-                ids, spans, lenders = [], [], []
-                for doc, text, found in zip(*(batch.column(i) for i in range(3))):
-                    found = found.as_py()
-                    runs = [(x["a"], x["b"]) for x in found if not x["kind"]]
-                    got = repeated_spans(text.as_py(), runs, {x["hash"] for x in found if x["kind"]}, min_words)
+                at, spans, lenders = [], [], []
+                for i, (text, found) in enumerate(zip(batch.column(3), batch.column(4))):
+                    text, found = text.as_py(), found.as_py()
+                    if any(x["kind"] == 2 for x in found):
+                        got = [(0, len(text), len(words_in(text)))]
+                    else:
+                        runs = [(x["a"], x["b"]) for x in found if not x["kind"]]
+                        got = repeated_spans(text, runs, {x["hash"] for x in found if x["kind"]}, min_words, cache)
                     if got:
-                        ids.append(doc.as_py())
+                        at.append(i)
                         spans.append([{"start": a, "end": b, "words": n} for a, b, n in got])
                         lenders.append(sorted({x["first"] for x in found}))
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, kind), pa.array(lenders, pa.list_(pa.int64()))], ["id", "spans", "lenders"])
+                rows = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(rows) for i in range(3)], pa.array(spans, kind), pa.array(lenders, pa.list_(pa.int64()))], [*TEXT, "spans", "lenders"])
 
-        schema = "id long, spans array<struct<start: int, end: int, words: int>>, lenders array<long>"
-        removals = seal(touched.mapInArrow(run, schema).dropDuplicates(["id"]))
+        schema = "id long, h long, g long, spans array<struct<start: int, end: int, words: int>>, lenders array<long>"
+        removals = seal(touched.mapInArrow(run, schema).dropDuplicates(TEXT))
         edges = removals.select(F.col("id").alias("a"), F.explode("lenders").alias("b"))
         components = seal(connected_components(edges, scratch))
-        return removals.select("id", "spans"), components
+        return removals.select(*TEXT, "spans"), components
 
 
-def report(docs: DataFrame, removals: DataFrame, components: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def report(docs: DataFrame, removals: DataFrame, components: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id, removed_words, removed_spans, kept) of every row; kept: nothing is removed from it."""
-    found = removals.select("id", F.size("spans").alias("n"), F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["words"]).alias("w"))
-    found = seal(components.join(found, "id", "left"))
-    out = docs.select(F.col(id_col).cast("long").alias("_doc")).join(sized(found, 1_000_000), F.col("_doc") == F.col("id"), "left")
-    removed = F.coalesce("w", F.lit(0)).cast("long")
-    return out.select(F.col("_doc").alias(id_col), F.coalesce("component", "_doc").alias("component_id"), removed.alias("removed_words"), F.coalesce("n", F.lit(0)).alias("removed_spans"), (removed == 0).alias("kept"))
+    lost = seal(removals.select(*[F.col(c).alias(f"_{c}") for c in TEXT], F.size("spans").alias("_n"), F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["words"]).alias("_w")))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.xxhash64(F.lit(1), text_col).alias("g"))
+    out = rows.join(sized(lost, 1_000_000), F.expr("id = _id and h = _h and g = _g"), "left").join(sized(components.toDF("_doc", "component"), 1_000_000), F.expr("id = _doc"), "left")
+    removed = F.coalesce("_w", F.lit(0)).cast("long")
+    return out.select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("component_id"), removed.alias("removed_words"), F.coalesce("_n", F.lit(0)).alias("removed_spans"), (removed == 0).alias("kept"))
 
 
 def remove(docs: DataFrame, removals: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with the spans cut out; a document of which nothing is left goes, all others stay."""
+    """``docs`` with the spans cut out; a text of which nothing is left goes, all others stay."""
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([without_spans(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(text, spans)], dtype=object)
 
     columns = docs.columns
-    spans = removals.select(F.col("id").alias("_span_id"), F.col("spans").alias("_spans"))
-    keys = seal(spans.select("_span_id"))
-    same = F.col(id_col).cast("long") == F.col("_span_id")
-    whole = docs.join(sized(keys), same, "left_anti").unionByName(docs.join(sized(keys), same, "left_semi").where(F.col(text_col).isNull()))
-    changed = docs.where(F.col(text_col).isNotNull()).join(sized(spans), same).withColumn(text_col, cut(F.col(text_col), F.col("_spans"))).where(F.length(text_col) > 0)
+    spans = removals.select(*[F.col(c).alias(f"_span_{c}") for c in TEXT], F.col("spans").alias("_spans"))
+    keys = seal(spans.drop("_spans"))
+    text = F.col(text_col)
+    # a null text has hashes too, but none that is among those of the removals with the same id
+    same = (F.col(id_col).cast("long") == F.col("_span_id")) & (F.xxhash64(text) == F.col("_span_h")) & (F.xxhash64(F.lit(1), text) == F.col("_span_g")) & text.isNotNull()
+    whole = docs.join(sized(keys), same, "left_anti")
+    changed = docs.join(sized(spans), same).withColumn(text_col, cut(text, F.col("_spans"))).where(F.length(text_col) > 0)
     if length_col in columns:
         changed = changed.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
     return whole.unionByName(changed.select(*[f"`{c}`" for c in columns]))

@@ -588,6 +588,74 @@ def test_without_spans():
     assert passage_dedup.without_spans("aa bb", [(0, 2)]) == "bb" and passage_dedup.without_spans("aa", [(0, 2)]) == ""
 
 
+def test_rows_that_repeat_an_id_are_cut_each_by_its_text(spark):
+    passage = prose(930, 60)
+    first, second, third = f"{prose(60, 80)} {passage} {prose(61, 80)}", f"{prose(62, 30)} {passage} {prose(63, 90)}", prose(64, 200)
+    rows = [(1, first), (5, second), (5, third), (5, third), (6, third), (7, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    removals, components = passage_dedup.repeated(docs)
+    out = [(r["doc_id"], r["text"]) for r in passage_dedup.remove(docs, removals).collect()]
+    assert sorted(out, key=str) == sorted([(1, first), *[(5, t) for t in (third, third)], (7, None), (7, ""), *[x for x in out if x[0] == 5 and x[1] != third]], key=str)
+    (cut,) = [t for i, t in out if i == 5 and t != third]
+    assert passage not in cut and cut.startswith(prose(62, 20)) and len(words_of(cut)) in range(115, 127)
+    rows = sorted((r["doc_id"], r["kept"], r["component_id"]) for r in passage_dedup.report(docs, removals, components).collect())
+    assert rows == [(1, True, 1), (5, False, 1), (5, True, 1), (5, True, 1), (6, False, 1), (7, True, 7), (7, True, 7)]
+
+
+def plain_repeats(texts, run_words):
+    """Words of each text that lie in a run of ``run_words`` words which an earlier text holds: all runs against all."""
+    seen, out = {}, []
+    for i, t in enumerate(texts):
+        w = words_of(t)
+        runs = [tuple(w[k : k + run_words]) for k in range(len(w) - run_words + 1)]
+        marked = set()
+        for k, r in enumerate(runs):
+            if seen.get(r, i) < i:
+                marked.update(range(k, k + run_words))
+        for r in runs:
+            seen.setdefault(r, i)
+        out.append(marked)
+    return out
+
+
+def test_passages_match_brute_force(spark):
+    """Exact passages of 50 to 120 words between unlike text: what goes is what a plain search over all runs finds."""
+    r = random.Random(12)
+    passages = [random.Random(950 + i).choices(WORDS, k=50 + 10 * i) for i in range(8)]
+    texts = []
+    for i in range(40):
+        parts = [random.Random(1000 + i).choices(WORDS, k=r.randrange(30, 150))]
+        for p in r.sample(passages, r.randrange(3)):
+            parts += [p, r.choices(WORDS, k=r.randrange(25, 80))]
+        texts.append(" ".join(w for p in parts for w in p))
+    docs = table(spark, texts)
+    out = by_id(passage_dedup.remove(docs, passage_dedup.repeated(docs)[0]))
+    for i, (t, gone) in enumerate(zip(texts, plain_repeats(texts, passage_dedup.RUN_WORDS))):
+        assert words_of(out[i]["text"]) == [w for k, w in enumerate(words_of(t)) if k not in gone], i
+
+
+def test_paragraphs_match_brute_force(spark):
+    """Paragraphs edited at random: those of a Jaccard similarity of 0.8 with an earlier one go, directly or by a chain."""
+    r, texts, label = random.Random(13), [], []
+    for g in range(10):
+        base = random.Random(1100 + g).choices(WORDS, k=90)
+        for share in (0.0, 0.01, 0.02, 0.03, 0.05):
+            w = [r.choice(WORDS) if r.random() < share else x for x in base]
+            texts.append(" ".join(w) + "\n\n" + " ".join(r.choices(WORDS, k=15)))
+    sets = [{tuple(w[k : k + 5]) for k in range(86)} for w in (t.split("\n")[0].split() for t in texts)]
+    label = list(range(len(texts)))
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in range(5):
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    docs = table(spark, texts)
+    out = by_id(passage_dedup.remove(docs, passage_dedup.repeated(docs)[0]))
+    gone = [len(words_of(out[i]["text"])) <= 16 for i in range(len(texts))]
+    assert all(gone[i] for i in range(len(texts)) if label[i] < i)
+    # others may go by alignment, never the first
+    assert not any(gone[5 * g] for g in range(10))
+
+
 def test_min_hash_recall():
     cache, hits, n = WordHashes(), 0, 0
     for i in range(60):
@@ -597,5 +665,6 @@ def test_min_hash_recall():
         sx, sy = set(shingles(x).tolist()), set(shingles(y).tolist())
         if len(sx & sy) / len(sx | sy) >= 0.8:
             n += 1
-            hits += (passage_dedup.min_hash(x) == passage_dedup.min_hash(y)).any()
+            keys = passage_dedup.min_hashes(np.concatenate([x, y]), np.array([0, len(x)]), np.array([len(x), len(x) + len(y)]))
+            hits += (keys[0] == keys[1]).any()
     assert n > 30 and hits / n > 0.95
