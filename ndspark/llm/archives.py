@@ -7,8 +7,10 @@ end-of-central-directory record (and the ZIP64 one where sizes need it), walks t
 directory, resolves a stored member's data offset from its local header, reads the index, and
 range-reads each record.
 
-Packages of bounded size travel as rows (name, content), so they can lie in any store that Spark
-reads; ``read_file`` reads a package in place from any seekable file.
+Packages of bounded size are files in a shared folder (any store that Arrow opens by URI); a table (path,
+size) names those of the tasks that succeeded, so a task that ran twice adds nothing. ``read_file`` reads a
+package from any seekable file. Length and SHA-256 of each payload are computed anew when it is read; a
+difference raises. A revisit has no payload: its length and digest are those of its record.
 
 Edge cases: a null page is an empty payload; payloads under ``least_bytes`` are never revisits; of
 rows with equal payloads that repeat the smallest id too, each is a response; rows with a null id
@@ -18,14 +20,17 @@ split, so one page larger than ``package_bytes`` makes a package of its own.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -207,13 +212,16 @@ def read_package(read_at: Callable[[int, int], bytes], size: int, ids: set | Non
             raise ValueError("index points outside the archive")
         fields, http, payload = parse_record(read_at(start + entry["offset"], entry["length"]))
         refers = fields.get("WARC-Refers-To")
-        declared = http.lower().rpartition(b"content-length: ")[2].split(b"\r")[0]
+        declared = int(http.lower().rpartition(b"content-length: ")[2].split(b"\r")[0])
+        digest = fields["WARC-Payload-Digest"].partition(":")[2]
+        if fields["WARC-Type"] == "response" and (len(payload), hashlib.sha256(payload).hexdigest()) != (declared, digest):
+            raise ValueError(f"the payload of record {entry['id']} is not the one that was written")
         yield {
             "page_id": entry["id"],
             "url": fields["WARC-Target-URI"],
             "record_type": fields["WARC-Type"],
-            "payload_digest": fields["WARC-Payload-Digest"].partition(":")[2],
-            "payload_bytes": int(declared),
+            "payload_digest": digest,
+            "payload_bytes": declared,
             "refers_to": int(refers[len("<urn:page:") : -1]) if refers else None,
             "payload": payload if fields["WARC-Type"] == "response" else None,
         }
@@ -226,7 +234,8 @@ def read_file(file: BinaryIO, ids: set | None = None) -> Iterator[dict]:
         file.seek(offset)
         return file.read(length)
 
-    return read_package(read_at, file.seek(0, io.SEEK_END), ids)
+    file.seek(0, io.SEEK_END)
+    return read_package(read_at, file.tell(), ids)
 
 
 # ---- DataFrames ---------------------------------------------------------------------------
@@ -248,8 +257,13 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
 
 
-def write_packages(records: DataFrame, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
-    """(name, content): packages of each partition's records."""
+def _opened(uri: str) -> tuple[FileSystem, str]:
+    """The store of a URI and the path in it; Hadoop's short form file:/path is a local one too."""
+    return FileSystem.from_uri("file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+
+
+def write_packages(records: DataFrame, folder: str, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
+    """Writes packages of each partition's records into ``folder``; (path, size) of each. Materialise the result once, as each run writes anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[dict, bytes]]:
@@ -257,23 +271,35 @@ def write_packages(records: DataFrame, package_bytes: int = PACKAGE_BYTES) -> Da
                 slim = batch.drop_columns(["payload"]).to_pylist()
                 yield from zip(slim, (x.as_py() for x in batch.column("payload")))
 
+        store, root = _opened(folder)
         for content in package(rows(), package_bytes):
-            name = f"{zlib.crc32(content):08x}-{len(content)}.wacz"
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary())], ["name", "content"])
+            store.create_dir(root, recursive=True)
+            name = f"{uuid.uuid4().hex}.wacz"
+            with store.open_output_stream(f"{root}/{name}") as out:
+                out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(content)], pa.int64())], ["path", "size"])
 
-    return records.mapInArrow(run, "name string, content binary")
+    return records.mapInArrow(run, "path string, size long")
 
 
 def read_packages(packages: DataFrame) -> DataFrame:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload); payload is null for revisits."""
+    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) from (path, size); payload is null for revisits."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
-                view = memoryview(content.as_buffer())
-                found = list(read_package(lambda at, n, v=view: bytes(v[at : at + n]), len(view)))
-                for i in range(0, len(found), 1000):
-                    yield pa.RecordBatch.from_pylist(found[i : i + 1000], schema)
-
-    return packages.select("content").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+            for path in batch.column("path").to_pylist():
+                store, at = _opened(path)
+                with store.open_input_file(at) as file:
+                    found: list[dict] = []
+                    for record in read_file(file):
+                        found.append(record)
+                        if len(found) == 100:
+                            yield pa.RecordBatch.from_pylist(found, schema)
+                            found = []
+                if found:
+                    yield pa.RecordBatch.from_pylist(found, schema)
+
+    # packages are units of work: dealt out evenly, as a folder of few small rows would be one task
+    width = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return packages.select("path").repartition(width).mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")

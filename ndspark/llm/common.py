@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it has been counted and has at most this many (slim) rows.
@@ -93,6 +93,11 @@ class Scratch:
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def text_key(text_col: str) -> list[Column]:
+    """h and g, 128 bits of a text (also of a null one), which tell rows with one id apart."""
+    return [F.xxhash64(text_col).alias("h"), F.xxhash64(F.lit(1), text_col).alias("g")]
+
+
 def seal(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: survives the scratch tables and lost executors."""
     checkpoint_dir(df.sparkSession)

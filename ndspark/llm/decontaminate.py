@@ -11,12 +11,14 @@ A candidate fixes where in the document the item would begin. The item-sized spa
 compared with the item by weighted shingle similarity: the sum of the smaller over the sum of the
 larger counts of each run of five words. Spans of at least ``threshold`` are reported.
 
-The benchmark is read in blocks of at most about ``block_items`` items, each sent to the executors
-in turn; documents are never shuffled, and reported rows are few.
+The benchmark is read in blocks of about ``block_words`` words (some 60 MB of index; one longer item is a
+block of its own size), each sent to the executors in turn: most benchmarks are one block, for which documents
+are read once; documents are never shuffled, and reported rows are few. Verifying is linear in the length of
+documents and items, however long.
 
 Edge cases: null and empty texts match nothing, on either side; items of fewer than five words are
-one shingle; documents shorter than an item's window can't hold it; repeated rows report the same
-matches once; null ids of items and documents are skipped; empty tables give an empty result.
+one shingle; documents shorter than an item's window can't hold it; repeated rows, and rows that repeat an id,
+report the best match of each item once (``keyed``: once for each text); other columns are ignored; null ids of items and documents are skipped; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -30,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ndspark.llm.common import WordHashes, mix, seal, shingles, sized, small_batches, words_of
+from ndspark.llm.common import WordHashes, mix, seal, shingles, sized, small_batches, text_key, words_of
 
-K, THRESHOLD, RADIUS, BLOCK_ITEMS = 5, 0.8, 7, 500
+K, THRESHOLD, RADIUS, BLOCK_WORDS = 5, 0.8, 7, 200_000
 #: Words whose bit counts are held at a time, and documents read as one sequence.
 CHUNK_WORDS, GROUP = 16_384, 200
 
@@ -48,7 +50,11 @@ def window_size(n: int) -> int:
 
 
 def bit_sums(h: np.ndarray) -> np.ndarray:
-    """Running counts of each hash bit (n + 1 rows of 64) of less than 2**16 words."""
+    """Running counts of each hash bit (n + 1 rows of 64)."""
+    if len(h) >= 1 << 16:
+        sums = np.zeros((len(h) + 1, 64), np.uint32)
+        np.cumsum(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=np.uint32, out=sums[1:])
+        return sums
     sums = np.zeros((len(h) + 1, 64), np.uint16)
     sums[1:] = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
     # four counters to a 64-bit lane: no counter of a chunk overflows into the next
@@ -73,7 +79,7 @@ class HammingIndex:
         blocks = prints.view(np.uint16).reshape(-1, 4)
         for b in range(4):
             values = (blocks[:, b][:, None] ^ near[None, :]).ravel()
-            owner = np.repeat(np.arange(len(prints)), len(near))
+            owner = np.repeat(np.arange(len(prints), dtype=np.int32), len(near))
             order = np.argsort(values, kind="stable")
             self.start.append(np.searchsorted(values[order], np.arange(65537)))
             self.entries.append(owner[order])
@@ -97,6 +103,37 @@ class HammingIndex:
         return np.concatenate(left), np.concatenate(right)
 
 
+def best_span(h: np.ndarray, want: Counter, n: int, starts: list[int]) -> tuple[float, int]:
+    """The largest similarity of the spans of ``n`` words from each of ``starts`` (sorted) with an item's shingles, and the first start that has it.
+
+    From one start to the next the counts only change by what leaves and what enters: linear in the document's length, however many starts.
+    """
+    first, last = starts[0], starts[-1] + n
+    words = min(n, len(h) - first)
+    k = min(K, words)
+    g, width = shingles(h[first:last], k).tolist(), words - k + 1
+    total, found = sum(want.values()), (0.0, first)
+    have: Counter = Counter()
+    both, at = 0, None
+    for start in (s - first for s in starts):
+        if at is None or start - at >= width:
+            have = Counter(g[start : start + width])
+            both = sum((want & have).values())
+        else:
+            for i in range(at, start):
+                x = g[i]
+                both -= have[x] <= want[x]
+                have[x] -= 1
+                x = g[i + width]
+                both += have[x] < want[x]
+                have[x] += 1
+        at = start
+        similarity = both / (total + width - both)
+        if similarity > found[0]:
+            found = (similarity, start + first)
+    return found
+
+
 class BenchmarkIndex:
     """Items by window size: fingerprints of all their windows."""
 
@@ -137,26 +174,26 @@ class BenchmarkIndex:
                 inside = first + size <= ends[doc]
                 doc, entry, first = doc[inside], entry[inside], first[inside]
                 candidates.update(zip(doc.tolist(), owner[entry].tolist(), (first - (ends[doc] - [len(docs[i]) for i in doc]) - offset[entry]).tolist()))
-        best: dict[tuple[int, int], tuple[float, int]] = {}
-        for doc, item, start in sorted(candidates):
-            h = docs[doc]
-            _, n, want = self.items[item]
+        spans: dict[tuple[int, int], set[int]] = {}
+        for doc, item, start in candidates:
             # a span that runs over the document's edge is moved back into it
-            start = max(0, min(start, len(h) - n))
-            have = Counter(shingles(h[start : start + n], K).tolist())
-            both = sum((want & have).values())
-            total = sum(want.values()) + sum(have.values()) - both
-            if both >= threshold * total and ((doc, item) not in best or both / total > best[doc, item][0]):
-                best[doc, item] = (both / total, start)
-        return [(doc, self.items[i][0], s, at) for (doc, i), (s, at) in best.items()]
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """(id, item_id, similarity, start_word, n_matches): one row for each document and item found in it."""
+            spans.setdefault((doc, item), set()).add(max(0, min(start, len(docs[doc]) - self.items[item][1])))
+        out = []
+        for (doc, item), starts in sorted(spans.items()):
+            item_id, n, want = self.items[item]
+            similarity, at = best_span(docs[doc], want, n, sorted(starts))
+            if similarity >= threshold:
+                out.append((doc, item_id, similarity, at))
+        return out
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS, keyed: bool = False) -> DataFrame:
+    """(id, item_id, similarity, start_word): one row for each document and item found in it; ``keyed`` adds h and g, the key of the text it is in."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null and text is not null")
-    blocks = max(1, math.ceil(items.count() / block_items))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    size = items.agg(F.sum(F.regexp_count("text", F.lit(r"\w+")))).first()[0] or 0
+    blocks = max(1, math.ceil(size / block_words))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *text_key(text_col)).where("id is not null and text is not null")
     found = None
     for i in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)
@@ -168,18 +205,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 texts = batch.column(1)
                 for i in range(0, len(texts), GROUP):
                     got = index.value.matches([mix(cache.of(words_of(t.as_py()))) for t in texts[i : i + GROUP]], threshold)
-                    ids = batch.column(0).take(pa.array([i + x[0] for x in got], pa.int64()))
+                    at = pa.array([i + x[0] for x in got], pa.int64())
                     columns = [pa.array([x[k] for x in got], t) for k, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()))]
-                    yield pa.RecordBatch.from_arrays([ids, *columns], ["id", "item_id", "similarity", "start_word"])
+                    yield pa.RecordBatch.from_arrays([*[batch.column(j).take(at) for j in (0, 2, 3)], *columns], ["id", "h", "g", "item_id", "similarity", "start_word"])
 
         with small_batches(spark):
-            part = seal(rows.mapInArrow(run, "id long, item_id long, similarity double, start_word long"))
+            part = seal(rows.mapInArrow(run, "id long, h long, g long, item_id long, similarity double, start_word long"))
         found = part if found is None else found.unionByName(part)
-    best = found.groupBy("id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start_word")).alias("back"))).alias("m"))
-    return best.select(F.col("id").alias(id_col), "item_id", F.col("m.similarity").alias("similarity"), (-F.col("m.back")).alias("start_word"))
-
-
-def without_contaminated(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` in which nothing was found."""
-    ids = seal(found.select(F.col(id_col).cast("long").alias("_found_id")).distinct())
-    return docs.join(sized(ids), F.col(id_col).cast("long") == F.col("_found_id"), "left_anti")
+    key = ["h", "g"] if keyed else []
+    best = found.groupBy("id", *key, "item_id").agg(F.max(F.struct("similarity", (-F.col("start_word")).alias("back"))).alias("m"))
+    return best.select(F.col("id").alias(id_col), *key, "item_id", F.col("m.similarity").alias("similarity"), (-F.col("m.back")).alias("start_word"))
+
+
+def without_contaminated(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which nothing was found; by id and text if ``found`` is keyed, else by id."""
+    keyed = "h" in found.columns and "g" in found.columns
+    keys = seal(found.select(F.col(id_col).cast("long").alias("_found_id"), *([F.col("h").alias("_found_h"), F.col("g").alias("_found_g")] if keyed else [])).distinct())
+    same = F.col(id_col).cast("long") == F.col("_found_id")
+    if keyed:
+        h, g = text_key(text_col)
+        same &= (h == F.col("_found_h")) & (g == F.col("_found_g"))
+    return docs.join(sized(keys), same, "left_anti")

@@ -5,13 +5,14 @@ scored by its character n-grams: the longest length of which some n-gram is know
 the next shorter one, down to single characters.
 
 The model is fitted on a bounded sample of the labelled rows (``docs_per_language``, picked by a
-hash of the id, so that reruns agree) and holds at most ``max_words`` words and ``max_grams``
-n-grams; it is therefore small enough to send to every executor whatever the corpus. Prediction
-runs over every whole text in Arrow batches without any shuffle.
+hash of the id, so that reruns agree). That sample is the only bound: every language, every word of it
+that occurs twice, however long, and every n-gram of its words is in the model, whose size follows the
+sample's and not the corpus. Prediction runs over every whole text in Arrow batches without any shuffle.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; rows without id,
 text or lang are never learned from; with nothing to learn from every text is ``und``. Repeated
-rows are predicted alike, ties go to the language that sorts first, other columns are ignored.
+rows are predicted alike, ties go to the language that sorts first, texts of any length are read whole,
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,11 +44,13 @@ def _grams(word: str, n: int) -> list[str]:
 class Logs:
     """Log frequencies by language of some strings, as rows of one matrix."""
 
-    def __init__(self, counts: dict[str, np.ndarray], most: int, languages: int):
-        total = sum(counts.values(), np.zeros(languages)) + 1.0
-        kept = sorted(counts, key=lambda w: (-counts[w].sum(), w))[:most]
-        self.row = {w: i for i, w in enumerate(kept)}
-        self.matrix = np.array([np.log((counts[w] + 0.5) / (total + 0.5 * len(counts))) for w in kept]).reshape(len(kept), languages)
+    def __init__(self, strings: list[str], counts: np.ndarray, languages: int):
+        """counts: a row for each string (which may repeat), a column for each language."""
+        names = sorted(set(strings))
+        self.row = dict(zip(names, range(len(names))))
+        summed = np.zeros((len(names), languages))
+        np.add.at(summed, [self.row[x] for x in strings], counts)
+        self.matrix = np.log((summed + 0.5) / (summed.sum(0) + 1.0 + 0.5 * len(names)))
 
     def mean(self, strings: list[str]) -> np.ndarray | None:
         """Of those that are known; None if none is."""
@@ -62,19 +65,14 @@ class BackoffModel:
         self.languages, self.words, self.grams = languages, words, grams
 
     @classmethod
-    def of_counts(cls, languages: list[str], words: dict[str, np.ndarray], max_words: int, max_grams: int, longest: int) -> BackoffModel:
-        """words: occurrences in each language, of the sample."""
+    def of_counts(cls, languages: list[str], words: list[str], counts: np.ndarray, longest: int) -> BackoffModel:
+        """counts: occurrences of each word in each language, of the sample."""
         grams: list[Logs] = []
         for n in range(1, longest + 1):
-            counts: dict[str, np.ndarray] = {}
-            for w, c in words.items():
-                for g in _grams(w, n):
-                    if (x := counts.get(g)) is None:
-                        counts[g] = c.copy()
-                    else:
-                        x += c
-            grams.append(Logs(counts, max_grams, len(languages)))
-        return cls(languages, Logs({w: c for w, c in words.items() if c.sum() > 1}, max_words, len(languages)), grams)
+            found = [(g, i) for i, w in enumerate(words) for g in _grams(w, n)]
+            grams.append(Logs([g for g, _ in found], counts[[i for _, i in found]], len(languages)))
+        often = counts.sum(1) > 1
+        return cls(languages, Logs([w for w, x in zip(words, often) if x], counts[often], len(languages)), grams)
 
     def score(self, word: str) -> np.ndarray:
         """Log likelihoods by language, of an unseen word the mean of its n-grams' of one length."""
@@ -122,14 +120,14 @@ class _Scores(dict):
         return self.model.languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 1000, max_words: int = 60_000, max_grams: int = 40_000, longest: int = 5, max_languages: int = 500) -> BackoffModel:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 1000, longest: int = 5) -> BackoffModel:
     """Fits on about ``docs_per_language`` documents of each language, all of a rarer one."""
     rows = labelled.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = rows.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
-        return BackoffModel([], Logs({}, 0, 0), [])
+        return BackoffModel([], Logs([], np.zeros((0, 0)), 0), [])
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, docs_per_language / sizes[k])))])[F.col("lang")]
     sample = rows.where((F.pmod("h", F.lit(1 << 30)) / float(1 << 30)) < share)
     at = {k: i for i, k in enumerate(languages)}
@@ -139,16 +137,16 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             seen: dict[tuple[str, str], int] = {}
             for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 for w in LETTERS.findall(text.lower()):
-                    if len(w) <= 40:
-                        seen[w, lang] = seen.get((w, lang), 0) + 1
+                    seen[w, lang] = seen.get((w, lang), 0) + 1
             columns = [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["w", "lang", "n"])
 
     counts = sample.mapInArrow(count, "w string, lang string, n long").groupBy("w", "lang").agg(F.sum("n").alias("n"))
-    words: dict[str, np.ndarray] = {}
-    for r in counts.orderBy(F.desc("n"), "w", "lang").limit(4 * max_words).toLocalIterator():
-        words.setdefault(r["w"], np.zeros(len(languages)))[at[r["lang"]]] += r["n"]
-    return BackoffModel.of_counts(languages, words, max_words, max_grams, longest)
+    found = counts.toPandas()
+    words = sorted(set(found["w"]))
+    row, matrix = dict(zip(words, range(len(words)))), np.zeros((len(words), len(languages)))
+    matrix[found["w"].map(row).to_numpy(int), found["lang"].map(at).to_numpy(int)] = found["n"].to_numpy(float)
+    return BackoffModel.of_counts(languages, words, matrix, longest)
 
 
 def predict(docs: DataFrame, model: BackoffModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ndspark.llm.common import Joined, Scratch, WordHashes, link_groups, mix, numbered, overlaps, seal, seeds, signatures, sized, windows, words_of
+from ndspark.llm.common import Joined, Scratch, WordHashes, link_groups, mix, numbered, overlaps, seal, seeds, signatures, sized, text_key, windows, words_of
 
 K, PICKED, THRESHOLD, MISSED = 5, 2, 0.8, 0.06
 _C = np.uint64(0xD6E8FEB86659FD93)
@@ -166,7 +166,7 @@ def edit_similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, sketches: int | None = None, picked: int = PICKED) -> DataFrame:
-    """(id, h1, h2, n, sign, keys): h1 and h2 hash the word sequence, null without words; n words; sign has a bit for each word."""
+    """(id, h, g, h1, h2, n, sign, keys): h and g are the text's key; h1 and h2 hash the word sequence, null without words; n words; sign has a bit for each word."""
     sketches = sketches or sketches_for(THRESHOLD, k, picked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,10 +181,10 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
                 signs = signatures(mix(h + numbered(h, owner).astype(np.uint64) * _C), owner, len(words))
                 keys = order_min_hashes(h, ends, sketches, k, picked)
                 lists = [keys[j] if w else [] for j, w in enumerate(words)]
-                columns = [part.column(0), *[pa.array([c[j] for c in contents], pa.int64()) for j in (0, 1)], pa.array([len(w) for w in words], pa.int32()), pa.array([x.tobytes() for x in signs], pa.binary()), pa.array(lists, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "h1", "h2", "n", "sign", "keys"])
+                columns = [part.column(0), part.column(2), part.column(3), *[pa.array([c[j] for c in contents], pa.int64()) for j in (0, 1)], pa.array([len(w) for w in words], pa.int32()), pa.array([x.tobytes() for x in signs], pa.binary()), pa.array(lists, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "h", "g", "h1", "h2", "n", "sign", "keys"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, h1 long, h2 long, n int, sign binary, keys array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *text_key(text_col)).mapInArrow(run, "id long, h long, g long, h1 long, h2 long, n int, sign binary, keys array<long>")
 
 
 def _content(h: np.ndarray) -> tuple[int, int] | tuple[None, None]:
@@ -217,8 +217,11 @@ def _aligned(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, sketches: int | None = None, picked: int = PICKED, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, component_id, kept) of every row; kept is true for the smallest id of each class."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, sketches: int | None = None, picked: int = PICKED, threshold: float = THRESHOLD, keyed: bool = False) -> DataFrame:
+    """(id, component_id, kept) of every row; kept is true for the smallest id of each class.
+
+    ``keyed`` adds h and g, the key of the row's text, and group, which rows of one class share and no others (null without words).
+    """
     spark = docs.sparkSession
     both = ["h1", "h2"]
     with Scratch(spark) as scratch:
@@ -265,8 +268,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         merged = classes.select("class", *both, "first", "copied").join(linked.withColumnRenamed("id", "class"), "class", "left").where("copied or component is not null")
         merged = scratch.save(merged.select(*both, "first", F.coalesce("component", "class").alias("group")))
         lead = merged.groupBy("group").agg(F.min("first").alias("component"))
-        merged = scratch.save(merged.join(lead, "group").select(*both, "component").distinct())
-        out = rows.select("id", *both).alias("r").join(sized(merged, 1_000_000).alias("m"), F.expr("r.h1 = m.h1 and r.h2 = m.h2"), "left")
+        merged = scratch.save(merged.join(lead, "group").select(*both, "group", "component").distinct())
+        out = rows.select("id", "h", "g", *both).alias("r").join(sized(merged, 1_000_000).alias("m"), F.expr("r.h1 = m.h1 and r.h2 = m.h2"), "left")
         component = F.coalesce("component", F.col("r.id"))
-        out = out.select("id", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+        named = ["h", "g", F.coalesce("group", "r.h1").alias("group")] if keyed else []
+        out = out.select("id", *named, component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
         return seal(out).withColumnRenamed("id", id_col)

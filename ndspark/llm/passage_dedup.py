@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ndspark.llm.common import WORD, Joined, Scratch, WordHashes, connected_components, jaccard, link_groups, mix, overlaps, seal, seeds, shingles, sized, windows
+from ndspark.llm.common import WORD, Joined, Scratch, WordHashes, connected_components, jaccard, link_groups, mix, overlaps, seal, seeds, shingles, sized, text_key, windows
 from ndspark.llm.near_dup import edit_distance
 
 K, BANDS, ROWS, THRESHOLD = 5, 6, 3, 0.8
@@ -332,7 +332,7 @@ TEXT = ["id", "h", "g"]
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, h, g, text) of the rows with an id and a text; h and g are 128 bits of the text."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    return rows.select("id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), "text")
+    return rows.select("id", *text_key("text"), "text")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
@@ -434,7 +434,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 def report(docs: DataFrame, removals: DataFrame, components: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id, removed_words, removed_spans, kept) of every row; kept: nothing is removed from it."""
     lost = seal(removals.select(*[F.col(c).alias(f"_{c}") for c in TEXT], F.size("spans").alias("_n"), F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["words"]).alias("_w")))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.xxhash64(F.lit(1), text_col).alias("g"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), *text_key(text_col))
     out = rows.join(sized(lost, 1_000_000), F.expr("id = _id and h = _h and g = _g"), "left").join(sized(components.toDF("_doc", "component"), 1_000_000), F.expr("id = _doc"), "left")
     removed = F.coalesce("_w", F.lit(0)).cast("long")
     return out.select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("component_id"), removed.alias("removed_words"), F.coalesce("_n", F.lit(0)).alias("removed_spans"), (removed == 0).alias("kept"))
@@ -452,7 +452,8 @@ def remove(docs: DataFrame, removals: DataFrame, id_col: str = "doc_id", text_co
     keys = seal(spans.drop("_spans"))
     text = F.col(text_col)
     # a null text has hashes too, but none that is among those of the removals with the same id
-    same = (F.col(id_col).cast("long") == F.col("_span_id")) & (F.xxhash64(text) == F.col("_span_h")) & (F.xxhash64(F.lit(1), text) == F.col("_span_g")) & text.isNotNull()
+    h, g = text_key(text_col)
+    same = (F.col(id_col).cast("long") == F.col("_span_id")) & (h == F.col("_span_h")) & (g == F.col("_span_g")) & text.isNotNull()
     whole = docs.join(sized(keys), same, "left_anti")
     changed = docs.join(sized(spans), same).withColumn(text_col, cut(text, F.col("_spans"))).where(F.length(text_col) > 0)
     if length_col in columns:

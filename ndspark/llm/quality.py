@@ -16,7 +16,8 @@ For tables without addresses the site is the source and the path is the language
 Edge cases: null and empty texts have the shape of an empty text and are scored like others;
 null sites and paths are sites and paths of their own; without labelled rows of both classes the
 evidence is the prior alone (probability 0.5) and nothing is rejected; repeated rows are scored
-alike; other columns are ignored; every whole text counts.
+alike; of labels that repeat an id the larger values count, of labelled documents that do the text that sorts
+first is learned from; other columns are ignored, of ``labels`` too; every whole text counts.
 """
 
 from __future__ import annotations
@@ -31,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ndspark.llm.common import seal, sized, small_batches
+from ndspark.llm.common import seal, sized, small_batches, text_key
 
 SAMPLE_ROWS = 20_000
-#: Words of the sample kept for learning a lexicon, and how far beyond chance (log) one must be to enter it.
-MOST_WORDS, MARGIN = 200_000, 4.0
+#: How far beyond chance (log) a word must be to enter a lexicon, and the documents below which none can be (not a test).
+MARGIN, TESTED = 4.0, 5
 WORD = re.compile(r"[^\W\d_]+")
 SIGNS = re.compile(r"[#$%&*@^~<>{}\[\]\\=+|_]")
 LOUD = re.compile(r"[!?]")
@@ -110,24 +111,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-
     return w
 
 
-def _lexicon(counts: dict[str, np.ndarray], sizes: np.ndarray) -> frozenset[str]:
-    """Words whose share of documents of class 1 is too high for chance, over all words tried (Chernoff bound)."""
+def _lexicon(counts: DataFrame, zero: str, one: str, sizes: np.ndarray) -> frozenset[str]:
+    """Words whose share of documents of class 1 is too high for chance, over all words tested (Chernoff bound).
+
+    counts: (w, documents of each class). All words are judged where they lie; those that pass come to
+    the driver. As each needs some documents of the bounded sample, they are few.
+    """
     base = float(np.clip(sizes[1] / max(1, sizes.sum()), 1e-6, 1 - 1e-6))
-    bound, found = math.log(len(counts) + 1) + MARGIN, []
-    for w, (zero, one) in counts.items():
-        n = zero + one
-        r = one / n if n else 0.0
-        if r <= base or math.log((one + 0.5) / (zero + 0.5)) - math.log(base / (1 - base)) < 1.5:
-            continue
-        apart = r * math.log(r / base) + ((1 - r) * math.log((1 - r) / (1 - base)) if r < 1 else 0.0)
-        if n * apart > bound:
-            found.append(w)
-    return frozenset(found)
+    n = F.col(zero) + F.col(one)
+    tested = counts.where(n >= TESTED).count()
+    rows = counts.where(n > 0).select("w", zero, one, n.alias("n"), (F.col(one) / n).alias("r")).where(F.col("r") > base)
+    rows = rows.where(F.log((F.col(one) + 0.5) / (F.col(zero) + 0.5)) - math.log(base / (1 - base)) >= 1.5)
+    apart = F.col("r") * F.log(F.col("r") / base) + F.when(F.col("r") < 1, (1 - F.col("r")) * F.log((1 - F.col("r")) / (1 - base))).otherwise(0.0)
+    return frozenset(r["w"] for r in rows.where(F.col("n") * apart > math.log(tested + 1) + MARGIN).select("w").toLocalIterator())
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_cols: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> dict[str, Head]:
     """A head for each label, fitted on at most about ``sample_rows`` labelled documents."""
-    named = labels.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(label_cols)]).where("id is not null").dropDuplicates(["id"])
+    named = labels.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(label_cols)]).where("id is not null").groupBy("id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(label_cols))])
     total = named.count()
     if not total:
         return {c: Head() for c in label_cols}
@@ -135,7 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_cols: tuple[str, ...] = ("qual
     chosen = seal(named.where(keep))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     marks = [f"y{i}" for i in range(len(label_cols))]
-    rows = rows.select("text", *marks)
+    rows = rows.groupBy("id", *marks).agg(F.min("text").alias("text")).select("text", *marks)
+    rows = seal(rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,13 +154,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_cols: tuple[str, ...] = ("qual
 
     cells = [f"c{i}" for i in range(2 * len(marks))]
     counts = rows.mapInArrow(count, "w string, " + ", ".join(f"{c} long" for c in cells)).groupBy("w").agg(*[F.sum(c).alias(c) for c in cells])
-    seen = sum(F.col(c) for c in cells)
-    top = counts.where(seen >= 5 * len(marks)).orderBy(seen.desc(), "w").limit(MOST_WORDS)
-    words = {r["w"]: np.array([r[c] for c in cells]) for r in top.toLocalIterator()}
+    counts = seal(counts)
     sizes = np.array(rows.agg(*[F.coalesce(F.sum((F.col(y) == v).cast("long")), F.lit(0)) for y in marks for v in (0, 1)]).first())
     heads = {}
     for i, c in enumerate(label_cols):
-        heads[c] = Head(_lexicon({w: x[2 * i : 2 * i + 2] for w, x in words.items()}, sizes[2 * i : 2 * i + 2]))
+        heads[c] = Head(_lexicon(counts, cells[2 * i], cells[2 * i + 1], sizes[2 * i : 2 * i + 2]))
     lexicons = docs.sparkSession.sparkContext.broadcast([heads[c].lexicon for c in label_cols])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_cols: tuple[str, ...] = ("qual
     return heads
 
 
-def evidence(docs: DataFrame, heads: dict[str, Head], id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """(id, site, path, a logit for each head) of every row."""
+def evidence(docs: DataFrame, heads: dict[str, Head], id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", path_col: str = "lang", keyed: bool = False) -> DataFrame:
+    """(id, site, path, a logit for each head) of every row; ``keyed`` adds h and g, the key of its text."""
     shared = docs.sparkSession.sparkContext.broadcast(list(heads.values()))
     kind, names = docs.schema[id_col].dataType.simpleString(), [f"logit_{c}" for c in heads]
 
@@ -188,10 +188,11 @@ def evidence(docs: DataFrame, heads: dict[str, Head], id_col: str = "doc_id", te
             texts = batch.column(3).to_pylist()
             x = np.array([shape(t) + [hits(t, h.lexicon) for h in models] for t in texts]).reshape(len(texts), -1)
             x = _squares(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *[pa.array(h.logits(x), pa.float64()) for h in models]], ["id", "site", "path", *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *batch.columns[4:], *[pa.array(h.logits(x), pa.float64()) for h in models]], ["id", "site", "path", *key, *names])
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(site_col).cast("string").alias("site"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, f"id {kind}, site string, path string, " + ", ".join(f"{x} double" for x in names))
+    key = ["h", "g"] if keyed else []
+    picked = docs.select(F.col(id_col).alias("id"), F.col(site_col).cast("string").alias("site"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"), *(text_key(text_col) if keyed else []))
+    return picked.mapInArrow(run, f"id {kind}, site string, path string, " + "".join(f"{x} long, " for x in key) + ", ".join(f"{x} double" for x in names))
 
 
 def _logit(p):
@@ -226,13 +227,13 @@ def with_priors(scored: DataFrame, logit_col: str, prior: float, out: str) -> Da
     return joined.withColumn(out, 1 / (1 + F.exp(-(F.col(logit_col) - math.log(prior / (1 - prior)) + _logit(rate))))).drop("rate")
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", path_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(id, p_quality, p_toxic, accepted) of every row; rejected are documents of low quality and toxic ones."""
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", path_col: str = "lang", sample_rows: int = SAMPLE_ROWS, keyed: bool = False) -> DataFrame:
+    """(id, p_quality, p_toxic, accepted) of every row; rejected are documents of low quality and toxic ones; ``keyed`` adds h, g, site and path."""
     with small_batches(docs.sparkSession):
         heads = fit(docs, labels, ("quality", "toxic"), id_col, text_col, sample_rows)
-        scored = seal(evidence(docs, heads, id_col, text_col, site_col, path_col))
+        scored = seal(evidence(docs, heads, id_col, text_col, site_col, path_col, keyed))
     scored = with_priors(scored, "logit_quality", heads["quality"].prior, "p_quality")
     scored = with_priors(scored, "logit_toxic", heads["toxic"].prior, "p_toxic")
     known = [len(heads[c].weights) > 0 for c in ("quality", "toxic")]
     accepted = (F.col("p_quality") >= 0.5 if known[0] else F.lit(True)) & (F.col("p_toxic") < 0.5 if known[1] else F.lit(True))
-    return scored.select(F.col("id").alias(id_col), "p_quality", "p_toxic", accepted.alias("accepted"))
+    return scored.select(F.col("id").alias(id_col), *(["h", "g", "site", "path"] if keyed else []), "p_quality", "p_toxic", accepted.alias("accepted"))

@@ -46,7 +46,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as scratch:
-        packages = scratch.save(archives.write_packages(archives.plan_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))))
+        packages = scratch.save(archives.write_packages(archives.plan_records(spark.read.parquet(f"{sf_dir}/pages.parquet")), f"{scratch.root}/packages"))
         read = archives.read_packages(packages)
         return seal(read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 

@@ -315,6 +315,29 @@ def test_mixture(spark):
     assert sorted(map(str, found)) == sorted(map(str, again))
 
 
+def test_inclusion_follows_the_odds(spark):
+    """Over many seeds a document is sampled about as often as its inclusion odds say, and the sample keeps its size."""
+    r = random.Random(9)
+    rows = [(i, " ".join(["w"] * r.choice([5, 20, 80])), "a") for i in range(120)] + [(1000, " ".join(["w"] * 4000), "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    sizes = {i: len(t.split()) for i, t, s in rows if s == "a"}
+    total, seen, seeds = sum(sizes.values()), dict.fromkeys(sizes, 0), 24
+    for seed in range(seeds):
+        found = [x for x in mixing.mix(docs, weights=(1, 8, 1), total_share=0.4, seed=f"s{seed}").collect() if x["source"] == "a"]
+        missing = found[0]["target"] % total
+        assert abs(sum(x["taken"] for x in found) - found[0]["target"]) <= 80
+        for x in found:
+            seen[x["doc_id"]] += x["copies"] - int(x["target"] // total)
+    low, high = 1e-6, 1e6
+    for _ in range(100):
+        scale = (low * high) ** 0.5
+        p = {i: scale * n**0.5 / (1 + scale * n**0.5) for i, n in sizes.items()}
+        low, high = (scale, high) if sum(p[i] * n for i, n in sizes.items()) < missing else (low, scale)
+    for n in (5, 20, 80):
+        group = [i for i in sizes if sizes[i] == n]
+        assert sum(seen[i] for i in group) / seeds / len(group) == pytest.approx(p[group[0]], abs=0.08), n
+
+
 def test_mixture_of_nothing(spark):
     assert mixing.mix(table(spark, []).limit(0)).count() == 0
 
@@ -358,7 +381,7 @@ def test_contamination_matches_brute_force(spark):
         texts[k] = " ".join(words[:100] + [item.upper() if k % 2 else item] + words[100:])
     texts[8] = texts[8] + " " + edited(items[6][1], 70)
     texts[9] = items[6][1][: len(items[6][1]) // 2]
-    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(table(spark, texts + AWKWARD), spark.createDataFrame(items, "item_id long, text string"), block_items=3).collect()}
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(table(spark, texts + AWKWARD), spark.createDataFrame(items, "item_id long, text string"), block_words=60).collect()}
     assert found == {(i, i) for i in range(7)} | {(8, 6)}
     kept = decontaminate.without_contaminated(table(spark, texts), spark.createDataFrame(sorted(found), "doc_id long, item_id long"))
     assert {r["doc_id"] for r in kept.collect()} == set(range(20)) - {0, 1, 2, 3, 4, 5, 6, 8}
@@ -376,6 +399,35 @@ def test_hamming_index_finds_all_within_radius():
     assert (np.bitwise_count(asked[left] ^ prints[right]) <= 7).all()
 
 
+def test_long_items_and_many_equal_words(spark):
+    """Counters hold more than 65,535 words, and a long item takes no longer than its length."""
+    import time
+
+    assert decontaminate.bit_sums(np.full(70_000, 2**64 - 1, np.uint64))[-1].tolist() == [70_000] * 64
+    long = " ".join(random.Random(77).choices(WORDS, k=20_000))
+    began = time.time()
+    found = decontaminate.contaminated(table(spark, [prose(1, 500) + " " + long + " " + prose(2, 300), prose(3, 900)]), spark.createDataFrame([(1, long, "x", 5)], "item_id long, text string, id string, similarity int")).collect()
+    assert [(r["doc_id"], r["item_id"], r["similarity"], r["start_word"]) for r in found] == [(0, 1, 1.0, 500)] and time.time() - began < 60
+
+
+def test_sliding_counts_are_the_plain_ones():
+    from collections import Counter
+
+    r = random.Random(5)
+    for _ in range(200):
+        h = np.array([r.randrange(4) for _ in range(r.randrange(6, 60))], np.uint64)
+        n = r.randrange(1, len(h) + 1)
+        want = Counter(shingles(np.array([r.randrange(4) for _ in range(n)], np.uint64)).tolist())
+        starts = sorted({r.randrange(len(h) - n + 1) for _ in range(5)})
+        plain = []
+        for s in starts:
+            have = Counter(shingles(h[s : s + n]).tolist())
+            both = sum((want & have).values())
+            plain.append(both / (sum(want.values()) + sum(have.values()) - both))
+        got, at = decontaminate.best_span(h, want, n, starts)
+        assert got == pytest.approx(max(plain)) and (not got or plain[starts.index(at)] == pytest.approx(got))
+
+
 def test_contamination_of_nothing(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(table(spark, ["a b c d e"]), empty).count() == 0
@@ -406,11 +458,26 @@ def test_rules_need_their_order(spark):
 # ---- archives -----------------------------------------------------------------------------
 
 
+def digest(payload):
+    import hashlib
+
+    return hashlib.sha256(payload).hexdigest()
+
+
+def test_a_changed_payload_is_noticed():
+    import io
+
+    row = {"page_id": 1, "url": "u", "record_type": "response", "payload_digest": digest(b"abc"), "payload_bytes": 3, "refers_to": None}
+    (content,) = archives.package([(row, b"abd")])
+    with pytest.raises(ValueError, match="payload"):
+        list(archives.read_file(io.BytesIO(content)))
+
+
 @pytest.mark.parametrize("zip64", [False, True])
 def test_package_round_trip(zip64, tmp_path):
     import zipfile
 
-    rows = [({"page_id": i, "url": f"http://x/{i}", "record_type": "response", "payload_digest": "d", "payload_bytes": 5 + i, "refers_to": None}, b"x" * (5 + i)) for i in range(50)]
+    rows = [({"page_id": i, "url": f"http://x/{i}", "record_type": "response", "payload_digest": digest(b"x" * (5 + i)), "payload_bytes": 5 + i, "refers_to": None}, b"x" * (5 + i)) for i in range(50)]
     (content,) = archives.package(rows, zip64=zip64)
     path = tmp_path / "a.wacz"
     path.write_bytes(content)
@@ -422,7 +489,7 @@ def test_package_round_trip(zip64, tmp_path):
 
 
 def test_only_ranges_are_read():
-    rows = [({"page_id": i, "url": "u", "record_type": "response", "payload_digest": "d", "payload_bytes": 2000, "refers_to": None}, random.Random(i).randbytes(2000)) for i in range(200)]
+    rows = [({"page_id": i, "url": "u", "record_type": "response", "payload_digest": digest(random.Random(i).randbytes(2000)), "payload_bytes": 2000, "refers_to": None}, random.Random(i).randbytes(2000)) for i in range(200)]
     (content,) = archives.package(rows)
     read = []
 
@@ -434,14 +501,14 @@ def test_only_ranges_are_read():
     assert sum(read) < len(content) / 3
 
 
-def test_archives_of_a_table(spark):
+def test_archives_of_a_table(spark, tmp_path):
     big, small = "p" * 150, "p" * 20
     pages = spark.createDataFrame([(5, "u", big), (3, "u", big), (9, None, big), (1, "u", small), (2, "u", small), (7, "u", None), (8, "u\r\nX: y", "é" * 80)], "page_id long, url string, html string")
-    found = by_id(archives.read_packages(archives.write_packages(archives.plan_records(pages), 300)), "page_id")
+    found = by_id(archives.read_packages(archives.write_packages(archives.plan_records(pages), f"file:{tmp_path}", 300)), "page_id")
     assert {k: r["refers_to"] for k, r in found.items()} == {5: 3, 3: None, 9: 3, 1: None, 2: None, 7: None, 8: None}
     assert found[8]["payload_bytes"] == 160 and found[9]["payload_bytes"] == 150 and found[9]["payload"] is None
     assert bytes(found[8]["payload"]).decode() == "é" * 80
-    assert archives.read_packages(archives.write_packages(archives.plan_records(pages.limit(0)))).count() == 0
+    assert archives.read_packages(archives.write_packages(archives.plan_records(pages.limit(0)), f"file:{tmp_path}")).count() == 0
 
 
 def test_broken_packages():

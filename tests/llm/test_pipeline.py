@@ -1,5 +1,6 @@
 """The pipeline on a small corpus with planted cases, each stage against plain Python."""
 
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_llm import edited, prose
@@ -53,12 +54,18 @@ def test_stages(spark, tmp_path):
 def test_repeated_and_missing_ids(spark, tmp_path):
     folder = f"file://{tmp_path}"
     corpus(spark, folder)
-    rows = [(1, "a b c", "en", "s", 5), (1, "a b c", "en", "s", 5), (None, "x", "en", None, 1), (None, None, None, None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    other = prose(40, 90)
+    rows = [(1, "a b c", "en", "s", 5), (1, "a b c", "en", "s", 5), (1, other, "en", "s", 5), (None, "x", "en", None, 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("size", F.lit("clash")).withColumn("h", F.lit(1)).withColumn("id", F.lit(2))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, folder)
-        assert out.count() == (3 if name == "near_dup" else 4), name
-    assert corpus_pipeline.mixing_stage(spark, docs, folder).count() <= 2
+        assert out.count() == (4 if name == "near_dup" else 5) and out.columns == docs.columns, name
+        assert out.where(F.col("text") == other).count() == 1
+        assert stage(spark, docs.limit(0), folder).count() == 0
+    mixed = corpus_pipeline.mixing_stage(spark, docs, folder).collect()
+    # every source is at its stop of two copies but the one of null, which has a weight of its own
+    assert {(r["doc_id"], r["text"]) for r in mixed} >= {(1, other), (None, "x")} and all(r["taken"] == r["copies"] * r["size"] for r in mixed)
+    assert corpus_pipeline.mixing_stage(spark, docs.limit(0), folder).count() == 0
 
 
 def test_empty_corpus(spark, tmp_path):
