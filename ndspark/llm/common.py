@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 WORD = re.compile(r"\w+")
-_CACHE_WORDS = 150_000
+_CACHE_WORDS = 60_000
+#: Texts whose words are held as one sequence at a time.
+GROUP = 64
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -233,7 +235,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 #: Members of a block when a group is compared pair by pair; a unit of work holds two blocks.
 BLOCK = 128
 #: The same where only signatures are compared, and bits of a signature.
-SIGN_BLOCK, SIGN_BITS = 512, 2048
+SIGN_BLOCK, SIGN_BITS = 384, 2048
 #: Members of a bucket that others are compared with in turn, before all are compared.
 ROUNDS = 2
 
@@ -261,6 +263,7 @@ def _units(left: DataFrame, columns: DataFrame, run: Callable[[pa.Table], pa.Rec
         for part in groups_of(batches, "unit"):
             if part.num_rows > 1 and (out := run(part)) is not None:
                 yield out
+        pa.default_memory_pool().release_unused()
 
     return units.mapInArrow(parts, schema)
 

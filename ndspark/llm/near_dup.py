@@ -32,14 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ndspark.llm.common import Joined, Scratch, WordHashes, link_groups, mix, numbered, overlaps, seal, seeds, signatures, sized, text_key, windows, words_of
+from ndspark.llm.common import GROUP, Joined, Scratch, WordHashes, link_groups, mix, numbered, overlaps, seal, seeds, signatures, sized, text_key, windows, words_of
 
 K, PICKED, THRESHOLD, MISSED = 5, 2, 0.8, 0.06
 _C = np.uint64(0xD6E8FEB86659FD93)
 _S = np.uint64(29)
-#: Low bits of a value that hold a position instead of the hash; texts read as one sequence.
+#: Low bits of a value that hold a position instead of the hash.
 _LOW = np.uint64((1 << 28) - 1)
-GROUP = 200
 
 
 def sketches_for(threshold: float = THRESHOLD, k: int = K, picked: int = PICKED, missed: float = MISSED) -> int:
@@ -183,6 +182,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
                 lists = [keys[j] if w else [] for j, w in enumerate(words)]
                 columns = [part.column(0), part.column(2), part.column(3), *[pa.array([c[j] for c in contents], pa.int64()) for j in (0, 1)], pa.array([len(w) for w in words], pa.int32()), pa.array([x.tobytes() for x in signs], pa.binary()), pa.array(lists, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "h", "g", "h1", "h2", "n", "sign", "keys"])
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *text_key(text_col)).mapInArrow(run, "id long, h long, g long, h1 long, h2 long, n int, sign binary, keys array<long>")
 

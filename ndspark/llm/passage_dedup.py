@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ndspark.llm.common import WORD, Joined, Scratch, WordHashes, connected_components, jaccard, link_groups, mix, overlaps, seal, seeds, shingles, sized, text_key, windows
+from ndspark.llm.common import GROUP, WORD, Joined, Scratch, WordHashes, connected_components, jaccard, link_groups, mix, overlaps, seal, seeds, shingles, sized, text_key, windows
 from ndspark.llm.near_dup import edit_distance
 
 K, BANDS, ROWS, THRESHOLD = 5, 6, 3, 0.8
@@ -190,10 +190,6 @@ def min_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, bands: int =
     return acc.view(np.int64)
 
 
-#: Texts that are read as one sequence.
-GROUP = 200
-
-
 def _units(docs: DataFrame, bands: int, rows: int, min_words: int, run_words: int) -> DataFrame:
     """(id, h, g, n, seeds, runs, paragraphs) from (id, h, g, text): number of words, hashes of the seeds and of what follows them; hash and band keys of each paragraph."""
     kind = pa.list_(pa.struct([("hash", pa.int64()), ("keys", pa.list_(pa.int64()))]))
