@@ -141,7 +141,8 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
                 at = i + 1
             continue
         name, closing, at = m[1].lower(), page[i + 1] == "/", m.end()
-        if not closing and (name in HIDDEN_TAGS or name in RAW_TAGS) and not m[2].endswith("/"):
+        # only foreign elements can close themselves
+        if not closing and (name in HIDDEN_TAGS or name in RAW_TAGS) and not (name in ("svg", "math") and m[2].endswith("/")):
             lowered = lowered or page.lower()
             if len(lowered) != n:  # lower-casing changed the length: search as it is
                 lowered = page

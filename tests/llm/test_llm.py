@@ -250,6 +250,10 @@ def test_article_text():
     assert html_text.main_text(PAGE) == "A & B\nFirst <para> with spaces\nShort."
 
 
+def test_a_script_does_not_close_itself():
+    assert html_text.main_text("<article><p>One text.</p><script src=/a/b/>var x = 1;</script><svg/><p>Two of it.</p></article>") == "One text.\nTwo of it."
+
+
 def test_marked_paragraphs_and_articles():
     page = """<header><h2>Site</h2></header><main><article class="post"><p class="ad-banner">Buy it now</p><p>The text of it.</p><div id="sidebar">By the way</div></article>
     <article class="comment">I was the first to say that it is so.</article></main>"""
