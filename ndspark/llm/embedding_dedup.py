@@ -60,12 +60,17 @@ def missed(cosine: float, bits: int, tables: int) -> float:
     return (1 - (1 - math.acos(cosine) / math.pi) ** bits) ** tables
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """The vector times a power of two, so that its largest component is near 1: exact, and no square overflows or vanishes."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max())[1])
+
+
 def _signed(rows: DataFrame, bits: int, tables: int) -> DataFrame:
     """(id, n, pool, signs, vec) with packed doubles from (id, n, pool, vec)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = [np.array(x, np.float64) for x in batch.column(3).to_pylist()]
+            vectors = [_scaled(np.array(x, np.float64)) for x in batch.column(3).to_pylist()]
             signs: list = [None] * len(vectors)
             for dim in {len(v) for v in vectors}:
                 at = [i for i, v in enumerate(vectors) if len(v) == dim]

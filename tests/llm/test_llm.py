@@ -370,6 +370,13 @@ def test_embedding_links_match_brute_force(spark):
     assert all(embedding_dedup.missed(0.98, *embedding_dedup.parameters(n)) <= 1e-5 for n in (0, 10, 10**4, 10**9))
 
 
+def test_embeddings_of_any_magnitude(spark):
+    v = np.random.default_rng(4).standard_normal(16)
+    rows = [(i, (v * m).tolist(), 1) for i, m in enumerate((1.0, 1e200, 1e-200, 1e307, -1.0))]
+    found = by_id(embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")), "vec_id")
+    assert [(found[i]["n_links"], found[i]["component_id"]) for i in range(5)] == [(3, 0)] * 4 + [(0, 4)]
+
+
 def test_embeddings_of_nothing(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
