@@ -279,11 +279,13 @@ def _asked(part: pa.Table) -> np.ndarray:
 
 def _met_before(buckets: pa.ChunkedArray, key: int) -> np.ndarray:
     """Pairs of members that share a bucket with a smaller key: they are compared there."""
-    lists = [[k for k in x if k < key] for x in buckets.to_pylist()]
-    column = {k: i for i, k in enumerate(sorted(set().union(*lists)))}
-    held = np.zeros((len(lists), len(column)), np.float32)
-    for i, x in enumerate(lists):
-        held[i, [column[k] for k in x]] = 1
+    lists = buckets.combine_chunks()
+    keys = lists.flatten().to_numpy()
+    who = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    who, keys = who[keys < key], keys[keys < key]
+    distinct, column = np.unique(keys, return_inverse=True)
+    held = np.zeros((len(lists), len(distinct)), np.float32)
+    held[who, column] = 1
     return held @ held.T > 0
 
 
@@ -305,7 +307,8 @@ def link_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], paylo
     First every item is compared with the first of each of its buckets, which joins most groups
     into one component. In buckets that still hold several, signatures (a few hundred bytes) show
     exactly which members can have a partner in another component; these are compared with another member
-    of the bucket, for a few rounds, and what then stays open is compared in full. Everything runs within
+    of the bucket, for a few rounds, and what then stays open is compared in full. Open buckets that share their
+    first member (sketches of one passage) are looked at as one where that is less work. Everything runs within
     bounded units of work (two blocks of members, chosen by a hash): a unit yields only members, or links
     that connect what was not connected, so no list of pairs is ever written and no group lands in one task.
     """
@@ -328,17 +331,30 @@ def link_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], paylo
         return scratch.save(verify(scratch.save(pairs)))
 
     def partners(part: pa.Table) -> pa.RecordBatch | None:
-        ask, x, n = _asked(part), _matrix(part.column("sign")), part.column("n").to_numpy()
+        sides, n = part.column("own").to_numpy(), part.column("n").to_numpy()
+        bits = np.unpackbits(_matrix(part.column("sign")).view(np.uint8), axis=1).astype(np.float32)
+        # a unit of two blocks compares one with the other, else the block with itself
+        rows = np.flatnonzero(sides == sides.min())
+        columns = np.flatnonzero(sides == sides.max())
+        held, n = bits.sum(1), n.astype(np.float64)
+        x, y = n[rows][:, None], n[columns][None, :]
+        both = bits[rows] @ bits[columns].T
+        may = _asked(part)[np.ix_(rows, columns)] & (np.minimum(x, y) >= 0.5 * np.maximum(x, y))
+        may &= (held[rows][:, None] - both <= most(x, y)) & (held[columns][None, :] - both <= most(y, x))
         has = np.zeros(len(n), bool)
-        for i in range(len(n)):
-            j = np.flatnonzero(ask[i, i + 1 :] & (np.minimum(n[i], n[i + 1 :]) >= 0.5 * np.maximum(n[i], n[i + 1 :]))) + i + 1
-            if len(j):
-                j = j[np.bitwise_count(x[i] & ~x[j]).sum(1) <= most(n[i], n[j])]
-                j = j[np.bitwise_count(x[j] & ~x[i]).sum(1) <= most(n[j], n[i])]
-                has[j] = True
-                has[i] |= len(j) > 0
+        has[rows] = may.any(1)
+        has[columns] |= may.any(0)
         return pa.RecordBatch.from_arrays([pa.array(part.column(c).to_numpy()[has], pa.int64()) for c in ("key", "id", "component")], ["key", "id", "component"]) if has.any() else None
 
+    def fused(left: DataFrame) -> DataFrame:
+        """``left`` with buckets that have the same first member as one bucket, wherever that leaves fewer pairs to look at."""
+        first = scratch.save(left.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")))
+        alone = first.groupBy("first").agg(F.sum(F.col("n") * F.col("n").cast("double")).alias("pairs"), F.count(F.lit(1)).alias("keys")).where("keys > 1")
+        members = left.join(sized(first.select("key", "first")), "key")
+        together = members.select("first", "id").distinct().groupBy("first").agg(F.count(F.lit(1)).alias("n"))
+        better = scratch.save(alone.join(together, "first").where(F.col("n").cast("double") * F.col("n") <= F.col("pairs")).select("first", F.xxhash64("first", F.lit(7)).alias("whole")))
+        return scratch.save(members.join(sized(better), "first", "left").select(F.coalesce("whole", "key").alias("key"), "id", "component").distinct())
+
     def still_open(members: DataFrame, label: DataFrame) -> DataFrame:
         """(key, id, component) of the members that may have a partner in another component."""
         named = members.select("key", "id").join(sized(label), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
@@ -346,7 +362,7 @@ def link_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], paylo
         left = scratch.save(named.join(sized(scratch.save(open_)), "key"))
         if signs is None or left.isEmpty():
             return left
-        return scratch.save(_units(left, signs, partners, "key long, id long, component long", SIGN_BLOCK).distinct())
+        return scratch.save(_units(fused(left), signs, partners, "key long, id long, component long", SIGN_BLOCK).distinct())
 
     def joined(label: DataFrame, links: DataFrame) -> DataFrame:
         # what is connected already goes in as stars
