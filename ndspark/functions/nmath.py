@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from ndspark import dtypes as dt
 from ndspark.dtypes import DType
@@ -26,14 +27,10 @@ def _erfc(x: pd.Series) -> pd.Series:
     return x.map(math.erfc)
 
 
-@F.pandas_udf(DoubleType())
-def _mantissa(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: math.frexp(v)[0])
-
-
-@F.pandas_udf(IntegerType())
-def _exponent(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: math.frexp(v)[1])
+@F.pandas_udf(StructType().add("m", DoubleType()).add("e", IntegerType()))
+def _frexp(x: pd.Series) -> pd.DataFrame:
+    m, e = np.frexp(x.to_numpy(np.float64))
+    return pd.DataFrame({"m": m, "e": np.where(np.isfinite(m), e, 0).astype(np.int32)})
 
 
 UNARY = {
@@ -74,6 +71,7 @@ def binary(name: str, a: Column, b: Column, t: DType) -> tuple[Column, DType]:
 
 
 def frexp(a: Column, t: DType) -> tuple[tuple[Column, Column], DType]:
-    """Mantissa in [0.5, 1) and exponent (Int32)."""
+    """Mantissa in [0.5, 1) and exponent (Int32); zero, NaN and infinities are their own mantissa, with exponent 0."""
     out = result_type(t)
-    return (_mantissa(a.cast("double")).cast(out.spark), _exponent(a.cast("double"))), out
+    both = _frexp(a.cast("double"))
+    return (both["m"].cast(out.spark), both["e"]), out

@@ -14,7 +14,7 @@ from ndspark import dtypes as dt
 from ndspark.dtypes import DType
 from ndspark.errors import OperationError, ShapeError, ValueRangeError
 from ndspark.functions import aggregates as ag
-from ndspark.plans.order import dense_index
+from ndspark.plans.order import running_counts
 
 if TYPE_CHECKING:
     from ndspark.array import NDArray
@@ -112,9 +112,9 @@ class Reducing:
             raise ShapeError("an empty array can't be reduced")
         rows = self.base.select(self.value.alias("v"))
         rows = rows.where(~F.isnan("v")) if self.dtype.is_float else rows
-        ranked = dense_index(rows, [F.col("v")])
-        n = ranked.count()
-        middle = ranked.where(F.col("i0").isin((n - 1) // 2, n // 2)).agg(F.min("v").alias("a"), F.max("v").alias("b"))
+        counts = running_counts(rows, "v")
+        n = counts.agg(F.max("upto")).first()[0] or 0
+        middle = counts.agg(*[F.min(F.when(F.col("upto") > r, F.col("v"))).alias(c) for c, r in (("a", (n - 1) // 2), ("b", n // 2))])
         if self.dtype.is_float:
             value = F.coalesce(((F.col("a").cast("double") + F.col("b").cast("double")) / 2), F.lit(float("nan"))).cast(self.dtype.spark)
         else:
@@ -123,9 +123,19 @@ class Reducing:
         return self._frame(middle.select(*[F.lit(0).cast("bigint").alias(f"i{k}") for k in range(len(shape))], value.alias("v")), shape)
 
     def percentile(self: NDArray, q: float, axis=None, keepdims: bool = False) -> NDArray:
-        """Linear interpolation at rank q / 100 * (n - 1)."""
+        """Linear interpolation at rank q / 100 * (n - 1); over all axes by counted values in a distributed order."""
         if not 0 <= q <= 100:
             raise ValueRangeError("q must be between 0 and 100")
+        if axis is None and self.ndim and self.size and (self.dtype.is_int or self.dtype.is_float):
+            out = dt.DFloat if self.dtype.is_int else self.dtype
+            counts = running_counts(self.base.select(self.value.cast("double").alias("v")), "v")
+            rank = q / 100 * (self.size - 1)
+            ends = (("a", math.floor(rank)), ("b", math.ceil(rank)))
+            found = counts.agg(*[F.min(F.when(F.col("upto") > r, F.col("v"))).alias(c) for c, r in ends])
+            part = rank - math.floor(rank)
+            value = (F.col("a") * (1 - part) + F.col("b") * part if part else F.col("a")).cast(out.spark)
+            shape = [1] * self.ndim if keepdims else []
+            return self._frame(found.select(*[F.lit(0).cast("bigint").alias(f"i{k}") for k in range(len(shape))], value.alias("v")), shape, out)
         return self._reduce(lambda v, t: ag.percentile(v, q, t), axis, keepdims)
 
     def prod(self: NDArray, axis=None, keepdims: bool = False, nan: bool = False) -> NDArray:

@@ -45,11 +45,14 @@ class Scanning:
             return self._frame(rows.select(*names, value(aggregate(x).over(w), F.count(x).over(w)).alias("v")), self.shape)
         state = F.struct(F.coalesce(aggregate(x), start).alias("s"), F.count(x).alias("n"))
 
-        def carry(before: Column, own: Column) -> Column:
-            whole = F.aggregate(before, own, lambda acc, p: F.struct(join(acc["s"], p["s"]).alias("s"), (acc["n"] + p["n"]).alias("n")))
-            return value(whole["s"], whole["n"])
+        def before(earlier) -> Column:
+            n = F.coalesce(F.sum("_total.n").over(earlier), F.lit(0))
+            return F.struct(F.coalesce(aggregate(F.col("_total.s")).over(earlier), start).alias("s"), n.alias("n"))
 
-        placed = prefix(rows, [F.col("f")], _Pair(aggregate(x), F.count(x), start), state, carry, "v")
+        def carry(offset: Column, own: Column) -> Column:
+            return value(join(offset["s"], own["s"]), offset["n"] + own["n"])
+
+        placed = prefix(rows, [F.col("f")], _Pair(aggregate(x), F.count(x), start), state, before, carry, "v")
         return self._frame(placed.select(*names, "v"), self.shape)
 
     def cumsum(self: NDArray, axis: int | None = None, nan: bool = False) -> NDArray:

@@ -34,6 +34,8 @@ HOLES = "SELECT event_id AS i, CAST(user_id AS BIGINT) AS u, CASE WHEN event_id
 KEYS = "SELECT o_orderkey AS i, CAST(o_custkey AS BIGINT) AS a, CAST(o_orderkey % 97 + 1 AS BIGINT) AS b, CAST(o_orderkey % 5 AS BIGINT) AS s, o_totalprice AS t FROM orders"
 LINES = "SELECT CAST(l_linenumber AS BIGINT) AS i0, l_orderkey AS i1, l_quantity AS q, l_extendedprice AS e, l_discount AS d, l_tax AS t, l_partkey AS p, l_returnflag AS f FROM lineitem"
 VECTORS = "SELECT vec_id AS i0, embedding AS r, label FROM embeddings"
+#: The error function as a series of positive terms, added up to where they vanish for arguments up to 6.
+ERF = "CASE WHEN {0} = 0 THEN 0 ELSE sign({0}) * 2 / sqrt(pi()) * list_sum(list_transform(range(0, 240), lambda n: exp(2 * n * ln(2) + lgamma(n + 1) - lgamma(2 * n + 2) + (2 * n + 1) * ln(abs({0})) - {0} * {0}))) END"
 #: The oracle's view of the vectors by element.
 ELEMENTS = "SELECT vec_id AS i0, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i1, label FROM embeddings"
 WIDTH = 64
@@ -123,7 +125,8 @@ def _elementwise() -> None:
     over("elementwise_map", EVENTS, lambda df: x(df).map(lambda v: v * 3 - 1), R("x * 3 - 1"))
     over("elementwise_map_with_index", EVENTS, lambda df: x(df).map_with_index(lambda v, i: v + i), R("x + i"))
     register("elementwise_modf", lambda s, d: pair(*y(base(s, d, EVENTS)).modf()), f"WITH base AS ({EVENTS}) SELECT i AS i0, {R('y - trunc(y)')} AS v, {R('trunc(y)')} AS w FROM base")
-    register("elementwise_frexp", lambda s, d: pair(*x(base(s, d, EVENTS)).math("frexp")))
+    # thirds, since halves of decimals would lie midway between two rounded mantissas
+    register("elementwise_frexp", lambda s, d: pair(*(x(base(s, d, EVENTS)) / 3.0).math("frexp")), f"WITH base AS (SELECT i, x / 3 AS x FROM ({EVENTS})), g AS (SELECT i, x, CASE WHEN x = 0 THEN 0 ELSE floor(log2(abs(x))) + 1 END AS e FROM base), h AS (SELECT i, x, e + CASE WHEN abs(x) >= pow(2.0, e) THEN 1 WHEN abs(x) < pow(2.0, e - 1) AND x <> 0 THEN -1 ELSE 0 END AS e FROM g) SELECT i AS i0, {R('x / pow(2.0, e)')} AS v, e::BIGINT AS w FROM h")
     for name, sql in {"isnan": "isnan(z)", "isinf": "isinf(z)", "isposinf": f"z = {inf}", "isneginf": f"z = -{inf}", "isfinite": "isfinite(z)"}.items():
         over(f"predicate_{name}", EVENTS, lambda df, n=name: getattr((lambda w: w / w)(y(df)) if n == "isnan" else x(df) / y(df), n)(), f"SELECT i AS i0, {sql} AS v FROM (SELECT i, {quotient if name != 'isnan' else f'CASE WHEN y = 0 THEN {nan} ELSE 1.0 END'} AS z FROM base)")
     over("predicate_signbit", EVENTS, lambda df: y(df).signbit(), "y < 0")
@@ -152,16 +155,13 @@ def _elementwise() -> None:
         "log10": ("abs(x)", f"CASE WHEN {{0}} = 0 THEN -{inf} ELSE log10({{0}}) END"), "log1p": ("abs(x)", "ln(1 + {})"), "exp": ("y", "exp({})"), "exp2": ("y", "pow(2, {})"), "exp10": ("y / 3", "pow(10, {})"), "expm1": ("y", "exp({}) - 1"),
         "sin": ("x", "sin({})"), "cos": ("x", "cos({})"), "tan": ("y", "tan({})"), "asin": ("y / 7", "asin({})"), "acos": ("y / 7", "acos({})"), "atan": ("x", "atan({})"),
         "sinh": ("y", "sinh({})"), "cosh": ("y", "cosh({})"), "tanh": ("y", "tanh({})"), "asinh": ("y", "asinh({})"), "acosh": ("abs(y) + 1", "acosh({})"), "atanh": ("y / 7", "atanh({})"),
-        "sinc": ("y", "CASE WHEN {0} = 0 THEN 1 ELSE sin({0}) / {0} END"), "erf": ("y", None), "erfc": ("y", None),
+        "sinc": ("y", "CASE WHEN {0} = 0 THEN 1 ELSE sin({0}) / {0} END"), "erf": ("y", ERF), "erfc": ("y", f"1 - ({ERF})"),
     }
     inputs = {
         "x": x, "y": y, "abs(x)": lambda df: x(df).abs(), "y / 3": lambda df: y(df) / 3.0, "y / 7": lambda df: y(df) / 7.0, "abs(y) + 1": lambda df: y(df).abs() + 1.0,
     }
     for name, (arg, sql) in functions.items():
-        if sql:
-            over(f"math_{name}", EVENTS, lambda df, n=name, g=inputs[arg]: g(df).math(n), R(sql.format(f"({arg})")))
-        else:
-            register(f"math_{name}", lambda s, d, n=name, g=inputs[arg]: rounded(g(base(s, d, EVENTS)).math(n)))
+        over(f"math_{name}", EVENTS, lambda df, n=name, g=inputs[arg]: g(df).math(n), R(sql.format(f"({arg})")))
 
 
 # ---- complex and bits ---------------------------------------------------------------------
@@ -254,6 +254,7 @@ def _reductions() -> None:
     register("reduce_all", lambda s, d: rounded(vectors(s, d).sum()), f"WITH e AS ({ELEMENTS}) SELECT {R('sum(v)')} AS v FROM e")
     register("reduce_median_axis0", lambda s, d: rounded(vectors(s, d).median(axis=0)), f"WITH e AS ({ELEMENTS}) SELECT i1::BIGINT AS i0, {R('median(v)')} AS v FROM e GROUP BY i1")
     register("reduce_percentile", lambda s, d: rounded(vectors(s, d).percentile(90, axis=1)), f"WITH e AS ({ELEMENTS}) SELECT i0, {R('quantile_cont(v, 0.9)')} AS v FROM e GROUP BY i0")
+    over("reduce_percentile_all", EVENTS, lambda df: column(df, "x").percentile(37.5), f"SELECT {R('quantile_cont(x, 0.375)')} AS v FROM base")
     over("reduce_median_all", EVENTS, lambda df: column(df, "x").median(), f"SELECT {R('median(x)')} AS v FROM base")
     over("reduce_median_int", KEYS, lambda df: column(df, "a").median(), "SELECT ((quantile_disc(a, 0.5) + (SELECT min(a) FROM (SELECT a, row_number() OVER (ORDER BY a) AS k, count(*) OVER () AS n FROM base) WHERE k > n // 2)) // 2)::BIGINT AS v FROM base")
     over("reduce_prod", EVENTS, lambda df: (column(df, "y") / 100.0 + 1.0).reshape(None, 10).prod(axis=1), f"SELECT i // 10 AS i0, {R('product(y / 100 + 1)')} AS v FROM base GROUP BY i // 10")

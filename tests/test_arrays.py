@@ -245,3 +245,30 @@ def test_batch_norm(spark):
 
     assert gx.to_list()[2][1] == pytest.approx((loss(x + bump) - loss(x - bump)) / (2 * step), rel=1e-4)
     assert np.allclose(nn.fixed_batch_norm(to(x), to(gamma), to(beta), zeros(spark, [1, 3]), ones(spark, [1, 3])).to_list(), x / np.sqrt(1 + 2e-5) * gamma + beta)
+
+
+def test_frexp_of_edges(spark):
+    values = [0.0, 1.0, 0.5, -8.0, 3.0, 5e-324, 2.0**-1074 * 3, 2.2250738585072014e-308, 1.7976931348623157e308, -0.1, 1 - 2.0**-53, 2.0**1023, 1e300]
+    mantissas, exponents = array(spark, values).math("frexp")
+    assert list(zip(mantissas.to_list(), exponents.to_list())) == [math.frexp(v) for v in values]
+    mantissas, exponents = array(spark, [math.inf, -math.inf]).math("frexp")
+    assert mantissas.to_list() == [math.inf, -math.inf] and exponents.to_list() == [0, 0]
+
+
+def test_ranks_with_one_dominant_value(spark):
+    values = [7.0] * 500 + [1.0, 2.0, 9.0, -3.0]
+    x = array(spark, values)
+    assert x.median().item() == 7.0
+    assert [x.percentile(q).item() for q in (0, 0.1, 50, 99.9, 100)] == pytest.approx([np.percentile(values, q) for q in (0, 0.1, 50, 99.9, 100)])
+    assert array(spark, [4, 1, 2, 9]).percentile(50).item() == 3.0
+
+
+def test_scan_over_many_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        values = [float(v % 13) - 6 for v in range(1000)]
+        assert array(spark, values).cumsum().to_list() == np.cumsum(values).tolist()
+        assert array(spark, [1.0, 2.0, -0.5, 3.0]).cumprod().to_list() == [1.0, 2.0, -1.0, -3.0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
