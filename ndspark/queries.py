@@ -125,8 +125,8 @@ def _elementwise() -> None:
     over("elementwise_map", EVENTS, lambda df: x(df).map(lambda v: v * 3 - 1), R("x * 3 - 1"))
     over("elementwise_map_with_index", EVENTS, lambda df: x(df).map_with_index(lambda v, i: v + i), R("x + i"))
     register("elementwise_modf", lambda s, d: pair(*y(base(s, d, EVENTS)).modf()), f"WITH base AS ({EVENTS}) SELECT i AS i0, {R('y - trunc(y)')} AS v, {R('trunc(y)')} AS w FROM base")
-    # thirds, since halves of decimals would lie midway between two rounded mantissas
-    register("elementwise_frexp", lambda s, d: pair(*(x(base(s, d, EVENTS)) / 3.0).math("frexp")), f"WITH base AS (SELECT i, x / 3 AS x FROM ({EVENTS})), g AS (SELECT i, x, CASE WHEN x = 0 THEN 0 ELSE floor(log2(abs(x))) + 1 END AS e FROM base), h AS (SELECT i, x, e + CASE WHEN abs(x) >= pow(2.0, e) THEN 1 WHEN abs(x) < pow(2.0, e - 1) AND x <> 0 THEN -1 ELSE 0 END AS e FROM g) SELECT i AS i0, {R('x / pow(2.0, e)')} AS v, e::BIGINT AS w FROM h")
+    # a factor of many digits, since decimals over powers of two lie midway between two rounded mantissas
+    register("elementwise_frexp", lambda s, d: pair(*(x(base(s, d, EVENTS)) * 0.7310585786300049).math("frexp")), f"WITH base AS (SELECT i, x * CAST(0.7310585786300049 AS DOUBLE) AS x FROM ({EVENTS})), g AS (SELECT i, x, CASE WHEN x = 0 THEN 0 ELSE floor(log2(abs(x))) + 1 END AS e FROM base), h AS (SELECT i, x, e + CASE WHEN abs(x) >= pow(2.0, e) THEN 1 WHEN abs(x) < pow(2.0, e - 1) AND x <> 0 THEN -1 ELSE 0 END AS e FROM g) SELECT i AS i0, {R('x / pow(2.0, e)')} AS v, e::BIGINT AS w FROM h")
     for name, sql in {"isnan": "isnan(z)", "isinf": "isinf(z)", "isposinf": f"z = {inf}", "isneginf": f"z = -{inf}", "isfinite": "isfinite(z)"}.items():
         over(f"predicate_{name}", EVENTS, lambda df, n=name: getattr((lambda w: w / w)(y(df)) if n == "isnan" else x(df) / y(df), n)(), f"SELECT i AS i0, {sql} AS v FROM (SELECT i, {quotient if name != 'isnan' else f'CASE WHEN y = 0 THEN {nan} ELSE 1.0 END'} AS z FROM base)")
     over("predicate_signbit", EVENTS, lambda df: y(df).signbit(), "y < 0")
