@@ -26,6 +26,8 @@ WORD = re.compile(r"\w+")
 _CACHE_WORDS = 60_000
 #: Texts whose words are held as one sequence at a time.
 GROUP = 64
+#: Rows of a scratch file at most, where they are few; of those that cost milliseconds each.
+FILE_ROWS, COSTLY_ROWS = 32_768, 1024
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -81,13 +83,24 @@ class Scratch:
         self.batches.__exit__(*failure)
         self.drop(self.root)
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, rows: int | None = None, each: int = FILE_ROWS) -> DataFrame:
+        """``df`` written and read again. Where it is known to have no more than ``rows`` rows, one task and file for about ``each`` of them will do."""
+        few = None if rows is None else max(1, -(-rows // each))
+        if few is not None and few < int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(few)
         path = f"{self.root}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         saved = self.spark.read.schema(df.schema).parquet(path)
+        if few == 1:
+            saved = saved.coalesce(1)  # known to be one partition: what follows needs no shuffle
         saved._scratch_path = path
         return saved
 
+    def busy(self, rows: int) -> dict[str, int]:
+        """Arguments of ``save`` for at most ``rows`` rows that are costly to make: every core gets a task."""
+        cores = max(1, self.spark.sparkContext.defaultParallelism)
+        return {"rows": rows, "each": max(1, min(COSTLY_ROWS, -(-rows // cores)))}
+
     def drop(self, saved: DataFrame | str) -> None:
         path = saved if isinstance(saved, str) else saved._scratch_path
         jvm = self.spark._jvm
@@ -111,7 +124,14 @@ def sized(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
     Otherwise the join stays a shuffled one whose large partitions Spark splits at run time.
     """
-    return F.broadcast(small) if small.count() <= limit else small
+    return F.broadcast(small) if rows_of(small) <= limit else small
+
+
+def rows_of(saved: DataFrame) -> int:
+    """Rows of a written table, counted once."""
+    if "_scratch_rows" not in saved.__dict__:
+        saved._scratch_rows = saved.count()
+    return saved._scratch_rows
 
 
 class WordHashes(dict):
@@ -200,33 +220,33 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / total if total else 1.0
 
 
-def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, most: int | None = None) -> DataFrame:
     """(id, component) for every vertex of ``edges`` (a, b); component is the smallest id reachable.
 
     Alternates large-star and small-star steps until the edges are stars around the smallest ids:
     no centre is a leaf and no leaf has two centres. Every step is a partial aggregation and a join
     with its written result (broadcast while it is small, else with partitions that Spark can
     split), so a vertex with very many neighbours is never gathered. Loops (a = b) are ignored; without
-    edges there are no rows.
+    edges there are no rows. ``most``: no more edges than these, where that is known.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    current = scratch.save(edges.distinct())
-    while not current.isEmpty():
+    current = scratch.save(edges.distinct(), most)
+    while n := rows_of(current):
         # large-star: the larger neighbours of each vertex move to its smallest one
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = scratch.save(both.where("v > u").join(sized(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), 2 * n)
+        large = scratch.save(both.where("v > u").join(sized(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), n)
         # small-star: the smaller neighbours of each vertex, and itself, move to the smallest
-        low = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), n)
         joined = large.join(sized(low), "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        following = scratch.save(small.distinct())
+        following = scratch.save(small.distinct(), 2 * n)
         scratch.drop(large)
         scratch.drop(current)
         current = following
         twice = current.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi")
         inner = current.select("v").join(current.select(F.col("u").alias("v")), "v", "left_semi")
-        if twice.isEmpty() and inner.isEmpty():
+        if not twice.agg(F.count(F.lit(1)).alias("n")).unionByName(inner.agg(F.count(F.lit(1)).alias("n"))).where("n > 0").count():
             break
     centres = current.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))
     return current.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(centres)
@@ -294,7 +314,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), np.uint64).reshape(len(column), -1)
 
 
-def link_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], compare: Callable[[list, np.ndarray, np.ndarray], list[tuple[int, int]]], scratch: Scratch, block: int = BLOCK, signs: DataFrame | None = None, most: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def link_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], compare: Callable[[list, np.ndarray, np.ndarray], list[tuple[int, int]]], scratch: Scratch, block: int = BLOCK, signs: DataFrame | None = None, most: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, total: int | None = None) -> DataFrame:
     """Components of the verified links among items that share a key.
 
     keys: (key, id), a row for each bucket of an item. verify: takes distinct pairs (a, b) and
@@ -302,7 +322,8 @@ def link_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], paylo
     the data of some items, their components so far and a matrix of the pairs to look at, and
     returns pairs of positions that are links, enough of them to connect all that are connected.
     signs: (id, n, sign), the size and the signature of each item's set; most(nx, ny) is how many
-    elements x may have that y lacks, if both are linked. Returns (id, component) for items with a link.
+    elements x may have that y lacks, if both are linked. total: no more rows in keys than these, where that
+    is known. Returns (id, component) for items with a link.
 
     First every item is compared with the first of each of its buckets, which joins most groups
     into one component. In buckets that still hold several, signatures (a few hundred bytes) show
@@ -312,10 +333,10 @@ def link_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], paylo
     bounded units of work (two blocks of members, chosen by a hash): a unit yields only members, or links
     that connect what was not connected, so no list of pairs is ever written and no group lands in one task.
     """
-    lead = scratch.save(keys.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead"))
-    shared = scratch.save(keys.join(sized(lead), "key").distinct())
+    lead = scratch.save(keys.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead"), None if total is None else total // 2)
+    shared = scratch.save(keys.join(sized(lead), "key").distinct(), total)
     if signs is not None:
-        signs = scratch.save(signs.join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+        signs = scratch.save(signs.join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), rows_of(shared), FILE_ROWS // 4)
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,11 +345,12 @@ def link_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], paylo
             good = (np.bitwise_count(x & ~y).sum(1) <= most(n, m)) & (np.bitwise_count(y & ~x).sum(1) <= most(m, n))
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def linked(pairs: DataFrame, n: int) -> DataFrame:
         if signs is not None:
             pairs = pairs.join(signs.toDF("a", "an", "x"), "a").join(signs.toDF("b", "bn", "y"), "b")
             pairs = pairs.where(F.least("an", "bn") >= 0.5 * F.greatest("an", "bn")).select("a", "b", "an", "bn", "x", "y").mapInArrow(possible, "a long, b long")
-        return scratch.save(verify(scratch.save(pairs)))
+        pairs = scratch.save(pairs, n)
+        return scratch.save(verify(pairs), **scratch.busy(rows_of(pairs)))
 
     def partners(part: pa.Table) -> pa.RecordBatch | None:
         sides, n = part.column("own").to_numpy(), part.column("n").to_numpy()
@@ -348,46 +370,51 @@ def link_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], paylo
 
     def fused(left: DataFrame) -> DataFrame:
         """``left`` with buckets that have the same first member as one bucket, wherever that leaves fewer pairs to look at."""
-        first = scratch.save(left.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")))
+        first = scratch.save(left.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), rows_of(left))
         alone = first.groupBy("first").agg(F.sum(F.col("n") * F.col("n").cast("double")).alias("pairs"), F.count(F.lit(1)).alias("keys")).where("keys > 1")
         members = left.join(sized(first.select("key", "first")), "key")
         together = members.select("first", "id").distinct().groupBy("first").agg(F.count(F.lit(1)).alias("n"))
-        better = scratch.save(alone.join(together, "first").where(F.col("n").cast("double") * F.col("n") <= F.col("pairs")).select("first", F.xxhash64("first", F.lit(7)).alias("whole")))
-        return scratch.save(members.join(sized(better), "first", "left").select(F.coalesce("whole", "key").alias("key"), "id", "component").distinct())
+        better = scratch.save(alone.join(together, "first").where(F.col("n").cast("double") * F.col("n") <= F.col("pairs")).select("first", F.xxhash64("first", F.lit(7)).alias("whole")), rows_of(first))
+        return scratch.save(members.join(sized(better), "first", "left").select(F.coalesce("whole", "key").alias("key"), "id", "component").distinct(), rows_of(left))
 
     def still_open(members: DataFrame, label: DataFrame) -> DataFrame:
         """(key, id, component) of the members that may have a partner in another component."""
         named = members.select("key", "id").join(sized(label), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         open_ = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        left = scratch.save(named.join(sized(scratch.save(open_)), "key"))
-        if signs is None or left.isEmpty():
+        n = rows_of(members)
+        left = scratch.save(named.join(sized(scratch.save(open_, n)), "key"), n)
+        if signs is None or not rows_of(left):
             return left
         return scratch.save(_units(fused(left), signs, partners, "key long, id long, component long", SIGN_BLOCK).distinct())
 
     def joined(label: DataFrame, links: DataFrame) -> DataFrame:
         # what is connected already goes in as stars
         stars = label.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-        return scratch.save(connected_components(stars.unionByName(links), scratch))
+        n = rows_of(label) + rows_of(links)
+        return scratch.save(connected_components(stars.unionByName(links), scratch, n), 2 * n)
 
+    n = rows_of(shared)
     pairs = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    label = scratch.save(connected_components(linked(pairs), scratch))
+    links = linked(pairs, n)
+    label = scratch.save(connected_components(links, scratch, rows_of(links)), 2 * rows_of(links))
     left = still_open(shared, label)
     for turn in range(1, ROUNDS):
-        if left.isEmpty():
+        if not rows_of(left):
             return label
         # another member leads: the least one after its bits are turned
         mask = F.lit(int(seeds(ROUNDS, 6)[turn].view(np.int64)))
         lead = left.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(mask)).bitwiseXOR(mask).alias("lead"))
         pairs = left.join(lead, "key").where("id <> lead").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
-        links = linked(pairs)
-        if links.isEmpty():
+        links = linked(pairs, rows_of(left))
+        if not rows_of(links):
             break
         label = joined(label, links)
         left = still_open(left, label)
-    if left.isEmpty():
+    n = rows_of(left)
+    if not n:
         return label
-    data = scratch.save(payload(left.select("id").distinct()))
-    data = data.join(scratch.save(left.groupBy("id").agg(F.collect_list("key").alias("buckets"))), "id")
+    data = scratch.save(payload(left.select("id").distinct()), **scratch.busy(n))
+    data = data.join(scratch.save(left.groupBy("id").agg(F.collect_list("key").alias("buckets")), n), "id")
 
     def run(part: pa.Table) -> pa.RecordBatch | None:
         ask = _asked(part) & ~_met_before(part.column("buckets"), part.column("key")[0].as_py())
@@ -400,7 +427,7 @@ def link_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], paylo
         return pa.RecordBatch.from_arrays([pa.array(ids[[p[i] for p in found]]) for i in (0, 1)], ["a", "b"]) if found else None
 
     more = scratch.save(_units(left, data, run, "a long, b long", block).distinct())
-    return label if more.isEmpty() else joined(label, more)
+    return joined(label, more) if rows_of(more) else label
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

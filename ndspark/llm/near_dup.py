@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ndspark.llm.common import GROUP, Joined, Scratch, WordHashes, link_groups, mix, numbered, overlaps, seal, seeds, signatures, sized, text_key, windows, words_of
+from ndspark.llm.common import GROUP, Joined, Scratch, WordHashes, link_groups, mix, numbered, overlaps, rows_of, seal, seeds, signatures, sized, text_key, windows, words_of
 
 K, PICKED, THRESHOLD, MISSED = 5, 2, 0.8, 0.06
 _C = np.uint64(0xD6E8FEB86659FD93)
@@ -225,12 +225,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     both = ["h1", "h2"]
     with Scratch(spark) as scratch:
-        rows = scratch.save(sketch(docs, id_col, text_col, k, sketches or sketches_for(threshold, k, picked), picked))
+        sketches = sketches or sketches_for(threshold, k, picked)
+        rows = scratch.save(sketch(docs, id_col, text_col, k, sketches, picked))
+        many = rows_of(rows)
         full = rows.where("h1 is not null and id is not null")
         # a class is known by the hashes of its words, so that rows that repeat an id with another text stay apart
-        twins = scratch.save(full.groupBy(*both).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*both, "first"))
+        twins = scratch.save(full.groupBy(*both).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*both, "first"), many)
         # its number is h1, or h2 where another class has that h1
-        clash = scratch.save(full.groupBy("h1").agg(F.min("h2").alias("lo"), F.max("h2").alias("hi")).where("lo < hi").select("h1", "lo"))
+        clash = scratch.save(full.groupBy("h1").agg(F.min("h2").alias("lo"), F.max("h2").alias("hi")).where("lo < hi").select("h1", "lo"), many)
         classes = full.join(sized(twins), both, "left").where("first is null or id = first").join(sized(clash), "h1", "left")
         classes = classes.withColumn("class", F.when(F.col("lo") < F.col("h2"), F.col("h2")).otherwise(F.col("h1"))).withColumn("copied", F.col("first").isNotNull()).withColumn("first", F.col("id"))
         keys = classes.select(F.col("class").alias("id"), F.explode("keys").alias("key"))
@@ -238,12 +240,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         def words(wanted: DataFrame) -> DataFrame:
             # a text is read once however many pairs it is in
-            wanted = scratch.save(classes.select(F.col("class").alias("id"), "first", *both).join(sized(wanted), "id", "left_semi").distinct())
+            wanted = scratch.save(classes.select(F.col("class").alias("id"), "first", *both).join(sized(wanted), "id", "left_semi").distinct(), many)
             held = _tokens(texts.join(sized(wanted.select(F.col("first").alias("id")).distinct()), "id", "left_semi"))
             return held.join(sized(wanted.select("id", *both)), both).select("id", "data").dropDuplicates(["id"])
 
         def verify(pairs: DataFrame) -> DataFrame:
-            held = scratch.save(words(scratch.save(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())))
+            ids = scratch.save(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), min(many, 2 * rows_of(pairs)))
+            held = scratch.save(words(ids), **scratch.busy(rows_of(ids)))
             both = pairs.join(held.select(F.col("id").alias("a"), F.col("data").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("data").alias("y")), "b")
             return _aligned(both.select("a", "b", "x", "y"), threshold)
 
@@ -264,11 +267,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             # an edit takes one word of a text at most
             return (1 - threshold) * np.maximum(n, m) + 1e-6
 
-        linked = link_groups(keys, verify, words, compare, scratch, signs=classes.select(F.col("class").alias("id"), "n", "sign"), most=most)
+        linked = link_groups(keys, verify, words, compare, scratch, signs=classes.select(F.col("class").alias("id"), "n", "sign"), most=most, total=sketches * many)
         merged = classes.select("class", *both, "first", "copied").join(linked.withColumnRenamed("id", "class"), "class", "left").where("copied or component is not null")
-        merged = scratch.save(merged.select(*both, "first", F.coalesce("component", "class").alias("group")))
+        merged = scratch.save(merged.select(*both, "first", F.coalesce("component", "class").alias("group")), many)
         lead = merged.groupBy("group").agg(F.min("first").alias("component"))
-        merged = scratch.save(merged.join(lead, "group").select(*both, "group", "component").distinct())
+        merged = scratch.save(merged.join(lead, "group").select(*both, "group", "component").distinct(), rows_of(merged))
         out = rows.select("id", "h", "g", *both).alias("r").join(sized(merged, 1_000_000).alias("m"), F.expr("r.h1 = m.h1 and r.h2 = m.h2"), "left")
         component = F.coalesce("component", F.col("r.id"))
         named = ["h", "g", F.coalesce("group", "r.h1").alias("group")] if keyed else []
