@@ -254,8 +254,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, most: int | None =
 
 #: Members of a block when a group is compared pair by pair; a unit of work holds two blocks.
 BLOCK = 128
-#: The same where only signatures are compared, and bits of a signature.
-SIGN_BLOCK, SIGN_BITS = 384, 2048
+#: The same where only signatures are compared (two blocks hold 2 MB), members whose signatures are spread out at a time, and bits of a signature.
+SIGN_BLOCK, SIGN_TILE, SIGN_BITS = 4096, 512, 2048
 #: Members of a bucket that others are compared with in turn, before all are compared.
 ROUNDS = 2
 
@@ -353,19 +353,25 @@ def link_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], paylo
         return scratch.save(verify(pairs), **scratch.busy(rows_of(pairs)))
 
     def partners(part: pa.Table) -> pa.RecordBatch | None:
-        sides, n = part.column("own").to_numpy(), part.column("n").to_numpy()
-        bits = np.unpackbits(_matrix(part.column("sign")).view(np.uint8), axis=1).astype(np.float32)
+        sides, components = part.column("own").to_numpy(), part.column("component").to_numpy()
+        n, packed = part.column("n").to_numpy().astype(np.float64), _matrix(part.column("sign")).view(np.uint8)
         # a unit of two blocks compares one with the other, else the block with itself
-        rows = np.flatnonzero(sides == sides.min())
-        columns = np.flatnonzero(sides == sides.max())
-        held, n = bits.sum(1), n.astype(np.float64)
-        x, y = n[rows][:, None], n[columns][None, :]
-        both = bits[rows] @ bits[columns].T
-        may = _asked(part)[np.ix_(rows, columns)] & (np.minimum(x, y) >= 0.5 * np.maximum(x, y))
-        may &= (held[rows][:, None] - both <= most(x, y)) & (held[columns][None, :] - both <= most(y, x))
+        rows, columns = (np.flatnonzero(sides == side) for side in (sides.min(), sides.max()))
+        itself = sides.min() == sides.max()
         has = np.zeros(len(n), bool)
-        has[rows] = may.any(1)
-        has[columns] |= may.any(0)
+        for i in range(0, len(rows), SIGN_TILE):
+            r = rows[i : i + SIGN_TILE]
+            x = np.unpackbits(packed[r], axis=1).astype(np.float32)
+            for j in range(i if itself else 0, len(columns), SIGN_TILE):
+                c = columns[j : j + SIGN_TILE]
+                may = (components[r][:, None] != components[c][None, :]) & (np.minimum(n[r][:, None], n[c][None, :]) >= 0.5 * np.maximum(n[r][:, None], n[c][None, :]))
+                if not may.any():
+                    continue
+                y = np.unpackbits(packed[c], axis=1).astype(np.float32)
+                both, nx, ny = x @ y.T, n[r][:, None], n[c][None, :]
+                may &= (x.sum(1)[:, None] - both <= most(nx, ny)) & (y.sum(1)[None, :] - both <= most(ny, nx))
+                has[r] |= may.any(1)
+                has[c] |= may.any(0)
         return pa.RecordBatch.from_arrays([pa.array(part.column(c).to_numpy()[has], pa.int64()) for c in ("key", "id", "component")], ["key", "id", "component"]) if has.any() else None
 
     def fused(left: DataFrame) -> DataFrame:
