@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ndspark.llm.common import GROUP, WORD, Joined, Scratch, WordHashes, connected_components, jaccard, link_groups, mix, overlaps, seal, seeds, shingles, sized, text_key, windows
+from ndspark.llm.common import GROUP, WORD, Joined, Scratch, WordHashes, connected_components, jaccard, link_groups, mix, overlaps, rows_of, seal, seeds, shingles, sized, text_key, windows
 from ndspark.llm.near_dup import edit_distance
 
 K, BANDS, ROWS, THRESHOLD = 5, 6, 3, 0.8
@@ -343,9 +343,10 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     texts = _named(docs, id_col, text_col)
     with Scratch(spark) as scratch:
         every = scratch.save(_units(texts, bands, rows, min_words, run_words))
+        many = rows_of(every)
         # equal texts: that of the smallest id is compared, the others go whole
         equal = every.groupBy("h", "g").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("h", "g", "lead")
-        equal = scratch.save(equal)
+        equal = scratch.save(equal, many)
         every = every.join(sized(equal), ["h", "g"], "left")
         copies = every.where(F.col("id") > F.col("lead")).where(F.col("n") >= run_words).select(*TEXT, F.col("lead").alias("first")).distinct()
         units = every.where(F.coalesce(F.col("id") == F.col("lead"), F.lit(True)))
@@ -357,11 +358,11 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
         # a passage with an edit, and one without, have two seeds at least
         pairs = held.where("id > first").groupBy(*TEXT, "first").count().where("count > 1").select(*TEXT, "first")
         verbatim = held.where("run <> 0").groupBy("run").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("run", "lead")
-        verbatim = scratch.save(verbatim)
+        verbatim = scratch.save(verbatim, rows_of(held))
         pairs = pairs.union(held.join(sized(verbatim, 1_000_000), "run").where("id > lead").select(*TEXT, "lead"))
-        pairs = scratch.save(pairs.distinct())
-        wanted = scratch.save(pairs.select("id").union(pairs.select("first")).distinct())
-        tokens = scratch.save(_tokens(texts.join(sized(wanted), "id", "left_semi")).dropDuplicates(TEXT))
+        pairs = scratch.save(pairs.distinct(), 2 * rows_of(held))
+        wanted = scratch.save(pairs.select("id").union(pairs.select("first")).distinct(), min(many, 2 * rows_of(pairs)))
+        tokens = scratch.save(_tokens(texts.join(sized(wanted), "id", "left_semi")).dropDuplicates(TEXT), **scratch.busy(many))
         both = pairs.join(tokens.withColumnRenamed("data", "x"), TEXT).join(tokens.select(F.col("id").alias("first"), F.col("data").alias("y")), "first")
         runs = _aligned(both, run_words, threshold)
         marks = runs.select(*TEXT, F.lit(0).alias("kind"), F.lit(0).cast("long").alias("hash"), "first", "a", "b")
@@ -369,17 +370,17 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
         marks = marks.unionByName(copies.select(*TEXT, F.lit(2).alias("kind"), F.lit(0).cast("long").alias("hash"), "first", *none))
         # paragraphs: equal ones are one class; classes that collide in a band are compared
         paragraphs = scratch.save(units.select(*TEXT, F.explode("paragraphs").alias("p")).select(*TEXT, "p.hash", "p.keys"))
-        classes = scratch.save(paragraphs.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.first("keys").alias("keys")))
-        keys = scratch.save(classes.select(F.col("hash").alias("id"), F.explode("keys").alias("key")))
+        classes = scratch.save(paragraphs.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.first("keys").alias("keys")), rows_of(paragraphs))
+        keys = scratch.save(classes.select(F.col("hash").alias("id"), F.explode("keys").alias("key")), bands * rows_of(classes))
         where = classes.select(F.col("hash").alias("id"), F.col("first").alias("doc"))
 
         def words(wanted: DataFrame) -> DataFrame:
-            by_doc = scratch.save(sized(wanted).join(where, "id").groupBy("doc").agg(F.collect_list("id").alias("wanted")))
+            by_doc = scratch.save(sized(wanted).join(where, "id").groupBy("doc").agg(F.collect_list("id").alias("wanted")), rows_of(wanted))
             held = texts.join(sized(by_doc), F.col("id") == F.col("doc")).select("id", "text", "wanted")
             return _paragraph_words(held, min_words).dropDuplicates(["hash"]).select(F.col("hash").alias("id"), F.col("shingles").alias("data"))
 
         def verify(pairs: DataFrame) -> DataFrame:
-            held = scratch.save(words(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()))
+            held = scratch.save(words(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()), **scratch.busy(min(2 * rows_of(pairs), rows_of(classes))))
             both = pairs.join(held.select(F.col("id").alias("a"), F.col("data").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("data").alias("y")), "b")
             return _verified(both.select("a", "b", "x", "y"), threshold)
 
@@ -389,16 +390,16 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
             linked = np.argwhere(ask & (both >= threshold * (sizes[:, None] + sizes[None, :] - both)))
             return [(a, b) for a, b in linked.tolist() if joined.join(a, b)]
 
-        linked = link_groups(keys, verify, words, compare, scratch)
+        linked = link_groups(keys, verify, words, compare, scratch, total=bands * rows_of(classes))
         merged = classes.join(linked.withColumnRenamed("id", "hash"), "hash", "left").where("first < last or component is not null")
-        merged = scratch.save(merged.select("hash", "first", F.coalesce("component", "hash").alias("component")))
+        merged = scratch.save(merged.select("hash", "first", F.coalesce("component", "hash").alias("component")), rows_of(classes))
         lead = merged.groupBy("component").agg(F.min("first").alias("lead"))
-        known = scratch.save(merged.join(lead, "component").select("hash", "lead"))
+        known = scratch.save(merged.join(lead, "component").select("hash", "lead"), rows_of(merged))
         more = paragraphs.select(*TEXT, "hash").join(sized(known, 1_000_000), "hash").where("id > lead")
         marks = marks.unionByName(more.select(*TEXT, F.lit(1).alias("kind"), "hash", F.col("lead").alias("first"), *none))
         # of one text: what it repeats and from where
         marks = marks.groupBy(*TEXT).agg(F.collect_set(F.struct("kind", "hash", "first", "a", "b")).alias("marks"))
-        marks = scratch.save(marks)
+        marks = scratch.save(marks, many)
         touched = texts.join(sized(marks), TEXT).select(*TEXT, "text", "marks")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
