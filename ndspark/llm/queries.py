@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ndspark.llm import archives, decontaminate, embedding_dedup, html_text, language_id, licenses, mixing, near_dup, passage_dedup, quality
+from ndspark.llm import archives, decontaminate, embedding_dedup, html_text, infill, language_id, licenses, mixing, near_dup, passage_dedup, phrases, quality, top_k
 from ndspark.llm.common import Scratch, seal
 
 
@@ -60,6 +60,24 @@ def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_dedup.report(docs, *passage_dedup.repeated(docs))
 
 
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of each vector whose id is divisible by 50, among all others."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_k.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, lengths and digests of every document's output, and of the text rebuilt from it."""
+    made = infill.rearrange(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    text = infill.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2,000 phrases of two and three words of each language, over all documents."""
+    return phrases.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dup": op1_near_dup,
     "op2_language_id": op2_language_id,
@@ -71,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_passage_dedup": op10_passage_dedup,
+    "op11_top_k": op11_top_k,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_collocations": op13_collocations,
 }
 
 
@@ -106,4 +127,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_mixing": f"WITH docs AS (SELECT doc_id, text, source FROM documents), {mixing.MIX_SQL} SELECT doc_id, size, source_size, target, taken FROM mixed_",
     "op7_licenses": _licence_sql(),
     "op8_warc": _WARC_SQL,
+    "op11_top_k": top_k.TOP_K_SQL,
+    "op12_fill_in_middle": infill.FILL_SQL,
+    "op13_collocations": phrases.COLLOCATION_SQL,
 }
