@@ -46,6 +46,8 @@ class NDArray(Indexing, Shaping, Reducing, Scanning, Combining, Linear):
         self.tag = next(_TAGS) if tag is None else tag
         #: (frame, index, array column) where a row of the base's source holds a row of this matrix.
         self.row_form: tuple[DataFrame, Column, Column] | None = None
+        #: The same where it holds a column.
+        self.column_form: tuple[DataFrame, Column, Column] | None = None
 
     # ---- construction -----------------------------------------------------------------
 
@@ -199,7 +201,7 @@ class NDArray(Indexing, Shaping, Reducing, Scanning, Combining, Linear):
         dtype = dt.of(dtype)
         out = self._like(dt.cast(self.value, self.dtype, dtype), dtype)
         if dtype == self.dtype or dtype == dt.DFloat and self.dtype == dt.SFloat:
-            out.row_form = self.row_form
+            out.row_form, out.column_form = self.row_form, self.column_form
         return out
 
     def fill(self, x: object) -> NDArray:
@@ -224,7 +226,7 @@ class NDArray(Indexing, Shaping, Reducing, Scanning, Combining, Linear):
         n = max(self.ndim, other.ndim)
         a, b = (1,) * (n - self.ndim) + self.shape, (1,) * (n - other.ndim) + other.shape
         if any(x != y and 1 not in (x, y) for x, y in zip(a, b)):
-            raise ShapeError(f"shape1{list(self.shape)} != shape2{list(other.shape)}")
+            raise ShapeError(f"{list(self.shape)} can't be broadcast with {list(other.shape)}")
         return tuple(y if x == 1 else x for x, y in zip(a, b))
 
     def _paired(self, other: NDArray, f: Callable[[Column, Column, DType], tuple], dtype: DType | None = None, upcast: bool = True) -> NDArray | tuple[NDArray, ...]:

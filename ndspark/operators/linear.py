@@ -1,25 +1,30 @@
-"""Linear algebra: joins on the common axis and sums, or blocks of rows against a broadcast matrix."""
+"""Linear algebra: packed tiles joined on the common axis, or blocks of rows against a small broadcast matrix."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ndspark import dtypes as dt
 from ndspark.errors import OperationError, ShapeError, ValueRangeError
 from ndspark.functions import elementwise as ew
+from ndspark.operators.tiles import SIDE, Tiles
+from ndspark.plans.order import durable
 
 if TYPE_CHECKING:
     from ndspark.array import NDArray
 
 #: A right matrix of at most this many elements is sent to the executors and multiplied there in blocks.
 BROADCAST_ELEMENTS = 1_000_000
+#: Variables whose covariances are gathered in one pass; a task holds a square of them.
+WIDE = 1024
 
 
 class Linear:
@@ -43,8 +48,11 @@ class Linear:
         axis = self._axis(axis)
         return self._view([c for k, c in enumerate(self.indices) if k != axis], [n for k, n in enumerate(self.shape) if k != axis], ("squeeze", axis))
 
-    def gemm(self: NDArray, other: NDArray, c: NDArray | None = None, alpha: object = 1, beta: object = 0) -> NDArray:
-        """alpha * self · other + beta * c; leading axes are batches, equal or 1."""
+    def gemm(self: NDArray, other: NDArray, c: NDArray | None = None, alpha: object = 1, beta: object = 0, side: int = SIDE) -> NDArray:
+        """alpha * self · other + beta * c; leading axes are batches, equal or 1.
+
+        A small right matrix of floats is broadcast; everything else is multiplied as tiles of ``side`` rows and columns.
+        """
         if self.ndim < 2 or other.ndim < 2 or not self.size or not other.size:
             raise ShapeError("gemm needs matrices that aren't empty")
         if self.shape[-1] != other.shape[-2]:
@@ -54,32 +62,27 @@ class Linear:
         if any(x != y and 1 not in (x, y) for x, y in zip(a_batch, b_batch)):
             raise ShapeError(f"batches {list(a_batch)} and {list(b_batch)} don't fit")
         t = dt.upcast(self.dtype, other.dtype)
-        if n == 0 and t.is_float and math.prod(other.shape) <= BROADCAST_ELEMENTS:
+        shape = (*(max(x, y) for x, y in zip(a_batch, b_batch)), self.shape[-2], other.shape[-1])
+        if n == 0 and t.is_float and math.prod(other.shape) <= BROADCAST_ELEMENTS and not hasattr(other, "tiled"):
             out = self._gemm_blocks(other, t)
         else:
-            out = self._gemm_join(other, t, n, a_batch, b_batch)
+            left, right = (Tiles.of(x.cast_to(t)._with_axes(n + 2), side) for x in (self, other))
+            # factors and an addend of the result's type go with the tiles
+            fused = all(dt.upcast_scalar(t, x) == t for x in (alpha, beta)) and (c is None or not beta or c.shape == shape and dt.upcast(t, c.dtype) == t)
+            if fused:
+                added = Tiles.of(c.cast_to(t), side) if c is not None and beta else None
+                return left.multiply(right, alpha, added, beta).array()
+            out = left.multiply(right).array()
         if alpha != 1:
             out = out.mul(alpha)
         return out if c is None or beta == 0 else out.add(c.mul(beta))
 
-    def _gemm_join(self: NDArray, other: NDArray, t, n: int, a_batch, b_batch) -> NDArray:
-        a = self.cast_to(t).df.withColumnsRenamed({f"i{k}": f"a{k + n + 2 - self.ndim}" for k in range(self.ndim)} | {"v": "x"})
-        b = other.cast_to(t).df.withColumnsRenamed({f"i{k}": f"b{k + n + 2 - other.ndim}" for k in range(other.ndim)} | {"v": "y"})
-        on = [F.col(f"a{n + 1}") == F.col(f"b{n}")]
-        keys = []
-        for k in range(n):
-            x, y = a_batch[k] > 1 or f"a{k}" in a.columns and a_batch[k] == b_batch[k], b_batch[k] > 1
-            if x and y:
-                on.append(F.col(f"a{k}") == F.col(f"b{k}"))
-            keys.append((F.col(f"a{k}") if x else F.col(f"b{k}")).alias(f"i{k}"))
-        keys += [F.col(f"a{n}").alias(f"i{n}"), F.col(f"b{n + 1}").alias(f"i{n + 1}")]
-        product = ew.mul(F.col("x"), F.col("y"), t)[0]
-        if t.is_complex:
-            total = F.struct(F.sum(product["re"]).alias("re"), F.sum(product["im"]).alias("im")).cast(t.spark)
-        else:
-            total = F.sum(product).cast(t.spark)
-        out = a.join(b, on).groupBy(*keys).agg(total.alias("v"))
-        return self._frame(out, [*(max(x, y) for x, y in zip(a_batch, b_batch)), self.shape[-2], other.shape[-1]], t)
+    def _with_axes(self: NDArray, n: int) -> NDArray:
+        """With axes of size 1 in front, to n axes."""
+        out = self
+        while out.ndim < n:
+            out = out.expand_dims(0)
+        return out
 
     def _row_arrays(self: NDArray) -> DataFrame:
         """(i0, r): rows as arrays; as they lie in the source where that holds rows, else gathered by row."""
@@ -93,8 +96,8 @@ class Linear:
         """Rows of self, gathered by row (their length is the common axis), times the whole of a small right matrix."""
         k, m = other.shape
         matrix = np.zeros((k, m))
-        for r in other.cast_to(t).df.toLocalIterator():
-            matrix[r["i0"], r["i1"]] = r["v"]
+        cells = other.cast_to(t).df.select("i0", "i1", F.col("v").cast("double").alias("v")).toArrow()
+        matrix[cells["i0"].to_numpy(), cells["i1"].to_numpy()] = cells["v"].to_numpy()
         shared = self.spark.sparkContext.broadcast(matrix)
         rows = self.cast_to(t)._row_arrays()
 
@@ -151,8 +154,13 @@ class Linear:
         out = left.crossJoin(right).select(*[(F.col(f"a{k}") * F.lit(b.shape[k]) + F.col(f"b{k}")).alias(f"i{k}") for k in range(n)], ew.mul(F.col("x"), F.col("y"), t)[0].alias("v"))
         return self._frame(out, [x * y for x, y in zip(a.shape, b.shape)], t)
 
-    def cov(self: NDArray, other: NDArray | None = None, ddof: int = 1, fweights: list[int] | None = None, aweights: list[float] | None = None) -> NDArray:
-        """Covariance of the rows (variables) over the columns (observations); of one vector a scalar."""
+    def cov(self: NDArray, other: NDArray | None = None, ddof: int = 1, fweights: NDArray | Sequence[int] | None = None, aweights: NDArray | Sequence[float] | None = None) -> NDArray:
+        """Covariance of the rows (variables) over the columns (observations); of one vector a scalar.
+
+        Weights are arrays [observations] (or lists). Real matrices of at most ``WIDE`` variables take one pass: each task
+        gathers weight, means and scatter of its observations, which merge pairwise by group. Others are centred and multiplied as tiles.
+        """
+        from ndspark.array import NDArray
         from ndspark.operators.combine import Combining
         from ndspark.sources.create import array
 
@@ -160,20 +168,104 @@ class Linear:
         if other is not None:
             m = Combining.concatenate([m, other if other.ndim == 2 else other.expand_dims(0)], 0)
         m = m.cast_to(dt.DFloat) if m.dtype.is_int else m
-        n = m.shape[1]
-        weights = [float(x) for x in (fweights or [1] * n)]
-        weights = [w * a for w, a in zip(weights, aweights or [1.0] * n)]
-        total = sum(weights)
-        squares = sum(w * a for w, a in zip(weights, aweights)) if aweights else total
-        factor = total - ddof * (squares / total if aweights else 1)
+        p, n = m.shape
+        weights = []
+        for w in (fweights, aweights):
+            if w is not None and not isinstance(w, NDArray):
+                w = array(self.spark, list(w))
+            if w is not None and w.shape != (n,):
+                raise ShapeError(f"{list(w.shape)} weights for {n} observations")
+            weights.append(None if w is None else w.cast_to(dt.DFloat))
+        out = m._cov_merged(ddof, *weights) if m.dtype.is_float and p <= WIDE else m._cov_tiles(ddof, *weights)
+        return out._squeeze(0)._squeeze(0) if self.ndim == 1 and other is None else out
+
+    def _cov_merged(self: NDArray, ddof: int, fweights: NDArray | None, aweights: NDArray | None) -> NDArray:
+        p, t = self.shape[0], self.dtype
+        rows = self.transpose()._row_arrays() if p > 1 else self.base.select(self.indices[1].alias("i0"), F.array(self.value.cast("double")).alias("r"))
+        for name, w in (("f", fweights), ("a", aweights)):
+            rows = rows.withColumn(name, F.lit(1.0)) if w is None else rows.join(w.df.select("i0", F.col("v").alias(name)), "i0")
+        state = "w double, wa double, mean binary, scatter binary"
+
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = _Moments(p)
+            for batch in batches:
+                if batch.num_rows:
+                    x = batch.column("r").flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+                    total.take(x, *(batch.column(c).to_numpy() for c in ("f", "a")))
+            yield total.row()
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = _Moments(p)
+            for batch in batches:
+                for r in batch.to_pylist():
+                    total.merge(_Moments(p, r))
+            yield total.row()
+
+        # one row a task; these meet in a square root of their number of tasks first, then in one
+        parts = rows.select("r", "f", "a").mapInArrow(gather, state)
+        few = max(1, math.isqrt(int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
+        whole = parts.repartition(few).mapInArrow(merge, state).coalesce(1).mapInArrow(merge, state)
+
+        reliability = aweights is not None
+
+        def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    factor = r["w"] - ddof * (r["wa"] / r["w"] if reliability and r["w"] else 1)
+                    if factor <= 0:
+                        raise ArithmeticError("no degrees of freedom left")
+                    v = np.frombuffer(r["scatter"]) / factor
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(p), p)), pa.array(np.tile(np.arange(p), p)), pa.array(v)], ["i0", "i1", "v"])
+
+        if fweights is None and aweights is None and self.shape[1] - ddof <= 0:
+            raise OperationError("no degrees of freedom left")
+        out = whole.mapInArrow(finish, "i0 bigint, i1 bigint, v double")
+        return self._frame(out.select("i0", "i1", F.col("v").cast(t.spark).alias("v")), [p, p])
+
+    def _cov_tiles(self: NDArray, ddof: int, fweights: NDArray | None, aweights: NDArray | None) -> NDArray:
+        n = self.shape[1]
+        weights = fweights if aweights is None else aweights if fweights is None else fweights.mul(aweights)
+        total = float(n) if weights is None else float(weights.sum().item())
+        squares = 1.0 if aweights is None else float(weights.mul(aweights).sum().item()) / total
+        factor = total - ddof * squares
         if factor <= 0:
             raise OperationError("no degrees of freedom left")
-        if fweights or aweights:
-            row = array(self.spark, weights).expand_dims(0)
-            centred = m.sub(m.mul(row).sum(axis=1, keepdims=True).div(total))
-            out = centred.mul(row).gemm(centred.transpose().conj())
-        else:
-            centred = m.sub(m.mean(axis=1, keepdims=True))
-            out = centred.gemm(centred.transpose().conj()) if m.dtype.is_complex else centred.transpose().gram()
-        out = out.div(float(factor))
-        return out._squeeze(0)._squeeze(0) if self.ndim == 1 and other is None else out
+        if weights is None:
+            centred = self.sub(self.mean(axis=1, keepdims=True))
+            return centred.gemm(centred.transpose().conj()).div(factor)
+        row = weights.expand_dims(0)
+        mean = self.mul(row).sum(axis=1, keepdims=True).div(total)
+        centred = self.sub(mean)
+        centred = centred._frame(durable(centred.df), centred.shape)
+        return centred.mul(row).gemm(centred.transpose().conj()).div(factor)
+
+
+class _Moments:
+    """Weight, means and scatter matrix of observations; two of them merge by the sums of the parts and the distance of their means."""
+
+    def __init__(self, p: int, row: dict | None = None):
+        self.p, self.w, self.wa = p, 0.0, 0.0
+        self.mean, self.scatter = np.zeros(p), np.zeros((p, p))
+        if row:
+            self.w, self.wa, self.mean, self.scatter = row["w"], row["wa"], np.frombuffer(row["mean"]), np.frombuffer(row["scatter"]).reshape(p, p)
+
+    def take(self, x: np.ndarray, f: np.ndarray, a: np.ndarray) -> None:
+        other, w = _Moments(self.p), f * a
+        other.w, other.wa = w.sum(), (w * a).sum()
+        if other.w:
+            other.mean = w @ x / other.w
+            d = x - other.mean
+            other.scatter = (d * w[:, None]).T @ d
+        self.merge(other)
+
+    def merge(self, other: _Moments) -> None:
+        total = self.w + other.w
+        if total:
+            d = other.mean - self.mean
+            self.scatter = self.scatter + other.scatter + np.outer(d, d) * (self.w * other.w / total)
+            self.mean = self.mean + d * (other.w / total)
+        self.w, self.wa = total, self.wa + other.wa
+
+    def row(self) -> pa.RecordBatch:
+        values = [pa.array([self.w]), pa.array([self.wa]), pa.array([self.mean.tobytes()], pa.binary()), pa.array([self.scatter.tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(values, ["w", "wa", "mean", "scatter"])

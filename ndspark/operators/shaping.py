@@ -57,7 +57,10 @@ class Shaping:
         order = [self._axis(a) for a in order] if order else list(reversed(range(self.ndim)))
         if sorted(order) != list(range(self.ndim)):
             raise DimensionError(f"{order} is no order of {self.ndim} axes")
-        return self._view([self.indices[k] for k in order], [self.shape[k] for k in order], ("transpose", *order))
+        out = self._view([self.indices[k] for k in order], [self.shape[k] for k in order], ("transpose", *order))
+        if order == [1, 0]:  # rows of the source are columns now, and the other way round
+            out.row_form, out.column_form = self.column_form, self.row_form
+        return out
 
     def swapaxes(self: NDArray, a: int, b: int) -> NDArray:
         order = list(range(self.ndim))

@@ -446,3 +446,5 @@ _scans()
 _shapes()
 _combinations()
 _sources()
+
+from ndspark import queries_blocks  # noqa: E402, F401  registers more queries
