@@ -14,13 +14,13 @@ from ndspark import dtypes as dt
 from ndspark.dtypes import DType
 from ndspark.errors import OperationError, ShapeError, ValueRangeError
 from ndspark.functions import aggregates as ag
-from ndspark.plans.order import running_counts
+from ndspark.plans.ranks import DIRECT, at_ranks
 
 if TYPE_CHECKING:
     from ndspark.array import NDArray
 
-#: Parts that a product of one group is first cut into, so that none is collected whole.
-SALTS = 4096
+#: Factors of a product that are gathered and multiplied at a time.
+PART = 4096
 
 
 class Reducing:
@@ -101,42 +101,56 @@ class Reducing:
     def argmin(self: NDArray, axis=None, keepdims: bool = False, nan: bool = False) -> NDArray:
         return self._index_of("min", axis, keepdims, nan, True)
 
-    def median(self: NDArray, axis=None, keepdims: bool = False, nan: bool = False) -> NDArray:
-        """Over all axes by rank in a distributed order; over some by a percentile of each group."""
-        if axis is None and self.ndim and self.dtype.is_comparable:
-            return self._median_of_all(keepdims)
-        return self._reduce(ag.median, axis, keepdims)
-
-    def _median_of_all(self: NDArray, keepdims: bool) -> NDArray:
+    def _ranked_rows(self: NDArray, axis, drop_nan: bool) -> tuple[DataFrame, list[int], int, int]:
+        """(rows with kept axes k… and v, kept axes, elements of a group, groups)."""
         if not self.size:
             raise ShapeError("an empty array can't be reduced")
-        rows = self.base.select(self.value.alias("v"))
-        rows = rows.where(~F.isnan("v")) if self.dtype.is_float else rows
-        counts = running_counts(rows, "v")
-        n = counts.agg(F.max("upto")).first()[0] or 0
-        middle = counts.agg(*[F.min(F.when(F.col("upto") > r, F.col("v"))).alias(c) for c, r in (("a", (n - 1) // 2), ("b", n // 2))])
-        if self.dtype.is_float:
-            value = F.coalesce(((F.col("a").cast("double") + F.col("b").cast("double")) / 2), F.lit(float("nan"))).cast(self.dtype.spark)
-        else:
-            value = F.call_function("div", F.col("a").cast("bigint") + F.col("b").cast("bigint"), F.lit(2).cast("bigint")).cast(self.dtype.spark)
-        shape = [1] * self.ndim if keepdims else []
-        return self._frame(middle.select(*[F.lit(0).cast("bigint").alias(f"i{k}") for k in range(len(shape))], value.alias("v")), shape)
+        kept = [k for k in range(self.ndim) if k not in self._axes(axis)]
+        rows = self.base.select(*[self.indices[k].alias(f"k{k}") for k in kept], self.value.alias("v"))
+        groups = math.prod(self.shape[k] for k in kept)
+        return rows.where(~F.isnan("v")) if drop_nan else rows, kept, self.size // groups, groups
+
+    def median(self: NDArray, axis=None, keepdims: bool = False, nan: bool = False, direct: int = DIRECT) -> NDArray:
+        """NaN is dropped; the middle two of an even number are averaged, in integer division for integers.
 
-    def percentile(self: NDArray, q: float, axis=None, keepdims: bool = False) -> NDArray:
-        """Linear interpolation at rank q / 100 * (n - 1); over all axes by counted values in a distributed order."""
+        Groups of more than ``direct`` elements, and all integers, go by rank; smaller groups of floats by a percentile in one task.
+        """
+        t = self.dtype
+        rows, kept, most, groups = self._ranked_rows(axis, t.is_float)
+        if not t.is_comparable or t.is_float and most <= direct:
+            return self._reduce(ag.median, axis, keepdims)
+        n = F.col("n")
+        middle = {"a": F.call_function("div", n - 1, F.lit(2).cast("bigint")), "b": F.call_function("div", n, F.lit(2).cast("bigint"))}
+        found = at_ranks(rows, [f"k{k}" for k in kept], middle, most, groups, direct)
+        if t.is_float:
+            value = F.coalesce((F.col("a").cast("double") + F.col("b").cast("double")) / 2, F.lit(float("nan")))
+            if kept:  # groups of NaN only
+                every = self.base.groupBy(*[self.indices[k].alias(f"k{k}") for k in kept]).agg(F.first(F.lit(1)).alias("one"))
+                found = every.join(found, [f"k{k}" for k in kept], "left")
+        else:
+            value = F.call_function("div", F.col("a").cast("decimal(21,0)") + F.col("b").cast("decimal(21,0)"), F.lit(2).cast("decimal(1,0)"))
+            if t == dt.UInt64:  # the quotient of decimals is a bigint
+                value = F.floor((F.col("a").cast("decimal(21,0)") + F.col("b").cast("decimal(21,0)")) / 2)
+        _, shape = self._outcome(self._axes(axis), keepdims)
+        return self._placed(found.withColumn("v", value.cast(t.spark)), kept, keepdims, shape, t)
+
+    def percentile(self: NDArray, q: float, axis=None, keepdims: bool = False, direct: int = DIRECT) -> NDArray:
+        """Linear interpolation at rank q / 100 * (n - 1), NaN counts as the largest; groups of more than ``direct`` elements by rank."""
         if not 0 <= q <= 100:
             raise ValueRangeError("q must be between 0 and 100")
-        if axis is None and self.ndim and self.size and (self.dtype.is_int or self.dtype.is_float):
-            out = dt.DFloat if self.dtype.is_int else self.dtype
-            counts = running_counts(self.base.select(self.value.cast("double").alias("v")), "v")
-            rank = q / 100 * (self.size - 1)
-            ends = (("a", math.floor(rank)), ("b", math.ceil(rank)))
-            found = counts.agg(*[F.min(F.when(F.col("upto") > r, F.col("v"))).alias(c) for c, r in ends])
-            part = rank - math.floor(rank)
-            value = (F.col("a") * (1 - part) + F.col("b") * part if part else F.col("a")).cast(out.spark)
-            shape = [1] * self.ndim if keepdims else []
-            return self._frame(found.select(*[F.lit(0).cast("bigint").alias(f"i{k}") for k in range(len(shape))], value.alias("v")), shape, out)
-        return self._reduce(lambda v, t: ag.percentile(v, q, t), axis, keepdims)
+        t = self.dtype
+        rows, kept, most, groups = self._ranked_rows(axis, False)
+        if not (t.is_int or t.is_float) or most <= direct:
+            return self._reduce(lambda v, t: ag.percentile(v, q, t), axis, keepdims)
+        out = dt.DFloat if t.is_int else t
+        rank = q / 100 * (most - 1)
+        ends = {"a": F.lit(math.floor(rank)).cast("bigint"), "b": F.lit(math.ceil(rank)).cast("bigint")}
+        found = at_ranks(rows, [f"k{k}" for k in kept], ends, most, groups, direct)
+        part = rank - math.floor(rank)
+        a, b = F.col("a").cast("double"), F.col("b").cast("double")
+        value = a * (1 - part) + b * part if part else a
+        _, shape = self._outcome(self._axes(axis), keepdims)
+        return self._placed(found.withColumn("v", value.cast(out.spark)), kept, keepdims, shape, out)
 
     def prod(self: NDArray, axis=None, keepdims: bool = False, nan: bool = False) -> NDArray:
         """Integers widen and are checked exactly: products of parts, then the product of those."""
@@ -152,14 +166,19 @@ class Reducing:
 
                 return F.aggregate(values, one, lambda x, y: mul(x, y, out)[0].cast(out.spark))
 
-            keys = [self.indices[k].alias(f"k{k}") for k in kept]
             if not self.size:
                 raise ShapeError("an empty array can't be reduced")
-            parts = self.base.select(*keys, F.pmod(F.xxhash64(self.flat()), F.lit(SALTS)).alias("salt"), dt.cast(self.value, t, out).alias("v"))
+            # neighbours are multiplied, then neighbours of those, so that no task gathers more than PART factors
+            place, size = F.lit(0).cast("bigint"), 1
+            for k in reversed(axes):
+                place, size = place + self.indices[k] * F.lit(size), size * self.shape[k]
             names = [f"k{k}" for k in kept]
-            parts = parts.groupBy(*names, "salt").agg(product(F.collect_list("v")).alias("v"))
-            whole = parts.groupBy(*names).agg(product(F.collect_list("v")).alias("v"))
-            return self._placed(whole, kept, keepdims, shape, out)
+            rows = self.base.select(*[self.indices[k].alias(f"k{k}") for k in kept], place.cast("bigint").alias("place"), dt.cast(self.value, t, out).alias("v"))
+            while True:
+                rows = rows.groupBy(*names, F.call_function("div", F.col("place"), F.lit(PART).cast("bigint")).alias("place")).agg(product(F.collect_list("v")).alias("v"))
+                size = -(-size // PART)
+                if size == 1:
+                    return self._placed(rows, kept, keepdims, shape, out)
         value = F.when(~F.isnan(self.value), self.value) if nan else self.value
         df = self._grouped(axes, kept, [F.coalesce(F.product(value), F.lit(1.0)).cast(t.spark).alias("v")])
         return self._placed(df, kept, keepdims, shape, t)

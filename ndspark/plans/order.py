@@ -1,4 +1,4 @@
-"""Global order without a single task: dense row numbers and prefix scans in two passes.
+"""Global order without a single task: dense row numbers in two passes.
 
 Rows are range-partitioned by the order and sorted within partitions; one aggregate row a
 partition then gives every partition's offset. The sorted rows are materialised (reliable
@@ -43,26 +43,3 @@ def dense_index(df: DataFrame, order: list[Column], name: str = "i0") -> DataFra
     # one row a partition: a size bounded by the number of partitions
     joined = placed.join(F.broadcast(offsets), "_part")
     return joined.withColumn(name, F.col("_offset") + F.col("_place").bitwiseAND(F.lit(_LOW))).drop("_place", "_part", "_offset")
-
-
-def prefix(df: DataFrame, order: list[Column], inside: Column, total: Column, before, carry, name: str) -> DataFrame:
-    """Adds an inclusive scan over the whole table.
-
-    inside: the aggregate over a window within a partition; total: the same over a partition, named
-    _total; before(window): what the totals of a window of partitions make together, one value a
-    partition; carry(offset, own): combines that with the scan within the partition.
-    """
-    placed = _placed(df, order).withColumn("_part", F.shiftrightunsigned("_place", 33))
-    totals = placed.groupBy("_part").agg(total.alias("_total"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_part", before(earlier).alias("_before"))
-    local = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
-    joined = placed.join(F.broadcast(offsets), "_part").withColumn("_own", inside.over(local))
-    return joined.withColumn(name, carry(F.col("_before"), F.col("_own"))).drop("_place", "_part", "_before", "_own")
-
-
-def running_counts(df: DataFrame, column: str) -> DataFrame:
-    """(column, upto) for each distinct value: how many rows have it or a smaller one; equal values are counted before they meet."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n")
-    return prefix(counts, [F.col(column)], total, total, lambda w: F.coalesce(F.sum("_total").over(w), F.lit(0)), lambda before, own: before + own, "upto").select(column, "upto")

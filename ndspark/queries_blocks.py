@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ndspark import dtypes as dt
 from ndspark.array import NDArray
+from ndspark.plans.order import dense_index
 from ndspark.queries import ELEMENTS, WIDTH, R, base, register, rounded, vectors
 
 # ---- products and covariances -------------------------------------------------------------
@@ -57,4 +58,53 @@ SELECT x.i1::BIGINT AS i0, y.i1::BIGINT AS i1, {R('sum(x.w * x.v * y.v) / min(x.
     register("linear_cov_pair", lambda s, d: (lambda v: rounded(v[True, 0:8].transpose().cov(v[True, 8:16].transpose(), ddof=0)))(vectors(s, d)), f"WITH e AS ({ELEMENTS}) SELECT a.i1::BIGINT AS i0, b.i1::BIGINT AS i1, {R('covar_pop(a.v, b.v)')} AS v FROM e a JOIN e b USING (i0) WHERE a.i1 < 16 AND b.i1 < 16 GROUP BY a.i1, b.i1")
 
 
+# ---- scans and ranks along axes -----------------------------------------------------------
+
+#: Short, so that an axis of the small tables has several chunks.
+CHUNK = 4096
+ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+LINES = f"WITH l AS (SELECT row_number() OVER (ORDER BY {ORDER}) - 1 AS i0, [l_quantity, l_extendedprice, l_discount, l_tax] AS r FROM lineitem), e AS (SELECT i0, unnest(r) AS v, generate_subscripts(r, 1) - 1 AS i1 FROM l) "
+
+
+def _lines(s: SparkSession, d: str) -> NDArray:
+    """lineitem in the order of all its columns, as [lines, 4]."""
+    rows = base(s, d, f"SELECT {ORDER} FROM lineitem")
+    rows = dense_index(rows, [F.col(c.strip()) for c in ORDER.split(",")], "i0")
+    return NDArray.from_rows(rows.select("i0", F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("r")), "r", "i0", 4)
+
+
+def cents(a: NDArray) -> DataFrame:
+    """Two places: sums of amounts in whole cents."""
+    return a.df.withColumn("v", F.round("v", 2) + F.lit(0.0))
+
+
+def _keys(s: SparkSession, d: str) -> NDArray:
+    return NDArray.from_column(base(s, d, "SELECT o_orderkey AS i, CAST(o_orderkey % 97 + 1 AS BIGINT) AS b FROM orders"), "b", "i")
+
+
+def _turning(s: SparkSession, d: str) -> NDArray:
+    """Complex numbers of about 1, fifty in a row."""
+    rows = base(s, d, "SELECT event_id AS i, CAST(event_id % 17 AS DOUBLE) * 0.75D - 6.0D AS y FROM events")
+    z = NDArray(rows, [F.col("i")], F.struct((F.col("y") * 0.0007310585786300049 + 1).alias("re"), F.lit(0.02).alias("im")), [rows.count()], dt.DComplex)
+    return z.reshape(None, 50)
+
+
+def _along() -> None:
+    lines = f"SELECT i0, i1::BIGINT AS i1, round({{}}, 2) + 0.0 AS v FROM e"
+    register("scan_cumsum_lines", lambda s, d: cents(_lines(s, d).cumsum(axis=0, chunk=CHUNK)), LINES + lines.format("sum(v) OVER (PARTITION BY i1 ORDER BY i0)"))
+    register("sort_lines", lambda s, d: cents(_lines(s, d).sort(axis=0, chunk=CHUNK)), LINES + "SELECT row_number() OVER (PARTITION BY i1 ORDER BY v) - 1 AS i0, i1::BIGINT AS i1, round(v, 2) + 0.0 AS v FROM e")
+    register("sort_index_lines", lambda s, d: rounded(_lines(s, d).sort_index(axis=0, chunk=CHUNK)), LINES + "SELECT row_number() OVER (PARTITION BY i1 ORDER BY v, i0) - 1 AS i0, i1::BIGINT AS i1, i0 * 4 + i1 AS v FROM e")
+    register("diff_lines", lambda s, d: cents(_lines(s, d).diff(2, axis=0, chunk=CHUNK)), LINES + "SELECT * FROM (SELECT i0, i1::BIGINT AS i1, round(lead(v, 2) OVER w - 2 * lead(v) OVER w + v, 2) + 0.0 AS v FROM e WINDOW w AS (PARTITION BY i1 ORDER BY i0)) WHERE v IS NOT NULL")
+    register("scan_cumprod_int", lambda s, d: rounded(_keys(s, d).square().reshape(None, 4).cumprod(axis=1)), "WITH b AS (SELECT o_orderkey AS i, (o_orderkey % 97 + 1)::BIGINT AS b FROM orders), l AS (SELECT i // 4 AS i0, i % 4 AS i1, list(b * b) OVER (PARTITION BY i // 4 ORDER BY i ROWS UNBOUNDED PRECEDING) AS x FROM b) SELECT i0, i1, list_reduce(x, lambda p, q: p * q) AS v FROM l")
+    parts = ", ".join(f"round({p}, 6) + 0.0 AS {n}" for p, n in (("exp(m) * cos(a)", "re"), ("exp(m) * sin(a)", "im")))
+    register("scan_cumprod_complex", lambda s, d: _turning(s, d).cumprod(axis=1, chunk=16).df.select("i0", "i1", *[(F.round(F.col("v")[p], 6) + F.lit(0.0)).alias(p) for p in ("re", "im")]), f"WITH z AS (SELECT event_id AS i, ((event_id % 17)::DOUBLE * 0.75::DOUBLE - 6) * 0.0007310585786300049::DOUBLE + 1 AS re, 0.02::DOUBLE AS im FROM events), p AS (SELECT i // 50 AS i0, i % 50 AS i1, sum(ln(sqrt(re * re + im * im))) OVER w AS m, sum(atan2(im, re)) OVER w AS a FROM z WINDOW w AS (PARTITION BY i // 50 ORDER BY i)) SELECT i0, i1, {parts} FROM p")
+    register("reduce_median_lines", lambda s, d: rounded(_lines(s, d).median(axis=0, direct=1000)), LINES + f"SELECT i1::BIGINT AS i0, {R('median(v)')} AS v FROM e GROUP BY i1")
+    register("reduce_percentile_lines", lambda s, d: rounded(_lines(s, d).percentile(99.5, axis=0, direct=1000)), LINES + f"SELECT i1::BIGINT AS i0, {R('quantile_cont(v, 0.995)')} AS v FROM e GROUP BY i1")
+    register("reduce_median_ranked", lambda s, d: rounded(_lines(s, d).median(direct=1000)), LINES + f"SELECT {R('median(v)')} AS v FROM e")
+    register("reduce_percentile_ranked", lambda s, d: rounded(_lines(s, d).percentile(12.5, direct=1000)), LINES + f"SELECT {R('quantile_cont(v, 0.125)')} AS v FROM e")
+    big = "SELECT o_orderkey AS i, CAST(4611686018427387904 AS BIGINT) + o_orderkey * 3 AS x FROM orders"
+    register("reduce_median_exact", lambda s, d: rounded(NDArray.from_column(base(s, d, big), "x", "i").reshape(None, 10).median(axis=1)), "WITH b AS (SELECT o_orderkey // 10 AS i0, list((4611686018427387904 + o_orderkey * 3)::HUGEINT ORDER BY o_orderkey) AS x FROM orders GROUP BY 1) SELECT i0, ((x[5] + x[6]) // 2)::BIGINT AS v FROM b")
+
+
 _products()
+_along()
