@@ -46,7 +46,9 @@ class NDArray(Indexing, Shaping, Reducing, Scanning, Combining, Linear):
         self.tag = next(_TAGS) if tag is None else tag
         #: (frame, index, array column) where a row of the base's source holds a row of this matrix.
         self.row_form: tuple[DataFrame, Column, Column] | None = None
-        #: The same where it holds a column.
+        #: (partition column, edge) of each axis, where the base is a stored array on a chunk grid.
+        self.chunks: list[tuple[str, int]] | None = None
+        #: Like row_form, where a row of the source holds a column.
         self.column_form: tuple[DataFrame, Column, Column] | None = None
 
     # ---- construction -----------------------------------------------------------------

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ndspark import dtypes as dt
@@ -103,7 +103,8 @@ class Indexing:
                 indices.append(F.lit(n - 1) - at)
                 shape.append(n)
             elif isinstance(key, (int, float)):
-                conditions.append(at == normal_index(key, n))
+                position = normal_index(key, n)
+                conditions += [at == position, *self._in_chunks(axis - 1, position, position)]
             elif isinstance(key, slice):
                 r = _range(key, n)
                 shape.append(len(r))
@@ -112,12 +113,14 @@ class Indexing:
                     indices.append(at)
                     continue
                 low, high = min(r[0], r[-1]), max(r[0], r[-1])
-                conditions.append(at.between(low, high))
+                conditions += [at.between(low, high), *self._in_chunks(axis - 1, low, high)]
                 if abs(r.step) > 1:
                     conditions.append((at - r[0]) % F.lit(abs(r.step)) == 0)
                 indices.append(((at - r[0]) / F.lit(r.step)).cast("bigint") if r.step != 1 else at - F.lit(r[0]))
             else:
                 frame, size = self._selector(key, n)
+                if self.chunks and isinstance(key, (list, range)) and 0 < len(key) <= SMALL_SELECTOR and not isinstance(key[0], bool):
+                    conditions.append(F.col(self.chunks[axis - 1][0]).isin(sorted({normal_index(x, n) // self.chunks[axis - 1][1] for x in key})))
                 joins.append((len(indices), at, frame, size))
                 indices.append(None)
                 shape.append(size)
@@ -135,6 +138,13 @@ class Indexing:
             plain = plain.join(F.broadcast(small) if size <= SMALL_SELECTOR else small, f"s{k}").drop(f"s{k}")
         return self._frame(plain.withColumnsRenamed({names[k]: f"i{k}" for k in range(len(names))}), shape)
 
+    def _in_chunks(self: NDArray, axis: int, low: int, high: int) -> list[Column]:
+        """The chunks of a stored array that hold these positions of an axis."""
+        if not self.chunks:
+            return []
+        name, edge = self.chunks[axis]
+        return [F.col(name).between(low // edge, high // edge)]
+
     def _selector(self: NDArray, key, n: int) -> tuple[DataFrame, int]:
         """(position, source) frame of an index list, an index array or a mask over an axis."""
         from ndspark.array import NDArray

@@ -272,3 +272,15 @@ def test_scan_over_many_partitions(spark):
         assert array(spark, [1.0, 2.0, -0.5, 3.0]).cumprod().to_list() == [1.0, 2.0, -1.0, -3.0]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_error_functions_have_full_precision(spark):
+    import math
+
+    xs = [k / 64 for k in range(-448, 449)] + [0.46874999, 0.46875, 3.9999, 4.0, 4.0001, 5.99, 6.0, 7.5, 12.25, 26.0, 26.5, 28.0, 1e-300, 1e300, float("inf"), -float("inf"), float("nan"), -0.0]
+    a = array(spark, xs)
+    for name, f in (("erf", math.erf), ("erfc", math.erfc)):
+        got = a.math(name)
+        assert "Python" not in got.df._jdf.queryExecution().executedPlan().toString()
+        for x, y in zip(xs, got.to_list()):
+            assert y == pytest.approx(f(x), rel=2e-15, abs=1e-300, nan_ok=True), (name, x)
