@@ -46,6 +46,8 @@ class NDArray(Indexing, Shaping, Reducing, Scanning, Combining, Linear):
         self.tag = next(_TAGS) if tag is None else tag
         #: (frame, index, array column) where a row of the base's source holds a row of this matrix.
         self.row_form: tuple[DataFrame, Column, Column] | None = None
+        #: The same where it holds all elements of one position of the first axis, in row-major order.
+        self.image_form: tuple[DataFrame, Column, Column] | None = None
         #: (partition column, edge) of each axis, where the base is a stored array on a chunk grid.
         self.chunks: list[tuple[str, int]] | None = None
         #: Like row_form, where a row of the source holds a column.
@@ -203,7 +205,7 @@ class NDArray(Indexing, Shaping, Reducing, Scanning, Combining, Linear):
         dtype = dt.of(dtype)
         out = self._like(dt.cast(self.value, self.dtype, dtype), dtype)
         if dtype == self.dtype or dtype == dt.DFloat and self.dtype == dt.SFloat:
-            out.row_form, out.column_form = self.row_form, self.column_form
+            out.row_form, out.column_form, out.image_form = self.row_form, self.column_form, self.image_form
         return out
 
     def fill(self, x: object) -> NDArray:

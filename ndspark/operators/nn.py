@@ -1,20 +1,25 @@
-"""Neural-network primitives over arrays of (batch, channel, spatial …): offset joins and sums.
+"""Neural-network primitives over arrays of (batch, channel, spatial …), on overlapping tiles of the grid (see ``halo``).
 
-Kernels, strides and paddings are small driver-side lists; every input element is sent to the
-outputs that it contributes to by an explode over kernel offsets, then summed by output position.
+Kernels are broadcast in blocks of at most KERNEL elements; strides and paddings are driver-side lists.
 """
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ndspark.array import NDArray
 from ndspark.errors import DimensionError, OperationError, ShapeError, ValueRangeError
+from ndspark.operators.combine import Combining
+from ndspark.operators.halo import Axis, axes, emitted, offsets, over_windows, tiled
+
+#: Elements of a kernel that are broadcast at a time.
+KERNEL = 4_000_000
 
 
 def _per_axis(x: int | Sequence[int] | None, n: int, default: int) -> list[int]:
@@ -35,20 +40,33 @@ def output_size(n: int, k: int, stride: int, pad: int) -> int:
     return (n + 2 * pad - k) // stride + 1
 
 
-def _ranges(n: int, first: int) -> list[str]:
-    return [f"i{k}" for k in range(first, first + n)]
+def _names(n: int) -> list[str]:
+    return [*[f"i{k}" for k in range(n + 2)], "v"]
+
+
+def _schema(n: int) -> str:
+    return ", ".join([*[f"i{k} bigint" for k in range(n + 2)], "v double"])
+
 
+def _result(x: NDArray, df: DataFrame, shape: Sequence[int]) -> NDArray:
+    return x._frame(df.withColumn("v", F.col("v").cast(x.dtype.spark)), shape)
 
-def _meeting(x: DataFrame, kernel: list[int], out: list[int], stride: list[int], pad: list[int], value: str = "v") -> DataFrame:
-    """x (i0, i1, i2 …) to (n, c, o…, k…): every output position and kernel offset that an input element meets."""
-    n = len(kernel)
-    rows = x.select("i0", "i1", *_ranges(n, 2), F.col(value).alias("xv"))
-    for k in range(n):
-        rows = rows.withColumn(f"k{k}", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(kernel[k] - 1).cast("bigint"))))
-        reach = F.col(f"i{k + 2}") + F.lit(pad[k]) - F.col(f"k{k}")
-        rows = rows.where((reach % F.lit(stride[k]) == 0) & (reach >= 0) & (reach <= F.lit((out[k] - 1) * stride[k])))
-        rows = rows.withColumn(f"o{k}", F.call_function("div", reach, F.lit(stride[k]).cast("bigint")))
-    return rows
+
+def _kernel(w: NDArray):
+    """The kernel as a broadcast NumPy array."""
+    cells = w.df.select(*[f"i{k}" for k in range(w.ndim)], F.col("v").cast("double").alias("v")).toArrow()
+    out = np.zeros(w.shape)
+    out[tuple(cells[f"i{k}"].to_numpy() for k in range(w.ndim))] = cells["v"].to_numpy()
+    return w.spark.sparkContext.broadcast(out)
+
+
+def _in_blocks(w: NDArray, axis: int, make) -> NDArray:
+    """make(block of the kernel) for blocks of output channels (along ``axis``) of at most KERNEL elements, joined again."""
+    n = w.shape[axis]
+    size = max(1, KERNEL * n // max(1, w.size))
+    keys = lambda lo: tuple(slice(lo, min(n, lo + size)) if k == axis else True for k in range(w.ndim))
+    parts = [make(w if size >= n else w[keys(lo)]) for lo in range(0, n, size)]
+    return parts[0] if len(parts) == 1 else Combining.concatenate(parts, 1)
 
 
 def _add_bias(out: NDArray, b: NDArray | None) -> NDArray:
@@ -67,23 +85,23 @@ def conv(x: NDArray, w: NDArray, b: NDArray | None = None, stride=1, pad=0) -> N
     size = [output_size(m, k, s, p) for m, k, s, p in zip(x.shape[2:], w.shape[2:], stride, pad)]
     if min(size) < 1:
         raise ShapeError("the kernel is larger than the input")
-    rows = _meeting(x.df, list(w.shape[2:]), size, stride, pad)
-    kernel = w.df.withColumnsRenamed({f"i{k}": f"w{k}" for k in range(w.ndim)} | {"v": "wv"})
-    on = [F.col("i1") == F.col("w1"), *[F.col(f"k{k}") == F.col(f"w{k + 2}") for k in range(n)]]
-    kernel = F.broadcast(kernel) if w.size <= 1_000_000 else kernel
-    keys = [F.col("i0"), F.col("w0").alias("i1"), *[F.col(f"o{k}").alias(f"i{k + 2}") for k in range(n)]]
-    total = rows.join(kernel, on).select(*keys, (F.col("xv").cast("double") * F.col("wv")).alias("p")).groupBy("i0", "i1", *_ranges(n, 2)).agg(F.sum("p").cast(x.dtype.spark).alias("v"))
-    shape = [x.shape[0], w.shape[0], *size]
-    return _add_bias(_dense(x, total, shape), b)
+    grid = axes(x.shape[2:], size, w.shape[2:], stride, pad, x.shape[1])
+
+    def make(part: NDArray) -> NDArray:
+        kernel = _kernel(part)
 
+        def work(tiles: Iterator) -> Iterator[pa.RecordBatch]:
+            weights = kernel.value
+            for key, (local,) in tiles:
+                out = np.zeros((weights.shape[0], *(a.edge for a in grid)))
+                for at in offsets(weights.shape[2:]):
+                    met = local[(slice(None), *(slice(k, k + (a.edge - 1) * a.stride + 1, a.stride) for k, a in zip(at, grid)))]
+                    out += np.tensordot(weights[(slice(None), slice(None), *at)], met, 1)
+                yield emitted(key, grid, out, _names(n))
 
-def _dense(like: NDArray, df: DataFrame, shape: Sequence[int]) -> NDArray:
-    """Positions that nothing contributes to are 0."""
-    from ndspark.sources.create import zeros
+        return _result(x, tiled([(x, grid, 0.0)], work, _schema(n)), [x.shape[0], part.shape[0], *size])
 
-    names = [f"i{k}" for k in range(len(shape))]
-    grid = zeros(like.spark, shape, like.dtype).df.select(*names)
-    return like._frame(grid.join(df, names, "left").select(*names, F.coalesce("v", F.lit(0.0).cast(like.dtype.spark)).alias("v")), shape)
+    return _add_bias(_in_blocks(w, 0, make), b)
 
 
 def conv_transpose(x: NDArray, w: NDArray, b: NDArray | None = None, stride=1, pad=0, out_size: Sequence[int] | None = None) -> NDArray:
@@ -98,34 +116,64 @@ def conv_transpose(x: NDArray, w: NDArray, b: NDArray | None = None, stride=1, p
         if [output_size(o, k, s, p) for o, k, s, p in zip(out_size, w.shape[2:], stride, pad)] != list(x.shape[2:]):
             raise ShapeError(f"an output of {list(out_size)} doesn't give this input")
         size = list(out_size)
-    rows = x.df.withColumnRenamed("v", "xv")
-    kernel = w.df.withColumnsRenamed({f"i{k}": f"w{k}" for k in range(w.ndim)} | {"v": "wv"})
-    rows = rows.join(F.broadcast(kernel) if w.size <= 1_000_000 else kernel, F.col("i1") == F.col("w0"))
-    for k in range(n):
-        at = F.col(f"i{k + 2}") * F.lit(stride[k]) - F.lit(pad[k]) + F.col(f"w{k + 2}")
-        rows = rows.withColumn(f"o{k}", at).where(F.col(f"o{k}").between(0, size[k] - 1))
-    keys = [F.col("i0"), F.col("w1").alias("i1"), *[F.col(f"o{k}").alias(f"i{k + 2}") for k in range(n)]]
-    total = rows.select(*keys, (F.col("xv").cast("double") * F.col("wv")).alias("p")).groupBy("i0", "i1", *_ranges(n, 2)).agg(F.sum("p").cast(x.dtype.spark).alias("v"))
-    return _add_bias(_dense(x, total, [x.shape[0], w.shape[1], *size]), b)
+    if min(size) < 1:
+        raise ShapeError("the padding leaves nothing")
+    grid = axes(x.shape[2:], size, w.shape[2:], stride, pad, max(x.shape[1], w.shape[1]), True)
+
+    def make(part: NDArray) -> NDArray:
+        kernel = _kernel(part)
+
+        def work(tiles: Iterator) -> Iterator[pa.RecordBatch]:
+            weights = kernel.value
+            for key, (local,) in tiles:
+                # results from kernel - 1 places before the tile on
+                out = np.zeros((weights.shape[1], *(a.edge + 2 * a.kernel + a.stride for a in grid)))
+                first = [a.start(t) * a.stride - a.pad - t * a.edge + a.kernel for a, t in zip(grid, key[1:])]
+                fits = [min(a.local, (size - k - f) // a.stride + 1) for a, size, f, k in zip(grid, out.shape[1:], first, weights.shape[2:])]
+                local = local[(slice(None), *(slice(0, m) for m in fits))]
+                for at in offsets(weights.shape[2:]):
+                    place = tuple(slice(f + k, f + k + (m - 1) * a.stride + 1, a.stride) for f, k, m, a in zip(first, at, fits, grid))
+                    out[(slice(None), *place)] += np.tensordot(weights[(slice(None), slice(None), *at)].T, local, 1)
+                yield emitted(key, grid, out[(slice(None), *(slice(a.kernel, a.kernel + a.edge) for a in grid))], _names(n))
+
+        return _result(x, tiled([(x, grid, 0.0)], work, _schema(n)), [x.shape[0], part.shape[1], *size])
+
+    return _add_bias(_in_blocks(w, 1, make), b)
 
 
 conv_backward_data = conv_transpose
 
 
 def conv_grad_w(x: NDArray, gy: NDArray, w_shape: Sequence[int], stride=1, pad=0) -> NDArray:
-    """The gradient of conv by its kernel."""
+    """The gradient of conv by its kernel: every task adds up its tiles, then the tasks' kernels are added."""
     _check(x, gy)
     n = x.ndim - 2
     stride, pad = _per_axis(stride, n, 1), _per_axis(pad, n, 0)
     size = [output_size(m, k, s, p) for m, k, s, p in zip(x.shape[2:], w_shape[2:], stride, pad)]
     if list(gy.shape) != [x.shape[0], w_shape[0], *size]:
         raise ShapeError(f"a gradient of {list(gy.shape)} doesn't fit {[x.shape[0], w_shape[0], *size]}")
-    rows = _meeting(x.df, list(w_shape[2:]), size, stride, pad)
-    g = gy.df.withColumnsRenamed({f"i{k}": f"g{k}" for k in range(gy.ndim)} | {"v": "gv"})
-    joined = rows.join(g, [F.col("i0") == F.col("g0"), *[F.col(f"o{k}") == F.col(f"g{k + 2}") for k in range(n)]])
-    keys = [F.col("g1").alias("j0"), F.col("i1").alias("j1"), *[F.col(f"k{k}").alias(f"j{k + 2}") for k in range(n)]]
-    total = joined.select(*keys, (F.col("xv").cast("double") * F.col("gv")).alias("p")).groupBy(*[f"j{k}" for k in range(n + 2)]).agg(F.sum("p").cast(x.dtype.spark).alias("v"))
-    return _dense(x, total.withColumnsRenamed({f"j{k}": f"i{k}" for k in range(n + 2)}), list(w_shape))
+    grid = axes(x.shape[2:], size, w_shape[2:], stride, pad, max(x.shape[1], gy.shape[1]))
+    own = [Axis(a.out, a.out, 1, 1, 0, a.edge) for a in grid]
+
+    def make(g: NDArray) -> NDArray:
+        shape = (g.shape[1], *w_shape[1:])
+
+        def work(tiles: Iterator) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(shape)
+            spatial = list(range(1, n + 1))
+            for _, (local, grad) in tiles:
+                for at in offsets(shape[2:]):
+                    met = local[(slice(None), *(slice(k, k + (a.edge - 1) * a.stride + 1, a.stride) for k, a in zip(at, grid)))]
+                    total[(slice(None), slice(None), *at)] += np.tensordot(grad, met, (spatial, spatial))
+            places = np.indices(shape).reshape(len(shape), -1)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, places), pa.array(total.ravel())], _names(n))
+
+        parts = tiled([(x, grid, 0.0), (g, own, 0.0)], work, _schema(n))
+        return _result(x, parts.groupBy(*_names(n)[:-1]).agg(F.sum("v").alias("v")), shape)
+
+    blocks = max(1, KERNEL // max(1, math.prod(w_shape[1:])))
+    parts = [make(gy if blocks >= w_shape[0] else gy[(True, slice(lo, min(w_shape[0], lo + blocks)), *[True] * n)]) for lo in range(0, w_shape[0], blocks)]
+    return parts[0] if len(parts) == 1 else Combining.concatenate(parts, 0)
 
 
 conv_backward_filter = conv_grad_w
@@ -186,11 +234,32 @@ def _pool_plan(x: NDArray, ksize, stride, pad) -> tuple[list[int], list[int], li
     stride = list(ksize) if stride is None else _per_axis(stride, n, 1)
     pad = _per_axis(pad, n, 0)
     size = [output_size(m, k, s, p) for m, k, s, p in zip(x.shape[2:], ksize, stride, pad)]
+    if min(size) < 1:
+        raise ShapeError("the kernel is larger than the input")
     return ksize, stride, pad, size
 
 
+def _met(a: Axis, first: int, count: int) -> np.ndarray:
+    """How many real inputs the windows of results first, first + 1, … hold."""
+    start = (first + np.arange(count)) * a.stride - a.pad
+    return np.maximum(np.minimum(start + a.kernel, a.n) - np.maximum(start, 0), 0)
+
+
+def _share(grid: list[Axis], firsts: Sequence[int], counts: Sequence[int], pad_value: int | None) -> np.ndarray:
+    """What an average divides by, for each result of a tile."""
+    if pad_value is not None:
+        return np.full(counts, float(math.prod(a.kernel for a in grid)))
+    out = np.ones(counts)
+    for k, (a, first, count) in enumerate(zip(grid, firsts, counts)):
+        out = out * _met(a, first, count).reshape([-1 if j == k else 1 for j in range(len(grid))])
+    return np.maximum(out, 1)
+
+
 def pooling_forward(mode: str, x: NDArray, ksize, stride=None, pad=0, pad_value: int | None = None) -> NDArray:
-    """mode max or avg. ``stride`` is the kernel's size by default; pad_value None leaves padding out of averages, 0 counts it."""
+    """mode max or avg. ``stride`` is the kernel's size by default; pad_value None leaves padding out of averages, 0 counts it.
+
+    Extremes and sums run along one axis after the other, with work for an element that doesn't depend on the kernel's size.
+    """
     _check(x)
     if mode not in ("max", "avg"):
         raise ValueRangeError(f"no pooling {mode}")
@@ -198,23 +267,19 @@ def pooling_forward(mode: str, x: NDArray, ksize, stride=None, pad=0, pad_value:
         raise ValueRangeError("pad_value is None or 0")
     ksize, stride, pad, size = _pool_plan(x, ksize, stride, pad)
     n = len(ksize)
-    rows = _meeting(x.df, ksize, size, stride, pad)
-    if mode == "max":
-        value = F.max("xv")
-    elif pad_value is None:
-        value = F.avg(F.col("xv").cast("double"))
-    else:
-        value = F.sum(F.col("xv").cast("double")) / F.lit(float(_product(ksize)))
-    rows = rows.select("i0", "i1", *[F.col(f"o{k}").alias(f"j{k + 2}") for k in range(n)], "xv")
-    out = rows.groupBy("i0", "i1", *[f"j{k + 2}" for k in range(n)]).agg(value.cast(x.dtype.spark).alias("v"))
-    return _dense(x, out.withColumnsRenamed({f"j{k + 2}": f"i{k + 2}" for k in range(n)}), [*x.shape[:2], *size])
-
-
-def _product(xs: Sequence[int]) -> int:
-    out = 1
-    for x in xs:
-        out *= x
-    return out
+    grid = axes(x.shape[2:], size, ksize, stride, pad, x.shape[1])
+    fill = float("-inf") if mode == "max" else 0.0
+
+    def work(tiles: Iterator) -> Iterator[pa.RecordBatch]:
+        for key, (local,) in tiles:
+            out = over_windows(local, ksize, stride, np.maximum if mode == "max" else np.add, fill)
+            if mode == "avg":
+                out = out / _share(grid, [t * a.edge for a, t in zip(grid, key[1:])], out.shape[1:], pad_value)
+            elif min(m - p for m, p in zip(ksize, pad)) <= 0:
+                out = np.where(np.isneginf(out), 0.0, out)  # windows of padding only
+            yield emitted(key, grid, out, _names(n))
+
+    return _result(x, tiled([(x, grid, fill)], work, _schema(n)), [*x.shape[:2], *size])
 
 
 def max_pool(x: NDArray, ksize, stride=None, pad=0) -> NDArray:
@@ -231,19 +296,63 @@ def pooling_backward(mode: str, x: NDArray, gy: NDArray, ksize, stride=None, pad
     ksize, stride, pad, size = _pool_plan(x, ksize, stride, pad)
     if list(gy.shape) != [*x.shape[:2], *size]:
         raise ShapeError(f"a gradient of {list(gy.shape)} doesn't fit {[*x.shape[:2], *size]}")
+    return _max_backward(x, gy, ksize, stride, pad, size) if mode == "max" else _avg_backward(x, gy, ksize, stride, pad, size, pad_value)
+
+
+def _max_backward(x: NDArray, gy: NDArray, ksize, stride, pad, size) -> NDArray:
+    """Every element's rank (larger first, then earlier, NaN before all) takes part in a running minimum; its winner gets the gradient."""
+    n = len(ksize)
+    grid = axes(x.shape[2:], size, ksize, stride, pad, x.shape[1])
+    own = [Axis(a.out, a.out, 1, 1, 0, a.edge) for a in grid]
+
+    def work(tiles: Iterator) -> Iterator[pa.RecordBatch]:
+        for key, (local, grad) in tiles:
+            inside = np.ones(local.shape[1:], bool)
+            for k, (a, t) in enumerate(zip(grid, key[1:])):
+                real = a.start(t) + np.arange(a.local)
+                inside &= ((real >= 0) & (real < a.n)).reshape([-1 if j == k else 1 for j in range(n)])
+            flat, inside = local.ravel(), np.broadcast_to(inside, local.shape).ravel()
+            order = np.lexsort((np.arange(flat.size), -flat, ~np.isnan(flat), ~inside))
+            rank = np.empty(flat.size, np.int64)
+            rank[order] = np.arange(flat.size)
+            best = over_windows(rank.reshape(local.shape), ksize, stride, np.minimum, flat.size)
+            best = best[(slice(None), *(slice(0, a.results(t)) for a, t in zip(grid, key[1:])))]
+            grad = grad[tuple(slice(0, m) for m in best.shape)]
+            winner = order[best.ravel()]
+            keep = inside[winner]
+            places = list(np.unravel_index(winner[keep], local.shape))
+            for k, (a, t) in enumerate(zip(grid, key[1:]), 1):
+                places[k] = places[k] + a.start(t)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), key[0])), *map(pa.array, places), pa.array(grad.ravel()[keep])], _names(n))
+
+    won = tiled([(x, grid, 0.0), (gy, own, 0.0)], work, _schema(n))
+    every = x.df.select(*_names(n)[:-1], F.lit(0.0).alias("v"))  # elements that win nothing
+    out = won.unionByName(every).groupBy(*_names(n)[:-1]).agg(F.sum("v").alias("v"))
+    return _result(x, out, x.shape)
+
+
+def _avg_backward(x: NDArray, gy: NDArray, ksize, stride, pad, size, pad_value: int | None) -> NDArray:
+    """Gradients, divided by what their window holds, are spread out by stride and summed over running windows."""
     n = len(ksize)
-    outs = [f"o{k}" for k in range(n)]
-    rows = _meeting(x.df, ksize, size, stride, pad)
-    g = gy.df.withColumnsRenamed({f"i{k}": f"g{k}" for k in range(gy.ndim)} | {"v": "gv"})
-    group = Window.partitionBy("i0", "i1", *outs)
-    if mode == "max":
-        first = group.orderBy(F.col("xv").desc(), *_ranges(n, 2))
-        rows = rows.withColumn("share", (F.row_number().over(first) == 1).cast("double"))
-    else:
-        rows = rows.withColumn("share", F.lit(1.0) / (F.count(F.lit(1)).over(group) if pad_value is None else F.lit(float(_product(ksize)))))
-    joined = rows.where("share > 0").join(g, [F.col("i0") == F.col("g0"), F.col("i1") == F.col("g1"), *[F.col(o) == F.col(f"g{k + 2}") for k, o in enumerate(outs)]])
-    out = joined.groupBy("i0", "i1", *_ranges(n, 2)).agg(F.sum(F.col("share") * F.col("gv")).cast(x.dtype.spark).alias("v"))
-    return _dense(x, out, x.shape)
+    grid = axes(size, x.shape[2:], ksize, stride, pad, x.shape[1], True)
+    forward = [Axis(m, o, k, s, p, o) for m, o, k, s, p in zip(x.shape[2:], size, ksize, stride, pad)]
+
+    def work(tiles: Iterator) -> Iterator[pa.RecordBatch]:
+        for key, (local,) in tiles:
+            starts = [a.start(t) for a, t in zip(grid, key[1:])]
+            local = local / _share(forward, starts, local.shape[1:], pad_value)
+            spread = np.zeros((local.shape[0], *(a.edge + a.kernel - 1 for a in grid)))
+            places, picks = [], []
+            for a, t, s in zip(grid, key[1:], starts):
+                at = (s + np.arange(a.local)) * a.stride - a.pad - t * a.edge + a.kernel - 1
+                pick = np.flatnonzero((at >= 0) & (at < a.edge + a.kernel - 1))
+                places.append(at[pick])
+                picks.append(pick)
+            channels = np.arange(local.shape[0])
+            spread[np.ix_(channels, *places)] = local[np.ix_(channels, *picks)]
+            yield emitted(key, grid, over_windows(spread, ksize, [1] * n, np.add, 0.0), _names(n))
+
+    return _result(x, tiled([(gy, grid, 0.0)], work, _schema(n)), x.shape)
 
 
 def max_pool_backward(x: NDArray, gy: NDArray, ksize, stride=None, pad=0) -> NDArray:
@@ -252,8 +361,3 @@ def max_pool_backward(x: NDArray, gy: NDArray, ksize, stride=None, pad=0) -> NDA
 
 def avg_pool_backward(x: NDArray, gy: NDArray, ksize, stride=None, pad=0, pad_value: int | None = None) -> NDArray:
     return pooling_backward("avg", x, gy, ksize, stride, pad, pad_value)
-
-
-def offsets(kernel: Sequence[int]) -> list[tuple[int, ...]]:
-    """All kernel positions in row-major order."""
-    return list(itertools.product(*map(range, kernel)))

@@ -91,7 +91,10 @@ class Shaping:
             stride = math.prod(shape[k + 1 :])
             c = F.call_function("div", flat, F.lit(stride).cast("bigint")) if stride > 1 else flat
             indices.append(c % F.lit(n) if k else c)
-        return self._view(indices, shape, ("reshape", *shape))
+        out = self._view(indices, shape, ("reshape", *shape))
+        if self.ndim > 1 and shape[0] == self.shape[0] and len(shape) > 1:
+            out.image_form = self.image_form or self.row_form
+        return out
 
     def flatten(self: NDArray) -> NDArray:
         return self if self.ndim == 1 else self._view([self.flat()], [self.size], "flat")
