@@ -6,11 +6,13 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import TYPE_CHECKING
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ndspark import dtypes as dt
 from ndspark.errors import ShapeError, ValueRangeError
-from ndspark.operators.indexing import normal_index
+from ndspark.operators.indexing import FEW, normal_index
+from ndspark.plans.order import dense_index
 
 if TYPE_CHECKING:
     from ndspark.array import NDArray
@@ -57,8 +59,11 @@ class Combining:
         """Flattened without an axis."""
         return self.concatenate([self.flatten(), other.flatten()]) if axis is None else self.concatenate([self, other], axis)
 
-    def insert(self: NDArray, index: int | Sequence[int], values: NDArray | object, axis: int | None = None) -> NDArray:
-        """Values before the given positions of the original array, in the order given at equal ones."""
+    def insert(self: NDArray, index: int | Sequence[int] | NDArray, values: NDArray | object, axis: int | None = None) -> NDArray:
+        """Values before the given positions of the original array, in the order given at equal ones.
+
+        Positions may be an array of integers, of any length: they stay distributed, and so do more than FEW of a list.
+        """
         if axis is None and self.ndim != 1:
             return self.flatten().insert(index, values, 0)
         from ndspark.array import NDArray
@@ -66,7 +71,13 @@ class Combining:
 
         axis = self._axis(0 if axis is None else axis)
         n, single = self.shape[axis], isinstance(index, int)
-        places = [normal_index(i, n + 1) for i in ([index] if single else index)]
+        if isinstance(index, NDArray):
+            if index.ndim != 1:
+                raise ShapeError("positions are one-dimensional")
+            count = index.shape[0]
+        else:
+            places = [normal_index(i, n + 1) for i in ([index] if single else index)]
+            count = len(places)
         if not isinstance(values, NDArray):
             values = array(self.spark, values if isinstance(values, (list, tuple)) else [values])
             values = values if values.size > 1 else values.reshape(*[1] * self.ndim)
@@ -77,19 +88,31 @@ class Combining:
                 kept[self.ndim - values.ndim - 1], kept[axis] = True, False
             sizes = iter(values.shape)
             values = values.reshape(*[next(sizes) if k else 1 for k in kept])
-        if len(places) == 1:
+        if count == 1 and not isinstance(index, NDArray):
             places = places * values.shape[axis]
-        count = len(places)
-        order = sorted(range(count), key=lambda j: (places[j], j))
-        final = {j: places[j] + r for r, j in enumerate(order)}
+            count = len(places)
         target = [count if k == axis else m for k, m in enumerate(self.shape)]
         full = self._grid(target)._paired(values.cast_to(self.dtype), lambda a, b, t: (b, self.dtype), upcast=False)
-        moved = self.spark.createDataFrame([(j, p) for j, p in final.items()], "j bigint, p bigint")
-        new = full.df.join(F.broadcast(moved), F.col(f"i{axis}") == F.col("j")).withColumn(f"i{axis}", F.col("p")).drop("j", "p")
-        sorted_places = F.array(*[F.lit(p).cast("bigint") for p in sorted(places)])
-        shift = F.size(F.filter(sorted_places, lambda p: p <= F.col(f"i{axis}")))
-        old = self.df.withColumn(f"i{axis}", F.col(f"i{axis}") + shift)
-        return self._frame(old.unionByName(new), [m + count if k == axis else m for k, m in enumerate(self.shape)])
+        name, shape = f"i{axis}", [m + count if k == axis else m for k, m in enumerate(self.shape)]
+        if isinstance(index, NDArray) or count > FEW:
+            index = index if isinstance(index, NDArray) else array(self.spark, places, "Int64")
+            index = index.cast_to("Int64")._in_range(n + 1)
+            # the j-th value goes to its place, behind those of smaller places and those given before it
+            moved = dense_index(index.df.select(F.col("i0").alias("j"), F.col("v").alias("p")), [F.col("p"), F.col("j")], "r").select("j", (F.col("p") + F.col("r")).alias("p"))
+            shift = index.bincount(minlength=n + 1).cumsum()[0:n]
+            old = self.df.join(shift.df.select(F.col("i0").alias("j"), F.col("v").alias("s")), F.col(name) == F.col("j")).withColumn(name, F.col(name) + F.col("s")).drop("j", "s")
+        else:
+            order = sorted(range(count), key=lambda j: (places[j], j))
+            moved = F.broadcast(self.spark.createDataFrame([(j, places[j] + r) for r, j in enumerate(order)], "j bigint, p bigint"))
+            sorted_places = F.array(*[F.lit(p).cast("bigint") for p in sorted(places)])
+            old = self.df.withColumn(name, F.col(name) + F.size(F.filter(sorted_places, lambda p: p <= F.col(name))))
+        new = full.df.join(moved, F.col(name) == F.col("j")).withColumn(name, F.col("p")).drop("j", "p")
+        return self._frame(old.unionByName(new), shape)
+
+    def _in_range(self: NDArray, n: int) -> NDArray:
+        """Positions from 0 to n - 1; negative ones count from the end, others raise."""
+        at = F.when(self.value < 0, self.value + n).otherwise(self.value)
+        return self._like(F.when(at.between(0, n - 1), at).otherwise(F.raise_error(F.lit(f"a position is out of range for an axis of size {n}")).cast("bigint")), self.dtype)
 
     def _grid(self: NDArray, shape: Sequence[int]) -> NDArray:
         from ndspark.sources.create import zeros
@@ -110,25 +133,48 @@ class Combining:
         out = rows.select(*[(F.col(f"a{k}") + F.col(f"c{k}") * F.lit(shape[k])).alias(f"i{k}") for k in range(n)], "v")
         return self._frame(out, [m * r for m, r in zip(shape, reps)])
 
-    def repeat(self: NDArray, times: int | Sequence[int], axis: int | None = None) -> NDArray:
-        """Each element ``times`` times in a row, or as often as the list says."""
+    def repeat(self: NDArray, times: int | Sequence[int] | NDArray, axis: int | None = None) -> NDArray:
+        """Each element ``times`` times in a row, or as often as the list or the array of integers says."""
+        from ndspark.array import NDArray
+        from ndspark.sources.create import array
+
         if axis is None and self.ndim != 1:
             return self.flatten().repeat(times, 0)
         axis = self._axis(0 if axis is None else axis)
-        n = self.shape[axis]
-        name = f"i{axis}"
+        n, name = self.shape[axis], f"i{axis}"
         if isinstance(times, int):
             if times < 0:
                 raise ValueRangeError("repetitions must not be negative")
-            rows = self.df.where(F.lit(times > 0)).withColumn("c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(times, 1) - 1).cast("bigint"))))
+            rows = self.df.where(F.lit(times > 0)).withColumn("c", _copies(F.lit(max(times, 1)).cast("bigint")))
+            rows = rows.select(*[c for c in rows.columns if c != "c"], _each("c", F.lit(times).cast("bigint")).alias("c"))
             return self._frame(rows.withColumn(name, F.col(name) * F.lit(times) + F.col("c")).drop("c"), [m * times if k == axis else m for k, m in enumerate(self.shape)])
-        if len(times) != n or any(t < 0 for t in times):
+        if not isinstance(times, NDArray):
+            if len(times) != n or any(t < 0 for t in times):
+                raise ValueRangeError(f"{n} repetitions, not negative, are needed")
+            times = array(self.spark, list(times), "Int64")
+        times = times.cast_to("Int64")
+        if times.shape != (n,):
+            raise ValueRangeError(f"{n} repetitions, not negative, are needed")
+        least, total = times.base.agg(F.min(times.value), F.sum(times.value)).first()
+        if least is not None and least < 0:
             raise ValueRangeError(f"{n} repetitions, not negative, are needed")
-        starts, at = [], 0
-        for i, t in enumerate(times):
-            starts.append((i, at, t))
-            at += t
-        plan = self.spark.createDataFrame([s for s in starts if s[2]], "j bigint, s bigint, t bigint")
-        rows = self.df.join(F.broadcast(plan), F.col(name) == F.col("j"))
-        rows = rows.withColumn(name, F.explode(F.sequence(F.col("s"), F.col("s") + F.col("t") - 1))).drop("j", "s", "t")
-        return self._frame(rows, [at if k == axis else m for k, m in enumerate(self.shape)])
+        ends = times.cumsum().df.select(F.col("i0").alias("j"), F.col("v").alias("end"))
+        plan = times.df.select(F.col("i0").alias("j"), F.col("v").alias("t")).where("t > 0").join(ends, "j")
+        rows = self.df.join(plan, F.col(name) == F.col("j")).withColumn("c", _copies(F.col("t")))
+        rows = rows.select(*self.df.columns, "t", "end", _each("c", F.col("t")).alias("c"))
+        return self._frame(rows.withColumn(name, F.col("end") - F.col("t") + F.col("c")).select(*self.df.columns), [total if k == axis else m for k, m in enumerate(self.shape)])
+
+
+#: Copies that are made of an element at a time.
+SPAN = 1 << 16
+
+
+def _copies(times: Column) -> Column:
+    """Numbers of the spans that ``times`` copies take, a row each."""
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.call_function("div", times - 1, F.lit(SPAN).cast("bigint"))))
+
+
+def _each(span: str, times: Column) -> Column:
+    """Numbers of the copies in a span, a row each."""
+    first = F.col(span) * SPAN
+    return F.explode(F.sequence(first, F.least(first + SPAN, times) - 1))

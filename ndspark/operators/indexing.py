@@ -23,6 +23,9 @@ if TYPE_CHECKING:
 SMALL_SELECTOR = 1_000_000
 
 
+#: Positions that go into an expression as literals; more of them are joined.
+FEW = 256
+
 #: Words that stand for a key of an axis: the whole of it, a new one, the rest of them, or its sum.
 WORDS = {"all": True, "*": True, "new": None, "-": None, "rest": ..., "~": ..., "+": "sum", "reduce": "sum"}
 
@@ -224,16 +227,30 @@ class Indexing:
         joined = mine.join(changes, "f", "left").withColumn("v", F.when(F.col("new").isNotNull(), F.col("new.new")).otherwise(F.col("old")))
         return self._frame(joined.select(*[f"i{k}" for k in range(self.ndim)], "v"), self.shape)
 
-    def delete(self: NDArray, index: int | Sequence[int], axis: int | None = None) -> NDArray:
-        """Without the given positions; flattened without an axis."""
+    def delete(self: NDArray, index: int | Sequence[int] | NDArray, axis: int | None = None) -> NDArray:
+        """Without the given positions, a list or an array of integers of any length; flattened without an axis."""
+        from ndspark.array import NDArray
+        from ndspark.sources.create import array
+
         if axis is None and self.ndim != 1:
             return self.flatten().delete(index, 0)
         axis = self._axis(0 if axis is None else axis)
         n = self.shape[axis]
-        gone = {normal_index(i, n) for i in ([index] if isinstance(index, int) else index)}
-        return self._select([True] * axis + [[i for i in range(n) if i not in gone]] + [True] * (self.ndim - axis - 1)) if len(gone) * 4 > n or n < 10_000 else self._delete_few(sorted(gone), axis)
+        if not isinstance(index, NDArray):
+            gone = {normal_index(i, n) for i in ([index] if isinstance(index, int) else index)}
+            if len(gone) <= FEW:
+                return self._delete_few(sorted(gone), axis)
+            index = array(self.spark, sorted(gone), "Int64")
+        hit = index.cast_to("Int64")._in_range(n).bincount(minlength=n).gt(0)
+        left = n - int(hit.count_true().item())
+        before = hit.cast_to("Int64").cumsum()
+        marks = hit.df.select(F.col("i0").alias("j"), F.col("v").alias("hit")).join(before.df.select(F.col("i0").alias("j"), F.col("v").alias("s")), "j").where("not hit")
+        rows = self.df.join(marks, F.col(f"i{axis}") == F.col("j")).withColumn(f"i{axis}", F.col(f"i{axis}") - F.col("s"))
+        return self._frame(rows.drop("j", "hit", "s"), [left if k == axis else m for k, m in enumerate(self.shape)])
 
     def _delete_few(self: NDArray, gone: list[int], axis: int) -> NDArray:
+        if not gone:
+            return self
         at = self.indices[axis]
         list_ = F.array(*[F.lit(g).cast("bigint") for g in gone])
         shift = F.size(F.filter(list_, lambda x: x < at))
