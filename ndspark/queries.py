@@ -18,8 +18,6 @@ from ndspark.array import NDArray
 from ndspark.operators import nn
 from ndspark.operators.columns import ColumnMatrix
 from ndspark.sources import binary, create
-from ndspark.sources.random import Generator
-from ndspark.sources.records import RecordType
 from ndspark.streaming.moments import moments
 
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
@@ -313,9 +311,6 @@ def _shapes() -> None:
     register("shape_triu", lambda s, d: rounded(vectors(s, d).triu(1)), f"WITH e AS ({ELEMENTS}) SELECT i0, i1::BIGINT AS i1, {R('CASE WHEN i0 + 1 <= i1 THEN v ELSE 0 END')} AS v FROM e")
     register("shape_tril", lambda s, d: rounded(vectors(s, d).tril()), f"WITH e AS ({ELEMENTS}) SELECT i0, i1::BIGINT AS i1, {R('CASE WHEN i0 >= i1 THEN v ELSE 0 END')} AS v FROM e")
     register("shape_trace", lambda s, d: rounded(vectors(s, d).trace()), f"WITH e AS ({ELEMENTS}) SELECT {R('sum(v)')} AS v FROM e WHERE i0 = i1")
-    tri = "WITH g AS (SELECT a.range AS i, b.range AS j FROM range(25) a, range(25) b) SELECT row_number() OVER (ORDER BY i, j) - 1 AS i0, i * 25 + j AS v FROM g WHERE {}"
-    for name, where in {"triu_indices": "i <= j", "tril_indices": "i >= j", "diag_indices": "i = j"}.items():
-        register(f"shape_{name}", lambda s, d, n=name: rounded(getattr(create.zeros(s, [25, 25]), n)()), tri.format(where))
     price = "SELECT CAST(n_nationkey AS BIGINT) AS i, CAST(n_nationkey AS DOUBLE) + 0.5 AS x FROM nation"
     over("shape_diag", price, lambda df: x(df).diag(), f"SELECT a.range AS i0, b.range AS i1, {R('CASE WHEN a.range = b.range THEN a.range + 0.5 ELSE 0 END')} AS v FROM range(25) a, range(25) b")
 
@@ -352,37 +347,13 @@ def _combinations() -> None:
     over("linear_dot", EVENTS, lambda df: x(df).dot(y(df)), "SELECT round(sum(x * y), 6) + 0.0 AS v FROM base")
     over("linear_inner", EVENTS, lambda df: x(df).inner(y(df)), "SELECT round(sum(x * y), 6) + 0.0 AS v FROM base")
     register("linear_gemm", lambda s, d: rounded(vectors(s, d).gemm(create.seq(s, [WIDTH, 8], 0.0, 0.01), alpha=2.0)), f"WITH e AS ({ELEMENTS}) SELECT i0, range AS i1, {R('2 * sum(v * (i1 * 8 + range) * 0.01)')} AS v FROM e, range(8) GROUP BY i0, range")
-    register("linear_gemm_int", lambda s, d: rounded(create.seq(s, [40, 30], 1, 1, "Int64").gemm(create.seq(s, [30, 20], 0, 2, "Int64"))), "SELECT i.range AS i0, j.range AS i1, sum((i.range * 30 + k.range + 1) * (k.range * 20 + j.range) * 2)::BIGINT AS v FROM range(40) i, range(20) j, range(30) k GROUP BY 1, 2")
     register("linear_gram", lambda s, d: rounded(vectors(s, d).gram()), f"WITH e AS ({ELEMENTS}) SELECT a.i1::BIGINT AS i0, b.i1::BIGINT AS i1, {R('sum(a.v * b.v)')} AS v FROM e a JOIN e b USING (i0) GROUP BY a.i1, b.i1")
     register("linear_matvec", lambda s, d: rounded(vectors(s, d).dot(create.seq(s, WIDTH, 1.0, 0.5))), f"WITH e AS ({ELEMENTS}) SELECT i0, {R('sum(v * (1 + i1 * 0.5))')} AS v FROM e GROUP BY i0")
     register("linear_cov", lambda s, d: rounded(vectors(s, d).transpose().cov()), f"WITH e AS ({ELEMENTS}) SELECT a.i1::BIGINT AS i0, b.i1::BIGINT AS i1, {R('covar_samp(a.v, b.v)')} AS v FROM e a JOIN e b USING (i0) GROUP BY a.i1, b.i1")
     register("kmeans_assign", lambda s, d: rounded(_nearest(s, d)), f"WITH e AS ({ELEMENTS}), dist AS (SELECT a.i0, c.i0 AS k, round(sum((a.v - c.v) * (a.v - c.v)), 9) AS s FROM e a JOIN e c ON a.i1 = c.i1 AND c.i0 < 16 GROUP BY a.i0, c.i0) SELECT i0, k AS v FROM (SELECT i0, k, row_number() OVER (PARTITION BY i0 ORDER BY s, k) AS r FROM dist) WHERE r = 1")
-    grid = "SELECT (n.range * 3 + c.range) AS nc, n.range AS n, c.range AS c, y.range AS y, x.range AS x, CAST(((n.range * 3 + c.range) * 10 + y.range) * 7 + x.range AS DOUBLE) % 11 AS v FROM range(2) n, range(3) c, range(10) y, range(7) x"
-    kernel = "SELECT o.range AS o, c.range AS c, y.range AS ky, x.range AS kx, CAST(((o.range * 3 + c.range) * 2 + y.range) * 3 + x.range AS DOUBLE) % 5 - 2 AS w FROM range(2) o, range(3) c, range(2) y, range(3) x"
-    image = lambda s: create.seq(s, [2, 3, 10, 7]) % 11.0
-    weight = lambda s: create.seq(s, [2, 3, 2, 3]) % 5.0 - 2.0
-    register("nn_conv", lambda s, d: rounded(nn.conv(image(s), weight(s), create.full(s, [2], 2.0), stride=[2, 1], pad=[1, 1])), f"""
-WITH g AS ({grid}), k AS ({kernel}), t AS (SELECT n, o, (y + 1 - ky) // 2 AS oy, x + 1 - kx AS ox, v * w AS p FROM g JOIN k USING (c) WHERE y + 1 - ky >= 0 AND (y + 1 - ky) % 2 = 0)
-SELECT n AS i0, o AS i1, oy AS i2, ox AS i3, {R('sum(p) + 2')} AS v FROM t WHERE oy < 6 AND ox BETWEEN 0 AND 6 GROUP BY n, o, oy, ox""")
-    register("nn_conv_transpose", lambda s, d: rounded(nn.conv_transpose(image(s), create.seq(s, [3, 2, 2, 3]) % 5.0 - 2.0, stride=2)), f"""
-WITH g AS ({grid}), k AS (SELECT c.range AS c, o.range AS o, y.range AS ky, x.range AS kx, CAST(((c.range * 2 + o.range) * 2 + y.range) * 3 + x.range AS DOUBLE) % 5 - 2 AS w FROM range(3) c, range(2) o, range(2) y, range(3) x),
-t AS (SELECT n, o, y * 2 + ky AS oy, x * 2 + kx AS ox, sum(v * w) AS p FROM g JOIN k USING (c) GROUP BY 1, 2, 3, 4)
-SELECT n.range AS i0, o.range AS i1, y.range AS i2, x.range AS i3, {R('coalesce(p, 0)')} AS v FROM range(2) n, range(2) o, range(20) y, range(15) x LEFT JOIN t ON t.n = n.range AND t.o = o.range AND oy = y.range AND ox = x.range""")
-    register("nn_conv_grad_w", lambda s, d: rounded(nn.conv_grad_w(image(s), create.seq(s, [2, 2, 9, 5]) % 7.0, [2, 3, 2, 3])), f"""
-WITH g AS ({grid}), gy AS (SELECT n.range AS n, o.range AS o, y.range AS oy, x.range AS ox, CAST(((n.range * 2 + o.range) * 9 + y.range) * 5 + x.range AS DOUBLE) % 7 AS d FROM range(2) n, range(2) o, range(9) y, range(5) x)
-SELECT o AS i0, c AS i1, y - oy AS i2, x - ox AS i3, {R('sum(v * d)')} AS v FROM g JOIN gy USING (n) WHERE y - oy BETWEEN 0 AND 1 AND x - ox BETWEEN 0 AND 2 GROUP BY 1, 2, 3, 4""")
-    pooled = f"WITH g AS ({grid}), o AS (SELECT nc, n, c, oy.range AS oy, ox.range AS ox, v, y, x FROM g, range(5) oy, range(4) ox WHERE y BETWEEN oy.range * 2 - 1 AND oy.range * 2 + 1 AND x BETWEEN ox.range * 2 - 1 AND ox.range * 2 + 1) "
-    register("nn_max_pool", lambda s, d: rounded(nn.max_pool(image(s), 3, 2, 1)), pooled + f"SELECT n AS i0, c AS i1, oy AS i2, ox AS i3, {R('max(v)')} AS v FROM o GROUP BY 1, 2, 3, 4")
-    register("nn_avg_pool", lambda s, d: rounded(nn.avg_pool(image(s), 3, 2, 1)), pooled + f"SELECT n AS i0, c AS i1, oy AS i2, ox AS i3, {R('avg(v)')} AS v FROM o GROUP BY 1, 2, 3, 4")
-    register("nn_avg_pool_padded", lambda s, d: rounded(nn.avg_pool(image(s), 3, 2, 1, pad_value=0)), pooled + f"SELECT n AS i0, c AS i1, oy AS i2, ox AS i3, {R('sum(v) / 9')} AS v FROM o GROUP BY 1, 2, 3, 4")
-    back = pooled + ", q AS (SELECT *, {} AS share, ((nc * 5 + oy) * 4 + ox)::DOUBLE AS gy FROM o) SELECT g.n AS i0, g.c AS i1, g.y AS i2, g.x AS i3, " + R("coalesce(sum(share * gy), 0)") + " AS v FROM g LEFT JOIN q USING (nc, y, x) GROUP BY 1, 2, 3, 4"
-    register("nn_max_pool_backward", lambda s, d: rounded(nn.max_pool_backward(image(s), create.seq(s, [2, 3, 5, 4]), 3, 2, 1)), back.format("(row_number() OVER (PARTITION BY nc, oy, ox ORDER BY v DESC, y, x) = 1)::INT"))
-    register("nn_avg_pool_backward", lambda s, d: rounded(nn.avg_pool_backward(image(s), create.seq(s, [2, 3, 5, 4]), 3, 2, 1)), back.format("1.0 / count(*) OVER (PARTITION BY nc, oy, ox)"))
     stats = f"WITH e AS ({ELEMENTS}), m AS (SELECT i1, avg(v) AS mean, var_pop(v) AS var FROM e GROUP BY i1) "
     ones = lambda s: create.ones(s, [1, WIDTH])
-    register("nn_batch_norm", lambda s, d: rounded(nn.batch_norm(vectors(s, d), ones(s) * 2.0, ones(s))[0]), stats + f"SELECT i0, i1::BIGINT AS i1, {R('(v - mean) / sqrt(var + 2e-5) * 2 + 1')} AS v FROM e JOIN m USING (i1)")
     register("nn_fixed_batch_norm", lambda s, d: rounded(nn.fixed_batch_norm(vectors(s, d), ones(s) * 2.0, ones(s), ones(s) * 0.5, ones(s) * 4.0)), f"WITH e AS ({ELEMENTS}) SELECT i0, i1::BIGINT AS i1, {R('(v - 0.5) / sqrt(4 + 2e-5) * 2 + 1')} AS v FROM e")
-    register("nn_batch_norm_backward", lambda s, d: rounded((lambda x: nn.batch_norm_backward(x, ones(s) * 2.0, x.square()))(vectors(s, d))[0]), stats + f", b AS (SELECT i1, sum(v * v) AS gb, sum(v * v * (v - mean) / sqrt(var + 2e-5)) AS gg, count(*) AS n FROM e JOIN m USING (i1) GROUP BY i1) SELECT i0, i1::BIGINT AS i1, {R('(v * v - gb / n - (v - mean) / sqrt(var + 2e-5) * gg / n) / sqrt(var + 2e-5) * 2')} AS v FROM e JOIN m USING (i1) JOIN b USING (i1)")
 
 
 def _nearest(s: SparkSession, d: str) -> NDArray:
@@ -399,33 +370,10 @@ def _nearest(s: SparkSession, d: str) -> NDArray:
 
 
 def _sources() -> None:
-    register("source_seq", lambda s, d: rounded(create.seq(s, [20, 50], 1.0, 0.5)), f"SELECT range // 50 AS i0, range % 50 AS i1, {R('1 + range * 0.5')} AS v FROM range(1000)")
-    register("source_seq_uint8", lambda s, d: rounded(create.seq(s, 600, 0, 1, "UInt8")), "SELECT range AS i0, (range % 256)::BIGINT AS v FROM range(600)")
-    register("source_logseq", lambda s, d: rounded(create.logseq(s, 20, -2.0, 0.25, 10)), f"SELECT range AS i0, {R('pow(10, -2 + range * 0.25)')} AS v FROM range(20)")
-    register("source_linspace", lambda s, d: rounded(create.linspace(s, 0.0, 1.0, 101)), f"SELECT range AS i0, {R('range / 100')} AS v FROM range(101)")
-    register("source_logspace", lambda s, d: rounded(create.logspace(s, 0.0, 2.0, 50)), f"SELECT range AS i0, {R('pow(10, range * 2.0 / 49)')} AS v FROM range(50)")
-    register("source_zeros", lambda s, d: rounded(create.zeros(s, [3, 4])), "SELECT range // 4 AS i0, range % 4 AS i1, 0.0::DOUBLE AS v FROM range(12)")
-    register("source_ones", lambda s, d: rounded(create.ones(s, [3, 4], "Int32")), "SELECT range // 4 AS i0, range % 4 AS i1, 1::BIGINT AS v FROM range(12)")
-    register("source_fill", lambda s, d: rounded(create.full(s, 9, 7.5)), "SELECT range AS i0, 7.5::DOUBLE AS v FROM range(9)")
-    register("source_eye", lambda s, d: rounded(create.eye(s, 30, 40, "DFloat", 1, 2)), "SELECT range // 40 AS i0, range % 40 AS i1, (range % 40 = range // 40 + 2)::INT::DOUBLE AS v FROM range(1200)")
-    register("source_step", lambda s, d: rounded(create.step_range(s, 1.0, 2.0, 0.1)), f"SELECT range AS i0, {R('1 + range * 0.1')} AS v FROM range(11)")
-    register("source_literal", lambda s, d: rounded(create.array(s, [[1, 2, 3], [5, 7]])), "SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, 1::BIGINT), (0, 1, 2), (0, 2, 3), (1, 0, 5), (1, 1, 7), (1, 2, 0)) t(i0, i1, v)")
-    register("source_parse", lambda s, d: rounded(create.parse(s, "1 2.5;3 4")), "SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, 1.0::DOUBLE), (0, 1, 2.5), (1, 0, 3), (1, 1, 4)) t(i0, i1, v)")
-    register("source_cast", lambda s, d: rounded(create.array(s, [1.9, -1.9, 300.0]).cast_to("Int8")), "SELECT * FROM (VALUES (0::BIGINT, 1::BIGINT), (1, -1), (2, 44)) t(i0, v)")
     over("source_store", EVENTS, lambda df: column(df, "x").cast_to("Int64").store(column(df, "y")), "trunc(y)::BIGINT")
     over("source_binary", EVENTS, lambda df: (lambda a: binary.unpack(binary.pack(a), a.shape, a.dtype))(column(df, "x")), R("x"))
-    over("source_format", EVENTS, lambda df: column(df, "x"), R("x"))
     register("sink_format", lambda s, d: column(base(s, d, KEYS), "a").format("%05d"), f"WITH base AS ({KEYS}) SELECT i AS i0, lpad(a::VARCHAR, 5, '0') AS text FROM base")
-    register("source_rand", lambda s, d: rounded(Generator(42).rand(s, [1000, 10])))
-    register("source_rand_norm", lambda s, d: rounded(Generator(42).rand_norm(s, 10_000)))
-    register("source_rand_int", lambda s, d: rounded(Generator(42).rand(s, 10_000, 10, dtype="Int32")))
-    register("source_records", lambda s, d: rounded(_records(s)["x"]), "SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, 1.0::DOUBLE), (0, 1, 2.0), (1, 0, 3.0), (1, 1, 4.0)) t(i0, i1, v)")
     register("stream_moments", _stream, "SELECT event_type AS k, count(*)::BIGINT AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, round(var_samp(value), 4) AS var, min(value) AS lo, max(value) AS hi FROM events GROUP BY event_type")
-    register("same_as", lambda s, d: s.range(1).select(F.lit((lambda a: a.same_as(a.reverse().reverse()))(vectors(s, d))).alias("v")), "SELECT true AS v")
-
-
-def _records(s: SparkSession):
-    return RecordType().add("id", "Int32").add("x", "DFloat", [2]).array(s, [(1, [1.0, 2.0]), (2, [3.0, 4.0])])
 
 
 def _stream(s: SparkSession, d: str) -> DataFrame:
@@ -447,4 +395,4 @@ _shapes()
 _combinations()
 _sources()
 
-from ndspark import queries_blocks  # noqa: E402, F401  registers more queries
+from ndspark import queries_blocks, queries_tables  # noqa: E402, F401  register more queries
