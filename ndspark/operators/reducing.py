@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from ndspark import dtypes as dt
 from ndspark.dtypes import DType
 from ndspark.errors import OperationError, ShapeError, ValueRangeError
 from ndspark.functions import aggregates as ag
+from ndspark.functions.exact import exact_sum
 from ndspark.plans.ranks import DIRECT, at_ranks
 
 if TYPE_CHECKING:
@@ -184,7 +184,7 @@ class Reducing:
         return self._placed(df, kept, keepdims, shape, t)
 
     def kahan_sum(self: NDArray, axis=None, keepdims: bool = False, nan: bool = False) -> NDArray:
-        """Sum without rounding within a batch or between batches (exact partial sums, exactly combined)."""
+        """The exact sum, rounded once: whole-number limbs are summed, in any order."""
         if self.dtype not in (dt.DFloat, dt.DComplex):
             raise OperationError("kahan_sum is defined for double precision")
         if self.dtype.is_complex:
@@ -195,26 +195,10 @@ class Reducing:
         names = [f"k{k}" for k in kept]
         if not self.size:
             raise ShapeError("an empty array can't be reduced")
-        rows = self.base.select(*[self.indices[k].alias(f"k{k}") for k in kept], F.lit(0).cast("bigint").alias("all"), self.value.alias("v"))
-        rows = rows.where(~F.isnan("v")) if nan else rows
-
-        def fsum(x: pd.Series) -> float:
-            x = x.astype("float64")  # a NaN that passed through Arrow is a null
-            try:
-                return math.fsum(x)
-            except (OverflowError, ValueError):
-                return float(x.sum(skipna=False))
-
-        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield batch.groupby([*names, "all"], sort=False)["v"].agg(fsum).reset_index()
-
-        schema = ", ".join(f"{n} bigint" for n in [*names, "all"]) + ", v double"
-        final = F.pandas_udf(fsum, "double")
-        whole = rows.mapInPandas(partial, schema).groupBy(*names, "all").agg(F.coalesce(final("v"), F.lit(float("nan"))).alias("v"))
-        if nan and not names:
-            whole = self.spark.range(1).select(F.lit(0).cast("bigint").alias("all")).join(whole, "all", "left").select("all", F.coalesce("v", F.lit(0.0)).alias("v"))
-        return self._placed(whole, kept, keepdims, shape, self.dtype)
+        rows = self.base.select(*[self.indices[k].alias(f"k{k}") for k in kept], self.value.alias("v"))
+        if nan:
+            rows = rows.withColumn("v", F.when(F.isnan("v"), F.lit(0.0)).otherwise(F.col("v")))
+        return self._placed(exact_sum(rows, names, "v", "v", self.size), kept, keepdims, shape, self.dtype)
 
     def mulsum(self: NDArray, other: NDArray, axis=None, keepdims: bool = False, nan: bool = False) -> NDArray:
         """Sum of products; with ``nan`` a pair with a NaN is dropped."""
