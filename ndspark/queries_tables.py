@@ -15,6 +15,7 @@ from ndspark.queries import ELEMENTS, EVENTS, HOLES, KEYS, WIDTH, R, base, colum
 from ndspark.sources import binary, create, store
 from ndspark.sources.random import Generator
 from ndspark.sources.records import Records, RecordType
+from ndspark.streaming.scans import running
 
 # ---- generators ---------------------------------------------------------------------------
 
@@ -191,3 +192,21 @@ SELECT 0::BIGINT AS i0, 0::BIGINT AS i1, (y - oy)::BIGINT AS i2, (x - ox)::BIGIN
 _generators()
 _options()
 _nets()
+
+
+# ---- streams ------------------------------------------------------------------------------
+
+
+def _running(s: SparkSession, d: str) -> DataFrame:
+    """The events as a stream: running sums and differences by type, of all rows that the watermark has passed in the end."""
+    schema = s.read.parquet(f"{d}/events.parquet").schema
+    stream = s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+    name = f"running_{uuid.uuid4().hex}"
+    query = running(stream, "value", ["event_type"], "ts", "event_id", "1 hour").writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return s.table(name).select(F.col("event_type").alias("k"), "event_id", F.round("cumsum", 4).alias("total"), (F.round("diff", 6) + F.lit(0.0)).alias("step"))
+
+
+register("stream_running", _running, """
+WITH r AS (SELECT event_type AS k, event_id, ts, round(sum(value) OVER w, 4) AS total, round(value - lag(value) OVER w, 6) + 0.0 AS step FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+SELECT k, event_id, total, step FROM r WHERE ts < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")

@@ -21,3 +21,22 @@ def test_windows_and_late_rows(spark, tmp_path):
     found = {(r["k"], r["window_start"].hour): r for r in spark.table("late_moments").collect()}
     assert found["a", 0]["count"] == 2 and found["a", 0]["sum"] == 4.0 and found["a", 0]["var"] == 2.0
     assert found["a", 5]["sum"] == 5.0 and found["a", 5]["count"] == 2
+
+
+def test_running_sums_of_late_rows(spark, tmp_path):
+    from ndspark.streaming.scans import running
+
+    def write(k, rows):
+        spark.createDataFrame(rows, "ts string, k string, id long, x double").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
+
+    write(0, [("2024-01-01 00:10:00", "a", 1, 1.0), ("2024-01-01 00:30:00", "a", 3, 4.0), ("2024-01-01 00:30:00", "b", 4, 7.0)])
+    write(1, [("2024-01-01 00:20:00", "a", 2, 2.0), ("2024-01-01 00:20:00", "a", 1, None)])  # late, but not too late
+    write(2, [("2024-01-01 03:00:00", "a", 5, 8.0)])
+    write(3, [("2024-01-01 03:10:00", "a", 8, 1.0)])  # rows before 02:30 leave
+    write(4, [("2024-01-01 00:15:00", "a", 6, 100.0)])  # too late
+    write(5, [("2024-01-01 09:00:00", "c", 7, 16.0)])
+    stream = spark.readStream.schema("ts timestamp, k string, id long, x double").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in" / "*"))
+    query = running(stream, "x", ["k"], "ts", "id", "30 minutes").writeStream.format("memory").queryName("running_sums").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = sorted((r["k"], r["ts"].hour, r["ts"].minute, r["id"], r["x"], r["cumsum"], r["diff"]) for r in spark.table("running_sums").collect())
+    assert found == [("a", 0, 10, 1, 1.0, 1.0, None), ("a", 0, 20, 1, 0.0, 1.0, -1.0), ("a", 0, 20, 2, 2.0, 3.0, 2.0), ("a", 0, 30, 3, 4.0, 7.0, 2.0), ("a", 3, 0, 5, 8.0, 15.0, 4.0), ("a", 3, 10, 8, 1.0, 16.0, -7.0), ("b", 0, 30, 4, 7.0, 7.0, None)]
