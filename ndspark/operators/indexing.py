@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ndspark import dtypes as dt
 from ndspark.errors import DimensionError, ShapeError
-from ndspark.plans.order import dense_index
+from ndspark.plans.chunks import scan
 
 if TYPE_CHECKING:
     from ndspark.array import NDArray
@@ -197,13 +197,18 @@ class Indexing:
             raise ShapeError(f"mask shape {list(bits.shape)} for {list(self.shape)}")
         pair = self._paired(bits, lambda a, b, t: (F.when(b, F.struct(a.alias("x"))), t), upcast=False)
         kept = pair.base.select(pair.flat().alias("f"), pair.value.alias("s")).where("s is not null").select("f", F.col("s.x").alias("v"))
-        kept = dense_index(kept, [F.col("f")]).select("i0", "v")
-        return self._frame(kept, [kept.count()])
+        return self._numbered(kept, self.dtype)
+
+    def _numbered(self: NDArray, kept: DataFrame, dtype: dt.DType) -> NDArray:
+        """One-dimensional, from some elements (f, v) in the order of their positions f: counts of earlier chunks, and a number within the chunk."""
+        total = F.count(F.lit(1))
+        before = lambda w: F.coalesce(F.sum("_total").over(w), F.lit(0))
+        out = scan(kept, [], "f", self.size, F.row_number(), total, before, lambda offset, own: F.coalesce(offset, F.lit(0)) + own - 1, "i0")
+        return self._frame(out.select(F.col("i0").cast("bigint").alias("i0"), "v"), [kept.count()], dtype)
 
     def where(self: NDArray) -> NDArray:
         """Row-major positions of true bits, ascending."""
-        kept = dense_index(self.base.where(self.value).select(self.flat().alias("v")), [F.col("v")]).select("i0", "v")
-        return self._frame(kept, [kept.count()], dt.Int64 if self.size >= 1 << 32 else dt.Int32).cast_to(dt.Int64)
+        return self._numbered(self.base.where(self.value).select(self.flat().alias("f")).withColumn("v", F.col("f")), dt.Int64)
 
     def where2(self: NDArray) -> tuple[NDArray, NDArray]:
         """Positions of true and of false bits."""

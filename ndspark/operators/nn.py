@@ -182,20 +182,58 @@ conv_backward_filter = conv_grad_w
 # ---- normalisation ------------------------------------------------------------------------
 
 
-def _statistics(x: NDArray, axis: Sequence[int], eps: float) -> tuple[NDArray, NDArray, NDArray]:
-    """Mean, variance (of all elements) and 1 / sqrt(variance + eps) over the axes, kept."""
-    mean = x.mean(axis=list(axis), keepdims=True)
-    variance = x.sub(mean).square().mean(axis=list(axis), keepdims=True)
-    return mean, variance, variance.add(eps).math("sqrt").reciprocal()
+#: Positions whose statistics are sent to all tasks.
+STATISTICS = 1_000_000
+
+
+def _kept(x: NDArray, axis: Sequence[int]) -> tuple[list[str], list[int]]:
+    """Names of the axes that are kept, and the shape with the others as 1."""
+    gone = {x._axis(k) for k in axis}
+    return [f"i{k}" for k in range(x.ndim) if k not in gone], [1 if k in gone else n for k, n in enumerate(x.shape)]
+
+
+def _beside(rows: DataFrame, small: DataFrame, names: list[str], shape: Sequence[int]) -> DataFrame:
+    """Rows with the columns of ``small`` (names …), which has a row for each position of ``shape``."""
+    small = F.broadcast(small) if math.prod(shape) <= STATISTICS else small
+    return rows.join(small, names) if names else rows.crossJoin(small)
+
+
+def _of(x: NDArray, df: DataFrame, column: str, shape: Sequence[int], tag: str, indices: Sequence[str]) -> NDArray:
+    """A column of a frame as an array over it; arrays of one tag are projections of one another."""
+    return NDArray(df, [F.col(f"i{k}") if f"i{k}" in indices else F.lit(0).cast("bigint") for k in range(len(shape))], F.col(column).cast(x.dtype.spark), shape, x.dtype, tag)
+
+
+def _columns(arrays: dict[str, NDArray], names: list[str], shape: Sequence[int]) -> DataFrame | None:
+    """Arrays of the statistics' shape as columns of one frame."""
+    out = None
+    for name, a in arrays.items():
+        df = a.reshape(*shape).df.select(*names, F.col("v").cast("double").alias(name))
+        out = df if out is None else (out.join(df, names) if names else out.crossJoin(df))
+    return out
+
+
+def _moments(x: NDArray, names: list[str], eps: float) -> DataFrame:
+    """(names, mean, var, inv) in one pass; the variance is that of all elements."""
+    v = F.col("v").cast("double")
+    nan = F.when(F.bool_or(F.isnan("v")), F.lit(float("nan")))
+    stats = x.df.groupBy(*names).agg(F.avg(v).alias("mean"), F.coalesce(nan, F.var_pop(v)).alias("var"))
+    return stats.withColumn("inv", 1 / F.sqrt(F.col("var") + F.lit(eps)))
 
 
 def batch_norm(x: NDArray, gamma: NDArray, beta: NDArray, running_mean: NDArray | None = None, running_var: NDArray | None = None, eps: float = 2e-5, decay: float = 0.9, axis: Sequence[int] = (0,)) -> tuple[NDArray, NDArray, NDArray, NDArray | None, NDArray | None]:
-    """(y, mean, inv_std, running mean, running variance); statistics over ``axis``, per element of the other axes."""
+    """(y, mean, inv_std, running mean, running variance); statistics over ``axis``, per element of the other axes.
+
+    One pass for the statistics; these, gamma and beta are then joined to the elements at once.
+    """
     _check(x, gamma, beta)
-    mean, variance, inv_std = _statistics(x, axis, eps)
-    shape = mean.shape
-    y = x.sub(mean).mul(inv_std).mul(gamma.reshape(*shape)).add(beta.reshape(*shape))
-    n = x.size // mean.size
+    names, shape = _kept(x, axis)
+    stats = _moments(x, names, eps)
+    given = _columns({"g": gamma, "b": beta}, names, shape)
+    both = stats.join(given, names) if names else stats.crossJoin(given)
+    rows = _beside(x.df, both.select(*names, "mean", (F.col("inv") * F.col("g")).alias("scale"), "b"), names, shape)
+    y = _result(x, rows.select(*[f"i{k}" for k in range(x.ndim)], ((F.col("v").cast("double") - F.col("mean")) * F.col("scale") + F.col("b")).alias("v")), x.shape)
+    mean, variance, inv_std = (_of(x, stats, c, shape, "statistics", names) for c in ("mean", "var", "inv"))
+    n = x.size // math.prod(shape)
     if running_mean is not None:
         running_mean = running_mean.reshape(*shape).mul(decay).add(mean.mul(1 - decay))
     if running_var is not None:
@@ -212,17 +250,24 @@ def fixed_batch_norm(x: NDArray, gamma: NDArray, beta: NDArray, mean: NDArray, v
 
 
 def batch_norm_backward(x: NDArray, gamma: NDArray, gy: NDArray, mean: NDArray | None = None, inv_std: NDArray | None = None, eps: float = 2e-5, axis: Sequence[int] = (0,)) -> tuple[NDArray, NDArray, NDArray]:
-    """(gx, ggamma, gbeta)."""
+    """(gx, ggamma, gbeta): a pass for the statistics unless they are given, one for both sums, one for the elements."""
     _check(x, gamma, gy)
-    axis = list(axis)
+    names, shape = _kept(x, axis)
     if mean is None or inv_std is None:
-        mean, _, inv_std = _statistics(x, axis, eps)
-    n = x.size // mean.size
-    hat = x.sub(mean).mul(inv_std)
-    gbeta = gy.sum(axis=axis, keepdims=True)
-    ggamma = gy.mul(hat).sum(axis=axis, keepdims=True)
-    inner = gy.sub(gbeta.div(float(n))).sub(hat.mul(ggamma).div(float(n)))
-    return inner.mul(inv_std).mul(gamma.reshape(*mean.shape)), ggamma, gbeta
+        stats = _moments(x, names, eps).select(*names, "mean", "inv")
+    else:
+        stats = _columns({"mean": mean, "inv": inv_std}, names, shape)
+    n = float(x.size // math.prod(shape))
+    both = x._paired(gy, lambda a, b, t: (F.struct(a.cast("double").alias("x"), b.cast("double").alias("g")), x.dtype), upcast=False)
+    every = [f"i{k}" for k in range(x.ndim)]
+    rows = both.base.select(*[c.alias(i) for c, i in zip(both.indices, every)], both.value.alias("p")).select(*every, "p.x", "p.g")
+    hat = (F.col("x") - F.col("mean")) * F.col("inv")
+    sums = _beside(rows, stats, names, shape).groupBy(*names).agg(F.sum(F.col("g") * hat).alias("ggamma"), F.sum("g").alias("gbeta"))
+    given = _columns({"gamma": gamma}, names, shape)
+    small = stats.join(sums, names).join(given, names) if names else stats.crossJoin(sums).crossJoin(given)
+    inner = F.col("g") - F.col("gbeta") / n - hat * F.col("ggamma") / n
+    gx = _beside(rows, small, names, shape).select(*every, (inner * F.col("inv") * F.col("gamma")).alias("v"))
+    return _result(x, gx, x.shape), *(_of(x, sums, c, shape, "sums", names) for c in ("ggamma", "gbeta"))
 
 
 # ---- pooling ------------------------------------------------------------------------------
