@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Splitters of a summary, its accuracy (rank errors are below 1 / ACCURACY of the rows), rows of a group that are ordered without a bracket.
-SPLITTERS, ACCURACY, DIRECT = 256, 10_000, 1 << 16
+SPLITTERS, ACCURACY, DIRECT = 256, 10_000, 1 << 18
 #: Groups whose brackets are sent to all tasks.
 SMALL = 100_000
 
