@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from ndspark import dtypes as dt
 from ndspark.dtypes import DType
@@ -63,12 +60,6 @@ def erfc(x: Column) -> Column:
     return F.when(F.isnan(x), x).when(a < 0.46875, 1 - _near(F.when(a < 0.46875, x))).when(x > 0, tail).otherwise(2 - tail)
 
 
-@F.pandas_udf(StructType().add("m", DoubleType()).add("e", IntegerType()))
-def _frexp(x: pd.Series) -> pd.DataFrame:
-    m, e = np.frexp(x.to_numpy(np.float64))
-    return pd.DataFrame({"m": m, "e": np.where(np.isfinite(m), e, 0).astype(np.int32)})
-
-
 UNARY = {
     "sqrt": F.sqrt, "cbrt": F.cbrt, "log": ieee.log, "log2": ieee.log2, "log10": ieee.log10, "log1p": ieee.log1p,
     "exp": F.exp, "exp2": lambda x: F.pow(F.lit(2.0), x), "exp10": lambda x: F.pow(F.lit(10.0), x), "expm1": F.expm1,
@@ -107,7 +98,17 @@ def binary(name: str, a: Column, b: Column, t: DType) -> tuple[Column, DType]:
 
 
 def frexp(a: Column, t: DType) -> tuple[tuple[Column, Column], DType]:
-    """Mantissa in [0.5, 1) and exponent (Int32); zero, NaN and infinities are their own mantissa, with exponent 0."""
+    """Mantissa in [0.5, 1) and exponent (Int32); zero, NaN and infinities are their own mantissa, with exponent 0.
+
+    The logarithm may miss the exponent by one next to a power of two; the mantissa tells, and scaling by powers of two is exact.
+    """
     out = result_type(t)
-    both = _frexp(a.cast("double"))
-    return (both["m"].cast(out.spark), both["e"]), out
+    x = a.cast("double")
+    real = ~F.isnan(x) & (F.abs(x) < float("inf")) & (x != 0)
+    guess = F.floor(F.log2(F.when(real, F.abs(x)))).cast("double") + 1
+    half = ieee.trunc(guess / 2)
+    scaled = x * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - guess)
+    over, under = F.abs(scaled) >= 1, F.abs(scaled) < 0.5
+    mantissa = F.when(real, F.when(over, scaled / 2).when(under, scaled * 2).otherwise(scaled)).otherwise(x)
+    exponent = F.when(real, guess + F.when(over, 1.0).when(under, -1.0).otherwise(0.0)).otherwise(F.lit(0.0))
+    return (mantissa.cast(out.spark), exponent.cast("int")), out

@@ -284,3 +284,14 @@ def test_error_functions_have_full_precision(spark):
         assert "Python" not in got.df._jdf.queryExecution().executedPlan().toString()
         for x, y in zip(xs, got.to_list()):
             assert y == pytest.approx(f(x), rel=2e-15, abs=1e-300, nan_ok=True), (name, x)
+
+
+def test_mantissas_and_exponents(spark):
+    import math
+
+    xs = [0.0, -0.0, 1.0, -1.0, 0.5, 3.0, 5e-324, -2.0**-1060, 2.0**1023, 1.7976931348623157e308, *(2.0**k for k in range(-1074, 1024, 61)), *(2.0**k * (1 - 2.0**-53) for k in range(-900, 1000, 97)), float("inf"), -float("inf"), float("nan")]
+    m, e = array(spark, xs).math("frexp")
+    assert "Python" not in m.df._jdf.queryExecution().executedPlan().toString()
+    for x, a, b in zip(xs, m.to_list(), e.to_list()):
+        want = math.frexp(x) if math.isfinite(x) else (x, 0)
+        assert (repr(a), b) == (repr(want[0]), want[1]), x

@@ -40,3 +40,12 @@ def test_running_sums_of_late_rows(spark, tmp_path):
     query.awaitTermination()
     found = sorted((r["k"], r["ts"].hour, r["ts"].minute, r["id"], r["x"], r["cumsum"], r["diff"]) for r in spark.table("running_sums").collect())
     assert found == [("a", 0, 10, 1, 1.0, 1.0, None), ("a", 0, 20, 1, 0.0, 1.0, -1.0), ("a", 0, 20, 2, 2.0, 3.0, 2.0), ("a", 0, 30, 3, 4.0, 7.0, 2.0), ("a", 3, 0, 5, 8.0, 15.0, 4.0), ("a", 3, 10, 8, 1.0, 16.0, -7.0), ("b", 0, 30, 4, 7.0, 7.0, None)]
+
+
+def test_sliding_windows_and_sessions_of_a_table(spark):
+    rows = [("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:40:00", "a", 2.0), ("2024-01-01 03:00:00", "a", 4.0)]
+    df = spark.createDataFrame(rows, "ts string, k string, x double").withColumn("ts", F.to_timestamp("ts"))
+    sliding = {(r["window_start"].hour, r["window_start"].minute): r["sum"] for r in moments(df, "x", ["k"], time="ts", window="1 hour", slide="30 minutes").collect()}
+    assert sliding == {(23, 30): 1.0, (0, 0): 3.0, (0, 30): 2.0, (2, 30): 4.0, (3, 0): 4.0}
+    sessions = sorted((r["window_start"].hour, r["sum"], r["count"]) for r in moments(df, "x", ["k"], time="ts", gap="1 hour").collect())
+    assert sessions == [(0, 3.0, 2), (3, 4.0, 1)]
