@@ -2,9 +2,14 @@
 
 A page is cut into blocks at block-level tags. Pass one decides a block from its container, its
 link density, its length and its density of stop words: menus, forms, notices, comments and the
-like are boilerplate, long blocks rich in stop words are text, and short ones stay open. Pass two
-gives an open block the label of its nearest decided neighbours. Where a page marks its main text
-with ``article`` or ``main``, only that container is read and its open blocks count as text.
+like are boilerplate, so are blocks that are mostly links and long ones without stop words and without the end of a sentence; long blocks
+rich in stop words are text, and the rest stays open. Pass two gives an open block the label of its nearest decided neighbours, first of those in the same element.
+
+Where a page marks its main text with ``article`` or ``main``, both passes run over that container, and the mark is
+a hint of weight: in it, only lists of links are boilerplate by their links, nothing is by its stop words, and what stays open counts as text.
+
+On pages with hardly any known stop word (other languages) their density says nothing: blocks that are long or end a sentence
+are text there. Characters of scripts without spaces count three times.
 
 Edge cases: a null or empty page gives an empty text; markup that is never closed is read to the
 end of the page; repeated pages are treated alike; every page is read whole, however long.
@@ -36,6 +41,8 @@ HIDDEN_TAGS = frozenset("script style noscript template textarea select svg math
 BOILER_TAGS = frozenset("nav footer aside form menu dialog head".split())
 # Of these, the words that say so of an article itself.
 ARTICLE_HINT = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|sponsored|promo|comments?|reply|related|teaser)(?=$|[\s_-])", re.I)
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+ITEM_TAGS = frozenset(("li", "dt", "dd", "option"))
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset(("script", "style", "textarea", "title", "iframe", "noscript"))
 # Words in class, id or role that mark boilerplate.
@@ -51,6 +58,10 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(
 STRIPPED = re.compile(r"[^\W\d_]+")
 
 LONG, SHORT, LINKED, DENSE, SPARSE = 200, 70, 0.33, 0.30, 0.12
+#: Share of known stop words on a page from which their density counts.
+KNOWN = 0.05
+SENTENCE_END = re.compile(r"[.!?…。！？।؟][\"'”’»)\]]*$")
+UNSPACED = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\u0e00-\u0e7f]")
 TEXT, BOILER, OPEN = "text", "boiler", "open"
 
 
@@ -64,15 +75,19 @@ def _marked(attributes: str, hint: re.Pattern = BOILER_HINT) -> bool:
     return False
 
 
+Block = tuple[str, int, bool, bool, bool, int]
+
+
 class _Blocks:
-    """Cuts a page into (text, characters in links, in boilerplate, in the main container)."""
+    """Cuts a page into (text, characters in links, in boilerplate, in the main container, list item, number of its element)."""
 
     def __init__(self) -> None:
-        self.blocks: list[tuple[str, int, bool, bool]] = []
+        self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.linked = 0
         self.in_link = False
-        self.open: list[tuple[str, bool, bool]] = []  # name, boilerplate, main
+        self.open: list[tuple[str, bool, bool, int]] = []  # name, boilerplate, main, number
+        self.count = 0
         self.marked = False  # the paragraph itself is
 
     def text(self, piece: str) -> None:
@@ -83,7 +98,7 @@ class _Blocks:
 
     def end(self) -> None:
         if text := " ".join("".join(self.parts).split()):
-            self.blocks.append((text, self.linked, self.marked or any(x[1] for x in self.open), any(x[2] for x in self.open)))
+            self.blocks.append((text, self.linked, self.marked or any(x[1] for x in self.open), any(x[2] for x in self.open), any(x[0] in ITEM_TAGS for x in self.open[-2:]), next((x[3] for x in reversed(self.open) if x[0] not in HEADINGS), 0)))
         self.parts, self.linked, self.marked = [], 0, False
 
     def tag(self, name: str, closing: bool, attributes: str) -> None:
@@ -108,10 +123,11 @@ class _Blocks:
             own = name in ("article", "main") and _marked(attributes, ARTICLE_HINT)
             main = name in ("article", "main") and not own and not any(x[1] for x in self.open)
             boiler = own or name in BOILER_TAGS or name == "header" and not any(x[2] for x in self.open) or name not in ("html", "body", "article", "main") and _marked(attributes)
-            self.open.append((name, boiler, main))
+            self.count += 1
+            self.open.append((name, boiler, main, self.count))
 
 
-def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
+def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order; hidden elements and comments left out."""
     out, at, n = _Blocks(), 0, len(page)
     lowered, strict = None, True
@@ -155,36 +171,52 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
     return out.blocks
 
 
-def _first_pass(text: str, linked: int, boiler: bool) -> str:
-    if boiler:
-        return BOILER
+def _stop_words(text: str) -> tuple[int, int]:
+    """Stop words and words of a block."""
     words = STRIPPED.findall(text.lower())
-    if linked > LINKED * max(1, len("".join(text.split()))):
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def _links(text: str, linked: int) -> bool:
+    return linked > LINKED * max(1, len("".join(text.split())))
+
+
+def _first_pass(text: str, linked: int, boiler: bool, known: bool) -> str:
+    """The label of a block; ``known``: the page's language is one whose stop words count."""
+    if boiler or _links(text, linked):
         return BOILER
-    if len(text) < SHORT:
+    length = len(text) + 2 * len(UNSPACED.findall(text))
+    if length < SHORT:
         return OPEN
-    density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if density >= DENSE or density >= SPARSE and len(text) >= LONG:
+    ends = bool(SENTENCE_END.search(text))
+    if not known:
+        return TEXT if ends or length >= LONG else OPEN
+    stops, words = _stop_words(text)
+    density = stops / max(1, words)
+    if density >= DENSE or density >= SPARSE and length >= LONG:
         return TEXT
-    return OPEN if density >= SPARSE else BOILER
+    return OPEN if density >= SPARSE or ends else BOILER
+
 
+def _second_pass(labels: list[str], places: list[int], default: str) -> list[str]:
+    """Open blocks take the label of the nearest decided one: of those in the same element, if it has any, else of all.
 
-def _second_pass(labels: list[str], default: str) -> list[str]:
-    """Open blocks take the label of the nearest decided one; where both sides are as near and differ, of the text side."""
-    n, before, after = len(labels), [(-1, default)] * len(labels), [(-1, default)] * len(labels)
-    for order, side in ((range(n), before), (range(n - 1, -1, -1), after)):
-        last = (-1, "")
+    Where both sides are as near and differ, of the text side. Where no block is text by itself, what stands around
+    says nothing, and they get ``default``.
+    """
+    near: list[list[tuple[int, int, str]]] = [[] for _ in labels]
+    inside: list[list[tuple[int, int, str]]] = [[] for _ in labels]
+    for order in (range(len(labels)), range(len(labels) - 1, -1, -1)):
+        last, last_inside = None, {}
         for i in order:
             if labels[i] != OPEN:
-                last = (i, labels[i])
-            side[i] = last
-    out = []
-    for i, label in enumerate(labels):
-        if label == OPEN:
-            near = sorted((abs(i - k), 0 if x == TEXT else 1, x) for k, x in (before[i], after[i]) if k >= 0)
-            label = near[0][2] if near else default
-        out.append(label)
-    return out
+                last = last_inside[places[i]] = i
+                continue
+            for k, found in ((last, near[i]), (last_inside.get(places[i]), inside[i])):
+                if k is not None:
+                    found.append((abs(i - k), 0 if labels[k] == TEXT else 1, labels[k]))
+    known = TEXT in labels
+    return [label if label != OPEN else min(inside[i] or (near[i] if known else []), default=(0, 0, default))[2] for i, label in enumerate(labels)]
 
 
 def main_text(page: str | None) -> str:
@@ -192,16 +224,30 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks = blocks_of(page)
-    if any(main for *_, main in blocks):
-        inside = [b for b in blocks if b[3]]
-        labels = [BOILER if boiler else OPEN if (x := _first_pass(text, linked, False)) == BOILER else x for text, linked, boiler, _ in inside]
-        kept = [i for i, x in enumerate(labels) if x != BOILER]
-        labels = _second_pass([labels[i] for i in kept], TEXT)
-        return "\n".join(inside[i][0] for i, x in zip(kept, labels) if x == TEXT)
-    labels = _second_pass([_first_pass(text, linked, boiler) for text, linked, boiler, _ in blocks], TEXT)
+    plain = [_stop_words(text) for text, _, boiler, *_ in blocks if not boiler]
+    known = sum(x for x, _ in plain) >= KNOWN * max(1, sum(n for _, n in plain))
+    main = [b for b in blocks if b[3]]
+    if main:
+        lists = _link_lists(main)
+        kept = [(b, _first_pass(b[0], 0, False, known)) for i, b in enumerate(main) if not b[2] and i not in lists]
+        labels = _second_pass([OPEN if label == BOILER else label for _, label in kept], [b[5] for b, _ in kept], TEXT)
+        return "\n".join(b[0] for (b, _), label in zip(kept, labels) if label == TEXT)
+    labels = _second_pass([_first_pass(*b[:3], known) for b in blocks], [b[5] for b in blocks], TEXT)
     return "\n".join(b[0] for b, x in zip(blocks, labels) if x == TEXT)
 
 
+def _link_lists(blocks: list[Block]) -> set[int]:
+    """Neighbouring list items, two or more, that are mostly links."""
+    out, run = set(), []
+    for i, (text, linked, _, _, item, _) in enumerate([*blocks, ("", 0, False, False, False, 0)]):
+        if item and _links(text, linked):
+            run.append(i)
+        else:
+            out.update(run if len(run) > 1 else [])
+            run = []
+    return out
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every row."""
     kind = pages.schema[id_col].dataType.simpleString()
