@@ -95,23 +95,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
 def _licence_sql() -> str:
-    known = ", ".join(f"('{sentence}', '{name}')" for name, sentence in licenses.SENTENCES)
+    known = ", ".join(f"('{sentence}', '{name}')" for sentence, name in licenses.KNOWN.items())
     rules = ", ".join(f"({i}, '{rule}', '{licence}', '%{''.join(f'[{x}]%' for x in ids)}')" for i, (rule, licence, ids) in enumerate(licenses.RULES))
-    firsts = ", ".join(f"({i}, '{x}')" for i, x in enumerate(dict.fromkeys(x[1] for x in licenses.RULES)))
-    return rf"""
+
+    def replaced(x: str, pattern: str, stays: str, options: str = "") -> str:
+        return f"regexp_replace({x}, {_quoted(pattern)}, {_quoted(stays.format('', chr(92) + '1', chr(92) + '2'))}{options})"
+
+    lines = "coalesce(text, '')"
+    by_line = replaced(lines, licenses.LINE, licenses.LINE_STAYS, ", 'g'")
+    for pattern, stays in licenses.UNWRAP:
+        lines = replaced(lines, pattern, stays, ", 'g'")
+    form = "trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))"
+    for pattern, stays in licenses.COMMON:
+        form = replaced(form, pattern, stays)
+    return f"""
 WITH known(sentence, id) AS (VALUES {known}),
 rule(n, rule, licence, pattern) AS (VALUES {rules}),
-licence_order(n, licence) AS (VALUES {firsts}),
-cut AS (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '[\r\n]+|[.!?;:]+[ \t]+') AS parts FROM documents),
-part AS (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM cut),
-named AS (SELECT doc_id, i, id FROM part JOIN known ON trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) = sentence),
-seq AS (SELECT doc_id, string_agg(id, ',' ORDER BY i) AS sentence_ids, string_agg('[' || id || ']', '' ORDER BY i) AS sequence FROM named GROUP BY doc_id),
-hit AS (SELECT doc_id, n, rule, licence FROM seq JOIN rule ON sequence LIKE pattern),
-rules AS (SELECT doc_id, string_agg(rule, ',' ORDER BY n) AS rules FROM hit GROUP BY doc_id),
-lic AS (SELECT doc_id, string_agg(licence, ',' ORDER BY n) AS licences FROM (SELECT doc_id, licence, min(n) AS n FROM hit GROUP BY doc_id, licence) GROUP BY doc_id)
-SELECT d.doc_id, coalesce(sentence_ids, '') AS sentence_ids, coalesce(rules, '') AS rules, coalesce(licences, '') AS licences
-FROM documents d LEFT JOIN seq USING (doc_id) LEFT JOIN rules USING (doc_id) LEFT JOIN lic USING (doc_id)
+doc AS (SELECT row_number() OVER () AS d, doc_id, text FROM documents),
+cut AS (SELECT d, 1 AS way, string_split_regex({by_line}, {_quoted(licenses.SPLIT)}) AS parts FROM doc UNION ALL SELECT d, 2, string_split_regex({lines}, {_quoted(licenses.PARAGRAPHS)}) FROM doc),
+part AS (SELECT d, way, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM cut),
+named AS (SELECT d, way, i, id FROM part JOIN known ON {form} = sentence),
+seq AS (SELECT d, way, string_agg(id, ',' ORDER BY i) AS ids, string_agg('[' || id || ']', '' ORDER BY i) AS sequence, count(*) AS k FROM named GROUP BY d, way),
+best AS (SELECT d, first(ids ORDER BY k DESC, way) AS sentence_ids FROM seq GROUP BY d),
+hit AS (SELECT d, rule, licence, min(n) AS n FROM seq JOIN rule ON sequence LIKE pattern GROUP BY d, rule, licence),
+rules AS (SELECT d, string_agg(rule, ',' ORDER BY n) AS rules FROM hit GROUP BY d),
+lic AS (SELECT d, string_agg(licence, ',' ORDER BY n) AS licences FROM (SELECT d, licence, min(n) AS n FROM hit GROUP BY d, licence) GROUP BY d)
+SELECT doc_id, coalesce(sentence_ids, '') AS sentence_ids, coalesce(rules, '') AS rules, coalesce(licences, '') AS licences
+FROM doc LEFT JOIN best USING (d) LEFT JOIN rules USING (d) LEFT JOIN lic USING (d)
 """
 
 
