@@ -12,10 +12,12 @@ from ndspark.llm.common import Scratch, seal
 
 
 def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near copies and its number of links."""
     return near_dup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document, from a model of those that aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language_id.fit(docs.where(~language_id.held_out("doc_id") & F.col("doc_id").isNotNull()))
     found = language_id.predict(docs, model)
@@ -23,28 +25,34 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
     mixed = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector among those of its label."""
     return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items."""
     return decontaminate.contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences, rules and licences of every document."""
     found = licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.concat_ws(",", "sentence_ids").alias("sentence_ids"), F.concat_ws(",", "rules").alias("rules"), F.concat_ws(",", "licences").alias("licences"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from archives of all pages."""
     with Scratch(spark) as scratch:
         packages = scratch.save(archives.write_packages(archives.plan_records(spark.read.parquet(f"{sf_dir}/pages.parquet")), f"{scratch.root}/packages"))
         read = archives.read_packages(packages)
@@ -52,10 +60,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality and toxicity of every document."""
     return quality.classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return passage_dedup.report(docs, *passage_dedup.repeated(docs))
 
