@@ -83,8 +83,8 @@ def _stored(s: SparkSession, d: str) -> DataFrame:
 
 
 def _swapped(s: SparkSession, d: str) -> DataFrame:
-    """Packed in network order: the bytes of 1,000 + i, as hexadecimal digits."""
-    a = NDArray.from_column(base(s, d, "SELECT event_id AS i, CAST(user_id * 65536 + event_id AS INT) AS x FROM events"), "x", "i")
+    """Packed in network order, as hexadecimal digits."""
+    a = NDArray.from_column(base(s, d, "SELECT event_id AS i, CAST((user_id * 65536 + event_id) % 2147483647 AS INT) AS x FROM events"), "x", "i")
     packed = binary.pack(a, swap=True).select("block", F.hex("data").alias("h"))
     digits = packed.select("block", F.posexplode(F.regexp_extract_all("h", F.lit("(.{8})"), F.lit(1))).alias("k", "text"))
     return digits.select((F.col("block") * binary.BLOCK + F.col("k")).alias("i0"), "text")
@@ -97,7 +97,7 @@ def _options() -> None:
         register(f"shape_{name}", lambda s, d, n=name: (lambda g: rounded(g[getattr(g, n)()]))(_gram(s, d)), e + f"SELECT row_number() OVER (ORDER BY i, j) - 1 AS i0, {R('v')} AS v FROM g WHERE {where}")
     register("linear_gemm_int", lambda s, d: (lambda a: rounded(a.transpose().gemm(a)))(column(base(s, d, KEYS), "b").reshape(None, 10)), f"WITH base AS ({KEYS}), m AS (SELECT i // 10 AS r, i % 10 AS c, b FROM base) SELECT p.c AS i0, q.c AS i1, sum(p.b * q.b)::BIGINT AS v FROM m p JOIN m q USING (r) GROUP BY 1, 2")
     register("store_slice", _stored, f"WITH e AS ({ELEMENTS}), n AS (SELECT count(*) AS n FROM embeddings) SELECT (i0 - 100) // 3 AS i0, (i1 - 5)::BIGINT AS i1, {R('v')} AS v FROM e, n WHERE i0 >= 100 AND i0 < n - 100 AND (i0 - 100) % 3 = 0 AND i1 BETWEEN 5 AND 39")
-    register("sink_network", _swapped, "SELECT event_id AS i0, lpad(hex(user_id * 65536 + event_id), 8, '0') AS text FROM events")
+    register("sink_network", _swapped, "SELECT event_id AS i0, lpad(hex((user_id * 65536 + event_id) % 2147483647), 8, '0') AS text FROM events")
     register("source_format", lambda s, d: x(base(s, d, EVENTS)).format("%.3f"), f"WITH base AS ({EVENTS}) SELECT i AS i0, printf('%.3f', x) AS text FROM base")
     register("same_as", _same, "SELECT 'reversed twice' AS name, true AS v UNION ALL SELECT 'one element changed', false UNION ALL SELECT 'another type', true UNION ALL SELECT 'another shape', false")
     register("index_rest", lambda s, d: rounded(vectors(s, d).reshape(None, 8, 8)[3, "rest"]), f"WITH e AS ({ELEMENTS}) SELECT (i1 // 8)::BIGINT AS i0, (i1 % 8)::BIGINT AS i1, {R('v')} AS v FROM e WHERE i0 = 3")

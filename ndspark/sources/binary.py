@@ -15,7 +15,6 @@ from ndspark import dtypes as dt
 from ndspark.array import NDArray, index_names
 from ndspark.dtypes import DType
 from ndspark.errors import OperationError, ShapeError
-from ndspark.sources.create import new
 
 #: Elements of one block of a stored array.
 BLOCK = 1 << 16
