@@ -36,6 +36,13 @@ def index_names(n: int) -> list[str]:
     return [f"i{k}" for k in range(n)]
 
 
+def row_count(df: DataFrame) -> int:
+    """Rows of a frame, counted once for all arrays that are made from it."""
+    if "_nd_rows" not in df.__dict__:
+        df.__dict__["_nd_rows"] = df.count()
+    return df.__dict__["_nd_rows"]
+
+
 class NDArray(Indexing, Shaping, Reducing, Scanning, Combining, Linear):
     """See the module. ``tag`` names the index expressions: equal tags over one base mean equal rows."""
 
@@ -71,7 +78,7 @@ class NDArray(Indexing, Shaping, Reducing, Scanning, Combining, Linear):
         """
         value = F.col(value) if isinstance(value, str) else value
         dtype = dt.of(dtype) if dtype else dt.of_spark(df.select(value.alias("v")).schema["v"].dataType.simpleString())
-        size = df.count() if size is None else size
+        size = row_count(df) if size is None else size
         return cls(df, [F.col(index).cast("bigint")], value.cast(dtype.spark), [size], dtype, ("column", index))
 
     @classmethod
@@ -79,7 +86,7 @@ class NDArray(Indexing, Shaping, Reducing, Scanning, Combining, Linear):
         """A two-dimensional array: each row of a table holds a row of the array."""
         kind = df.schema[value].dataType.elementType.simpleString()
         dtype = dt.of(dtype) if dtype else dt.of_spark(kind)
-        size = df.count() if size is None else size
+        size = row_count(df) if size is None else size
         base = df.select(F.col(index).cast("bigint").alias("i0"), F.posexplode(value).alias("i1", "v"))
         out = cls(base, [F.col("i0"), F.col("i1").cast("bigint")], F.col("v").cast(dtype.spark), [size, width], dtype)
         out.row_form = (df, F.col(index).cast("bigint"), F.col(value))
