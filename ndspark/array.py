@@ -59,6 +59,8 @@ class NDArray(Indexing, Shaping, Reducing, Scanning, Combining, Linear):
         self.chunks: list[tuple[str, int]] | None = None
         #: Like row_form, where a row of the source holds a column.
         self.column_form: tuple[DataFrame, Column, Column] | None = None
+        #: (left, right, factor) where this is the product of two matrices.
+        self.factors: tuple[NDArray, NDArray, object] | None = None
 
     # ---- construction -----------------------------------------------------------------
 

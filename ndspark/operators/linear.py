@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ndspark import dtypes as dt
 from ndspark.errors import OperationError, ShapeError, ValueRangeError
 from ndspark.functions import elementwise as ew
-from ndspark.operators.tiles import SIDE, Tiles
+from ndspark.operators.tiles import BAND_WIDTH, SIDE, Tiles
 from ndspark.plans.order import durable
 
 if TYPE_CHECKING:
@@ -71,7 +71,10 @@ class Linear:
             fused = all(dt.upcast_scalar(t, x) == t for x in (alpha, beta)) and (c is None or not beta or c.shape == shape and dt.upcast(t, c.dtype) == t)
             if fused:
                 added = Tiles.of(c.cast_to(t), side) if c is not None and beta else None
-                return left.multiply(right, alpha, added, beta).array()
+                out = left.multiply(right, alpha, added, beta).array()
+                if n == 0 and t.is_float and added is None and self.shape[-1] <= BAND_WIDTH:
+                    out.factors = self.cast_to(t), other.cast_to(t), alpha
+                return out
             out = left.multiply(right).array()
         if alpha != 1:
             out = out.mul(alpha)

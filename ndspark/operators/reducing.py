@@ -14,6 +14,7 @@ from ndspark.dtypes import DType
 from ndspark.errors import OperationError, ShapeError, ValueRangeError
 from ndspark.functions import aggregates as ag
 from ndspark.functions.exact import exact_sum
+from ndspark.operators.tiles import product_extremes
 from ndspark.plans.ranks import DIRECT, at_ranks
 
 if TYPE_CHECKING:
@@ -67,10 +68,20 @@ class Reducing:
         return self._reduce(lambda v, t: ag.rms(v, t, nan), axis, keepdims)
 
     def min(self: NDArray, axis=None, keepdims: bool = False, nan: bool = False) -> NDArray:
-        return self._reduce(lambda v, t: ag.min_(v, t, nan), axis, keepdims)
+        return self._product_extreme("min", axis, keepdims, nan) or self._reduce(lambda v, t: ag.min_(v, t, nan), axis, keepdims)
 
     def max(self: NDArray, axis=None, keepdims: bool = False, nan: bool = False) -> NDArray:
-        return self._reduce(lambda v, t: ag.max_(v, t, nan), axis, keepdims)
+        return self._product_extreme("max", axis, keepdims, nan) or self._reduce(lambda v, t: ag.max_(v, t, nan), axis, keepdims)
+
+    def _product_extreme(self: NDArray, which: str, axis, keepdims: bool, nan: bool) -> NDArray | None:
+        """Extremes along one axis of a matrix product that isn't made for it; None for other arrays and axes."""
+        axes = self._axes(axis)
+        if self.factors is None or len(axes) != 1:
+            return None
+        a, b, alpha = self.factors
+        left, right = (a, b.transpose()) if axes == [1] else (b.transpose(), a)
+        kept, shape = self._outcome(axes, keepdims)
+        return self._placed(product_extremes(left, right, which, nan, alpha).withColumnRenamed("i0", f"k{kept[0]}"), kept, keepdims, shape, self.dtype)
 
     def ptp(self: NDArray, axis=None, keepdims: bool = False, nan: bool = False) -> NDArray:
         return self._reduce(lambda v, t: ag.ptp(v, t, nan), axis, keepdims)

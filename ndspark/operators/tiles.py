@@ -5,6 +5,8 @@ the left matrix goes to the output tiles of its block row, every tile of the rig
 block column: (m k (n / side) + k n (m / side)) elements are shuffled, not m k n products. The rows of
 an output tile arrive in order of the common axis, so that a task holds three tiles at a time. Where there are fewer
 output tiles than tasks, the common axis is split as well, and the parts are summed by tile.
+
+Of a product that only the extremes along an axis are wanted of, no element leaves its task (``product_extremes``).
 """
 
 from __future__ import annotations
@@ -21,12 +23,17 @@ from pyspark.sql import functions as F
 
 from ndspark import dtypes as dt
 from ndspark.dtypes import DType
+from ndspark.plans.order import durable
 
 if TYPE_CHECKING:
     from ndspark.array import NDArray
 
 #: Rows and columns of a tile.
 SIDE = 256
+#: Longest rows that bands are made of, elements of a band, and of a block of a product that only its extremes are wanted of.
+BAND_WIDTH, BAND, BLOCK = 2048, 1 << 20, 1 << 21
+#: Partitions of the bands that every other band meets.
+GATHERED = 8
 
 
 def _kind(t: DType) -> np.dtype:
@@ -270,3 +277,59 @@ class _Product:
                     total = total + x
         if total is not None:
             yield out()
+
+
+def product_extremes(left: NDArray, right: NDArray, which: str, nan: bool = False, alpha: object = 1) -> DataFrame:
+    """(i0, v): the extreme of each row of alpha * left · transpose(right), whose elements are neither stored nor shuffled.
+
+    Both matrices (of floats of one type, with rows of at most BAND_WIDTH) are cut into bands of whole rows, written once. Every
+    pair of bands is multiplied where it meets, in blocks, of which the extremes by row are kept; each partition of the left bands then sends one row of
+    extremes for each of the few partitions of the right ones, so that disk and shuffle grow with the input and not with the product.
+    """
+    t, kind, width, rows = left.dtype, _kind(left.dtype), left.shape[1], left.shape[0]
+    better = {("max", False): np.fmax, ("min", False): np.fmin, ("max", True): np.maximum, ("min", True): np.minimum}[which, nan]
+
+    def bands(a: NDArray, most: int, name: str) -> tuple[DataFrame, int]:
+        side = max(width, SIDE, min(BAND // width, -(-a.shape[0] // 16)))
+        cut, n = Tiles.of(a, side), -(-a.shape[0] // side)
+        return durable(cut.df.select(F.col("ti").alias(name), F.col("data").alias(f"{name}_data")).repartitionByRange(min(n, most), name)), side
+
+    (a, height), (b, _) = bands(left, rows, "a"), bands(right, GATHERED, "b")
+
+    def read(data: pa.Scalar) -> np.ndarray:
+        return np.frombuffer(data.as_buffer(), kind).reshape(-1, width).astype(np.float64)
+
+    def packed(band: int, best: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([band], pa.int64()), pa.array([best.tobytes()], pa.binary())], ["a", "best"])
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, x, best = None, None, None
+        for batch in batches:
+            for band, p, q in zip(batch.column("a").to_pylist(), batch.column("a_data"), batch.column("b_data")):
+                if band != now:
+                    if now is not None:
+                        yield packed(now, best)
+                    now, x = band, read(p)
+                    best = np.full(len(x), np.nan if not nan else -np.inf if which == "max" else np.inf)
+                y = read(q).T
+                step = max(1, BLOCK // y.shape[1])
+                for k in range(0, len(x), step):
+                    block = x[k : k + step] @ y
+                    if alpha != 1:
+                        block *= alpha
+                    best[k : k + step] = better(best[k : k + step], better.reduce(block, axis=1))
+        if now is not None:
+            yield packed(now, best)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (band,), parts in runs(batches, ["a"]):
+            best = None
+            for part in parts:
+                for data in part.column("best"):
+                    x = np.frombuffer(data.as_buffer())
+                    best = x if best is None else better(best, x)
+            yield pa.RecordBatch.from_arrays([pa.array(band * height + np.arange(len(best))), pa.array(best)], ["i0", "v"])
+
+    met = a.crossJoin(b.hint("shuffle_replicate_nl")).select("a", "a_data", "b_data").mapInArrow(multiply, "a bigint, best binary")
+    out = met.repartition("a").sortWithinPartitions("a").mapInArrow(merge, "i0 bigint, v double")
+    return out.select("i0", F.col("v").cast(t.spark).alias("v"))

@@ -112,3 +112,34 @@ def test_covariances(spark):
         frame(spark, m[:, :1], "DFloat").cov()
     with pytest.raises(ShapeError):
         x.cov(fweights=[1, 2])
+
+
+@pytest.mark.parametrize("alpha", [1, -2.0])
+def test_extremes_of_a_product_without_its_elements(spark, monkeypatch, alpha):
+    from ndspark.operators import linear, tiles
+
+    monkeypatch.setattr(linear, "BROADCAST_ELEMENTS", 0)
+    monkeypatch.setattr(tiles, "SIDE", 7)
+    monkeypatch.setattr(tiles, "BAND", 10)
+    monkeypatch.setattr(tiles, "BLOCK", 50)
+    r = np.random.default_rng(12)
+    a, b = r.normal(size=(41, 5)), r.normal(size=(5, 23))
+    a[3] = np.nan
+    b[1, 4] = np.nan
+    p = alpha * (a @ b)
+    product = frame(spark, a, "DFloat").gemm(frame(spark, b, "DFloat"), alpha=alpha, side=3)
+    for axis in (0, 1):
+        assert np.allclose(dense(product.max(axis=axis)), np.fmax.reduce(p, axis=axis), equal_nan=True)
+        assert np.allclose(dense(product.min(axis=axis)), np.fmin.reduce(p, axis=axis), equal_nan=True)
+        assert np.allclose(dense(product.max(axis=axis, nan=True)), p.max(axis=axis), equal_nan=True)
+        assert product.min(axis=axis, keepdims=True).shape == ((1, 23) if axis == 0 else (41, 1))
+    assert np.isclose(product.max().item(), np.nanmax(p))
+
+
+def test_shuffle_of_extremes_does_not_grow_with_the_product(spark, monkeypatch):
+    from ndspark.operators import linear
+
+    monkeypatch.setattr(linear, "BROADCAST_ELEMENTS", 0)
+    x = frame(spark, np.random.default_rng(13).normal(size=(60, 4)), "DFloat")
+    plan = x.gemm(x.transpose(), side=4).max(axis=1).df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "tk" not in plan
