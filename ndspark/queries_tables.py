@@ -198,13 +198,17 @@ _nets()
 
 
 def _running(s: SparkSession, d: str) -> DataFrame:
-    """The events as a stream: running sums and differences by type, of all rows that the watermark has passed in the end."""
+    """The events as a stream into files: running sums and differences by type, of all rows that the watermark has passed in the end."""
     schema = s.read.parquet(f"{d}/events.parquet").schema
     stream = s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
-    name = f"running_{uuid.uuid4().hex}"
-    query = running(stream, "value", ["event_type"], "ts", "event_id", "1 hour").writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+    path = f"{shared_folder(s)}/running-{uuid.uuid4().hex}"
+    rows = running(stream, "value", ["event_type"], "ts", "event_id", "1 hour")
+    query = rows.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows")
     query.awaitTermination()
-    return s.table(name).select(F.col("event_type").alias("k"), "event_id", F.round("cumsum", 4).alias("total"), (F.round("diff", 6) + F.lit(0.0)).alias("step"))
+    out = durable(s.read.schema(rows.schema).parquet(f"{path}/rows").select(F.col("event_type").alias("k"), "event_id", F.round("cumsum", 4).alias("total"), (F.round("diff", 6) + F.lit(0.0)).alias("step")))
+    where = s._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(s._jsc.hadoopConfiguration()).delete(where, True)
+    return out
 
 
 register("stream_running", _running, """

@@ -10,12 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-_STATE = "total double, last double, seen boolean, until long, us array<long>, row array<long>, x array<double>"
+#: Rows that wait are three packed columns.
+_STATE = "total double, last double, seen boolean, until long, us binary, row binary, x binary"
+_KINDS = "<i8", "<i8", "<f8"
+#: Rows that leave at a time.
+OUT = 1 << 16
 
 
 def running(stream: DataFrame, value: str, keys: list[str], time: str, order: str, late: str = "1 hour") -> DataFrame:
@@ -28,29 +33,28 @@ def running(stream: DataFrame, value: str, keys: list[str], time: str, order: st
     rows = rows.withWatermark(time, late).withColumn("us", F.unix_micros(F.col(time)))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, last, seen, until, us, ids, xs = state.get if state.exists else (0.0, 0.0, False, None, [], [], [])
-        us, ids, xs = list(us), list(ids), list(xs)
+        total, last, seen, until, *kept = state.get if state.exists else (0.0, 0.0, False, None, b"", b"", b"")
+        parts = [tuple(np.frombuffer(x, kind) for x, kind in zip(kept, _KINDS))]
         if not state.hasTimedOut:
-            for b in batches:
-                us += b["us"].tolist()
-                ids += b[order].tolist()
-                xs += b[value].tolist()
-        held = pd.DataFrame({"us": pd.Series(us, dtype="int64"), "id": pd.Series(ids, dtype="int64"), "x": pd.Series(xs, dtype="float64")})
+            parts += [tuple(b[c].to_numpy(kind) for c, kind in zip(("us", order, value), _KINDS)) for b in batches]
+        us, ids, xs = (np.concatenate(x) for x in zip(*parts))
         limit = state.getCurrentWatermarkMs() * 1000
-        if until is not None:
-            held = held[held["us"] >= until]  # behind what has left already
-        ready = held[held["us"] < limit].sort_values(["us", "id"], kind="stable")
-        held = held[held["us"] >= limit]
-        if len(ready):
-            x = ready["x"].to_numpy()
-            sums = total + x.cumsum()
-            before = pd.Series([last if seen else None, *x[:-1]], dtype="float64")
-            yield pd.DataFrame({**{k: [v] * len(x) for k, v in zip(keys, key)}, "us": ready["us"].to_numpy(), order: ready["id"].to_numpy(), value: x, "cumsum": sums, "diff": x - before.to_numpy()})
+        stays = us >= limit
+        ready = ~stays if until is None else ~stays & (us >= until)  # not behind what has left already
+        kept = us[stays], ids[stays], xs[stays]
+        us, ids, xs = us[ready], ids[ready], xs[ready]
+        places = np.lexsort((ids, us))
+        for k in range(0, len(places), OUT):
+            at = places[k : k + OUT]
+            x = xs[at]
+            sums = np.cumsum(np.concatenate([[total], x]))[1:]
+            before = np.concatenate([[last if seen else np.nan], x[:-1]])
+            yield pd.DataFrame({**{c: [v] * len(x) for c, v in zip(keys, key)}, "us": us[at], order: ids[at], value: x, "cumsum": sums, "diff": x - before})
             total, last, seen = float(sums[-1]), float(x[-1]), True
         until = max(until or 0, limit) if limit > 0 else until
-        state.update((total, last, seen, until, held["us"].tolist(), held["id"].tolist(), held["x"].tolist()))
-        if len(held):
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(held["us"].min()) // 1000) + 1)
+        state.update((total, last, seen, until, *(x.tobytes() for x in kept)))
+        if len(kept[0]):
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(kept[0].min()) // 1000) + 1)
 
     out = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "us long", f"{order} long", f"{value} double", "cumsum double", "diff double"])
     made = rows.groupBy(*keys).applyInPandasWithState(step, out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -49,3 +49,27 @@ def test_sliding_windows_and_sessions_of_a_table(spark):
     assert sliding == {(23, 30): 1.0, (0, 0): 3.0, (0, 30): 2.0, (2, 30): 4.0, (3, 0): 4.0}
     sessions = sorted((r["window_start"].hour, r["sum"], r["count"]) for r in moments(df, "x", ["k"], time="ts", gap="1 hour").collect())
     assert sessions == [(0, 3.0, 2), (3, 4.0, 1)]
+
+
+def test_running_sums_leave_in_pieces_and_not_by_the_driver(spark, tmp_path, monkeypatch):
+    from ndspark.queries import QUERIES
+    from ndspark.streaming import scans
+
+    monkeypatch.setattr(scans, "OUT", 7)
+    rows = [(f"2024-01-01 {(k * 7) % 20:02d}:00:00", "a", k, float(k)) for k in range(40)]
+    spark.createDataFrame(rows, "ts string, k string, id long, x double").withColumn("ts", F.to_timestamp("ts")).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, k string, id long, x double").parquet(str(tmp_path / "in"))
+    query = scans.running(stream, "x", ["k"], "ts", "id", "1 hour").writeStream.format("memory").queryName("running_pieces").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = sorted((r["ts"].hour, r["id"], r["cumsum"], r["diff"]) for r in spark.table("running_pieces").collect())
+    want, total, last = [], 0.0, None
+    for ts, _, k, x in sorted(rows, key=lambda r: (r[0], r[2])):
+        total += x
+        if int(ts[11:13]) < 18:
+            want.append((int(ts[11:13]), k, total, None if last is None else x - last))
+        last = x
+    assert found == want
+    assert "array" not in scans._STATE
+    before = {t.name for t in spark.catalog.listTables()}
+    assert QUERIES["stream_running"](spark, "/root/testdata/sf0.001").count() > 0
+    assert {t.name for t in spark.catalog.listTables()} == before
