@@ -76,7 +76,7 @@ class Scanning:
         else:
             rows = rows.select(*segment, at, F.col("x").cast("bigint" if t != dt.UInt64 else t.spark).alias("x"))
         wide = "u" if t.kind == "u" else t.kind
-        out = product_scan(rows, segment, at, Products(wide, 0 if t.is_complex else t.minimum, 0 if t.is_complex else t.maximum, wrap, nan and t.is_complex), chunk)
+        out = product_scan(rows, segment, at, length, Products(wide, 0 if t.is_complex else t.minimum, 0 if t.is_complex else t.maximum, wrap, nan and t.is_complex), chunk)
         if t.is_complex:
             value = cx.make(F.col("p"), F.col("q"), t)
         else:

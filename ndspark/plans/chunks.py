@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ndspark.operators.tiles import runs
 
 #: Positions of a chunk.
 CHUNK = 1 << 16
@@ -97,6 +96,29 @@ class Products:
             about = np.where(gone, 0.0, about)
         return products, about, state[2] + np.cumsum(use)
 
+    def along_runs(self, x: np.ndarray, starts: np.ndarray, states: list[tuple[bytes, float, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``along`` for runs that begin at ``starts``, each from its state. Many short runs go by position, all of them at once."""
+        sizes = np.diff(np.append(starts, len(x)))
+        longest = int(sizes.max(initial=0))
+        if len(starts) <= longest or self.skip:
+            parts = [self.along(x[k : k + n], state) for k, n, state in zip(starts.tolist(), sizes.tolist(), states)]
+            return tuple(np.concatenate(p) for p in zip(*parts))
+        products, about = x.astype(self.kind), np.zeros(0) if self.complex else x.astype(np.float64)
+        by_size = np.argsort(-sizes, kind="stable")
+        first, left = starts[by_size], np.searchsorted(-sizes[by_size], -np.arange(longest))  # runs with an element at each position
+        with np.errstate(all="ignore"):
+            products[starts] *= np.frombuffer(b"".join(state[0] for state in states), self.kind)
+            if not self.complex:
+                about[starts] *= np.array([state[1] for state in states])
+            for k in range(1, longest):
+                here = first[: left[k]] + k
+                products[here] *= products[here - 1]
+                if not self.complex:
+                    about[here] = np.where(about[here - 1] == 0, 0.0, about[here - 1] * about[here])
+                    about[here[x[here] == 0]] = 0.0
+        counts = np.arange(1, len(x) + 1) - np.repeat(starts, sizes) + np.repeat(np.array([state[2] for state in states], np.int64), sizes)
+        return products, about, counts
+
     def joined(self, a: tuple[bytes, float, int], b: tuple[bytes, float, int]) -> tuple[bytes, float, int]:
         with np.errstate(all="ignore"):
             product = np.frombuffer(a[0], self.kind) * np.frombuffer(b[0], self.kind)
@@ -113,9 +135,13 @@ class Products:
         return products
 
 
-def product_scan(df: DataFrame, segment: list[str], at: str, products: Products, size: int = CHUNK) -> DataFrame:
-    """(segment, at, p, q) with the running product of x (and y, the imaginary part) as p (and q); whole numbers are text if unsigned."""
-    keys = [*segment, "_chunk"]
+def product_scan(df: DataFrame, segment: list[str], at: str, length: int, products: Products, size: int = CHUNK) -> DataFrame:
+    """(segment, at, p, q) with the running product of x (and y, the imaginary part) as p (and q); whole numbers are text if unsigned.
+
+    Segments of no more than ``size`` elements are one chunk each: they are dealt once, and nothing lies before them.
+    """
+    single = length <= size
+    keys = segment if single and segment else [*segment, "_chunk"]
     rows = df.withColumn("_chunk", chunk_of(at, size))
     names = [f"{k} bigint" for k in keys]
     state = "product binary, about double, count bigint"
@@ -124,13 +150,45 @@ def product_scan(df: DataFrame, segment: list[str], at: str, products: Products,
     def placed(x: DataFrame) -> DataFrame:
         return x.repartition(*keys).sortWithinPartitions(*keys, at)
 
+    def scanned(batches: Iterator[pa.RecordBatch], begin: Callable) -> Iterator[tuple]:
+        """(batch, starts of its runs, whether the first goes on from the batch before, products, about, counts)."""
+        now, last = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = [batch.column(k).to_numpy() for k in keys]
+            changes = np.zeros(batch.num_rows, bool)
+            changes[0] = True
+            for c in ids:
+                changes[1:] |= c[1:] != c[:-1]
+            starts = np.flatnonzero(changes)
+            states = begin(batch, starts)
+            goes_on = now is not None and now == tuple(int(c[0]) for c in ids)
+            if goes_on:
+                states[0] = last
+            p, about, count = products.along_runs(products.read(batch), starts, states)
+            now, last = tuple(int(c[-1]) for c in ids), (p[-1:].tobytes(), float(about[-1]) if len(about) else 1.0, int(count[-1]))
+            yield batch, starts, goes_on, p, about, count
+
+    def nothing(batch: pa.RecordBatch, starts: np.ndarray) -> list:
+        return [products.one] * len(starts)
+
+    def before(batch: pa.RecordBatch, starts: np.ndarray) -> list:
+        at_starts = batch.select(["product", "about", "count"]).take(pa.array(starts))
+        return list(zip(*(c.to_pylist() for c in at_starts.columns)))
+
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, parts in runs(batches, keys):
-            now = products.one
-            for part in parts:
-                p, about, count = products.along(products.read(part), now)
-                now = p[-1:].tobytes(), float(about[-1]) if len(about) else 1.0, int(count[-1])
-            yield pa.RecordBatch.from_pylist([dict(zip([*keys, "product", "about", "count"], [*key, *now]))])
+        held = None  # the last run of a batch may go on in the next
+        for batch, starts, goes_on, p, about, count in scanned(batches, nothing):
+            ends = np.append(starts[1:], batch.num_rows) - 1
+            columns = [*[batch.column(k).take(pa.array(ends)) for k in keys], pa.array([p[e : e + 1].tobytes() for e in ends], pa.binary()), pa.array(about[ends] if len(about) else np.ones(len(ends))), pa.array(count[ends].astype(np.int64))]
+            out = pa.RecordBatch.from_arrays(columns, [*keys, "product", "about", "count"])
+            if held is not None and not goes_on:
+                yield held
+            yield out.slice(0, out.num_rows - 1)
+            held = out.slice(out.num_rows - 1)
+        if held is not None:
+            yield held
 
     def earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Totals of a segment's chunks, in order, become what lies before each chunk."""
@@ -147,22 +205,18 @@ def product_scan(df: DataFrame, segment: list[str], at: str, products: Products,
                 yield pa.RecordBatch.from_pylist(out, pa.schema([*[(k, pa.int64()) for k in keys], ("product", pa.binary()), ("about", pa.float64()), ("count", pa.int64())]))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, parts in runs(batches, keys):
-            now = None
-            for part in parts:
-                if now is None:
-                    now = tuple(part.column(c)[0].as_py() for c in ("product", "about", "count"))
-                p, about, count = products.along(products.read(part), now)
-                now = p[-1:].tobytes(), float(about[-1]) if len(about) else 1.0, int(count[-1])
-                out = products.checked(p, about)
-                if products.skip:
-                    out = np.where(count > 0, out, complex("nan") if products.complex else np.nan)
-                values = [pa.array(out.real), pa.array(out.imag)] if products.complex else [pa.array([str(v) for v in out]) if wide else pa.array(out)]
-                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in segment], part.column(at), *values], [*segment, at, "p", "q"][: len(segment) + 1 + len(values)])
+        for batch, _, _, p, about, count in scanned(batches, nothing if single else before):
+            out = products.checked(p, about)
+            if products.skip:
+                out = np.where(count > 0, out, complex("nan") if products.complex else np.nan)
+            values = [pa.array(out.real), pa.array(out.imag)] if products.complex else [pa.array([str(v) for v in out]) if wide else pa.array(out)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in segment], batch.column(at), *values], [*segment, at, "p", "q"][: len(segment) + 1 + len(values)])
 
+    kind = "double" if products.complex else "string" if wide else "bigint"
+    schema = ", ".join([*[f"{k} bigint" for k in segment], f"{at} bigint", f"p {kind}", *(["q double"] if products.complex else [])])
+    if single:
+        return placed(rows).mapInArrow(finish, schema)
     sums = placed(rows).mapInArrow(totals, ", ".join([*names, state]))
     by = sums.repartition(*segment) if segment else sums.coalesce(1)
     offsets = by.sortWithinPartitions(*keys).mapInArrow(earlier, ", ".join([*names, state]))
-    kind = "double" if products.complex else "string" if wide else "bigint"
-    schema = ", ".join([*[f"{k} bigint" for k in segment], f"{at} bigint", f"p {kind}", *(["q double"] if products.complex else [])])
     return placed(rows.join(offsets, keys)).mapInArrow(finish, schema)

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ndspark.array import NDArray
+from ndspark.plans.chunks import Products
 from ndspark.plans.ranks import at_ranks
 from ndspark.sources.create import array
 from tests.test_tiles import dense, frame
@@ -140,3 +142,26 @@ def test_products_of_many_factors(spark):
         assert np.allclose(dense(frame(spark, z, "DComplex").prod(axis=0)), z.prod(0))
     finally:
         reducing.PART = before
+
+
+def test_short_axes_are_dealt_once_and_multiplied_together(spark):
+    v = np.random.default_rng(15).integers(-5, 6, (7000, 3))  # runs cross the ends of Arrow batches
+    rows = spark.createDataFrame([(k, v[k].tolist()) for k in range(len(v))], "i long, r array<long>")
+    x = NDArray.from_rows(rows, "r", "i", 3)
+    product = x.cumprod(axis=1)
+    plan = product.df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Repartition") == 1
+    assert (dense(product) == np.cumprod(v, axis=1)).all()
+    assert (dense(x.cumprod(axis=1, chunk=2)) == np.cumprod(v, axis=1)).all()
+
+
+def test_runs_of_any_lengths_are_multiplied_together():
+    r = np.random.default_rng(16)
+    sizes = np.concatenate([r.integers(1, 9, 60), [1, 30, 1]])
+    starts, x = np.append(0, sizes.cumsum()[:-1]), r.integers(-3, 4, sizes.sum())
+    work = Products("i", -(2**63), 2**63 - 1)
+    states = [work.one if k % 3 else (np.array([5], np.int64).tobytes(), 5.0, 4) for k in range(len(sizes))]
+    p, about, count = work.along_runs(x, starts, states)
+    want = [work.along(x[s : s + n], state) for s, n, state in zip(starts, sizes, states)]
+    for k, found in enumerate((p, about, count)):
+        assert (found == np.concatenate([w[k] for w in want])).all()
