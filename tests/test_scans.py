@@ -165,3 +165,15 @@ def test_runs_of_any_lengths_are_multiplied_together():
     want = [work.along(x[s : s + n], state) for s, n, state in zip(starts, sizes, states)]
     for k, found in enumerate((p, about, count)):
         assert (found == np.concatenate([w[k] for w in want])).all()
+
+
+def test_percentiles_of_lines_need_no_order(spark, monkeypatch):
+    from ndspark import queries_blocks
+    from ndspark.queries import QUERIES
+
+    def unwanted(*_):
+        raise AssertionError("lines are sorted")
+
+    monkeypatch.setattr(queries_blocks, "dense_index", unwanted)
+    for name, n in (("reduce_percentile_lines", 4), ("reduce_percentile_ranked", 1), ("reduce_median_lines", 4), ("reduce_median_ranked", 1)):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").count() == n
