@@ -7,7 +7,7 @@ the next shorter one, down to single characters.
 The model is fitted on a bounded sample of the labelled rows (``docs_per_language``, picked by a
 hash of the id, so that reruns agree). That sample is the only bound: every language, every word of it
 that occurs twice, however long, and every n-gram of its words is in the model, whose size follows the
-sample's and not the corpus. Prediction runs over every whole text in Arrow batches without any shuffle.
+sample's and not the corpus; n-grams are counted by Spark, and the driver holds the model as packed strings and counts. Prediction runs over every whole text in Arrow batches without any shuffle.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; rows without id,
 text or lang are never learned from; with nothing to learn from every text is ``und``. Repeated
@@ -20,12 +20,15 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ndspark.llm.common import seal
+
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 _CACHE_WORDS = 150_000
@@ -44,13 +47,15 @@ def _grams(word: str, n: int) -> list[str]:
 class Logs:
     """Log frequencies by language of some strings, as rows of one matrix."""
 
-    def __init__(self, strings: list[str], counts: np.ndarray, languages: int):
-        """counts: a row for each string (which may repeat), a column for each language."""
-        names = sorted(set(strings))
-        self.row = dict(zip(names, range(len(names))))
-        summed = np.zeros((len(names), languages))
-        np.add.at(summed, [self.row[x] for x in strings], counts)
-        self.matrix = np.log((summed + 0.5) / (summed.sum(0) + 1.0 + 0.5 * len(names)))
+    def __init__(self, names: pa.Array, counts: np.ndarray):
+        """counts: a row for each string, a column for each language."""
+        self.names = names
+        self.matrix = np.log((counts + 0.5) / (counts.sum(0) + 1.0 + 0.5 * len(names)))
+
+    @cached_property
+    def row(self) -> dict[str, int]:
+        """Made where it is first asked for, in a task: the driver holds packed strings only."""
+        return dict(zip(self.names.to_pylist(), range(len(self.names))))
 
     def mean(self, strings: list[str]) -> np.ndarray | None:
         """Of those that are known; None if none is."""
@@ -64,16 +69,6 @@ class BackoffModel:
     def __init__(self, languages: list[str], words: Logs, grams: list[Logs]):
         self.languages, self.words, self.grams = languages, words, grams
 
-    @classmethod
-    def of_counts(cls, languages: list[str], words: list[str], counts: np.ndarray, longest: int) -> BackoffModel:
-        """counts: occurrences of each word in each language, of the sample."""
-        grams: list[Logs] = []
-        for n in range(1, longest + 1):
-            found = [(g, i) for i, w in enumerate(words) for g in _grams(w, n)]
-            grams.append(Logs([g for g, _ in found], counts[[i for _, i in found]], len(languages)))
-        often = counts.sum(1) > 1
-        return cls(languages, Logs([w for w, x in zip(words, often) if x], counts[often], len(languages)), grams)
-
     def score(self, word: str) -> np.ndarray:
         """Log likelihoods by language, of an unseen word the mean of its n-grams' of one length."""
         if (i := self.words.row.get(word)) is not None:
@@ -127,7 +122,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
-        return BackoffModel([], Logs([], np.zeros((0, 0)), 0), [])
+        return BackoffModel([], Logs(pa.array([], pa.string()), np.zeros((0, 0))), [])
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, docs_per_language / sizes[k])))])[F.col("lang")]
     sample = rows.where((F.pmod("h", F.lit(1 << 30)) / float(1 << 30)) < share)
     at = {k: i for i, k in enumerate(languages)}
@@ -141,12 +136,29 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             columns = [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["w", "lang", "n"])
 
-    counts = sample.mapInArrow(count, "w string, lang string, n long").groupBy("w", "lang").agg(F.sum("n").alias("n"))
-    found = counts.toPandas()
-    words = sorted(set(found["w"]))
-    row, matrix = dict(zip(words, range(len(words)))), np.zeros((len(words), len(languages)))
-    matrix[found["w"].map(row).to_numpy(int), found["lang"].map(at).to_numpy(int)] = found["n"].to_numpy(float)
-    return BackoffModel.of_counts(languages, words, matrix, longest)
+    places = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(at[k]))])[F.col("lang")]
+    counts = sample.mapInArrow(count, "w string, lang string, n long").groupBy("w", places.alias("lang")).agg(F.sum("n").alias("n"))
+    counts = seal(counts)  # of the sample's words; words and n-grams are counted from it
+    often = counts.groupBy("w").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by")).where("n > 1").select("w", "by")
+    return BackoffModel(languages, _logs(often, len(languages)), [_logs(_counted_grams(counts, n), len(languages)) for n in range(1, longest + 1)])
+
+
+def _counted_grams(counts: DataFrame, n: int) -> DataFrame:
+    """(g, [(language, count)]) of what ``_grams`` gives for each word."""
+    w = F.concat(F.lit("<"), "w", F.lit(">")) if n > 1 else F.col("w")
+    starts = F.sequence(F.lit(1), F.length(w) - n + 1)
+    grams = counts.where(F.length(w) >= n).select(F.explode(F.transform(starts, lambda i: F.substring(w, i, F.lit(n)))).alias("g"), "lang", "n")
+    return grams.groupBy("g", "lang").agg(F.sum("n").alias("n")).groupBy("g").agg(F.collect_list(F.struct("lang", "n")).alias("by"))
+
+
+def _logs(counted: DataFrame, languages: int) -> Logs:
+    """From rows (string, [(language, count)])."""
+    found = counted.toArrow()
+    lists = found.column(1).combine_chunks()
+    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+    flat, matrix = lists.flatten(), np.zeros((len(lists), languages))
+    matrix[np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)), flat.field("lang").to_numpy()] = flat.field("n").to_numpy()
+    return Logs(found.column(0).combine_chunks(), matrix)
 
 
 def predict(docs: DataFrame, model: BackoffModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

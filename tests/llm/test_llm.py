@@ -231,6 +231,21 @@ def test_language_without_anything_to_learn_from(spark):
     assert {r["lang_pred"] for r in language_id.predict(table(spark, ["hello", None]), model).collect()} == {"und"}
 
 
+def test_language_model_is_counted_by_spark(spark):
+    from collections import Counter
+
+    texts = [("naïve cat 猫猫 𝔘x", "en"), ("cat a the", "en"), ("le chat 猫", "fr"), ("a", "fr")]
+    model = language_id.fit(spark.createDataFrame([(i, *r) for i, r in enumerate(texts * 2)], "doc_id long, text string, lang string"))
+    assert "row" not in vars(model.words) and not any("row" in vars(g) for g in model.grams)  # the driver holds no dictionaries
+    words = [(w, k) for text, k in texts * 2 for w in language_id.LETTERS.findall(text.lower())]
+    for n in range(6):
+        made = Counter((g, k) for w, k in words for g in (language_id._grams(w, n) if n else [w]))
+        logs, names = (model.grams[n - 1] if n else model.words), sorted({g for g, _ in made})
+        counts = np.array([[made[g, k] for k in ("en", "fr")] for g in names], float)
+        assert sorted(logs.names.to_pylist()) == names
+        assert np.allclose([logs.matrix[logs.row[g]] for g in names], np.log((counts + 0.5) / (counts.sum(0) + 1 + 0.5 * len(names))))
+
+
 def test_held_out_is_a_fifth_by_checksum(spark):
     import zlib
 
